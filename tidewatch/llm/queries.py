@@ -7,13 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, quality, sharding
+from . import fingerprint, jaccard, language, packing, quality, sharding, substring, warc
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_path())).withColumnRenamed("id", "doc_id")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels").where(~quality.held_out()))
@@ -39,6 +62,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring": op2_substring,
+    "op3_warc": op3_warc,
+    "op5_jaccard": op5_jaccard,
+    "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_fingerprints": op9_fingerprints,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, language, packing, quality, sharding, substring, warc
+from . import decontaminate, fingerprint, jaccard, language, packing, pii, quality, sharding, substring, warc
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "end", "item_start", "item_end", "equal", "item_tokens", (F.col("equal") / (F.col("end") - F.col("start"))).alias("similarity"))
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -29,6 +34,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    counts = [F.size(pii.of_kind(F.col("base"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.written_spans(F.col("base")), 256).alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -62,8 +73,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_substring": op2_substring,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op5_jaccard": op5_jaccard,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,

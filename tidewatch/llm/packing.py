@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .store import written
 
 CAPACITY = 4096
@@ -27,15 +28,23 @@ ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
 CHILDREN = 4
-#: Words whose ids a task remembers.
-CACHE = 400_000
+#: Runs whose ids a task remembers.
+CACHE = 1_500_000
 _held: dict = {}
+#: Bytes: 0 white space, 1 letters and other scripts, 2 digits, 3 marks.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[np.flatnonzero(words.SPACE)] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_KIND[0x30:0x3A] = 2
 
 
 class Encoder:
-    """Token ids of whole texts by a tokenizer that drops white space, word by word with a memory of bounded size.
+    """Token ids of whole texts by a tokenizer that drops white space and never joins letters with digits or marks.
 
-    Sound only for tokenizers whose ids of a text are the ids of its words between ASCII white space, one after another.
+    Texts are cut into runs of letters (with all bytes of other scripts), single digits and runs of marks, all at once over
+    a chunk of bytes; a run's ids come from a hash table of runs met before, and only new runs reach the tokenizer.  Words
+    whose ids aren't those of their runs, with an apostrophe or with a run of other scripts that doesn't begin and end in a
+    letter, go to the tokenizer whole.  The table is emptied when it is full.  Runs count as equal by a 64-bit hash.
     """
 
     def __init__(self, path: str, limit: int = CACHE):
@@ -44,40 +53,132 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; a last full stop or comma after an ASCII letter is a token of its own, so the stem is looked up."""
-        stems = {}
-        for word in missing:
-            cut = len(word) > 1 and word[-1] in b".," and (word[-2:-1].isalpha())
-            stem = (word[:-1] if cut else word).lower()
-            stems[word] = (stem, word[-1:] if cut else b"")
-        need = list({s for s, _ in stems.values() if s not in self.known} | ({b".", b","} - self.known.keys()))
-        found = {}
-        if need:
-            for word, got in zip(need, self.tokenizer.encode_batch_fast([x.decode() for x in need], add_special_tokens=False), strict=True):
-                found[word] = np.array(got.ids, "<u4").tobytes()
-        get = lambda x: found.get(x) if x in found else self.known[x]
-        new = {word: get(stem) + (get(mark) if mark else b"") for word, (stem, mark) in stems.items()}
-        room = self.limit - len(self.known)
-        for source in (found, new):
-            for word, ids in source.items():
-                if room <= 0 and word not in (b".", b","):
-                    break
-                self.known[word] = ids
-                room -= 1
-        return new
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text, without the end mark."""
-        split = [(t or "").encode().split() for t in texts]
-        known = self.known
-        missing = {w for words in split for w in words if w not in known}
-        if not missing:
-            return [b"".join([known[w] for w in words]) for words in split]
-        new = self._learn(missing)
-        return [b"".join([known[w] if w in known else new[w] for w in words]) for words in split]
+        self.clear()
+
+    def clear(self) -> None:
+        self.bits, self.count = 16, 0
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.slots = np.zeros(1 << self.bits, np.int32)
+        self.start, self.length, self.whole = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.pool = np.zeros(0, np.uint32)
+        self.odd: dict[bytes, np.ndarray] = {}
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entry numbers of hashes; -1 for new ones."""
+        out = np.full(len(h), -1, np.int32)
+        left, slot = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            got = self.keys[slot]
+            hit = got == h[left]
+            out[left[hit]] = self.slots[slot[hit]]
+            on = ~hit & (got != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            won = free & (self.keys[slot] == h)
+            self.slots[slot[won]] = entry[won]
+            h, entry, slot = h[~won], entry[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _learn(self, h: np.ndarray, runs: list[bytes]) -> None:
+        if self.count + len(h) > self.limit:
+            self.clear()
+        texts = [x.decode() for x in runs]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(lengths, dtype=np.int64) - lengths))
+        self.length = np.concatenate((self.length, lengths))
+        self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))))
+        low = [x.lower() for x in texts]
+        odd = ("'" in x or not (x.isascii() or x[0].isalpha() and x[-1].isalpha()) for x in low)
+        self.whole = np.concatenate((self.whole, np.fromiter(odd, bool, len(texts))))
+        entry = np.arange(self.count, self.count + len(h), dtype=np.int32)
+        self.count += len(h)
+        if self.count * 2 > len(self.keys):
+            while self.count * 2 > 1 << self.bits:
+                self.bits += 2
+            used = self.keys != 0
+            old, old_entry = self.keys[used], self.slots[used]
+            self.keys, self.slots = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(old, old_entry)
+        self._put(h, entry)
+
+    def _word(self, word: bytes) -> np.ndarray:
+        got = self.odd.get(word)
+        if got is None:
+            got = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
+            if len(self.odd) > 50_000:
+                self.odd.clear()
+            self.odd[word] = got
+        return got
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, places where each text's ids begin and the last one's end) of the texts of a chunk, without end marks."""
+        kind = _KIND[data]
+        begins = np.empty(len(data), bool)
+        begins[:1] = True
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= kind == 2
+        heads = off[:-1][off[1:] > off[:-1]]
+        begins[heads] = True
+        edge = np.flatnonzero(begins)
+        stop = np.append(edge[1:], len(data))
+        real = kind[edge] != 0
+        start, stop = edge[real], stop[real]
+        first = np.searchsorted(start, off)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        h = words.hashes(data, start, stop, words.LOWER) | np.uint64(1)
+        entry = self._find(h)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            raw = data.tobytes()
+            fresh, at = np.unique(h[new], return_index=True)
+            at = new[at]
+            self._learn(fresh, [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+            entry = self._find(h)
+            again = np.flatnonzero(entry < 0)
+            if len(again):  # the table was emptied on the way
+                fresh, at = np.unique(h[again], return_index=True)
+                at = again[at]
+                self._learn_more(fresh, [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+                entry = self._find(h)
+        begin, length, pool = self.start[entry], self.length[entry].astype(np.int64), self.pool
+        odd = self.whole[entry]
+        if odd.any():
+            raw = data.tobytes()
+            lone = np.ones(len(start), bool)
+            lone[1:] = (stop[:-1] != start[1:]) | begins_text(off, start[1:])
+            word = np.cumsum(lone) - 1
+            ends = np.append(np.flatnonzero(lone)[1:], len(start))
+            parts, size = [pool], len(pool)
+            for w in np.unique(word[odd]).tolist():
+                a, b = int(np.searchsorted(word, w)), int(ends[w])
+                ids = self._word(raw[start[a] : stop[b - 1]])
+                length[a:b] = 0
+                begin[a], length[a] = size, len(ids)
+                parts.append(ids)
+                size += len(ids)
+            pool = np.concatenate(parts)
+        total = np.concatenate(([0], np.cumsum(length)))
+        index = np.repeat(begin - total[:-1], length) + np.arange(total[-1])
+        return pool[index], total[first]
+
+    def _learn_more(self, h: np.ndarray, runs: list[bytes]) -> None:
+        """Learns what a chunk needs beyond the limit; the next new run empties the table again."""
+        limit, self.limit = self.limit, 1 << 62
+        self._learn(h, runs)
+        self.limit = limit
+
+
+def begins_text(off: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether a text begins at these places."""
+    at = np.searchsorted(off, start)
+    return off[np.minimum(at, len(off) - 1)] == start
 
 
 def _pieces_task(path: str, capacity: int, end: int):
@@ -87,21 +188,24 @@ def _pieces_task(path: str, capacity: int, end: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = _held.setdefault(path, None) or _held.__setitem__(path, Encoder(path)) or _held[path]
+        if path not in _held:
+            _held[path] = Encoder(path)
+        coder = _held[path]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(batch), 256):
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, raw in enumerate(coder.encode(texts.slice(at, 256).to_pylist())):
-                    raw += tail
-                    for k, b in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[b : b + 4 * capacity]
-                        row.append(at + i)
+            row, piece, start, length, crc = [], [], [], [], []
+            for first, off, data in words.chunks(batch.column(1)):
+                ids, cut = coder.encode(data, off)
+                raw, cut = ids.astype("<u4").tobytes(), cut.tolist()
+                for i in range(len(off) - 1):
+                    own = raw[4 * cut[i] : 4 * cut[i + 1]] + tail
+                    for k, b in enumerate(range(0, len(own), 4 * capacity)):
+                        part = own[b : b + 4 * capacity]
+                        row.append(first + i)
                         piece.append(k)
                         start.append(b // 4)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                yield pa.record_batch({"id": ids.take(pa.array(row)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

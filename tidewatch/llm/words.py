@@ -84,11 +84,18 @@ def runs(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE, fold
     begins[first] = inside[first]
     ends[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return start, end, hashes(data, start, end, fold), np.searchsorted(start, off)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
+    """Hashes of the byte ranges, every byte replaced by its ``fold``."""
+    n = len(data)
+    if not len(start):
+        return np.zeros(0, np.uint64)
     up, down = _tables(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    value = (sums[end] - sums[start]) * down[start] if len(start) else np.zeros(0, np.uint64)
-    return start, end, mix(value + (end - start).astype(np.uint64) * _STEP), np.searchsorted(start, off)
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:

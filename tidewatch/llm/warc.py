@@ -1,9 +1,9 @@
 """WARC archives: a writer in DataFrame functions, and a reader that salvages damaged files.
 
-The writer emits plain WARC/1.1 through Spark's text sink, whose line separator is the record terminator, so it reaches
-any store that Spark does.  The reader takes plain records and gzip members alike.  A record whose header, length, end
-or block digest fails its check is quarantined: the reader looks for the next version line or member that passes, logs the
-byte gap before it, and goes on.
+The writer emits WARC/1.1 through Spark's text sink, whose line separator is the record terminator, so it reaches any
+store that Spark does; every file is one gzip member of a bounded number of records.  The reader takes plain records and
+gzip members of one or more records.  A record whose header, length, end or block digest fails its check is quarantined:
+the reader looks for the next version line or member that passes, logs the byte gap before it, and goes on.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import scratch
+from .store import scratch, written
 
 END = "\r\n\r\n"
 #: Payloads shorter than this are never stored by reference.
@@ -65,7 +65,7 @@ def records(planned: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str, *, records_per_file: int = RECORDS, **columns: str) -> None:
     """Writes the archives of ``pages`` into the folder ``path``."""
-    records(plan(pages, **columns)).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    records(plan(pages, **columns)).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def _parsed(data: bytes, at: int) -> tuple[dict, int] | None:
@@ -99,50 +99,82 @@ def _parsed(data: bytes, at: int) -> tuple[dict, int] | None:
     return {"fields": fields, "block": block}, end + 4 if end < len(data) else end
 
 
-def _record(data: bytes, at: int) -> tuple[dict, int] | None:
-    if data[at : at + 3] == _MAGIC:
-        member = zlib.decompressobj(31)
+def _member(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What a gzip member holds, as far as it can be read, and the place after it (None if it is damaged)."""
+    member, plain = zlib.decompressobj(31), []
+    for a in range(at, len(data), 1 << 16):
         try:
-            plain = member.decompress(data[at:] if at else data)
+            plain.append(member.decompress(data[a : a + (1 << 16)]))
         except zlib.error:
-            return None
-        if not member.eof:
-            return None
-        got = _parsed(plain, 0)
-        return (got[0], len(data) - len(member.unused_data)) if got and got[1] == len(plain) else None
-    return _parsed(data, at)
+            break
+        if member.eof:
+            return b"".join(plain), min(a + (1 << 16), len(data)) - len(member.unused_data)
+    return b"".join(plain), None
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None]]:
-    """(start, end, record) in order; the record is None for a quarantined gap."""
-    at, bad = 0, None
+def _plain(data: bytes, at: int = 0) -> Iterator[tuple[int, int, dict | None]]:
+    """(start, end, record) of plain records from ``at`` to the first byte that is no part of one, or of a gap."""
+    bad = None
     while at < len(data):
-        got = _record(data, at)
-        if got is not None and got[1] > at:
+        got = _parsed(data, at)
+        if got is not None:
             if bad is not None:
                 yield bad, at, None
                 bad = None
             yield at, got[1], got[0]
             at = got[1]
+            if data[at : at + 3] == _MAGIC:
+                return
             continue
         bad = at if bad is None else bad
         later = _START.search(data, at + 1)
         at = later.start() if later else len(data)
+        if data[at : at + 3] == _MAGIC and _member(data, at)[1] is not None:
+            yield bad, at, None
+            return
     if bad is not None:
         yield bad, len(data), None
 
 
-_SCHEMA = "file string, start long, end long, ok boolean, type string, id string, refers_to string, uri string, declared_digest string, http_length long, payload binary"
-_ARROW = pa.schema([("file", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("ok", pa.bool_()), ("type", pa.string()), ("id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("declared_digest", pa.string()), ("http_length", pa.int64()), ("payload", pa.large_binary())])
+def salvage(data: bytes) -> Iterator[tuple[int, int, int | None, dict | None]]:
+    """(start, end, inner, record) in order of an archive of plain records and of gzip members of one or more records.
+
+    The record is None for a quarantined gap.  Places are bytes of the file; a record in a member has the member's place
+    and its own place inside, ``inner``.  Of a damaged member the sound records before the damage count, and the member's
+    bytes up to the next record or member are a gap.
+    """
+    at = 0
+    while at < len(data):
+        if data[at : at + 3] != _MAGIC:
+            for start, end, got in _plain(data, at):
+                yield start, end, None, got
+                at = end
+            continue
+        inside, end = _member(data, at)
+        sound = end is not None
+        if not sound:
+            later = at + 1
+            while (found := _START.search(data, later)) and not (_parsed(data, found.start()) or data[found.start() : found.start() + 3] == _MAGIC and _member(data, found.start())[1] is not None):
+                later = found.start() + 1
+            end = found.start() if found else len(data)
+        for start, stop, got in _plain(inside):
+            if got or sound:
+                yield at, end, start, got
+        if not sound:
+            yield at, end, None, None
+        at = end
+
+
+_SCHEMA = "file string, start long, end long, inner long, ok boolean, type string, id string, refers_to string, uri string, declared_digest string, http_length long, payload binary"
+_ARROW = pa.schema([("file", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("inner", pa.int64()), ("ok", pa.bool_()), ("type", pa.string()), ("id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("declared_digest", pa.string()), ("http_length", pa.int64()), ("payload", pa.binary())])
 
 
 def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = _ARROW.set(10, pa.field("payload", pa.binary()))
     for batch in batches:
         for file, content in zip(batch["path"], batch["content"], strict=True):
             name, rows, size = file.as_py(), [], 0
-            for start, end, got in salvage(content.as_py()):
-                row = {"file": name, "start": start, "end": end, "ok": got is not None}
+            for start, end, inner, got in salvage(content.as_py()):
+                row = {"file": name, "start": start, "end": end, "inner": inner, "ok": got is not None}
                 if got:
                     field = lambda k, f=got["fields"]: f[k].decode(errors="replace") if k in f else None
                     head, cut, body = got["block"].partition(b"\r\n\r\n")
@@ -150,12 +182,12 @@ def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     length = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]{1,18})", head) if http else None
                     row |= {"type": field(b"warc-type"), "id": field(b"warc-record-id"), "refers_to": field(b"warc-refers-to"), "uri": field(b"warc-target-uri"), "declared_digest": field(b"warc-payload-digest"), "http_length": int(length[1]) if length else None, "payload": body if http else got["block"]}
                 rows.append(row)
-                size += end - start
+                size += len(got["block"]) if got else 0
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -165,7 +197,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def page_id(name: str) -> F.Column:
     """The page's id in a record's name; null where there is none."""
-    return F.regexp_extract(F.col(name), rf"^<{_ID}(-?[0-9]+)>$", 1).try_cast("long") if hasattr(F.col(name), "try_cast") else F.expr(f"try_cast(regexp_extract({name}, '^<{_ID}(-?[0-9]+)>$', 1) as bigint)")
+    return F.regexp_extract(F.col(name), rf"^<{_ID}(-?[0-9]+)>$", 1).try_cast("long")
 
 
 def resolved(found: DataFrame) -> DataFrame:
@@ -174,6 +206,7 @@ def resolved(found: DataFrame) -> DataFrame:
     A revisit has the size and digest of the response that it refers to; where that was lost, those that it declares.
     """
     rows = found.where("ok").select(page_id("id").alias("page_id"), F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"), F.col("type").alias("record_type"), page_id("refers_to").alias("refers_to"), F.regexp_replace("declared_digest", "^sha256:", "").alias("declared"), "http_length")
+    rows = written(rows, "records")
     whole = rows.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.first("bytes").alias("whole_bytes"), F.first("digest").alias("whole_digest"))
     return (
         rows.where("record_type = 'revisit'").join(whole, "refers_to", "left")

@@ -97,24 +97,24 @@ def following(ids: DataFrame, *, runs: int | None = None) -> DataFrame:
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, scale: int = SCALE, floor: int = FLOOR) -> DataFrame:
-    """Sketches of every text and of its edited text, and their likeness; one row per distinct id and text.
+    """Sketches of every text and of its edited text, and their likeness; one row per row with an id.
 
     The edited text ends in the first floor(n/4) characters of the next document (or all of them) in place of its own
     last ones.  Null texts are empty.  Rows with a null id are left out, having no place in the order; of several texts
     with one id the smallest hash stands for the id as a neighbour, and each is compared on its own.  Other columns are
     not read.
     """
-    plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = sketch(plain.withColumns({"key": F.xxhash64("text"), "n": F.length("text").cast("long")}), F.col("text"), "own", scale=scale, floor=floor)
-    known = written(known.select("id", "key", "n", "own"), "sketches").dropDuplicates(["id", "key"])
-    one = known.groupBy("id").agg(F.min("key").alias("key"), F.max(F.floor(F.col("n") / 4)).alias("most"))
-    order = following(one.select("id"))
-    wanted = order.join(one.select(F.col("id"), "most"), "id").select(F.col("id").alias("prev_id"), F.col("next_id").alias("id"), "most").join(one.select("id", "key"), "id")
-    heads = plain.withColumn("key", F.xxhash64("text")).join(wanted, ["id", "key"]).select(F.col("prev_id").alias("id"), F.expr("substring(text, 1, cast(most as int))").alias("head"))
-    heads = heads.join(known.join(wanted, ["id", "key"]).select(F.col("prev_id").alias("id"), F.col("own").alias("next")), "id").dropDuplicates(["id"])
-    both = plain.withColumn("key", F.xxhash64("text")).join(known, ["id", "key"]).join(heads, "id")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = rows.select("id", F.xxhash64("text").alias("key"), F.floor(F.length("text") / 4).cast("int").alias("quarter"))
+    ids = written(named.groupBy("id").agg(F.min("key").alias("key"), F.max("quarter").alias("most")), "ids")
+    order = following(ids.select("id"))
+    wanted = order.join(ids.select("id", "most"), "id").select(F.col("id").alias("prev_id"), F.col("next_id").alias("id"), "most").join(ids.select("id", "key"), "id")
+    heads = rows.join(wanted, "id").where(F.xxhash64("text").bitwiseXOR(F.col("key")) == 0)  # no join key, so both uses share one exchange of the texts
+    heads = sketch(heads, F.col("text"), "next", scale=scale, floor=floor).select(F.col("prev_id").alias("id"), F.struct(F.expr("substring(text, 1, most)").alias("head"), "next").alias("after"))
+    both = rows.join(heads.groupBy("id").agg(F.first("after").alias("after")), "id").withColumn("n", F.length("text").cast("long"))
+    both = sketch(both, F.col("text"), "own", scale=scale, floor=floor)
     quarter = F.floor(F.col("n") / 4).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, cast(n - floor(n / 4) as int))"), F.col("head").substr(F.lit(1), quarter))
-    both = both.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256))
+    edited = F.concat(F.expr("substring(text, 1, cast(n - floor(n / 4) as int))"), F.col("after.head").substr(F.lit(1), quarter))
+    both = both.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("next", F.col("after.next"))
     both = sketch(both, F.col("edited"), "changed", scale=scale, floor=floor)
     return both.select("id", F.col("n").alias("n_chars"), "edited_sha256", "own", "changed", similarity(F.col("own"), F.col("changed")).alias("near_edited"), similarity(F.col("own"), F.col("next")).alias("near_next"))

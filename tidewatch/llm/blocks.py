@@ -11,6 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from . import words
 
 SCHEMA = "block int, owners binary, width int, hashes binary, places binary"
 _TYPES = pa.schema([("block", pa.int32()), ("owners", pa.binary()), ("width", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary())])
@@ -66,6 +69,22 @@ def unpacked(owners: bytes, width: int, hashes: bytes, places: bytes) -> tuple[n
     return np.cumsum(values, dtype=np.uint64), np.frombuffer(owners, np.int64)[np.frombuffer(places, np.uint16)]
 
 
+def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, owners) of all rows, ascending by hash; rows are unpacked one at a time to save memory."""
+    places = table["places"]
+    sizes = pc.binary_length(places).to_numpy() // 2
+    ends = np.cumsum(sizes)
+    found, owner = np.empty(int(sizes.sum()), np.uint64), np.empty(int(sizes.sum()), np.int64)
+    for i, end in enumerate(ends.tolist()):
+        at = slice(end - int(sizes[i]), end)
+        found[at], owner[at] = unpacked(*(table[c][i].as_py() for c in ("owners", "width", "hashes", "places")))
+    order = np.argsort(found)
+    owner = owner[order]
+    found = found[order]
+    words.trim()
+    return found, owner
+
+
 def runs(values: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal entries."""
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)

@@ -19,18 +19,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks, words
-from .store import written
+from .store import small_batches, written
 
 SHINGLE = 5
 #: A link needs at least this many hundredths.
 PERCENT = 80
-EACH = 3_000_000
-#: Nodes of a neighbourhood that one task compares with each other at most.
+EACH = 1_500_000
+#: Nodes in a tile of a neighbourhood; a task compares those of two tiles at most.
 TILE = 192
+#: Tiles of a neighbourhood that are all compared with each other; a larger one is compared with some of its nodes at a time.
+TILES = 12
+#: Edges that one task contracts, on average.
+EDGES = 100_000
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,7 +74,7 @@ def _signatures(n: int, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _node_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.grouped(batches, words.CHUNK):
             for row, n, t, w in shingle_sets(batch.column(1), k):
                 size, name = _signatures(n, t, w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(name)], names=["id", "n", "node"])
@@ -80,7 +84,7 @@ def _node_task(k: int):
 
 def _incidence_task(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.grouped(batches, blocks.GROUP):
             texts = batch.column(0)
             sizes = np.asarray(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
             for a, b in blocks.groups(sizes):
@@ -91,25 +95,25 @@ def _incidence_task(k: int, bits: int):
                     new = np.zeros(n, bool)
                     new[[i for i in firsts[size[firsts] > 0].tolist() if name[i] not in held]] = True
                     held.update(name[new].tolist())
-                    number = np.cumsum(new) - 1 + sum(map(len, names))
+                    number = (np.cumsum(new) - 1 + sum(map(len, names))).astype(np.uint16)
                     own = new[t]
                     found.append((w[own], number[t[own]]))
                     names.append(name[new])
                 hashes, place = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+                del found
                 if len(hashes):
                     order = np.argsort(hashes)
-                    yield blocks.packed(hashes[order], place[order], np.concatenate(names), bits)
+                    place = place[order]
+                    hashes = hashes[order]
+                    del order
+                    yield blocks.packed(hashes, place, np.concatenate(names), bits)
 
     return run
 
 
 def _shared_task(table: pa.Table) -> pa.Table:
     """(node, shared): of each node the n-grams that others have too, as 8 bytes of hash and one of how common it is."""
-    parts = [blocks.unpacked(o, w, h, p) for o, w, h, p in zip(*(table[c].to_pylist() for c in ("owners", "width", "hashes", "places")), strict=True)]
-    found, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    del parts, table
-    order = np.argsort(found)
-    found, owner = found[order], owner[order]
+    found, owner = blocks.gathered(table)
     start = blocks.runs(found)
     times = np.diff(np.append(start, len(found)))
     common = np.repeat(times, times) > 1
@@ -158,7 +162,7 @@ def _prefix_task(percent: int, many: int):
     are joined at once (a row with low = -1 joins ``hash`` and ``node``) and go on as one entry with their range of sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.grouped(batches, blocks.GROUP):
             node, n, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             found, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i in range(len(batch)):
@@ -206,25 +210,34 @@ def _meet_task(percent: int):
     return run
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def _contract_task(table: pa.Table) -> pa.Table:
+    a, b = components(table["a"].to_numpy(), table["b"].to_numpy())
+    a, b = a[a != b], b[a != b]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def connected(edges: DataFrame, each: int = EDGES) -> DataFrame:
     """(node, root): the smallest node of the component of each node of ``edges`` (a, b).
 
-    Every node's larger neighbours, then its smaller ones, are hung on the smallest of them, in turns, until nothing
-    changes; the turns grow with the logarithm of the longest path.
+    Tasks contract parts of about ``each`` edges to stars.  Where that takes more than one part, every node's larger
+    neighbours, then its smaller ones, are hung on the smallest of them, in turns, until nothing changes; the turns grow
+    with the logarithm of the longest path.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    parts = -(-edges.count() // each)
+    edges = written(edges.withColumn("part", F.pmod(F.xxhash64("a", F.lit(6)), F.lit(max(1, parts)))).groupBy("part").applyInArrow(_contract_task, "a long, b long"), "edges")
     before = None
-    while True:
+    while parts > 1:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = written(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.countDistinct("a")).first()
-        if tuple(state) == before or state[0] == state[2] and before is not None and state[0] == before[0]:
+        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -250,24 +263,34 @@ def _linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
 
 
 def _tile_task(percent: int):
-    """Small neighbourhoods: every node's class."""
+    """(a, b): links that join what the nodes of the same group (a neighbourhood, or two tiles of one) join."""
 
     def run(table: pa.Table) -> pa.Table:
-        home, node, n, parts = table["home"].to_numpy(), table["node"].to_numpy(), table["n"].to_numpy(), table["shared"]
+        group, node, n, parts = table["group"].to_numpy(), table["node"].to_numpy(), table["n"].to_numpy(), table["shared"]
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        order = np.argsort(home, kind="stable")
-        for own in np.split(order, blocks.runs(home[order])[1:]):
+        order = np.argsort(group, kind="stable")
+        for own in np.split(order, blocks.runs(group[order])[1:]):
             sets = [_features(parts[int(i)].as_py()) for i in own]
             x, y = np.nonzero(np.triu(_linked(_overlaps(sets, sets), n[own], n[own], percent), 1))
             if len(x):
                 a, b = components(node[own[x]], node[own[y]])
-                out_a.append(a)
-                out_b.append(b)
-        return pa.table({"node": pa.array(np.concatenate(out_a), pa.int64()), "root": pa.array(np.concatenate(out_b), pa.int64())})
+                out_a.append(a[a != b])
+                out_b.append(b[a != b])
+        return pa.table({"a": pa.array(np.concatenate(out_a), pa.int64()), "b": pa.array(np.concatenate(out_b), pa.int64())})
 
     return run
 
 
+def _tiled(near: DataFrame, percent: int, tile: int, many: int) -> DataFrame:
+    """Links inside neighbourhoods of a few tiles: every two tiles of one meet in a group."""
+    tiles = F.ceil(F.col("many") / tile).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(9)), tiles).cast("int")
+    others = F.when(tiles == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), tiles - 1), lambda t: t != own))
+    rows = near.withColumn("other", F.explode(others)).withColumn("group", F.xxhash64("home", F.least("other", own), F.greatest("other", own)))
+    rows = rows.withColumn("part", F.when(tiles > 1, F.col("group")).otherwise(F.pmod(F.xxhash64("home"), F.lit(many))))
+    return rows.select("part", "group", "node", "n", "shared").groupBy("part").applyInArrow(_tile_task(percent), "a long, b long")
+
+
 def _pivot_task(percent: int):
     """Links between a part of a large neighbourhood and its nodes that are compared in this turn."""
 
@@ -287,23 +310,20 @@ def _pivot_task(percent: int):
 
 
 def _large(nodes: DataFrame, percent: int, tile: int) -> DataFrame:
-    """(node, root) of the linked nodes of large neighbourhoods, with nodes (home, node, n, shared, many)."""
-    spark = nodes.sparkSession
+    """Links that join what large neighbourhoods join, of their nodes (home, node, n, shared, many)."""
     nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(9)), F.ceil(F.col("many") / tile)).cast("int"))
     state = written(nodes.select("home", "node", F.col("node").alias("root"), F.lit(False).alias("done"), "many"), "state")
-    links, take = None, 4
+    links, take = None, tile
     while True:
         classes = state.groupBy("home", "root").agg(F.count("*").alias("size"))
         largest = classes.groupBy("home").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
         open_ = state.join(largest, "home").where("root <> top and not done")
         # the first turn of a neighbourhood takes any of its nodes, those of lowest hash
-        from pyspark.sql import Window
-
         turn = open_.withColumn("at", F.row_number().over(Window.partitionBy("home").orderBy(F.xxhash64("node", F.lit(4)), "node"))).where(F.col("at") <= take)
         turn = written(turn.select("home", "node", "many"), "turn")
         if turn.isEmpty():
             break
-        pivots = nodes.join(turn.select("node"), "node", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("many") / tile) - 1).cast("int"))))
+        pivots = nodes.join(turn.select("node"), "node", "left_semi").select(*[F.col(c).alias(c) for c in ("home", "node", "n", "shared", "many")]).withColumn("salt", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("many") / tile) - 1).cast("int"))))
         found = nodes.groupBy("home", "salt").cogroup(pivots.groupBy("home", "salt")).applyInArrow(_pivot_task(percent), "a long, b long")
         links = written(found if links is None else found.unionByName(links), "links")
         if links.isEmpty():
@@ -312,17 +332,18 @@ def _large(nodes: DataFrame, percent: int, tile: int) -> DataFrame:
             roots = connected(links).withColumnRenamed("root", "new")
             state = state.join(roots, "node", "left").join(turn.select("node", F.lit(True).alias("now")), "node", "left").select("home", "node", F.coalesce("new", "root").alias("root"), F.coalesce("now", "done").alias("done"), "many")
         state = written(state, "state")
-        take *= 2
-    return state.select("node", "root") if links is not None else spark.createDataFrame([], "node long, root long")
+        take = min(take * 4, 16 * tile)
+    return links
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = SHINGLE, percent: int = PERCENT, each: int = EACH, tile: int = TILE) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = SHINGLE, percent: int = PERCENT, each: int = EACH, tile: int = TILE, tiles: int = TILES) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest id that links of at least ``percent`` hundredths reach.
 
     Words lie between 0x20 and 0x09-0x0D, with A-Z in lower case.  A text without words, or null, has no shingles and is
     linked with nothing.  Rows with equal sets are linked; repeated ids are no obstacle; a null id gets a component of its
     own only if no other id is in it.  Sets and shingles count as equal by 63- and 64-bit hashes.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     members = written(rows.mapInArrow(_node_task(k), f"id {rows.schema['id'].dataType.simpleString()}, n long, node long"), "members")
@@ -337,11 +358,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     homes = connected(met)
     homes = homes.join(homes.groupBy("root").agg(F.count("*").alias("many")), "root").select("node", F.col("root").alias("home"), "many")
     near = written(suspects.join(homes, "node"), "near")
-    small = near.where(F.col("many") <= tile).withColumn("part", F.pmod(F.xxhash64("home"), F.lit(many)))
-    roots = small.groupBy("part").applyInArrow(_tile_task(percent), "node long, root long")
-    big = near.where(F.col("many") > tile)
-    if not big.isEmpty():
-        roots = roots.unionByName(_large(big, percent, tile))
+    few = F.col("many") <= tile * tiles
+    links = _tiled(near.where(few), percent, tile, many)
+    if not near.where(~few).isEmpty():
+        links = links.unionByName(_large(near.where(~few), percent, tile))
+    roots = connected(links)
     known = written(sets.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "roots")
     known = known.join(known.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
     out = members.join(known, "node", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .store import small_batches
 
 #: Places that each mask looks at.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 8), (0, 2, 3, 5, 8, 9), (0, 1, 4, 6, 9, 11))
@@ -108,7 +109,7 @@ def _find_task(shared, least: int, similar: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         names = pa.array(items.names, item_type)
-        for batch in batches:
+        for batch in words.grouped(batches, words.CHUNK):
             rows = []
             for row, n, h, first in tokens(batch.column(1)):
                 for item, shift in items.hits(h).tolist():
@@ -136,6 +137,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     bytes (an item by itself if larger), so each broadcast is bounded whatever the benchmark's size.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = benchmark.select(F.col(item_col).alias("item"))
     item_type = pa.schema(kinds.limit(0).toArrow().schema)[0].type

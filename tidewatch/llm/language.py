@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 RANKS = 400
 #: Labelled rows of each language that a fit reads on average, the documented bound of the sample; rows are taken by a hash of their id.
 FIT_ROWS = 4000
@@ -113,6 +115,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Of a language with more than ``fit_rows`` rows a sample of about that many is read, chosen by a hash of the id; null
     ids count as one id.  Empty input gives no profiles, and then every prediction is ``und``.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -133,6 +136,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", *, lang
 
     Columns of those names in the input are replaced.  Whole texts are read, whatever their length.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("lang string, score double")

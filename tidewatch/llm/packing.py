@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .store import written
+from .store import small_batches, written
 
 CAPACITY = 4096
 END = 1
@@ -29,7 +29,7 @@ EPOCHS = 2
 POPULATION = 4
 CHILDREN = 4
 #: Runs whose ids a task remembers.
-CACHE = 1_500_000
+CACHE = 1_000_000
 _held: dict = {}
 #: Bytes: 0 white space, 1 letters and other scripts, 2 digits, 3 marks.
 _KIND = np.full(256, 3, np.uint8)
@@ -59,8 +59,9 @@ class Encoder:
         self.bits, self.count = 16, 0
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.slots = np.zeros(1 << self.bits, np.int32)
-        self.start, self.length, self.whole = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
-        self.pool = np.zeros(0, np.uint32)
+        self.used = 0
+        self.start, self.length, self.whole = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, bool)
+        self.pool = np.zeros(1 << 14, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.odd: dict[bytes, np.ndarray] = {}
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -89,18 +90,21 @@ class Encoder:
             self.clear()
         texts = [x.decode() for x in runs]
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(lengths, dtype=np.int64) - lengths))
-        self.length = np.concatenate((self.length, lengths))
-        self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        size, end = int(lengths.sum()), self.count + len(h)
+        self.start, self.length, self.whole = (_room(x, end) for x in (self.start, self.length, self.whole))
+        self.pool = _room(self.pool, self.used + size)
+        self.start[self.count : end] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.count : end] = lengths
+        self.pool[self.used : self.used + size] = np.fromiter((i for x in ids for i in x), self.pool.dtype, size)
+        self.used += size
         low = [x.lower() for x in texts]
-        odd = ("'" in x or not (x.isascii() or x[0].isalpha() and x[-1].isalpha()) for x in low)
-        self.whole = np.concatenate((self.whole, np.fromiter(odd, bool, len(texts))))
+        self.whole[self.count : end] = np.fromiter(("'" in x or not (x.isascii() or x[0].isalpha() and x[-1].isalpha()) for x in low), bool, len(low))
         entry = np.arange(self.count, self.count + len(h), dtype=np.int32)
         self.count += len(h)
-        if self.count * 2 > len(self.keys):
-            while self.count * 2 > 1 << self.bits:
-                self.bits += 2
+        if self.count * 4 > len(self.keys) * 3:
+            while self.count * 4 > 3 << self.bits:
+                self.bits += 1
             used = self.keys != 0
             old, old_entry = self.keys[used], self.slots[used]
             self.keys, self.slots = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
@@ -147,7 +151,7 @@ class Encoder:
                 at = again[at]
                 self._learn_more(fresh, [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
                 entry = self._find(h)
-        begin, length, pool = self.start[entry], self.length[entry].astype(np.int64), self.pool
+        begin, length, pool = self.start[entry].astype(np.int64), self.length[entry].astype(np.int64), self.pool
         odd = self.whole[entry]
         if odd.any():
             raw = data.tobytes()
@@ -155,7 +159,7 @@ class Encoder:
             lone[1:] = (stop[:-1] != start[1:]) | begins_text(off, start[1:])
             word = np.cumsum(lone) - 1
             ends = np.append(np.flatnonzero(lone)[1:], len(start))
-            parts, size = [pool], len(pool)
+            parts, size = [pool[: self.used]], self.used
             for w in np.unique(word[odd]).tolist():
                 a, b = int(np.searchsorted(word, w)), int(ends[w])
                 ids = self._word(raw[start[a] : stop[b - 1]])
@@ -175,6 +179,15 @@ class Encoder:
         self.limit = limit
 
 
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    """``x``, or a copy half as long again if it is too short."""
+    if size <= len(x):
+        return x
+    out = np.zeros(max(size, len(x) + (len(x) >> 1)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 def begins_text(off: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Whether a text begins at these places."""
     at = np.searchsorted(off, start)
@@ -191,7 +204,7 @@ def _pieces_task(path: str, capacity: int, end: int):
         if path not in _held:
             _held[path] = Encoder(path)
         coder = _held[path]
-        for batch in batches:
+        for batch in words.grouped(batches, words.CHUNK):
             row, piece, start, length, crc = [], [], [], [], []
             for first, off, data in words.chunks(batch.column(1)):
                 ids, cut = coder.encode(data, off)
@@ -212,6 +225,7 @@ def _pieces_task(path: str, capacity: int, end: int):
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every text's ids and end mark, cut every ``capacity``; nulls are empty texts."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_pieces_task(tokenizer, capacity, end), f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .language import held_out
+from .store import small_batches
 
 BITS = 20
 #: Most labelled rows that a fit reads: the documented bound of the sample.
@@ -118,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", *, score_out: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1; null and empty texts get the bias's score.  A column of that name is replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python a few thousand at a time, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.sparkContext.getConf().get(key, None) is None:
+        spark.conf.set(key, "2000")
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """``df`` written as Parquet and read again: cuts lineage, outlives lost executors."""
     path = scratch(df.sparkSession, kind)

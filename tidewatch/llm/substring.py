@@ -17,19 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, words
+from .store import small_batches
 
 WINDOW = 13
 #: Hashes that one reduce task sorts, on average.
-EACH = 2_000_000
+EACH = 1_500_000
 _LAST = (1 << 63) - 1
 
 
 def _hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    rows, found = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
     for row, off, data in words.chunks(texts):
         _, _, h, first = words.runs(data, off)
         t, w = words.windows(h, first, k)
-        rows.append(t + row)
+        rows.append((t + row).astype(np.int32))
         found.append(w)
     return np.concatenate(rows), np.concatenate(found)
 
@@ -49,14 +50,17 @@ def _scan_task(k: int, bits: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.grouped(batches, blocks.GROUP):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             sizes = np.asarray(pc.binary_length(texts).to_numpy(zero_copy_only=False), np.int64)
             for a, b in blocks.groups(sizes):
                 owners, rank = np.unique(ids[a:b], return_inverse=True)
+                rank = rank.astype(np.int32)
                 row, found = _hashes(texts.slice(a, b - a), k)
                 order = np.argsort(found)
-                found, own = found[order], rank[row[order]]
+                own = rank[row[order]]
+                found = found[order]
+                del row, order
                 start = blocks.runs(found)
                 if not len(start):
                     continue
@@ -70,7 +74,7 @@ def _scan_task(k: int, bits: int):
                     fresh = np.concatenate(([True], (who[1:] != who[:-1]) | (what[1:] != what[:-1])))
                     who, told = _told(who[fresh], what[fresh])
                     n = len(who)
-                    spread = (1 << bits) + (zlib.crc32(owners.tobytes()) + np.arange(n) // 256) % (1 << bits)
+                    spread = (1 << bits) + (zlib.crc32(owners.tobytes()) + np.arange(n)) % (1 << bits)
                     yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), blocks.binary(np.arange(n + 1), owners[who].tobytes(), 8), pa.array(np.zeros(n), pa.int32()), told, pa.nulls(n, pa.binary())], schema=blocks._TYPES)
 
     return run
@@ -81,11 +85,7 @@ def _reduce_task(bits: int):
         if table["block"][0].as_py() >= 1 << bits:
             ids = pa.Array.from_buffers(pa.int64(), len(table), [None, pa.py_buffer(b"".join(table["owners"].to_pylist()))])
             return pa.table({"id": ids, "hashes": table["hashes"].cast(pa.binary())})
-        parts = [blocks.unpacked(o, w, h, p) for o, w, h, p in zip(*(table[c].to_pylist() for c in ("owners", "width", "hashes", "places")), strict=True)]
-        found, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        del parts, table
-        order = np.argsort(found)
-        found, owner = found[order], owner[order]
+        found, owner = blocks.gathered(table)
         start = blocks.runs(found)
         least = np.minimum.reduceat(owner, start)
         late = owner > np.repeat(least, np.diff(np.append(start, len(found))))
@@ -97,7 +97,7 @@ def _reduce_task(bits: int):
 
 def _cut_task(k: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.grouped(batches, words.CHUNK):
             ids, texts, told = batch.column(0), batch.column(1), batch.column(2)
             for row, off, data in words.chunks(texts):
                 _, _, h, first = words.runs(data, off)
@@ -138,6 +138,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     numbers; rows that share one are one document and don't repeat each other; a null id is larger than all others.  Windows
     count as equal by a 64-bit hash.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard, language, packing, pii, quality, sharding, substring, warc
+from . import decontaminate, fingerprint, jaccard, language, oracles, packing, pii, quality, sharding, substring, warc
 
 
 def tokenizer_path() -> str:
@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_substring": oracles.SUBSTRING, "op3_warc": oracles.WARC, "op5_jaccard": oracles.JACCARD}

@@ -25,7 +25,7 @@ LEAST = 100
 #: Records in an archive file at most.
 RECORDS = 2_000
 _MAGIC = b"\x1f\x8b\x08"
-_START = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _ID = "urn:tidewatch:page:"
 
 

@@ -15,7 +15,8 @@ FEATURES = list(windows.FEATURES)
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_frames(spark, sf_dir).withColumn("bucket", windows.bucket("ts_us", HOUR))
-    return rows.withColumn("entropy", entropy(F.filter(F.split("payload", ""), lambda c: c != "")))
+    # a column of its own: inside the entropy's lambdas the text would be split again for every character
+    return rows.withColumn("__chars", F.filter(F.split("payload", ""), lambda c: c != "")).withColumn("entropy", entropy(F.col("__chars"))).drop("__chars")
 
 
 def egress(spark: SparkSession, sf_dir: str) -> DataFrame:

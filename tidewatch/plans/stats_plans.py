@@ -303,4 +303,5 @@ def q_mantissa(spark, sf_dir):
     from .series_plans import readings
 
     low = F.transform("buffer", lambda v: fb.double_parts(v)["mantissa"].bitwiseAND(255))
-    return series.trailing(readings(spark, sf_dir)).select("bucket", F.when(F.size("buffer") >= 2, fb.entropy(low)).otherwise(0.0).alias("entropy"))
+    rows = series.trailing(readings(spark, sf_dir)).withColumn("low", low)
+    return rows.select("bucket", F.when(F.size("buffer") >= 2, fb.entropy(F.col("low"))).otherwise(0.0).alias("entropy"))

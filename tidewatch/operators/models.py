@@ -122,6 +122,13 @@ def random_forest(rows: DataFrame, features: list[str], label: str, *, trees: in
     return RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, seed=seed).fit(data)
 
 
+def multiclass_forest(rows: DataFrame, features: list[str], label: str, *, trees: int = 100, depth: int = 10, seed: int = 42):
+    """A fitted random forest over numbered classes."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=min(depth, 30), seed=seed).fit(assembled(rows, features))
+
+
 def boosted(rows: DataFrame, features: list[str], label: str, *, rounds: int = 150, depth: int = 4, step: float = 0.1, balanced: bool = True, seed: int = 42):
     """Fitted gradient-boosted trees."""
     from pyspark.ml.classification import GBTClassifier

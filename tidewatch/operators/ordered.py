@@ -57,3 +57,12 @@ def running_sum(df: DataFrame, index: str, value: Column, out: str, *, block: in
     totals = rows.groupBy("__block").agg(F.sum("__value").alias("__total")).select("__block", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("__block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(out, F.sum("__value").over(inside)).join(totals, "__block").withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.col("__before")).drop("__block", "__value", "__before")
+
+
+def assert_monotonic(df: DataFrame, index: str, ts: str, *, block: int = BLOCK) -> DataFrame:
+    """``df``; an error when a row's time is before that of the row before it in index order."""
+    back = F.lag(ts).over(over(index))
+    sound = back.isNull() | (F.col(ts) >= back)
+    rows = with_frame(df, index, 1, {"__ok": sound}, block=block)
+    checked = F.assert_true(F.col("__ok"), F.concat(F.lit("time runs backward at "), F.col(index).cast("string")))
+    return rows.withColumn("__ok", checked).where(F.col("__ok").isNull()).drop("__ok")

@@ -133,3 +133,33 @@ def read_split(spark: SparkSession, path: str, split_id: str) -> DataFrame:
     if {*train} & {*validation} or {*guard} & ({*train} | {*validation}) or (train and validation and train[-1] >= validation[0]):
         raise ValueError("blocks overlap")
     return spark.createDataFrame([(b, name) for name, ids in (("train", train), ("validation", validation), ("guard", guard)) for b in ids], "bucket long, block string")
+
+
+def csv_profile(spark: SparkSession, path: str, time: str) -> DataFrame:
+    """One row for a text table with a header: rows, and the first and last time."""
+    rows = spark.read.csv(path, header=True)
+    t = F.col(time).try_cast("double")
+    return rows.agg(F.count("*").alias("n_rows"), F.min(t).alias("first"), F.max(t).alias("last"))
+
+
+#: The parts of a frame's shape that tell response types apart.
+SHAPE = ["function_code", "is_request", "frame_len_bytes", "byte_count", "length_anomaly"]
+
+
+def response_types(frames: DataFrame, type_map: DataFrame) -> DataFrame:
+    """``frames`` with ``type``: that of its shape in ``type_map`` (the shape's columns and type), null for others and for frames that
+    aren't egress from the slave (source 3).  The map has a row for each shape seen in training and is broadcast."""
+    known = type_map.select(*SHAPE, F.col("type").alias("__type"))
+    rows = frames.join(F.broadcast(known), SHAPE, "left")
+    return rows.withColumn("type", F.when((F.col("destination") == 1) & (F.col("source") == 3), F.col("__type"))).drop("__type")
+
+
+def discovered_types(frames: DataFrame, normal: DataFrame) -> DataFrame:
+    """Distinct shapes of egress frames from the slave in normal buckets, each with its function code as type."""
+    rows = frames.where("destination = 1 and source = 3").join(normal.select("bucket"), "bucket", "left_semi")
+    return rows.select(*SHAPE).distinct().withColumn("type", F.col("function_code"))
+
+
+def iso_utc(ts_us: Column) -> Column:
+    """Microseconds since the epoch as text in UTC."""
+    return F.date_format(F.timestamp_micros(ts_us), "yyyy-MM-dd'T'HH:mm:ss'Z'")

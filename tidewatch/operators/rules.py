@@ -36,25 +36,53 @@ def fit_rate(normal: DataFrame, column: str = "packets_per_sec") -> DataFrame:
     return fit_bounds(normal, column).select(F.col("high").alias("max_rate"))
 
 
-def protocol(windows: DataFrame, fitted: DataFrame, out: str = "protocol") -> DataFrame:
-    """Hits on codes or addresses that the fit hasn't seen."""
+def fit_all(normal: DataFrame, rate_column: str = "packets_per_sec") -> DataFrame:
+    """The state of all three rules from normal windows with ``p_min`` and ``p_max``, in one pass."""
+    return normal.agg(*fit_columns(rate_column))
+
+
+def fit_columns(rate_column: str = "packets_per_sec") -> list[Column]:
+    """The aggregates of :func:`fit_all`, to be taken with others in one pass."""
+    union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
+    return [union("func_codes").alias("valid_codes"), union("addresses").alias("valid_addresses"), F.max(rate_column).alias("max_rate"), F.min("p_min").alias("low"), F.max("p_max").alias("high")]
+
+
+def _protocol_hit() -> Column:
     codes, addresses = (F.sort_array(F.array_except(a, b)) for a, b in (("func_codes", "valid_codes"), ("addresses", "valid_addresses")))
     shown = F.array_join(F.transform(codes, lambda c: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c)), 2, "0"))), ",")
-    hit = _hit(F.when(F.size(codes) > 0, F.concat(F.lit("invalid_function_code="), shown)), F.when(F.size(addresses) > 0, F.concat(F.lit("novel_address="), F.array_join(addresses.cast("array<string>"), ","))))
-    return windows.crossJoin(F.broadcast(fitted)).withColumn(out, hit).drop("valid_codes", "valid_addresses")
+    return _hit(F.when(F.size(codes) > 0, F.concat(F.lit("invalid_function_code="), shown)), F.when(F.size(addresses) > 0, F.concat(F.lit("novel_address="), F.array_join(addresses.cast("array<string>"), ","))))
 
 
-def bounds(windows: DataFrame, fitted: DataFrame, out: str = "pressure") -> DataFrame:
-    """Hits on windows whose least or largest reading is strictly outside; none where there is no reading."""
+def _bounds_hit() -> Column:
     below = F.when(F.col("p_min") < F.col("low"), F.concat(F.lit("pressure_below_train_normal_min="), significant(F.col("p_min")), F.lit("<"), significant(F.col("low"))))
     above = F.when(F.col("p_max") > F.col("high"), F.concat(F.lit("pressure_above_train_normal_max="), significant(F.col("p_max")), F.lit(">"), significant(F.col("high"))))
-    return windows.crossJoin(F.broadcast(fitted)).withColumn(out, _hit(below, above)).drop("low", "high")
+    return _hit(below, above)
+
+
+def _rate_hit(column: str) -> Column:
+    return _hit(F.when(F.col(column) > F.col("max_rate"), F.concat(F.lit(f"{column}_above_train_normal_max="), significant(F.col(column)), F.lit(">"), significant(F.col("max_rate")))))
+
+
+def protocol(windows: DataFrame, fitted: DataFrame, out: str = "protocol") -> DataFrame:
+    """Hits on codes or addresses that the fit hasn't seen."""
+    return windows.crossJoin(F.broadcast(fitted)).withColumn(out, _protocol_hit()).drop("valid_codes", "valid_addresses")
+
+
+def bounds(windows: DataFrame, fitted: DataFrame, out: str = "pressure") -> DataFrame:
+    """Hits on windows whose least or largest reading is strictly outside; none where there is no reading."""
+    return windows.crossJoin(F.broadcast(fitted)).withColumn(out, _bounds_hit()).drop("low", "high")
 
 
 def rate(windows: DataFrame, fitted: DataFrame, column: str = "packets_per_sec", out: str = "rate") -> DataFrame:
     """Hits on windows strictly above the largest normal rate."""
-    over = F.when(F.col(column) > F.col("max_rate"), F.concat(F.lit(f"{column}_above_train_normal_max="), significant(F.col(column)), F.lit(">"), significant(F.col("max_rate"))))
-    return windows.crossJoin(F.broadcast(fitted)).withColumn(out, _hit(over)).drop("max_rate")
+    return windows.crossJoin(F.broadcast(fitted)).withColumn(out, _rate_hit(column)).drop("max_rate")
+
+
+def apply_all(windows: DataFrame, fitted: DataFrame, rate_column: str = "packets_per_sec") -> DataFrame:
+    """``windows`` with the hits ``protocol``, ``pressure`` and ``rate`` of a state from :func:`fit_all`."""
+    hits = {"protocol": _protocol_hit(), "pressure": _bounds_hit(), "rate": _rate_hit(rate_column)}
+    state = ("valid_codes", "valid_addresses", "max_rate", "low", "high")
+    return windows.crossJoin(F.broadcast(fitted)).withColumns(hits).drop(*state)
 
 
 def any_of(*hits: str) -> Column:

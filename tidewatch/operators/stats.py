@@ -13,8 +13,13 @@ GRADES = ((0.2, "negligible"), (0.5, "small"), (0.8, "medium"))
 
 def z_fit(rows: DataFrame, features: list[str]) -> DataFrame:
     """One row: for each feature its mean ``mu_`` and population deviation ``sd_``, 1 where that is 0."""
+    return rows.agg(*z_columns(features))
+
+
+def z_columns(features: list[str]) -> list[Column]:
+    """The aggregates of :func:`z_fit`, to be taken with others in one pass."""
     std = lambda c: F.stddev_pop(c)
-    return rows.agg(*[F.avg(c).alias(f"mu_{c}") for c in features], *[F.when(std(c) > 0, std(c)).otherwise(1.0).alias(f"sd_{c}") for c in features])
+    return [F.avg(c).alias(f"mu_{c}") for c in features] + [F.when(std(c) > 0, std(c)).otherwise(1.0).alias(f"sd_{c}") for c in features]
 
 
 def z_scores(rows: DataFrame, fitted: DataFrame, features: list[str]) -> DataFrame:

@@ -13,14 +13,14 @@ from .registry import BLOCKS, FRAMES, HOUR, WINDOWS, query, r, rounded, windows_
 FEATURES = list(windows.FEATURES)
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_frames(spark, sf_dir).withColumn("bucket", windows.bucket("ts_us", HOUR))
+def frames(spark: SparkSession, sf_dir: str, *, numbered: bool = False) -> DataFrame:
+    rows = event_frames(spark, sf_dir, numbered=numbered).withColumn("bucket", windows.bucket("ts_us", HOUR))
     # a column of its own: inside the entropy's lambdas the text would be split again for every character
     return rows.withColumn("__chars", F.filter(F.split("payload", ""), lambda c: c != "")).withColumn("entropy", entropy(F.col("__chars"))).drop("__chars")
 
 
-def egress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).where("destination = 1")
+def egress(spark: SparkSession, sf_dir: str, *, numbered: bool = False) -> DataFrame:
+    return frames(spark, sf_dir, numbered=numbered).where("destination = 1")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,16 +78,16 @@ ruled AS (
 flagged AS (SELECT *, len(bad_codes) > 0 OR len(bad_addresses) > 0 AS protocol_fired, len(bad_codes) > 0 OR len(bad_addresses) > 0 OR pressure_fired OR rate_fired AS fired FROM ruled)"""
 
 
-def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows with block, readings' range, and hits of the three rules and of any."""
-    e = egress(spark, sf_dir)
-    b = blocked(spark, sf_dir)
-    n = normal(b)
-    ranges = windows.pressure_range(e.drop("bucket"), HOUR)
-    own = ranges.join(n.select("bucket"), "bucket", "left_semi")
-    bounds = own.agg(F.min("p_min").alias("low"), F.max("p_max").alias("high"))
-    out = rules.protocol(b.join(ranges, "bucket", "left"), rules.fit_protocol(n))
-    out = rules.rate(rules.bounds(out, bounds), rules.fit_rate(n))
+def ruled(spark: SparkSession, sf_dir: str, z: list[str] | None = None) -> DataFrame:
+    """All windows with block, readings' range, and hits of the three rules and of any; with ``z_`` columns of features ``z``.
+
+    The state of rules and scores comes from one pass over the normal windows.
+    """
+    ranges = windows.pressure_range(egress(spark, sf_dir).drop("bucket"), HOUR)
+    rows = blocked(spark, sf_dir).join(ranges, "bucket", "left")
+    out = rules.apply_all(rows, normal(rows).agg(*rules.fit_columns(), *stats.z_columns(z or [])))
+    if z:
+        out = out.withColumns({f"z_{c}": (F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}") for c in z}).drop(*[f"{p}_{c}" for p in ("mu", "sd") for c in z])
     return out.withColumn("hit", rules.any_of("protocol", "pressure", "rate")).withColumn("dominant", windows.dominant("categories"))
 
 
@@ -148,24 +148,20 @@ long AS (SELECT bucket, unnest([{', '.join(f"{{'spot': {i}, 'feature': '{c}', 'z
 ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY round(abs(z), 9) DESC, spot) AS place FROM long)
 SELECT bucket, place::INTEGER AS place, feature, round(z + 1e-7, 4) + 0e0 AS z, CASE WHEN z >= 0 THEN 'above' ELSE 'below' END AS direction FROM ranked WHERE place <= 3""")
 def q_explanations(spark, sf_dir):
-    rows = ruled(spark, sf_dir)
-    scored = stats.z_scores(rows.where("block = 'test' and hit.fired"), stats.z_fit(normal(rows), _F), _F)
-    every = scored.withColumns({f"z_{c}": F.col(f"z_{c}") for c in _F}).select("bucket", F.posexplode(explain.deviations(_F)).alias("at", "d"))
+    scored = ruled(spark, sf_dir, _F).where("block = 'test' and hit.fired")
+    every = scored.select("bucket", F.posexplode(explain.deviations(_F)).alias("at", "d"))
     return rounded(every.select("bucket", (F.col("at") + 1).alias("place"), "d.feature", "d.z", "d.direction"))
 
 
 @query("alert_sentences")
 def q_sentences(spark, sf_dir):
-    rows = ruled(spark, sf_dir)
-    scored = stats.z_scores(rows.where("block = 'test' and hit.fired"), stats.z_fit(normal(rows), _F), _F)
+    scored = ruled(spark, sf_dir, _F).where("block = 'test' and hit.fired")
     return scored.select("bucket", F.array_join("hit.reasons", "; ").alias("reasons"), explain.sentence(explain.deviations(_F)).alias("summary"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ruled windows with the forest's score, trained on normal windows."""
-    rows = ruled(spark, sf_dir)
-    fitted = stats.z_fit(normal(rows), _F)
-    z = stats.z_scores(rows, fitted, _F)
+    z = ruled(spark, sf_dir, _F)
     names = [f"z_{c}" for c in _F]
     forest = models.fit_forest(normal(z), names, "bucket")
     return models.forest_scores(z, forest, names)

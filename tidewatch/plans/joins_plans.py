@@ -45,7 +45,7 @@ HALF = HOUR // 2
 
 
 def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return egress(spark, sf_dir).where("function_code = 16").select(F.col("record_index").cast("long").alias("point_id"), "ts_us", "bucket", "category")
+    return egress(spark, sf_dir, numbered=True).where("function_code = 16").select(F.col("record_index").cast("long").alias("point_id"), "ts_us", "bucket", "category")
 
 
 @query("range_counts", f"WITH {_ACKS} SELECT point_id, count(s.ts_us) FILTER (s.ts_us >= a.ts_us - {HALF} AND s.ts_us < a.ts_us) AS before, count(s.ts_us) FILTER (s.ts_us > a.ts_us AND s.ts_us <= a.ts_us + {HALF}) AS after FROM acks a LEFT JOIN series s ON s.ts_us BETWEEN a.ts_us - {HALF} AND a.ts_us + {HALF} GROUP BY point_id")

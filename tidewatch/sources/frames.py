@@ -22,12 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def instant(column: str) -> Column:
+    """A time without zone as the same time in UTC, whatever the session's zone."""
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    if zone in ("UTC", "Etc/UTC", "Z", "GMT"):
+        return F.col(column).cast("timestamp")
+    return F.concat(F.col(column).cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
+
+
 def micros(column: str) -> Column:
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.unix_micros(instant(column))
 
 
-def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as protocol frames: views and purchases are reads, clicks and signups writes, some errors invalid."""
+def event_frames(spark: SparkSession, sf_dir: str, *, numbered: bool = True) -> DataFrame:
+    """The event table as protocol frames: views and purchases are reads, clicks and signups writes, some errors invalid.
+
+    ``record_index`` counts frames from 1 in time order; unless ``numbered`` it is the event's id, which orders frames of equal
+    time alike and needs no pass of its own.
+    """
     e = table(spark, sf_dir, "events")
     odd = F.col("event_type") == "error"
     rows = e.select(
@@ -40,7 +52,7 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type").isin("view", "purchase"), F.col("value")).alias("pressure"),
     )
     rows = rows.withColumn("frame_len", F.when(F.col("function_code") == READ, 23).otherwise(F.col("props_len"))).drop("props_len")
-    return indexed(rows, "ts_us", "event_id")
+    return indexed(rows, "ts_us", "event_id") if numbered else rows.withColumn("record_index", F.col("event_id"))
 
 
 def read_frames_txt(spark: SparkSession, path: str) -> DataFrame:
@@ -162,4 +174,4 @@ def discovered_types(frames: DataFrame, normal: DataFrame) -> DataFrame:
 
 def iso_utc(ts_us: Column) -> Column:
     """Microseconds since the epoch as text in UTC."""
-    return F.date_format(F.timestamp_micros(ts_us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.to_utc_timestamp(F.timestamp_micros(ts_us), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows
 from ..operators.ordered import indexed
+from ..sources.frames import instant
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -19,7 +20,7 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     single = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
     reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files)
     raw = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(f"{folder}/{name}")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return raw.withColumn("ts", instant("ts"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -9,6 +9,7 @@ fewer blocks until one block is left.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -48,10 +49,13 @@ class Encoder:
     """
 
     def __init__(self, path: str, limit: int = CACHE):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # words that are Latin letters alone in their normal form and lower case skip the steps that make them so
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit = limit
         self.clear()
 
@@ -89,7 +93,11 @@ class Encoder:
         if self.count + len(h) > self.limit:
             self.clear()
         texts = [x.decode() for x in runs]
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        low = [x.lower() for x in texts]
+        easy = [x.isalpha() and (x.isascii() or x == t and max(x) < "\u0250" and unicodedata.is_normalized("NFC", x)) for x, t in zip(low, texts, strict=True)]
+        quick = iter(self.plain.encode_batch_fast([x for x, e in zip(low, easy, strict=True) if e], add_special_tokens=False))
+        slow = iter(self.tokenizer.encode_batch_fast([x for x, e in zip(texts, easy, strict=True) if not e], add_special_tokens=False))
+        ids = [next(quick if e else slow).ids for e in easy]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         size, end = int(lengths.sum()), self.count + len(h)
         self.start, self.length, self.whole = (_room(x, end) for x in (self.start, self.length, self.whole))
@@ -98,7 +106,6 @@ class Encoder:
         self.length[self.count : end] = lengths
         self.pool[self.used : self.used + size] = np.fromiter((i for x in ids for i in x), self.pool.dtype, size)
         self.used += size
-        low = [x.lower() for x in texts]
         self.whole[self.count : end] = np.fromiter(("'" in x or not (x.isascii() or x[0].isalpha() and x[-1].isalpha()) for x in low), bool, len(low))
         entry = np.arange(self.count, self.count + len(h), dtype=np.int32)
         self.count += len(h)
@@ -141,12 +148,12 @@ class Encoder:
         new = np.flatnonzero(entry < 0)
         if len(new):
             raw = data.tobytes()
-            fresh, at = np.unique(h[new], return_index=True)
-            at = new[at]
+            fresh, at, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            at, before = new[at], self.count
             self._learn(fresh, [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
-            entry = self._find(h)
-            again = np.flatnonzero(entry < 0)
-            if len(again):  # the table was emptied on the way
+            entry[new] = before + inverse
+            if self.count != before + len(fresh):  # the table was emptied on the way
+                again = np.flatnonzero(self._find(h) < 0)
                 fresh, at = np.unique(h[again], return_index=True)
                 at = again[at]
                 self._learn_more(fresh, [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])

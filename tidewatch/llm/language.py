@@ -20,6 +20,8 @@ RANKS = 400
 #: Labelled rows of each language that a fit reads on average, the documented bound of the sample; rows are taken by a hash of their id.
 FIT_ROWS = 4000
 UNKNOWN = "und"
+#: Characters of a text that are counted at once.
+LONG = 1 << 20
 _state: dict = {}
 
 
@@ -59,6 +61,21 @@ def counted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[at], np.diff(np.append(at, len(found)))
 
 
+def tallied(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct n-grams and their counts; a long text is cut between words and its parts are summed."""
+    if len(text) <= LONG:
+        return counted(grams(text))
+    parts, at = [], 0
+    while at < len(text):
+        to = min(at + LONG, len(text))
+        while to < len(text) and text[to].isalpha():
+            to += 1
+        parts.append(counted(grams(text[at:to])))
+        at = to
+    values, inverse = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    return values, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(values)).astype(np.int64)
+
+
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams by language; kept sums go out when they grow large, and at the end."""
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -73,7 +90,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
-            part = counted(grams(text.as_py()))
+            part = tallied(text.as_py())
             held.setdefault(lang, []).append(part)
             size += len(part[0])
             if size > 1_000_000:
@@ -95,10 +112,9 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Nearest language, and its distance's margin over the second (over the largest possible where it is alone)."""
-        found = grams(text) if text else np.zeros(0, np.int64)
-        if not len(found) or not self.langs:
+        values, counts = tallied(text or "")
+        if not len(values) or not self.langs:
             return UNKNOWN, 0.0
-        values, counts = counted(found)
         top = ranked(counts, values, self.ranks)
         at = np.searchsorted(self.grams, top)
         at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != top)] = len(self.grams)

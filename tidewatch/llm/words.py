@@ -116,6 +116,14 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarra
     n = len(data)
     if not len(start):
         return np.zeros(0, np.uint64)
+    if n > 2 * CHUNK and len(start) > 1:  # a long text goes in parts; a hash doesn't depend on where its range lies
+        parts, i = [], 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK, "right")))
+            a, b = start[i], end[j - 1]
+            parts.append(hashes(data[a:b], start[i:j] - a, end[i:j] - a, fold))
+            i = j
+        return np.concatenate(parts)
     up, down = _tables(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])

@@ -148,7 +148,7 @@ def test_explanations(spark):
     feats = ["packets_per_sec", "bytes_per_sec", "iat_mean", "payload_entropy_mean"]
     row = spark.createDataFrame([(-7.0, 4.0, 3.0, -6.0)], ", ".join(f"z_{f} double" for f in feats)).select(explain.deviations(feats, 4).alias("d")).select("d", explain.sentence(F.col("d")).alias("s")).first()
     assert [d["feature"] for d in row["d"]] == ["packets_per_sec", "payload_entropy_mean", "bytes_per_sec", "iat_mean"]
-    assert row["s"] == "Flagged; the most statistically unusual features were unusually low packet rate (7.0 standard deviations below the TRAIN-normal mean) and unusually low payload entropy (6.0 standard deviations below the TRAIN-normal mean)."
+    assert row["s"] == "Flagged; the most statistically unusual features were unusually low packet rate (7.0 standard deviations below the TRAIN-normal mean) and unusually low mean payload entropy (6.0 standard deviations below the TRAIN-normal mean)."
     for bad in (2, 6, True):
         with pytest.raises(ValueError):
             explain.deviations(feats, bad)

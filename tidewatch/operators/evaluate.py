@@ -126,7 +126,7 @@ def fold_summary(metrics: DataFrame, names: list[str], keys: tuple[str, ...] = (
 
 
 def verdict(new_recall: Column, new_fpr: Column, precision: Column) -> Column:
-    """The gate of a new rule: recall of missed attacks, normal windows newly flagged, combined precision. Fixed bounds."""
+    """The gate of a new rule: recall of missed attacks, normal windows newly flagged, combined precision. Fixed values."""
     return F.when((new_recall >= 0.25) & (new_fpr <= 0.003) & (precision >= 0.97), "STRONG").when((new_recall >= 0.10) & (new_fpr <= 0.003) & (precision >= 0.97), "ACCEPTABLE").otherwise("WEAK / HYPOTHESIS NOT SUPPORTED")
 
 

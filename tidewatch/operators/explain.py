@@ -6,7 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words for features in sentences; other names are shown with blanks. Fixed values.
-LABELS = {"packets_per_sec": "packet rate", "bytes_per_sec": "byte rate", "iat_mean": "mean inter-arrival time", "payload_entropy_mean": "payload entropy"}
+LABELS = {
+    "packet_count": "packet count",
+    "packets_per_sec": "packet rate",
+    "bytes_per_sec": "byte rate",
+    "mean_frame_len": "mean frame length",
+    "iat_mean": "mean inter-arrival time",
+    "iat_std": "inter-arrival-time variability",
+    "iat_min": "minimum inter-arrival time",
+    "iat_max": "maximum inter-arrival time",
+    "frac_func_read": "read-function share",
+    "frac_func_write": "write-function share",
+    "distinct_frame_ratio": "distinct-frame ratio",
+    "repeat_frame_rate": "repeated-frame rate",
+    "payload_entropy_mean": "mean payload entropy",
+    "payload_entropy_std": "payload-entropy variability",
+}
 
 
 def deviations(features: list[str], top_k: int = 3) -> Column:
@@ -28,8 +43,8 @@ def sentence(top: Column) -> Column:
 
 
 def mechanism(rule: Column, forest: Column) -> Column:
-    """What raised an alert."""
-    return F.when(rule & forest, "rule + forest").when(rule, "rule").when(forest, "forest").otherwise("none")
+    """What raised an alert; null where nothing did."""
+    return F.when(rule & forest, "Rule + IF").when(rule, "Rule").when(forest, "IF")
 
 
 def importances(named: list[tuple[str, float]], spark, causality: DataFrame | None = None, top_k: int = 10) -> DataFrame:

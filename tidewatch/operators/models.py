@@ -155,7 +155,9 @@ def model_fingerprint(model) -> str:
 def probability_rule(probability_: Column, threshold: float) -> Column:
     """A hit where the probability exceeds the threshold."""
     fired = F.coalesce(probability_ > threshold, F.lit(False))
-    text = F.concat(F.lit("cmri_float_provenance_score="), F.format_string("%.6f", probability_))
+    from .rules import significant
+
+    text = F.concat(F.lit("cmri_float_provenance_score="), significant(probability_), F.lit(">"), significant(F.lit(float(threshold))))
     return F.struct(fired.alias("fired"), F.when(fired, F.array(text)).otherwise(F.array().cast("array<string>")).alias("reasons"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ordered
 
-#: Feature names in the order that ranks ties.
+#: Feature names in the order that ranks ties. Fixed values.
 FEATURES = (
     "packet_count", "packets_per_sec", "bytes_per_sec", "mean_frame_len", "iat_mean", "iat_std", "iat_min", "iat_max", "frac_func_valid",
     "frac_func_read", "frac_func_write", "rare_func_rate", "distinct_frame_ratio", "repeat_frame_rate", "payload_entropy_mean", "payload_entropy_std",

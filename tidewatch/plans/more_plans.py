@@ -63,7 +63,7 @@ def q_ack_categories(spark, sf_dir):
     return rows.groupBy(F.array_join(F.col("categories").cast("array<string>"), ",").alias("categories"), "category").agg(F.count("*").alias("n"))
 
 
-@query("alert_times", f"WITH {BLOCKS} SELECT bucket, strftime(make_timestamp(bucket * 3600000000), '%Y-%m-%dT%H:%M:%SZ') AS at_utc FROM blocks WHERE is_attack = 1")
+@query("alert_times", f"WITH {BLOCKS} SELECT bucket, strftime(make_timestamp(bucket * 3600000000), '%Y-%m-%dT%H:%M:%S+00:00') AS at_utc FROM blocks WHERE is_attack = 1")
 def q_times(spark, sf_dir):
     return blocked(spark, sf_dir).where("is_attack = 1").select("bucket", iso_utc(F.col("bucket") * 3_600_000_000).alias("at_utc"))
 

@@ -174,4 +174,4 @@ def discovered_types(frames: DataFrame, normal: DataFrame) -> DataFrame:
 
 def iso_utc(ts_us: Column) -> Column:
     """Microseconds since the epoch as text in UTC."""
-    return F.date_format(F.to_utc_timestamp(F.timestamp_micros(ts_us), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.to_utc_timestamp(F.timestamp_micros(ts_us), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -33,6 +33,8 @@ EACH = 1_500_000
 TILE = 192
 #: Tiles of a neighbourhood that are all compared with each other; a larger one is compared with some of its nodes at a time.
 TILES = 12
+#: Nodes of small neighbourhoods that one task compares, and whose rarest n-grams one task groups, on average.
+NODES = 2_000
 #: Edges that one task contracts, on average.
 EDGES = 100_000
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -353,7 +355,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     sets = members.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"))
     sets = written(sets, "sets")
     suspects = written(shared.join(sets, "node").where(F.col("known") * 100 >= F.col("n") * percent).select("node", "n", "shared"), "suspects")
-    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    many = max(64, -(-suspects.count() // NODES))
     met = suspects.mapInArrow(_prefix_task(percent, many), "block int, hash long, low long, high long, node long").groupBy("block").applyInArrow(_meet_task(percent), "a long, b long")
     homes = connected(met)
     homes = homes.join(homes.groupBy("root").agg(F.count("*").alias("many")), "root").select("node", F.col("root").alias("home"), "many")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import words
 from .store import small_batches
 
 RANKS = 400
@@ -159,6 +160,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", *, lang
     def guess(texts):
         import pandas as pd
 
+        words.release()
         model = shared.value
         return pd.DataFrame([model.predict(x) for x in texts], columns=["lang", "score"])
 

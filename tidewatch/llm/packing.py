@@ -31,7 +31,6 @@ POPULATION = 4
 CHILDREN = 4
 #: Runs whose ids a task remembers.
 CACHE = 1_000_000
-_held: dict = {}
 #: Bytes: 0 white space, 1 letters and other scripts, 2 digits, 3 marks.
 _KIND = np.full(256, 3, np.uint8)
 _KIND[np.flatnonzero(words.SPACE)] = 0
@@ -208,10 +207,10 @@ def _pieces_task(path: str, capacity: int, end: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _held:
-            _held[path] = Encoder(path)
-        coder = _held[path]
-        for batch in words.grouped(batches, words.CHUNK):
+        if path not in words.kept:
+            words.kept[path] = Encoder(path)
+        coder = words.kept[path]
+        for batch in words.grouped(batches, words.CHUNK, keep=True):
             row, piece, start, length, crc = [], [], [], [], []
             for first, off, data in words.chunks(batch.column(1)):
                 ids, cut = coder.encode(data, off)

@@ -51,8 +51,20 @@ def trim() -> None:
         pass
 
 
-def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Batches joined to about ``limit`` bytes; memory is given back at the end."""
+#: What tasks keep for later tasks of their kind in the same worker; a task of another kind lets it go.
+kept: dict = {}
+
+
+def release() -> None:
+    if kept:
+        kept.clear()
+        trim()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], limit: int, *, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``limit`` bytes; memory is given back at the end, and before, unless told to ``keep``, what others keep."""
+    if not keep:
+        release()
     held, size = [], 0
     for batch in batches:
         held.append(batch)

@@ -34,6 +34,19 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert shown(got[9]["spans"]) == [] and shown(got[10]["spans"]) == []
 
 
+def test_contexts_discover_other_forms(spark):
+    mails = [f"You can write to {m} for the details" for m in ("ann@site.com", "bob.b@mail.example.org", "c+d@e.net", "dee@f.co.uk")]
+    phones = [f"Or call me on {p} after lunch today" for p in ("+1 (017) 555-7713", "+49 30 1234567", "+331234567890", "+44 20 7946 0958")]
+    cases = [("email", "So write to {} or wait", "j\u00f6rg@b\u00fccher.de"), ("email", "Mail {} for the details", "anna [at] example [dot] org"), ("email", "So write to {} or wait", "root@localhost"), ("email", "So write to {} or wait", "max at site dot com"), ("phone", "Just call me on {} or wait", "017 555 7799"), ("phone", "Just ring {} after lunch today", "(030) 1234-5678"), ("phone", "Please 2 call me on {} today", "030-1234567")]
+    texts = [*mails, *phones, *[form.format(own) for _, form, own in cases], "It took 017 555 7799 steps", "call 5 times", "meet at noon"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.annotate(docs, support=3).collect()}
+    for i, (kind, form, own) in enumerate(cases, len(mails) + len(phones)):
+        assert shown(got[i]["base"]) == brute.base_spans(texts[i]) == []
+        assert shown(got[i]["spans"]) == [(kind, form.index("{"), form.index("{") + len(own))], texts[i]
+    assert all(shown(got[i]["spans"]) == [] for i in range(len(texts) - 3, len(texts)))
+
+
 def test_redaction(spark):
     text = "é Mail a@b.co or 10.0.0.1, x@1.2.3.4 end"
     docs = pii.annotate(spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string"))

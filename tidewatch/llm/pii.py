@@ -1,7 +1,7 @@
 """Personal data in whole texts: fixed patterns, and bootstrapped contextual extraction; DataFrame functions alone.
 
-The fixed patterns' matches are the seeds.  The words on a seed's left induce lexical patterns; a pattern's instances are the
-identifier-like words that follow it anywhere.  Spark scores the bipartite graph of patterns and instances in turns: a pattern
+The fixed patterns' matches are the seeds.  The words on a seed's left, and those on its right, induce lexical patterns; a
+pattern's instances are the identifier-like words, and runs of words, of the same coarse class beside it anywhere.  Spark scores the bipartite graph of patterns and instances in turns: a pattern
 is as trustworthy as the mean of its instances, smoothed towards 0, and an instance as its patterns together.  Instances
 of patterns above a threshold that no fixed pattern has found are personal data of the pattern's kind too.
 """
@@ -24,7 +24,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: Words of left context in a pattern.
+#: Words of left or right context in a pattern.
 CONTEXT = 2
 #: Turns of scoring.
 TURNS = 3
@@ -35,9 +35,18 @@ TRUST = 0.8
 #: Added to a pattern's instances, with trust 0.
 SMOOTH = 0.5
 _BLANK = r"[ \x09-\x0D]+"
-_HITS = "array<struct<rank:int,i:int,gap:int,size:int,found:string,left:string>>"
-#: An identifier-like word: one with a digit or an at sign.
-MARK = r"(?<![^ \x09-\x0D])[^ \x09-\x0D0-9@]*+[0-9@][^ \x09-\x0D]*+"
+_HITS = "array<struct<rank:int,i:int,gap:int,size:int,found:string,left:string,right:string>>"
+_AT, _DOT = r"[\[({](?i:at)[\])}]", r"(?:(?i:dot)|[\[({](?i:dot)[\])}])"
+_WORD, _GAP = r"[^ \x09-\x0D]++", r"[ \x09-\x0D]++"
+#: An identifier-like word: one with a digit, an at sign or a bracketed at.
+MARK = rf"(?<![^ \x09-\x0D])[^ \x09-\x0D0-9@\[({{]*+(?:(?!{_AT})[\[({{][^ \x09-\x0D0-9@\[({{]*+)*+(?:[0-9@]|{_AT})[^ \x09-\x0D]*+"
+#: Identifier-like runs of words: words of digits and marks, and addresses with their at (and dots) as words.
+RUN = (
+    rf"(?<![^ \x09-\x0D])(?:[0-9+(][0-9+().\/-]*+(?:\x20[0-9+().\/-]++(?![^ \x09-\x0D,;:!?]))++"
+    rf"|{_WORD}{_GAP}(?:(?i:at){_GAP}{_WORD}(?:{_GAP}{_DOT}{_GAP}{_WORD})++|(?:@|{_AT}){_GAP}{_WORD}(?:{_GAP}{_DOT}{_GAP}{_WORD})*+))"
+)
+#: Ranks of identifier-like words and runs of words, after those of the kinds.
+WORD, SEVERAL = len(KINDS), len(KINDS) + 1
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 
 
@@ -75,66 +84,108 @@ def _hits(text: Column, rank: int, pattern: str, hint: Column | None = None) ->
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     found = found if hint is None else F.when(hint, found)
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    left = F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    zipped = F.zip_with(gaps, found, lambda gap, own: F.struct(F.length(gap).alias("gap"), F.length(own).alias("size"), own.alias("found")))
+    numbered = F.transform(zipped, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), x["gap"].alias("gap"), x["size"].alias("size"), x["found"].alias("found"), none.alias("left"), none.alias("right")))
+    return F.when(F.size(found) > 0, numbered).otherwise(F.array().cast(_HITS))
 
-    def row(gap: Column, own: Column) -> Column:
-        before = left
-        if rank == len(KINDS):
-            tail = F.slice(F.filter(F.split(gap, _BLANK), lambda w: w != ""), -CONTEXT, CONTEXT)
-            before = F.when(F.size(F.filter(F.split(gap, _BLANK), lambda w: w != "")) >= CONTEXT, F.lower(F.array_join(tail, " ")))
-        return F.struct(F.lit(rank).alias("rank"), F.length(gap).alias("gap"), F.length(own).alias("size"), own.alias("found"), before.alias("left"))
 
-    zipped = F.zip_with(gaps, found, row)
-    numbered = F.transform(zipped, lambda x, i: F.struct(x["rank"].alias("rank"), i.alias("i"), x["gap"].alias("gap"), x["size"].alias("size"), x["found"].alias("found"), x["left"].alias("left")))
-    return F.when(F.size(found) > 0, numbered).otherwise(F.array().cast(_HITS))
+def _ends(text: Column) -> Column:
+    """struct<head, tail> of a text: its first and its last words."""
+    split = F.filter(F.split(text, _BLANK), lambda w: w != "")
+    cut = lambda w: F.struct(F.slice(w, F.lit(1), F.lit(CONTEXT)).alias("head"), F.slice(w, F.greatest(F.size(w) - (CONTEXT - 1), F.lit(1)), F.lit(CONTEXT)).alias("tail"))
+    return F.get(F.transform(F.array(split), cut), F.lit(0))
+
+
+def _beside(found: Column, ends: Column, rank: int) -> Column:
+    """As :func:`_hits`, of matches and the ends of the texts between them, with the words on either side of each match."""
+    at = lambda i: F.get(ends, i)
+    own = lambda i: F.array(F.coalesce(F.get(found, i), F.lit("")))
+    words = lambda *parts: F.filter(F.concat(*parts), lambda w: w != "")
+    some = lambda words_: F.coalesce(words_, F.array().cast("array<string>"))
+
+    def row(x: Column, i: Column) -> Column:
+        left = words(some(at(i - 2)["tail"]), own(i - 2), some(at(i - 1)["tail"]), own(i - 1), at(i)["tail"])
+        right = words(at(i + 1)["head"], own(i + 1), some(at(i + 2)["head"]), own(i + 2), some(at(i + 3)["head"]))
+        last = lambda w: F.slice(F.split(F.array_join(w, " "), _BLANK), F.lit(-CONTEXT), F.lit(CONTEXT))
+        first = lambda w: F.slice(F.split(F.array_join(w, " "), _BLANK), F.lit(1), F.lit(CONTEXT))
+        whole = lambda w: F.when(F.size(w) == CONTEXT, F.lower(F.array_join(w, " ")))
+        return F.struct(F.lit(rank).alias("rank"), i.alias("i"), at(i)["gap"].alias("gap"), F.length(x).alias("size"), x.alias("found"), whole(last(left)).alias("left"), whole(first(right)).alias("right"))
+
+    return F.when(F.size(found) > 0, F.transform(found, row)).otherwise(F.array().cast(_HITS))
 
 
 def scanned(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs``, written, with a row number ``__row`` and the raw matches ``__hits`` of every whole text; null texts are empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     hints = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    parts = [_hits(text, rank, PATTERNS[kind], hints.get(kind)) for rank, kind in enumerate(KINDS)] + [_hits(text, len(KINDS), MARK)]
-    out = docs.withColumns({"__row": F.monotonically_increasing_id(), "__hits": F.concat(*parts)})
+    hits = [_hits(text, rank, PATTERNS[kind], hints.get(kind)) for rank, kind in enumerate(KINDS)]
+    out = docs.withColumn("__row", F.monotonically_increasing_id())
+    for rank, name in ((WORD, MARK), (SEVERAL, RUN)):
+        gaps = F.transform(F.split(text, name, -1), lambda g: _ends(g).withField("gap", F.length(g)))
+        out = out.withColumns({f"__found{rank}": F.regexp_extract_all(text, F.lit(name), F.lit(0)), f"__ends{rank}": gaps})
+    beside = [_beside(F.col(f"__found{rank}"), F.col(f"__ends{rank}"), rank) for rank in (WORD, SEVERAL)]
+    out = out.withColumn("__hits", F.concat(*hits, *beside)).drop(*[f"__{c}{rank}" for c in ("found", "ends") for rank in (WORD, SEVERAL)])
     return written(out if keep_text else out.drop(text_col), "pii")
 
 
 def placed(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, rank, start, end, found) of the base spans, and (row, start, end, found, left) of the identifier-like words."""
+    """(row, rank, start, end, found) of the base spans, and (row, rank, start, end, found, left, right) of the identifier-like words and runs."""
     each = scan.select(F.col("__row").alias("row"), F.inline("__hits"))
     before = Window.partitionBy("row", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before)).withColumn("start", F.col("end") - F.col("size"))
-    each = written(each.select("row", "rank", "start", "end", "found", "left"), "spans")
+    each = written(each.select("row", "rank", "start", "end", "found", "left", "right"), "spans")
     sound = reduce(lambda a, b: a | b, [(F.col("rank") == rank) & _sound(kind, F.col("found")) for rank, kind in enumerate(KINDS)])
-    return each.where(sound).drop("left"), each.where(F.col("rank") == len(KINDS)).drop("rank")
+    return each.where(sound).drop("left", "right"), each.where(F.col("rank") >= WORD)
 
 
 def _core(found: Column) -> tuple[Column, Column]:
     """An identifier-like word without the marks around it, and how many came before it."""
-    head = F.length(F.regexp_extract(found, r"^[^A-Za-z0-9+]*", 0))
-    return F.regexp_replace(found, r"^[^A-Za-z0-9+]*|[^A-Za-z0-9]*$", ""), head
+    before = r"^(?:[^\p{L}0-9+(]|\((?![0-9]++\)))*+"
+    head = F.length(F.regexp_extract(found, before, 0))
+    return F.regexp_replace(found, before + r"|[^\p{L}0-9]*$", ""), head
+
+
+def _class(found: Column) -> Column:
+    """The coarse class of what may be an identifier: an address, a number of some length, or null."""
+    digits, letters = (F.length(F.regexp_replace(found, c, "")) for c in ("[^0-9]", "[^A-Za-z]"))
+    address = F.contains(found, F.lit("@")) | found.rlike(r"(?i)(?<![a-z])at(?![a-z])")
+    return F.when(address, "@").when((digits >= 4) & (digits > letters), "9")
 
 
-def _pattern(left: Column, core: Column) -> Column:
-    """A lexical pattern: the words on the left, and the form of what follows (digits, runs of letters, marks)."""
-    return F.concat_ws("\x01", left, F.regexp_replace(F.regexp_replace(core, "[0-9]", "9"), "[A-Za-z]+", "a"))
+def _patterns(rows: DataFrame, *keep: str) -> DataFrame:
+    """``rows`` (instance, left, right, ...) for each of their lexical patterns: the words on one side, and the coarse class."""
+    side = lambda name: F.when(F.col(name).isNotNull(), F.concat_ws("\x01", F.lit(name), F.col(name), F.col("class")))
+    rows = rows.withColumn("class", _class(F.col("instance"))).where("class is not null")
+    return rows.select(*keep, "instance", F.explode(F.array_compact(F.array(side("left"), side("right")))).alias("pattern"))
 
 
 def discovered(base: DataFrame, marks: DataFrame, *, turns: int = TURNS, support: int = SUPPORT, trust: float = TRUST, smooth: float = SMOOTH) -> DataFrame:
     """(row, rank, start, end) of the identifiers that trusted patterns extract and no base span touches."""
-    every = base.select("row", "start", "end", "rank", "found", F.lit(None).cast("string").alias("left")).unionByName(marks.select("row", "start", "end", F.lit(len(KINDS)).alias("rank"), "found", "left"))
+    none = F.lit(None).cast("string")
+    every = base.select("row", "start", "end", "rank", "found", none.alias("left"), none.alias("right")).unionByName(marks.select("row", "start", "end", "rank", "found", "left", "right"))
     order = Window.partitionBy("row").orderBy("start", F.desc("rank"), "end")
-    is_base = F.col("rank") < len(KINDS)
+    # the rows after a row are those before it in the opposite order: a frame to the end of the text is read anew for each row
+    back = Window.partitionBy("row").orderBy(F.desc("start"), "rank", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    is_base, is_word = F.col("rank") < WORD, F.col("rank") == WORD
     every = every.withColumns({
         "over": F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-        "next": F.first(F.when(is_base, F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
-        "mark": F.last(F.when(~is_base, F.struct("end", "left")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "next": F.last(F.when(is_base, F.col("start")), ignorenulls=True).over(back),
+        "mark": F.last(F.when(is_word, F.struct("end", "left")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
     })
+    every = every.withColumn("free", ~is_base & (F.coalesce("over", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))
+    # words of a free run are parts of it
+    every = every.withColumn("run_end", F.max(F.when(F.col("free") & ~is_word, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = Window.partitionBy("row").orderBy(F.desc("end"), F.desc("rank"), F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("last", F.last(F.when(is_word, F.struct("start", "right")), ignorenulls=True).over(ends))
     every = written(every, "marks")
     core, head = _core(F.col("found"))
-    seeds = every.where(is_base & (F.col("mark.end") > F.col("start")) & F.col("mark.left").isNotNull()).select(_pattern(F.col("mark.left"), F.col("found")).alias("pattern"), F.col("found").alias("instance"), "rank")
-    free = every.where(~is_base & (F.coalesce("over", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")) & F.col("left").isNotNull())
-    free = free.select("row", (F.col("start") + head).alias("start"), core.alias("instance"), F.col("left")).where(F.col("instance").rlike("[0-9@]"))
-    free = free.select("row", "start", (F.col("start") + F.length("instance")).alias("end"), "instance", _pattern(F.col("left"), F.col("instance")).alias("pattern"))
+    side = lambda sound, name: F.when(sound, F.col(name))
+    seeds = every.where(is_base).select(F.col("found").alias("instance"), "rank", side(F.col("mark.end") > F.col("start"), "mark.left").alias("left"), side(F.col("last.start") < F.col("end"), "last.right").alias("right"))
+    seeds = _patterns(seeds, "rank")
+    free = every.where(F.col("free") & (~is_word | (F.coalesce("run_end", F.lit(0)) <= F.col("start"))))
+    free = free.select("row", (F.col("start") + head).alias("start"), core.alias("instance"), "left", "right")
+    free = _patterns(free.withColumn("end", F.col("start") + F.length("instance")), "row", "start", "end")
     seeds = written(seeds.groupBy("pattern", "instance", "rank").agg(F.lit(1.0).alias("score")), "seeds")
     known = seeds.groupBy("instance", "rank").agg(F.max("score").alias("score"))
     induced = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("seeds"))
@@ -149,7 +200,8 @@ def discovered(base: DataFrame, marks: DataFrame, *, turns: int = TURNS, support
         guessed = edges.join(trusted, "pattern").groupBy("instance", "rank").agg(F.avg("trust").alias("guess"))
         scores = guessed.join(known, ["instance", "rank"], "full").select("instance", "rank", F.coalesce("score", "guess").alias("score"))
     best = trusted.join(induced, "pattern").where((F.col("trust") >= trust) & (F.col("seeds") >= support)).groupBy("pattern").agg(F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank"))
-    return free.join(best, "pattern").select("row", "rank", "start", "end")
+    found = free.join(best.join(trusted, ["pattern", "rank"]), "pattern")
+    return found.groupBy("row", "start", "end").agg(F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank")).select("row", "rank", "start", "end")
 
 
 def annotate(docs: DataFrame, text_col: str = "text", *, keep_text: bool = True, **options) -> DataFrame:

@@ -81,6 +81,14 @@ def test_round_trip_edges(spark):
     assert sorted((str(r["page_id"]), r["record_type"]) for r in warc.round_trip(odd).collect()) == [("2", "response"), ("2", "response"), ("None", "response")]
 
 
+def test_round_trip_of_a_very_long_url(spark, tmp_path):
+    long = "data:text/html," + "a" * 200_000
+    df = spark.createDataFrame([(1, long, "x"), (2, "u", "y")], "page_id long, url string, html string")
+    warc.write(df, f"file://{tmp_path}/w")
+    got = {warc_id: uri for ok, warc_id, uri in warc.read(spark, f"file://{tmp_path}/w").select("ok", "id", "uri").collect() if ok}
+    assert got == {"<urn:tidewatch:page:1>": long, "<urn:tidewatch:page:2>": "u"}
+
+
 def test_gaps_are_logged(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(RECORDS[0] + b"damage" + RECORDS[1])
     got = sorted((r["start"], r["end"], r["ok"]) for r in warc.read(spark, f"file://{tmp_path}").collect())

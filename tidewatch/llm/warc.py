@@ -70,23 +70,22 @@ def write(pages: DataFrame, path: str, *, records_per_file: int = RECORDS, **col
 
 def _parsed(data: bytes, at: int) -> tuple[dict, int] | None:
     """The plain record at ``at`` and the place after it, if all its checks hold."""
-    head_end = data.find(b"\r\n\r\n", at)
-    if head_end < 0 or head_end - at > 1 << 16:
+    if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         return None
-    first, *lines = data[at:head_end].split(b"\r\n")
-    if first not in (b"WARC/1.0", b"WARC/1.1"):
-        return None
-    fields = {}
-    for line in lines:
-        key, colon, value = line.partition(b":")
+    fields, at = {}, at + 10
+    while (line_end := data.find(b"\r\n", at)) > at:
+        key, colon, value = data[at:line_end].partition(b":")
         if not colon:
             return None
         fields[key.strip().lower()] = value.strip()
+        at = line_end + 2
+    if line_end < 0:
+        return None
     try:
         length = int(fields[b"content-length"])
     except (KeyError, ValueError):
         return None
-    start, end = head_end + 4, head_end + 4 + length
+    start, end = line_end + 2, line_end + 2 + length
     if length < 0 or end > len(data) or data[end : end + 4] not in (b"\r\n\r\n", b""):
         return None
     block = data[start:end]

@@ -41,6 +41,17 @@ def test_damage_is_quarantined_and_later_records_recovered():
             assert ids(bytes(data)) == [None if i == hurt else i for i in range(6)] and covered(bytes(data))
 
 
+def test_sound_records_of_a_damaged_member_count():
+    many = [record(i, hashlib.sha256(b"%d" % i).hexdigest().encode() * 20) for i in range(200)]
+    whole = gzip.compress(b"".join(many))
+    for at, least in ((len(whole) - 6, 200), (len(whole) // 2, 90)):
+        data = bytearray(whole)
+        data[at] ^= 0xFF
+        found = [i for i in ids(bytes(data)) if i is not None]
+        assert len(found) >= least and found == sorted(found) and covered(bytes(data))
+        assert ids(bytes(data) + RECORDS[0])[-1] == 0
+
+
 def test_wrong_length_and_cut_ends():
     wrong = RECORDS[1].replace(b"Content-Length: ", b"Content-Length: 9", 1)
     assert [i for i in ids(RECORDS[0] + wrong + RECORDS[2]) if i is not None] == [0, 2]

@@ -98,17 +98,45 @@ def _parsed(data: bytes, at: int) -> tuple[dict, int] | None:
     return {"fields": fields, "block": block}, end + 4 if end < len(data) else end
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int | None]:
-    """What a gzip member holds, as far as it can be read, and the place after it (None if it is damaged)."""
+def _until(member, data: bytes) -> tuple[bytes, int]:
+    """All that a decompressor makes of ``data`` before it fails, and the place of the byte that it fails at."""
+    plain, step, size = [], 1 << 16, len(data)
+    while step:
+        trial = member.copy()
+        try:
+            piece = trial.decompress(data, step)
+        except zlib.error:
+            step >>= 1
+            continue
+        if not piece:
+            break
+        plain.append(piece)
+        member, data = trial, trial.unconsumed_tail
+    for i in range(len(data)):  # a call that ends the data fails with its last byte
+        try:
+            plain.append(member.decompress(data[i : i + 1]))
+        except zlib.error:
+            return b"".join(plain), size - len(data) + i
+    return b"".join(plain), size
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int | None, bool]:
+    """What a gzip member holds, as far as it can be read, the place after it (None if it is damaged), and whether what was read may be wrong."""
     member, plain = zlib.decompressobj(31), []
     for a in range(at, len(data), 1 << 16):
+        part, before = data[a : a + (1 << 16)], member.copy()
         try:
-            plain.append(member.decompress(data[a : a + (1 << 16)]))
+            plain.append(member.decompress(part))
         except zlib.error:
-            break
+            rest, failed = _until(before, part)
+            inside = b"".join((*plain, rest))
+            own, last = zlib.crc32(inside).to_bytes(4, "little"), a + failed + 1
+            # the checksum holds and the size does not, or one byte of the checksum alone differs
+            trailer = data[last - 8 : last - 4] == own or sum(x != y for x, y in zip(data[last - 4 : last], own, strict=False)) == 1
+            return inside, None, not trailer
         if member.eof:
-            return b"".join(plain), min(a + (1 << 16), len(data)) - len(member.unused_data)
-    return b"".join(plain), None
+            return b"".join(plain), min(a + (1 << 16), len(data)) - len(member.unused_data), False
+    return b"".join(plain), None, False
 
 
 def _plain(data: bytes, at: int = 0) -> Iterator[tuple[int, int, dict | None]]:
@@ -139,7 +167,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, int | None, dict | None]]:
     """(start, end, inner, record) in order of an archive of plain records and of gzip members of one or more records.
 
     The record is None for a quarantined gap.  Places are bytes of the file; a record in a member has the member's place
-    and its own place inside, ``inner``.  Of a damaged member the sound records before the damage count, and the member's
+    and its own place inside, ``inner``.  Of a damaged member the sound records before the first that fails count (all, where only its
+    checksum or end is hurt), and the member's
     bytes up to the next record or member are a gap.
     """
     at = 0
@@ -149,14 +178,18 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, int | None, dict | None]]:
                 yield start, end, None, got
                 at = end
             continue
-        inside, end = _member(data, at)
+        inside, end, wrong = _member(data, at)
         sound = end is not None
         if not sound:
             later = at + 1
             while (found := _START.search(data, later)) and not (_parsed(data, found.start()) or data[found.start() : found.start() + 3] == _MAGIC and _member(data, found.start())[1] is not None):
                 later = found.start() + 1
             end = found.start() if found else len(data)
-        for start, stop, got in _plain(inside):
+        found = list(_plain(inside))
+        if wrong:
+            # digests do not cover headers: where no record fails, any header may be the damaged place
+            found = found[: next((i for i, (_, _, got) in enumerate(found) if got is None), 0)]
+        for start, _, got in found:
             if got or sound:
                 yield at, end, start, got
         if not sound:

@@ -100,6 +100,22 @@ def test_round_trip_of_a_very_long_url(spark, tmp_path):
     assert got == {"<urn:tidewatch:page:1>": long, "<urn:tidewatch:page:2>": "u"}
 
 
+def test_damage_of_a_written_archive_costs_the_record_that_it_hits(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", hashlib.sha256(b"%d" % i).hexdigest() * 5) for i in range(50)], "page_id long, url string, html string").coalesce(1)
+    warc.write(df, f"file://{tmp_path}/w")
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    assert sorted(i for data in files for i in ids(data)) == list(range(50)) and all(covered(data) for data in files)
+    assert sum(gzip.decompress(data).count(b"WARC/1.1\r\n") for data in files) == 50
+    lost = []
+    for data in files:
+        for at in range(11, len(data), 211):
+            hurt = bytearray(data)
+            hurt[at] ^= 0xFF
+            lost.append(len(set(ids(data)) - set(ids(bytes(hurt)))))
+            assert covered(bytes(hurt))
+    assert max(lost) == 1
+
+
 def test_gaps_are_logged(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(RECORDS[0] + b"damage" + RECORDS[1])
     got = sorted((r["start"], r["end"], r["ok"]) for r in warc.read(spark, f"file://{tmp_path}").collect())

@@ -1,13 +1,14 @@
 """WARC archives: a writer in DataFrame functions, and a reader that salvages damaged files.
 
-The writer emits WARC/1.1 through Spark's text sink, whose line separator is the record terminator, so it reaches any
-store that Spark does; every file is one gzip member of a bounded number of records.  The reader takes plain records and
+The writer emits WARC/1.1 through Spark's text sink, whose line separator is the last byte of a member, so it reaches any
+store that Spark does; every record is a gzip member of its own, so damage costs the records that it hits.  The reader takes plain records and
 gzip members of one or more records.  A record whose header, length, end or block digest fails its check is quarantined:
 the reader looks for the next version line or member that passes, logs the byte gap before it, and goes on.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import scratch, written
+from .store import scratch, small_batches, written
 
 END = "\r\n\r\n"
 #: Payloads shorter than this are never stored by reference.
@@ -63,9 +64,29 @@ def records(planned: DataFrame) -> DataFrame:
     return planned.withColumn("block", block).select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), F.col("block")).alias("record"))
 
 
+#: An empty member: it follows one whose last byte is not zero, as of records from 16 MB.
+_EMPTY = gzip.compress(b"", mtime=0)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every record as a gzip member without its last byte, which is zero."""
+    for batch in batches:
+        rows, size = [], 0
+        for record in batch.column(0):
+            member = gzip.compress(record.as_py() + END.encode(), 6, mtime=0)
+            rows.append((member if member[-1] == 0 else member + _EMPTY)[:-1])
+            size += len(rows[-1])
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["member"])
+                rows, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["member"])
+
+
 def write(pages: DataFrame, path: str, *, records_per_file: int = RECORDS, **columns: str) -> None:
     """Writes the archives of ``pages`` into the folder ``path``."""
-    records(plan(pages, **columns)).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    small_batches(pages.sparkSession)
+    members = records(plan(pages, **columns)).select(F.col("record").cast("binary")).mapInArrow(_members, "member binary")
+    members.select(F.col("member").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).option("compression", "none").text(path)
 
 
 def _parsed(data: bytes, at: int) -> tuple[dict, int] | None:

@@ -81,3 +81,69 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
         return kind == "email" or 8 <= len(digits) <= 15
 
     return [(k, m.start(), m.end()) for k, p in BASE for m in re.finditer(p, text or "") if sound(k, m[0])]
+
+
+def overlaps(text: list[str], item: list[str], least: int = 10, similar: float = 0.8) -> list[tuple[int, int, int]]:
+    """(start, end, equal) in the text of the longest sound overlap at every offset."""
+    out = []
+    for shift in range(-len(item) + 1, len(text)):
+        same = {i: text[i + shift] == item[i] for i in range(len(item)) if 0 <= i + shift < len(text)}
+        ends = [i for i, s in same.items() if s]
+        sound = [(y - x + 1, -x) for x in ends for y in ends if y - x + 1 >= min(least, len(item)) and sum(same[j] for j in range(x, y + 1)) >= similar * (y - x + 1) - 1e-9]
+        if sound:
+            n, x = max(sound)
+            out.append((-x + shift, -x + shift + n, sum(same[j] for j in range(-x, -x + n))))
+    return out
+
+
+def grams(text: str | None) -> list[str]:
+    """1- to 3-grams of lower-cased words, with a blank on either side; a lone blank is none, nor a 3-gram around one."""
+    out = []
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" "):
+        if word:
+            padded = f" {word} "
+            out += [*word, *(padded[i : i + 2] for i in range(len(padded) - 1)), *(padded[i : i + 3] for i in range(len(padded) - 2))]
+    return out
+
+
+def ranked(counts: Counter, most: int) -> list[str]:
+    def order(g: str) -> int:
+        value = 0
+        for c in g:
+            value = value << 21 | (0x110000 if c == " " else ord(c))
+        return value
+
+    return sorted(counts, key=lambda g: (-counts[g], order(g)))[:most]
+
+
+def language(text: str | None, profiles: dict[str, list[str]], ranks: int) -> tuple[str, float]:
+    top = ranked(Counter(grams(text)), ranks)
+    if not top:
+        return "und", 0.0
+    far = {}
+    for lang, profile in profiles.items():
+        place = {g: i for i, g in enumerate(profile)}
+        far[lang] = sum(abs(place[g] - i) if g in place else ranks for i, g in enumerate(top))
+    best = min(far, key=lambda x: (far[x], x))
+    second = min((v for k, v in far.items() if k != best), default=ranks * len(top))
+    return best, 1 - far[best] / second if second else 0.0
+
+
+def quality_grams(text: str) -> Counter:
+    """The n-grams of the quality classifier by name: forms 1 and 2, shapes 1 to 3, and whether a word repeats the one before."""
+    runs = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0D]+", text)
+    forms = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r) for r in runs]
+
+    def kind(c: str) -> int:
+        return 1 if c.isascii() and c.isdigit() else 2 if "A" <= c <= "Z" else 3 if "a" <= c <= "z" or ord(c) >= 128 else 0
+
+    shapes = [(kind(r[0]), kind(r[-1])) if kind(r[0]) else r for r in runs]
+    out: Counter = Counter()
+    for i in range(len(runs)):
+        out[("form", forms[i])] += 1
+        out[("again", i > 0 and forms[i] == forms[i - 1])] += 1
+        for name, source, ks in (("form", forms, (2,)), ("shape", shapes, (1, 2, 3))):
+            for k in ks:
+                if i + 1 >= k:
+                    out[(name, *map(str, source[i + 1 - k : i + 1]))] += 1
+    return out

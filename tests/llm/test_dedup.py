@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import brute
-from tidewatch.llm import jaccard, queries, substring
+from tidewatch.llm import blocks, jaccard, queries, substring, words
 
 KIND = "doc_id long, text string, key string, told string, node long, block int, n long"
 
@@ -72,6 +74,66 @@ def test_classes_edges(spark):
     assert jaccard.classes(docs.where("false")).count() == 0
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    """Nothing is removed or linked where one word alone, a run that defeats hashes modulo a power of two, differs."""
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = [{"doc_id": i, "text": f"{rest[:18]} {thue_morse(n, *ab)} {rest[18:]}"} for i, ab in enumerate(("ab", "ba", "ab"))]
+    assert {r["id"]: r["n_removed"] for r in substring.remove_repeats(table(spark, docs)).collect()} == {0: 0, 1: 0, 2: 13}
+    short = [{"doc_id": i, "text": "one two " + thue_morse(n, *ab)} for i, ab in enumerate(("ab", "ba", "ab"))]
+    assert {r["id"]: r["component_id"] for r in jaccard.classes(table(spark, short)).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_hashes_tell_ranges_apart():
+    pick = random.Random(7)
+    every = sorted({"".join(pick.choice("ab") for _ in range(pick.choice([1, 3, 7, 8, 9, 15, 16, 17, 40, 600]))) for _ in range(3000)})
+    found = []
+    for row, off, data in words.chunks(pa.array([" ".join(every), "X " + " ".join(every).upper()])):
+        for seed in (0, 1):
+            start, end, first = words.places(data, off)
+            h = words.hashes(data, start, end, words.LOWER, seed)
+            assert len(set(h[: len(every)].tolist())) == len(every) and (h[first[1] + 1 :] == h[: first[1]]).all()
+            found.append(h)
+    assert not (found[0] == found[1]).any()
+
+
+def test_bytes_sent_do_not_grow_with_the_blocks():
+    """What a bucket of 12 MB of text sends is as much for 64 blocks as for 32,768, which 400 GB have."""
+    hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 2_100_000, np.uint64) * np.uint64(2))
+    sizes = []
+    for bits in (6, 9, 12, 15):
+        plan = blocks.Layout(64, bits, 46)
+        short = np.unique(blocks.truncated(hashes, plan))
+        rows = blocks.sent(1, short, np.ones(len(short), np.int64), plan)
+        assert (np.sort(np.concatenate([blocks.unpacked(x.as_py()) for x in rows["data"]])) >> np.uint64(2) == short).all()
+        sizes.append(rows.nbytes)
+    assert max(sizes) <= 1.1 * min(sizes)
+    large = blocks.layout(100 << 40)
+    n = (100 << 40) / 6
+    assert n / large.buckets / (1 << large.bits) >= blocks.ROW / 4  # hashes of a row, however large the input
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_on_the_bound(spark, seed):
+    """Sets whose overlap is just 80 hundredths of their union, and one shingle less."""
+    pick = random.Random(seed)
+    docs = []
+    for i in range(40):
+        both, left = 4 * pick.randrange(2, 30), 0
+        alone = both // 4 + (i % 2)
+        left = pick.randrange(alone + 1)
+        common = [f"c{i}.{j}" for j in range(both + 4)]
+        docs += [" ".join([f"l{i}.{j}" for j in range(left)] + common), " ".join(common + [f"r{i}.{j}" for j in range(alone - left)])]
+    docs = [{"doc_id": i, "text": t} for i, t in enumerate(docs)]
+    want = brute.classes(docs)
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(table(spark, docs)).collect()} == want
+    assert sum(c != i for i, (_, c) in want.items()) == 20
+
+
 def test_queries_on_the_table(spark, small):
     docs = [r.asDict() for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.op2_substring(spark, small).collect()}

@@ -1,88 +1,74 @@
-"""Packed shuffles of hashes: sorted runs of (hash, owner) pairs, a few bytes each, dealt to blocks of the hash space.
+"""Packed exchanges that tell every bucket of texts which of its hashes others have too.
 
-A map task packs a group of documents at a time: the hashes of one block, ascending, as differences of as few bytes as the
-largest needs, and for each the two-byte number of its owner in the group's list.  A hash that many documents of a group
-share can be sent once, so a hot hash costs a row for each group and not for each document.
+Texts are dealt to buckets by a hash of their content, so every pass over a bucket sees the same rows.  A bucket sends its
+distinct hashes once, truncated to a few bits more than it takes to number them all, ascending, as differences of as few
+bytes as the largest needs; a row is (block of the hash space, bucket, packed hashes) and nothing else.  A block answers
+each bucket with those of its hashes that are in more than one place.  Truncation can only add to the answer, so what
+follows looks at whole hashes of few rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from . import words
 
-SCHEMA = "block int, owners binary, width int, hashes binary, places binary"
-_TYPES = pa.schema([("block", pa.int32()), ("owners", pa.binary()), ("width", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary())])
-#: Bytes of text in a group, and documents in it at most.
-GROUP = 12 << 20
-OWNERS = 1 << 16
-
-
-def block_bits(n: float, each: int) -> int:
-    """Bits of the block number for ``n`` hashes, about ``each`` in a block."""
-    return max(6, int(np.ceil(np.log2(max(1.0, n / each)))))
-
-
-def groups(sizes: np.ndarray, limit: int = GROUP) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes and at most :data:`OWNERS` rows."""
-    ends = np.cumsum(sizes)
-    at = 0
-    while at < len(sizes):
-        done = ends[at - 1] if at else 0
-        to = int(np.searchsorted(ends, done + limit, "right"))
-        to = min(max(to, at + 1), at + OWNERS, len(sizes))
-        yield at, to
-        at = to
-
-
-def packed(hashes: np.ndarray, places: np.ndarray, owners: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Rows of :data:`SCHEMA` for ascending ``hashes`` with their owners' places in ``owners`` (64-bit)."""
-    number = hashes >> np.uint64(64 - bits)
-    cut = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(hashes) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(hashes))
-    names = owners.tobytes()
-    rows: dict[str, list] = {k: [] for k in _TYPES.names}
-    for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
-        steps = np.diff(hashes[a:b], prepend=np.uint64(0))
-        base = steps[0]
-        steps[0] = 0
-        width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-        rows["block"].append(int(number[a]))
-        rows["owners"].append(names)
-        rows["width"].append(width)
-        rows["hashes"].append(base.tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
-        rows["places"].append(places[a:b].astype(np.uint16).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(rows[n], t) for n, t in zip(_TYPES.names, _TYPES.types, strict=True)], schema=_TYPES)
-
-
-def unpacked(owners: bytes, width: int, hashes: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, owners) of a row."""
-    n = len(places) // 2
-    steps = np.zeros((n, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(hashes, np.uint8, offset=8).reshape(n, width)
-    values = steps.reshape(-1).view(np.uint64)
-    values[0] = np.frombuffer(hashes, np.uint64, 1)[0]
-    return np.cumsum(values, dtype=np.uint64), np.frombuffer(owners, np.int64)[np.frombuffer(places, np.uint16)]
-
-
-def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, owners) of all rows, ascending by hash; rows are unpacked one at a time to save memory."""
-    places = table["places"]
-    sizes = pc.binary_length(places).to_numpy() // 2
-    ends = np.cumsum(sizes)
-    found, owner = np.empty(int(sizes.sum()), np.uint64), np.empty(int(sizes.sum()), np.int64)
-    for i, end in enumerate(ends.tolist()):
-        at = slice(end - int(sizes[i]), end)
-        found[at], owner[at] = unpacked(*(table[c][i].as_py() for c in ("owners", "width", "hashes", "places")))
-    order = np.argsort(found)
-    owner = owner[order]
-    found = found[order]
-    words.trim()
-    return found, owner
+SENT = "block int, bucket int, data binary"
+TOLD = "bucket int, data binary"
+#: Hashes that a bucket holds and that a block's task sorts, on average and at least.
+EACH = 2_000_000
+#: Hashes of a row, on average and at least: buckets and blocks grow with the root of the input to keep it.
+ROW = 64
+#: Bytes of text for each hash, about.
+_BYTES = 6
+#: Low bits that say how many texts of a bucket have a hash, and what each number stands for: one, few, some, many.
+_TIMES = 2
+_CLASSES = np.array([1, 2, 8, 64])
+#: Bits of a truncated hash beyond those that number all: one in so many powers of two is taken for another.
+_SPARE = 8
+
+
+class Layout(NamedTuple):
+    buckets: int
+    #: Bits of the block number, and of a truncated hash.
+    bits: int
+    space: int
+
+
+def layout(size: int, each: int = EACH) -> Layout:
+    """How to deal ``size`` bytes of text."""
+    n = max(1.0, size / _BYTES)
+    each = max(each, (ROW * n) ** 0.5)
+    bits = max(6, int(np.ceil(np.log2(n / each))))
+    return Layout(max(64, int(-(-n // each))), bits, min(56, max(bits + 8, int(np.ceil(np.log2(n))) + _SPARE)))
+
+
+def bucket(columns: list[Column], plan: Layout) -> Column:
+    return F.pmod(F.xxhash64(*columns, F.lit(17)), F.lit(plan.buckets)).cast("int")
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Ascending 64-bit words as differences."""
+    steps = np.diff(values, prepend=values[:1])
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return values[:1].tobytes() + bytes([width]) + steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) < 9:
+        return np.zeros(0, np.uint64)
+    width = data[8]
+    n = (len(data) - 9) // width
+    steps = np.zeros((n + 1, 8), np.uint8)
+    steps[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(n, width)
+    steps[0] = np.frombuffer(data, np.uint8, 8)
+    return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
 def runs(values: np.ndarray) -> np.ndarray:
@@ -90,6 +76,72 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
+def slices(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal entries."""
+    start = runs(values)
+    return list(zip(start.tolist(), np.append(start, len(values))[1:].tolist(), strict=True)) if len(start) else []
+
+
+def truncated(hashes: np.ndarray, plan: Layout) -> np.ndarray:
+    return hashes >> np.uint64(64 - plan.space)
+
+
+def sent(bucket: int, short: np.ndarray, times: np.ndarray, plan: Layout) -> pa.Table:
+    """Rows of :data:`SENT` for ascending distinct truncated hashes and the numbers of texts that have them."""
+    values = (short << np.uint64(_TIMES)) | (np.searchsorted(_CLASSES, times, "right") - 1).astype(np.uint64)
+    number = short >> np.uint64(plan.space - plan.bits)
+    cut = slices(number)
+    data = [packed(values[a:b]) for a, b in cut]
+    return pa.table({"block": pa.array([int(number[a]) for a, _ in cut], pa.int32()), "bucket": pa.array([bucket] * len(cut), pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def common(table: pa.Table) -> pa.Table:
+    """(bucket, data): of each bucket's hashes in a block those in more than one text, with how common they are: 4 log2."""
+    parts = [unpacked(x.as_py()) for x in table["data"]]
+    which = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+    values = np.concatenate(parts)
+    del parts
+    order = np.argsort(values)
+    values, which = values[order], which[order]
+    del order
+    short = values >> np.uint64(_TIMES)
+    start = runs(short)
+    total = np.add.reduceat(_CLASSES[(values & np.uint64((1 << _TIMES) - 1)).astype(np.int64)], start)
+    size = np.diff(np.append(start, len(short)))
+    shared = np.repeat(total > 1, size)
+    rank = np.repeat(np.minimum(255, np.ceil(4 * np.log2(total))).astype(np.uint64), size)[shared]
+    found, which = (short[shared] << np.uint64(8)) | rank, which[shared]
+    order = np.argsort(which, kind="stable")
+    found, which = found[order], which[order]
+    cut, buckets = slices(which), table["bucket"].to_pylist()
+    data = [packed(found[a:b]) for a, b in cut]
+    words.trim()
+    return pa.table({"bucket": pa.array([buckets[which[a]] for a, _ in cut], pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def answered(data: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(truncated hashes, how common they are), ascending, of all answers to a bucket."""
+    parts = [unpacked(x.as_py()) for x in data if x.is_valid]
+    values = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return values >> np.uint64(8), (values & np.uint64(255)).astype(np.uint8)
+
+
+def located(answers: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Places of truncated hashes among the answers; -1 for those that are not there."""
+    if not len(answers):
+        return np.full(len(short), -1)
+    at = np.minimum(np.searchsorted(answers, short), len(answers) - 1)
+    at[answers[at] != short] = -1
+    return at
+
+
 def binary(cuts: np.ndarray, data: bytes, each: int) -> pa.Array:
     """A binary array of consecutive slices of ``data``: ``cuts`` counts entries of ``each`` bytes and ends with their number."""
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * each).astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def column(table: pa.Table, name: str) -> pa.Array:
+    """A text column of a bucket in one piece, nulls empty."""
+    found = table[name].combine_chunks()
+    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+    return pc.fill_null(found, "")

@@ -2,9 +2,9 @@
 
 The join is a sparse product of the document by n-gram incidence with its transpose, made in blocks of n-grams:
 
-1. documents with equal sets share a node, so copies are never paired;
-2. n-grams are counted by blocks of their hash space, and every node learns which of its n-grams others have too; a node with
-   fewer of those than any partner's overlap must have (a bound from its size) is done;
+1. documents with equal sets share a node, so copies are never paired; one of them stands for all;
+2. n-grams are counted by blocks of their hash space (see :mod:`blocks`), and every node learns which of its n-grams others
+   have too; a node with fewer of those than any partner's overlap must have (a bound from its size) is done;
 3. the other nodes meet where they share one of their rarest n-grams and their sizes allow a link; what meets, however
    indirectly, is a neighbourhood;
 4. inside a neighbourhood overlap counts accumulate block by block, and pairs below the bound of their sizes are dropped.  A
@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +27,17 @@ from .store import small_batches, written
 SHINGLE = 5
 #: A link needs at least this many hundredths.
 PERCENT = 80
-EACH = 1_500_000
 #: Nodes in a tile of a neighbourhood; a task compares those of two tiles at most.
 TILE = 192
 #: Tiles of a neighbourhood that are all compared with each other; a larger one is compared with some of its nodes at a time.
 TILES = 12
 #: Nodes of small neighbourhoods that one task compares, and whose rarest n-grams one task groups, on average.
 NODES = 2_000
+#: Bytes of sets that are grouped at once.
+SETS = 12 << 20
 #: Edges that one task contracts, on average.
 EDGES = 100_000
-_SALT = np.uint64(0xC2B2AE3D27D4EB4F)
+_SALTS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -64,75 +64,91 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int,
         yield row, len(off) - 1, t[fresh], w[fresh]
 
 
-def _signatures(n: int, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(size, 63-bit signature) of every text's set."""
+def _signatures(n: int, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, 63-bit and 64-bit signature) of every text's set."""
     size = np.bincount(t, minlength=n)
-    sums = np.zeros(n, np.uint64)
-    start = blocks.runs(t)
-    if len(start):
-        sums[t[start]] = np.add.reduceat(words.mix(w ^ _SALT), start)
-    return size, (words.mix(sums + size.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+    start, out = blocks.runs(t), []
+    for salt in _SALTS:
+        sums = np.zeros(n, np.uint64)
+        if len(start):
+            sums[t[start]] = np.add.reduceat(words.mix(w ^ salt), start)
+        out.append(words.mix(sums + size.astype(np.uint64)))
+    return size, (out[0] >> np.uint64(1)).astype(np.int64), out[1].view(np.int64)
 
 
 def _node_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.grouped(batches, words.CHUNK):
-            for row, n, t, w in shingle_sets(batch.column(1), k):
-                size, name = _signatures(n, t, w)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(name)], names=["id", "n", "node"])
+            for row, n, t, w in shingle_sets(batch.column(2), k):
+                size, name, check = _signatures(n, t, w)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(size, pa.int64()), pa.array(name), pa.array(check)], names=["id", "bucket", "n", "name", "check"])
 
     return run
 
 
-def _incidence_task(k: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.grouped(batches, blocks.GROUP):
-            texts = batch.column(0)
-            sizes = np.asarray(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            for a, b in blocks.groups(sizes):
-                held, found, names = set(), [], []
-                for _, n, t, w in shingle_sets(texts.slice(a, b - a), k):
-                    size, name = _signatures(n, t, w)
-                    _, firsts = np.unique(name, return_index=True)
-                    new = np.zeros(n, bool)
-                    new[[i for i in firsts[size[firsts] > 0].tolist() if name[i] not in held]] = True
-                    held.update(name[new].tolist())
-                    number = (np.cumsum(new) - 1 + sum(map(len, names))).astype(np.uint16)
-                    own = new[t]
-                    found.append((w[own], number[t[own]]))
-                    names.append(name[new])
-                hashes, place = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-                del found
-                if len(hashes):
-                    order = np.argsort(hashes)
-                    place = place[order]
-                    hashes = hashes[order]
-                    del order
-                    yield blocks.packed(hashes, place, np.concatenate(names), bits)
+def _own_sets(texts: pa.Table, k: int, names: np.ndarray, checks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place among the names, set number, hash) of the sets that a bucket's texts stand for, each set once."""
+    order = np.lexsort((checks, names))
+    left = dict(zip(zip(names[order].tolist(), checks[order].tolist(), strict=True), order.tolist(), strict=True))
+    for _, n, t, w in shingle_sets(blocks.column(texts, "text"), k):
+        _, name, check = _signatures(n, t, w)
+        place = np.array([left.pop(x, -1) for x in zip(name.tolist(), check.tolist(), strict=True)], np.int64)
+        own = place[t] >= 0
+        number = np.cumsum(place >= 0) - 1
+        yield place[place >= 0], number[t[own]], w[own]
+
+
+def _sieve_task(k: int, plan: blocks.Layout):
+    """Sends the truncated n-grams of a bucket's sets, and how many of its sets have each."""
+
+    def run(texts: pa.Table, sets: pa.Table) -> pa.Table:
+        words.release()
+        if not len(texts) or not len(sets):
+            return pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        found = [blocks.truncated(w, plan) for _, _, w in _own_sets(texts, k, sets["name"].to_numpy(), sets["check"].to_numpy())]
+        found = np.sort(np.concatenate(found))
+        start = blocks.runs(found)
+        out = blocks.sent(texts["bucket"][0].as_py(), found[start], np.diff(np.append(start, len(found))), plan)
+        words.trim()
+        return out
+
+    return run
+
+
+def _suspect_task(k: int, plan: blocks.Layout, percent: int):
+    """(node, n, shared): sets that may have a partner, with their n-grams that others may have too: 8 bytes of hash and one of how common it is."""
+
+    def run(texts: pa.Table, others: pa.Table) -> pa.Table:
+        words.release()
+        node, size, shared = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        sets = others.filter(others["name"].is_valid())
+        if len(texts) and len(sets):
+            known, rank = blocks.answered(others["data"])
+            names = sets["node"].to_numpy()
+            for place, number, w in _own_sets(texts, k, sets["name"].to_numpy(), sets["check"].to_numpy()):
+                n = np.bincount(number, minlength=len(place))
+                at = blocks.located(known, blocks.truncated(w, plan))
+                hit = at >= 0
+                count = np.bincount(number[hit], minlength=len(place))
+                some = (count * 100 >= n * percent) & (count > 0)
+                keep = hit & some[number]
+                raw = np.empty((int(keep.sum()), 9), np.uint8)
+                raw[:, :8] = w[keep].view(np.uint8).reshape(-1, 8)
+                raw[:, 8] = rank[at[keep]]
+                cuts = np.concatenate(([0], np.cumsum(count[some])))
+                node.append(names[place[some]])
+                size.append(n[some])
+                shared.append(blocks.binary(cuts, raw.tobytes(), 9))
+        out = pa.table({"node": pa.array(np.concatenate(node)), "n": pa.array(np.concatenate(size), pa.int64()), "shared": pa.chunked_array(shared, pa.binary())})
+        words.trim()
+        return out
 
     return run
 
 
-def _shared_task(table: pa.Table) -> pa.Table:
-    """(node, shared): of each node the n-grams that others have too, as 8 bytes of hash and one of how common it is."""
-    found, owner = blocks.gathered(table)
-    start = blocks.runs(found)
-    times = np.diff(np.append(start, len(found)))
-    common = np.repeat(times, times) > 1
-    rank = np.minimum(255, np.ceil(4 * np.log2(np.repeat(times, times)[common]))).astype(np.uint8)
-    found, owner = found[common], owner[common]
-    order = np.argsort(owner, kind="stable")
-    owner = owner[order]
-    raw = np.empty((len(order), 9), np.uint8)
-    raw[:, :8] = found[order].view(np.uint8).reshape(-1, 8)
-    raw[:, 8] = rank[order]
-    cuts = blocks.runs(owner)
-    return pa.table({"node": pa.array(owner[cuts], pa.int64()), "shared": blocks.binary(np.append(cuts, len(owner)), raw.tobytes(), 9)})
-
-
-def _features(parts: list[bytes]) -> np.ndarray:
+def _features(shared: bytes) -> np.ndarray:
     """Hashes, the rarest first and then by value."""
-    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 9)
+    raw = np.frombuffer(shared, np.uint8).reshape(-1, 9)
     found = np.ascontiguousarray(raw[:, :8]).view(np.uint64).ravel()
     return found[np.lexsort((found, raw[:, 8]))]
 
@@ -164,7 +180,7 @@ def _prefix_task(percent: int, many: int):
     are joined at once (a row with low = -1 joins ``hash`` and ``node``) and go on as one entry with their range of sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.grouped(batches, blocks.GROUP):
+        for batch in words.grouped(batches, SETS):
             node, n, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             found, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i in range(len(batch)):
@@ -338,23 +354,31 @@ def _large(nodes: DataFrame, percent: int, tile: int) -> DataFrame:
     return links
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = SHINGLE, percent: int = PERCENT, each: int = EACH, tile: int = TILE, tiles: int = TILES) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = SHINGLE, percent: int = PERCENT, each: int = blocks.EACH, tile: int = TILE, tiles: int = TILES) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest id that links of at least ``percent`` hundredths reach.
 
     Words lie between 0x20 and 0x09-0x0D, with A-Z in lower case.  A text without words, or null, has no shingles and is
     linked with nothing.  Rows with equal sets are linked; repeated ids are no obstacle; a null id gets a component of its
-    own only if no other id is in it.  Sets and shingles count as equal by 63- and 64-bit hashes.  Other columns are not read.
+    own only if no other id is in it.  Sets count as equal by 127 bits of two signatures: among 10**10 sets two different ones
+    agree with a probability under 10**-18; shingles of two sets by 64 bits.  Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    members = written(rows.mapInArrow(_node_task(k), f"id {rows.schema['id'].dataType.simpleString()}, n long, node long"), "members")
-    bits = blocks.block_bits(size / 6, each)
-    shared = rows.select("text").mapInArrow(_incidence_task(k, bits), blocks.SCHEMA).groupBy("block").applyInArrow(_shared_task, "node long, shared binary")
-    shared = shared.groupBy("node").agg(F.collect_list("shared").alias("shared")).withColumn("known", F.expr("aggregate(shared, 0L, (a, x) -> a + octet_length(x) div 9)"))
-    sets = members.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    plan = blocks.layout(size, each)
+    rows = docs.select(F.col(id_col).alias("id"), blocks.bucket([F.col(id_col), text], plan).alias("bucket"), text.alias("text"))
+    members = written(rows.mapInArrow(_node_task(k), f"id {rows.schema['id'].dataType.simpleString()}, bucket int, n long, name long, check long"), "members")
+    sets = members.where("n > 0").groupBy("name", "check").agg(F.min("id").alias("first"), F.min("bucket").alias("bucket"), F.max("n").alias("n"))
+    # sets that agree in one signature alone get names of their own
+    sets = sets.withColumn("node", F.col("name") + F.row_number().over(Window.partitionBy("name").orderBy("check")) - 1)
     sets = written(sets, "sets")
-    suspects = written(shared.join(sets, "node").where(F.col("known") * 100 >= F.col("n") * percent).select("node", "n", "shared"), "suspects")
+    texts = rows.select("bucket", "text")
+    own = sets.select("bucket", "name", "check", "node")
+    sieved = texts.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_sieve_task(k, plan), blocks.SENT)
+    answers = sieved.groupBy("block").applyInArrow(blocks.common, blocks.TOLD)
+    others = own.withColumn("data", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
+    suspects = texts.groupBy("bucket").cogroup(others.groupBy("bucket")).applyInArrow(_suspect_task(k, plan, percent), "node long, n long, shared binary")
+    suspects = written(suspects, "suspects")
     many = max(64, -(-suspects.count() // NODES))
     met = suspects.mapInArrow(_prefix_task(percent, many), "block int, hash long, low long, high long, node long").groupBy("block").applyInArrow(_meet_task(percent), "a long, b long")
     homes = connected(met)
@@ -365,7 +389,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     if not near.where(~few).isEmpty():
         links = links.unionByName(_large(near.where(~few), percent, tile))
     roots = connected(links)
-    known = written(sets.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "roots")
-    known = known.join(known.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    out = members.join(known, "node", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out
+    known = written(sets.join(roots, "node", "left").select("name", "check", "first", F.coalesce("root", "node").alias("root")), "roots")
+    known = known.join(known.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("name", "check", "component_id")
+    # copies of one text are a hot key of the left side, which adaptive execution splits
+    some = members.where("n > 0").join(known, ["name", "check"], "left").select("id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))

@@ -1,22 +1,26 @@
 """Vectorised word hashing over Arrow string columns.
 
-A column's UTF-8 bytes are cut into runs by a byte table and every run gets a polynomial (Rabin-Karp) hash from prefix
-sums modulo 2**64, mixed at the end.  Work goes in chunks of about :data:`CHUNK` bytes, so temporary arrays stay small
-whatever the batch holds; a text is never cut.
+A column's UTF-8 bytes are cut into runs by a byte table.  A run's hash takes its bytes eight at a time through a chain of
+bijections of 64-bit words (a digest, where a run is very long), so words of up to eight bytes of one length never share a
+hash and longer ones only by chance.  Two seeds give independent hashes.  Work goes in chunks of about :data:`CHUNK` bytes,
+so temporary arrays stay small whatever the batch holds; a text is never cut.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Where the chains of the two hash functions begin.
+SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Steps of eight bytes after which a run is digested by itself.
+STEPS = 64
 
 #: Bytes that part words: 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
@@ -28,20 +32,6 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[0x41:0x5B] += 0x20
 
-_powers = {"n": 0}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=np.uint64)
-        _powers["n"] = size
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def trim() -> None:
     """Gives freed memory back to the system: workers live on and other tasks need it."""
     pa.default_memory_pool().release_unused()
@@ -110,7 +100,12 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarr
 
 def runs(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of the runs between separators, and each text's first run (one more entry than texts)."""
-    n = len(data)
+    start, end, first = places(data, off, separators)
+    return start, end, hashes(data, start, end, fold), first
+
+
+def places(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of the runs between separators, and each text's first run (one more entry than texts)."""
     inside = ~separators[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -120,26 +115,34 @@ def runs(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE, fold
     begins[first] = inside[first]
     ends[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return start, end, hashes(data, start, end, fold), np.searchsorted(start, off)
+    return start, end, np.searchsorted(start, off)
+
+
+#: The low bytes of a word of eight, by their number.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
-    """Hashes of the byte ranges, every byte replaced by its ``fold``."""
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME, seed: int = 0) -> np.ndarray:
+    """Hashes of the byte ranges, every byte replaced by its ``fold``; a hash doesn't depend on where its range lies."""
     n = len(data)
     if not len(start):
         return np.zeros(0, np.uint64)
-    if n > 2 * CHUNK and len(start) > 1:  # a long text goes in parts; a hash doesn't depend on where its range lies
-        parts, i = [], 0
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK, "right")))
-            a, b = start[i], end[j - 1]
-            parts.append(hashes(data[a:b], start[i:j] - a, end[i:j] - a, fold))
-            i = j
-        return np.concatenate(parts)
-    up, down = _tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data if fold is SAME else fold[data]
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    length = end - start
+    out = mix((eight[start] & _LOW[np.minimum(length, 8)]) ^ (length.astype(np.uint64) * _STEP + SEEDS[seed]))
+    rows = np.flatnonzero(length > 8)
+    for step in range(1, STEPS):
+        if not len(rows):
+            return out
+        left = length[rows] - 8 * step
+        out[rows] = mix(out[rows] ^ (eight[start[rows] + 8 * step] & _LOW[np.minimum(left, 8)]))
+        rows = rows[left > 8]
+    for i in rows.tolist():
+        own = hashlib.blake2b(padded[start[i] : end[i]], digest_size=8, salt=SEEDS[seed].tobytes())
+        out[i] = np.frombuffer(own.digest(), np.uint64)[0]
+    return out
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -149,6 +152,7 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     total = hashes[:n].copy()
     for j in range(1, k):
+        total ^= total >> np.uint64(32)
         total *= _STEP
         total += hashes[j : j + n]
     return mix(total)

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 
+import brute
+import pytest
 from pyspark.sql import functions as F
 from tidewatch.llm import decontaminate, fingerprint, queries
 
@@ -32,11 +35,47 @@ def test_substitutions_are_tolerated_and_clean_texts_left_alone(spark):
     found = decontaminate.find(df, bench).collect()
     assert {r["id"] for r in found} == bad | {None, 1002}
     assert all(r["equal"] >= 0.8 * (r["end"] - r["start"]) and r["end"] - r["start"] == r["item_end"] - r["item_start"] for r in found)
-    assert sorted(tuple(r) for r in decontaminate.find(df, bench, block=200).collect() if r["id"] is not None) == sorted(tuple(r) for r in found if r["id"] is not None)
-    assert {r["doc_id"] for r in decontaminate.remove(df, bench).collect()} == {d[0] for d in docs} - bad - {1002}
+    assert sorted(tuple(r) for r in decontaminate.find(df, bench, sieve=20, each=7).collect() if r["id"] is not None) == sorted(tuple(r) for r in found if r["id"] is not None)
+    left = decontaminate.remove(df, bench)
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {d[0] for d in docs} - bad - {None}
+    assert [r["text"] for r in left.where("doc_id = 1002").collect()] == ["z"]  # rows go by id and text
     assert decontaminate.find(df.where("false"), bench).count() == 0 and decontaminate.find(df, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 19))
+def test_masks_survive_all_placements(n):
+    """An overlap of 10 to 18 tokens with a fifth substituted, and any short item, has a seed wherever the substitutions are."""
+    masks = decontaminate.masks_of(n)
+    for wrong in itertools.combinations(range(1, n - 1), min(int(n * 0.2 + 1e-9), max(0, n - 2))):
+        assert any(all(at + x not in wrong for x in mask) for mask in masks for at in range(n - mask[-1]))
+
+
+def test_longer_overlaps_survive():
+    pick = random.Random(2)
+    for n in range(19, 60):
+        for _ in range(300):
+            wrong = set(pick.sample(range(1, n - 1), int(n * 0.2)))
+            assert any(all(at + x not in wrong for x in mask) for mask in decontaminate.MASKS for at in range(n - mask[-1]))
+
+
+def test_overlaps_equal_brute_force(spark):
+    pick = random.Random(3)
+    few = [f"t{i}" for i in range(60)]
+    items = [[pick.choice(few) for _ in range(n)] for n in (1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 20, 40)] * 2
+    docs = []
+    for i in range(60):
+        passage = list(items[i % len(items)])
+        for at in range(1, len(passage) - 1):
+            if pick.random() < 0.22:
+                passage[at] = pick.choice(few)
+        a = pick.randrange(len(passage)) if pick.random() < 0.3 else 0
+        docs.append((i, " ".join([pick.choice(few) for _ in range(pick.randrange(25))] + passage[a:] + [pick.choice(few) for _ in range(pick.randrange(25))])))
+    docs.append((3, docs[3][1]))
+    found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k % 14, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
+    got = sorted((r["id"], r["item"], r["start"], r["end"], r["equal"]) for r in found.collect())
+    assert got == sorted((i, k % 14, *x) for i, text in docs for k, w in enumerate(items) for x in brute.overlaps(text.split(), w))
+
+
 def test_all_exact_passages_are_found(spark, medium):
     from pyspark.sql import SparkSession  # noqa: F401
 

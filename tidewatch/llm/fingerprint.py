@@ -109,10 +109,11 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = written(named.groupBy("id").agg(F.min("key").alias("key"), F.max("quarter").alias("most")), "ids")
     order = following(ids.select("id"))
     wanted = order.join(ids.select("id", "most"), "id").select(F.col("id").alias("prev_id"), F.col("next_id").alias("id"), "most").join(ids.select("id", "key"), "id")
-    heads = rows.join(wanted, "id").where(F.xxhash64("text").bitwiseXOR(F.col("key")) == 0)  # no join key, so both uses share one exchange of the texts
-    heads = sketch(heads, F.col("text"), "next", scale=scale, floor=floor).select(F.col("prev_id").alias("id"), F.struct(F.expr("substring(text, 1, most)").alias("head"), "next").alias("after"))
-    both = rows.join(heads.groupBy("id").agg(F.first("after").alias("after")), "id").withColumn("n", F.length("text").cast("long"))
-    both = sketch(both, F.col("text"), "own", scale=scale, floor=floor)
+    # the texts are sketched and exchanged once; a neighbour gives its sketch and the head of its text
+    base = sketch(rows, F.col("text"), "own", scale=scale, floor=floor)
+    heads = base.join(wanted, "id").where(F.xxhash64("text").bitwiseXOR(F.col("key")) == 0)  # no join key, so both uses share one exchange
+    heads = heads.select(F.col("prev_id").alias("id"), F.struct(F.expr("substring(text, 1, most)").alias("head"), F.col("own").alias("next")).alias("after"))
+    both = base.join(heads.groupBy("id").agg(F.first("after").alias("after")), "id").withColumn("n", F.length("text").cast("long"))
     quarter = F.floor(F.col("n") / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n - floor(n / 4) as int))"), F.col("after.head").substr(F.lit(1), quarter))
     both = both.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("next", F.col("after.next"))

@@ -25,11 +25,20 @@ def fit_protocol(normal: DataFrame) -> DataFrame:
     return normal.agg(union("func_codes").alias("valid_codes"), union("addresses").alias("valid_addresses"))
 
 
+def finite(column: str | Column) -> Column:
+    """A number, null where it is none or not finite."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def _needed(value: Column, what: str) -> Column:
+    """An aggregate; an error if there was nothing to take it of."""
+    return F.when(value.isNull(), F.raise_error(F.lit(f"no finite {what} to fit"))).otherwise(value)
+
+
 def fit_bounds(normal_values: DataFrame, column: str) -> DataFrame:
     """Least and largest finite value; an error if there is none."""
-    finite = normal_values.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) != float("inf")))
-    row = finite.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    return row.withColumn("low", F.when(F.col("low").isNull(), F.raise_error(F.lit("no finite value to fit"))).otherwise(F.col("low")))
+    return normal_values.agg(_needed(F.min(finite(column)), column).alias("low"), F.max(finite(column)).alias("high"))
 
 
 def fit_rate(normal: DataFrame, column: str = "packets_per_sec") -> DataFrame:
@@ -42,9 +51,16 @@ def fit_all(normal: DataFrame, rate_column: str = "packets_per_sec") -> DataFram
 
 
 def fit_columns(rate_column: str = "packets_per_sec") -> list[Column]:
-    """The aggregates of :func:`fit_all`, to be taken with others in one pass."""
+    """The aggregates of :func:`fit_all`, to be taken with others in one pass.
+
+    Only finite rates and readings count; without a normal window, or without any finite value of one kind, the fit is an
+    error: a rule that knows nothing would never fire.
+    """
     union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
-    return [union("func_codes").alias("valid_codes"), union("addresses").alias("valid_addresses"), F.max(rate_column).alias("max_rate"), F.min("p_min").alias("low"), F.max("p_max").alias("high")]
+    return [
+        union("func_codes").alias("valid_codes"), union("addresses").alias("valid_addresses"), _needed(F.max(finite(rate_column)), rate_column).alias("max_rate"),
+        _needed(F.min(finite("p_min")), "p_min").alias("low"), _needed(F.max(finite("p_max")), "p_max").alias("high"),
+    ]
 
 
 def _protocol_hit() -> Column:
@@ -85,6 +101,14 @@ def apply_all(windows: DataFrame, fitted: DataFrame, rate_column: str = "packets
     return windows.crossJoin(F.broadcast(fitted)).withColumns(hits).drop(*state)
 
 
+def outside(windows: DataFrame, fitted: DataFrame, out: str = "outside") -> DataFrame:
+    """``windows`` with whether a reading lies outside the fitted bounds; null, not false, where there is no reading at all."""
+    bounds_ = fitted.select(F.col("low").alias("__low"), F.col("high").alias("__high"))
+    known = F.col("p_min").isNotNull() & F.col("p_max").isNotNull()
+    rows = windows.crossJoin(F.broadcast(bounds_))  # a table of one row
+    return rows.withColumn(out, F.when(known, (F.col("p_min") < F.col("__low")) | (F.col("p_max") > F.col("__high")))).drop("__low", "__high")
+
+
 def any_of(*hits: str) -> Column:
     """The union of hits: fired if one is, with the reasons of all in order."""
     fired = F.lit(False)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 #: The published sweep: 0.10, 0.15, ... 0.90. Fixed values.
 THRESHOLDS = tuple(i / 100 for i in range(10, 91, 5))
 
@@ -66,9 +68,8 @@ def fit_threshold(normal: DataFrame, score: str, max_fpr: float) -> DataFrame:
     Distinct scores are counted first; the ordered pass has one row for each.
     """
     counts = normal.groupBy(score).agg(F.count("*").alias("__n"))
-    order = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     n = normal.agg(F.count("*").alias("__all"), F.max(score).alias("__most"))
-    rows = counts.withColumn("__upto", F.sum("__n").over(order)).crossJoin(F.broadcast(n)).withColumn("__k", F.floor(F.lit(max_fpr) * F.col("__all")))
+    rows = ordered.cumulated(counts, [], score, {"__upto": F.col("__n")}, descending=True).crossJoin(F.broadcast(n)).withColumn("__k", F.floor(F.lit(max_fpr) * F.col("__all")))
     got = rows.agg(F.max("__k").alias("k"), F.max("__most").alias("most"), F.max("__all").alias("n"), F.max(F.when(F.col("__upto") >= F.col("__k"), F.col(score))).alias("kth"), F.max_by(F.col("__upto") - F.col("__n"), F.when(F.col("__upto") >= F.col("__k"), F.col(score))).alias("above"))
     none = F.col("k") <= 0
     return got.select(F.when(none, F.col("most") + 1e-9).otherwise(F.col("kth")).alias("threshold"), F.when(none, 0.0).otherwise(F.col("above") / F.col("n")).alias("achieved_fpr"))
@@ -80,11 +81,11 @@ def best_cuts(rows: DataFrame, label: str, max_fpr: float, keys: tuple[str, ...]
     Every value is a candidate; cumulative counts over distinct values give all cuts in one pass.
     """
     counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) != 1).alias("__q"))
-    every = Window.partitionBy(*keys)
+    n = counts.groupBy(*keys).agg(F.sum("__p").alias("__all_p"), F.sum("__q").alias("__all_q"))
     out = None
-    for side, order in (("above", F.desc(value)), ("below", F.asc(value))):
-        upto = every.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        cut = counts.select(*keys, F.lit(side).alias("side"), F.col(value).alias("cut"), (F.sum("__p").over(upto) / F.sum("__p").over(every)).alias("recall"), (F.sum("__q").over(upto) / F.sum("__q").over(every)).alias("fpr"))
+    for side, down in (("above", True), ("below", False)):
+        upto = ordered.cumulated(counts, list(keys), value, {"__tp": F.col("__p"), "__fp": F.col("__q")}, descending=down).join(n, list(keys))
+        cut = upto.select(*keys, F.lit(side).alias("side"), F.col(value).alias("cut"), (F.col("__tp") / F.col("__all_p")).alias("recall"), (F.col("__fp") / F.col("__all_q")).alias("fpr"))
         out = cut if out is None else out.unionByName(cut)
     best = F.struct(F.col("recall"), -F.col("fpr"), F.col("side") == "above", F.when(F.col("side") == "above", F.col("cut")).otherwise(-F.col("cut")))
     return out.where(F.col("fpr") <= max_fpr).groupBy(*keys).agg(F.max_by("side", best).alias("side"), F.max_by("cut", best).alias("cut"), F.max_by("recall", best).alias("recall"), F.max_by("fpr", best).alias("fpr"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import BoostedTrees
+
 #: Normal rows that a forest's trees draw from: a bounded sample by hash.
 POOL = 20_000
 #: Rows of a rare class that oversampling holds at once: a bounded sample by hash.
@@ -152,6 +154,55 @@ def model_fingerprint(model) -> str:
     return hashlib.sha256((params + model.toDebugString.split("\n", 1)[1]).encode()).hexdigest()
 
 
+def fit_boosted(rows: DataFrame, features: list[str], label: str, key: str, *, pool: int = POOL, seed: int = 0, **settings) -> BoostedTrees:
+    """Boosted trees on at most ``pool`` labelled rows, those whose keys hash lowest: the documented bound of the sample."""
+    got = _bounded(rows.where(F.col(label).isNotNull()), key, pool, seed).select(label, *[F.col(f).cast("double") for f in features]).toPandas()
+    return BoostedTrees(seed=seed, **settings).fit(got[features].to_numpy(float), got[label].to_numpy(float))
+
+
+def boosted_probability(rows: DataFrame, model: BoostedTrees, features: list[str], out: str = "probability") -> DataFrame:
+    """``rows`` with the model's probability of class 1; null where all features are null (nothing is known of the row)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def rate(x):
+        import pandas as pd
+
+        return pd.Series(shared.value.probability(np.array([[np.nan if v is None else v for v in r] for r in x], float)) if len(x) else [], dtype=float)
+
+    known = F.coalesce(*[F.col(f).cast("double") for f in features]).isNotNull()
+    return rows.withColumn(out, F.when(known, rate(F.array(*[F.col(f).cast("double") for f in features]))))
+
+
+class ProbabilityRule:
+    """A rule on a fitted model's probability: fires above the threshold, never on rows without features."""
+
+    def __init__(self, model: BoostedTrees, threshold: float, features: list[str]):
+        self.model, self.threshold, self.features = model, float(threshold), list(features)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the rule once, in an envelope with its checksum."""
+        from ..sources.sinks import write_once
+
+        write_once(spark, {"model": self.model.plain(), "threshold": self.threshold, "features": self.features, "fingerprint": self.model.fingerprint()}, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ProbabilityRule:
+        """A saved rule; an error if the file or the trees aren't those that were saved."""
+        from ..sources.sinks import read_envelope
+
+        got = read_envelope(spark, path)
+        model = BoostedTrees.loaded(got["model"])
+        if model.fingerprint() != got["fingerprint"]:
+            raise ValueError("model differs from its fingerprint")
+        return cls(model, got["threshold"], got["features"])
+
+    def apply(self, rows: DataFrame, out: str = "float_provenance") -> DataFrame:
+        """``rows`` with the hit, a struct<fired, reasons>."""
+        scored = boosted_probability(rows, self.model, self.features, "__probability")
+        return scored.withColumn(out, probability_rule(F.col("__probability"), self.threshold)).drop("__probability")
+
+
 def probability_rule(probability_: Column, threshold: float) -> Column:
     """A hit where the probability exceeds the threshold."""
     fired = F.coalesce(probability_ > threshold, F.lit(False))

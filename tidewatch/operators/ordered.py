@@ -1,7 +1,8 @@
 """Global order without a global sort in one task.
 
 Rows get a dense index from their time slice's offset and their place in it; row frames of bounded length work on blocks of
-consecutive indices, each with a halo of the rows just before it; running totals add the totals of the blocks before.
+consecutive indices, each with a halo of the rows just before it; running totals, least totals and last values compose over
+blocks, within keys too.
 """
 
 from __future__ import annotations
@@ -59,6 +60,64 @@ def running_sum(df: DataFrame, index: str, value: Column, out: str, *, block: in
     return rows.withColumn(out, F.sum("__value").over(inside)).join(totals, "__block").withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.col("__before")).drop("__block", "__value", "__before")
 
 
+def carried(df: DataFrame, keys: list[str], index: str, value: Column, out: str, *, strict: bool = False, block: int = BLOCK) -> DataFrame:
+    """``df`` with the last ``value`` that is not null among a key's rows up to the current one, or before it if ``strict``.
+
+    A key's rows are dealt to blocks of the index; every block also gets the last value of the blocks before, so a key with
+    most of the rows is not one task.
+    """
+    rows = df.withColumns({"__block": F.floor((F.col(index) - 1) / block), "__value": value})
+    ends = rows.groupBy(*keys, "__block").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(index))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    ends = ends.withColumn("__end", F.last("__end", ignorenulls=True).over(before))
+    inside = Window.partitionBy(*keys, "__block").orderBy(index).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    rows = rows.withColumn("__last", F.last("__value", ignorenulls=True).over(inside)).join(ends, [*keys, "__block"])
+    return rows.withColumn(out, F.coalesce("__last", "__end")).drop("__block", "__value", "__last", "__end")
+
+
+def accumulated(df: DataFrame, keys: list[str], index: str, value: Column, total: str, least: str, *, block: int = BLOCK) -> DataFrame:
+    """``df`` with a key's sum of ``value`` up to the current row (nulls count 0), and the least such sum so far.
+
+    Sums and least sums of blocks of the index compose, so a key with most of the rows is not one task.
+    """
+    rows = df.withColumns({"__acc_block": F.floor((F.col(index) - 1) / block), "__acc_value": F.coalesce(value, F.lit(0.0))})
+    inside = Window.partitionBy(*keys, "__acc_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__acc_sum", F.sum("__acc_value").over(inside)).withColumn("__acc_least", F.min("__acc_sum").over(inside))
+    ends = rows.groupBy(*keys, "__acc_block").agg(F.max_by("__acc_sum", index).alias("__acc_total"), F.min("__acc_sum").alias("__acc_low"))
+    before = Window.partitionBy(*keys).orderBy("__acc_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    ends = ends.withColumn("__acc_before", F.coalesce(F.sum("__acc_total").over(before), F.lit(0.0)))
+    ends = ends.withColumn("__acc_lowest", F.min(F.col("__acc_before") + F.col("__acc_low")).over(before))
+    rows = rows.join(ends.select(*keys, "__acc_block", "__acc_before", "__acc_lowest"), [*keys, "__acc_block"])
+    rows = rows.withColumns({total: F.col("__acc_before") + F.col("__acc_sum"), least: F.least(F.col("__acc_before") + F.col("__acc_least"), "__acc_lowest")})
+    return rows.drop("__acc_block", "__acc_value", "__acc_sum", "__acc_least", "__acc_before", "__acc_lowest")
+
+
+#: Slices that a key's values are cut into for an ordered pass.
+SLICES = 64
+
+
+def cumulated(counts: DataFrame, keys: list[str], value: str, sums: dict[str, Column], *, descending: bool = False, slices: int = SLICES) -> DataFrame:
+    """``counts`` (a row for each key and distinct ``value``) with sums over a key's values up to the current one, itself included.
+
+    Values are cut at their approximate quantiles, each slice is summed in order by itself, and slices add the totals of those
+    before: no task holds all values of a key.  Null and NaN values come as Spark orders them.
+    """
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000).alias("__cuts"))
+    rows = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))  # one row
+    before_all = F.col(value).isNull()
+    place = F.when(before_all, -1).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(value))))
+    rows = rows.withColumn("__slice", -place if descending else place).drop("__cuts")
+    rows = rows.withColumns({f"__v_{n}": c for n, c in sums.items()})
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
+    inside = Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    rows = rows.withColumns({n: F.sum(f"__v_{n}").over(inside) for n in sums})
+    ends = rows.groupBy(*keys, "__slice").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    ends = ends.select(*keys, "__slice", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums])
+    rows = rows.join(ends, [*keys, "__slice"]).withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in sums})
+    return rows.drop("__slice", *[f"__{x}_{n}" for x in ("v", "b") for n in sums])
+
+
 def assert_monotonic(df: DataFrame, index: str, ts: str, *, block: int = BLOCK) -> DataFrame:
     """``df``; an error when a row's time is before that of the row before it in index order."""
     back = F.lag(ts).over(over(index))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ordered
+from ..functions import frame_bytes
+from . import joins, ordered
 
 #: Taken off every scaled deviation before it adds to the cumulative sum.
 ALLOWANCE = 0.5
@@ -19,21 +20,26 @@ def _at(back: int = 1) -> tuple:
 
 
 def normal_gaps(frames: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Positive gaps between frames of a type, over stretches of frames in normal buckets: (function_code, gap_us).
+    """Positive gaps between frames of a type, over stretches of frames in normal buckets: (function_code, bucket, gap_us).
 
-    ``frames`` has position, bucket, ts_us and function_code, ``buckets`` (bucket, normal); a frame in another bucket ends all
-    stretches.
+    ``frames`` has position, bucket, ts_us and function_code, ``buckets`` (bucket, normal) and perhaps ``segment``; a frame in
+    another bucket, or a new segment, ends all stretches.
     """
     rows = frames.join(buckets, "bucket", "left").withColumn("broken", (~F.coalesce("normal", F.lit(False))).cast("int"))
     rows = ordered.running_sum(rows, "position", F.col("broken"), "epoch").where("broken = 0")
-    before = Window.partitionBy("epoch", "function_code").orderBy("position")
-    return rows.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(before)).where("gap_us > 0").select("function_code", "bucket", "gap_us")
+    stretch = ["epoch", "segment"] if "segment" in buckets.columns else ["epoch"]
+    rows = ordered.carried(rows, ["function_code"], "position", F.struct("ts_us", *stretch), "before", strict=True)
+    same = F.lit(True)
+    for c in stretch:
+        same = same & (F.col(c) == F.col(f"before.{c}"))
+    rows = rows.withColumn("gap_us", F.when(same, F.col("ts_us") - F.col("before.ts_us")))
+    return rows.where("gap_us > 0").select("function_code", "bucket", "gap_us")
 
 
-def baselines(gaps: DataFrame, key: str = "function_code", value: str = "gap") -> DataFrame:
+def baselines(gaps: DataFrame, key: str | tuple[str, ...] = "function_code", value: str = "gap") -> DataFrame:
     """Count, mean, median, population deviation, its ratio to the mean, and the scale of scores."""
     mean, std = F.avg(value), F.stddev_pop(value)
-    return gaps.groupBy(key).agg(F.count("*").alias("n"), mean.alias("expected"), F.median(value).alias("median"), std.alias("std"), F.try_divide(std, mean).alias("cv"), F.greatest(std, F.lit(1e-6), 0.01 * mean).alias("scale"))
+    return gaps.groupBy(*([key] if isinstance(key, str) else key)).agg(F.count("*").alias("n"), mean.alias("expected"), F.median(value).alias("median"), std.alias("std"), F.try_divide(std, mean).alias("cv"), F.greatest(std, F.lit(1e-6), 0.01 * mean).alias("scale"))
 
 
 def gap_values(gap: Column, expected: Column, scale: Column) -> dict[str, Column]:
@@ -44,60 +50,71 @@ def gap_values(gap: Column, expected: Column, scale: Column) -> dict[str, Column
     return {"deviation": deviation, "positive_deviation": positive, "positive_z": positive / scale, "missed_cycles": known(F.rint(gap / expected) - 1)}
 
 
-def cusum(events: DataFrame, fitted: DataFrame, *, allowance: float = ALLOWANCE, key: str = "function_code") -> DataFrame:
+def cusum(events: DataFrame, fitted: DataFrame, *, allowance: float = ALLOWANCE, key: str = "function_code", within: tuple[str, ...] = ()) -> DataFrame:
     """Every event of a fitted type with its gap's values and the state after it: state = max(0, state + z - allowance).
 
     In closed form, the state is the running sum less its running minimum, or 0 if that is smaller.  Gaps of 0 or less leave
-    it as it is.  Types are few; each is one ordered window, cut by ``segment`` where the input has that column.
+    it as it is.  A type's events are one sequence, cut by ``segment`` where the input has that column; sequences are dealt
+    to blocks.  ``within`` are more keys of sequences and of the fit, as of folds.
     """
-    keys = [key, "segment"] if "segment" in events.columns else [key]
-    order = Window.partitionBy(*keys).orderBy("position")
-    rows = events.join(F.broadcast(fitted.select(key, "expected", "scale")), key).withColumn("gap", (F.col("ts_us") - F.lag("ts_us").over(order)) / 1e6)
+    own = [*within, key]
+    keys = [*own, "segment"] if "segment" in events.columns else own
+    rows = events.join(fitted.select(*own, "expected", "scale"), own)
+    rows = ordered.carried(rows, keys, "position", F.col("ts_us"), "__before", strict=True)
+    rows = rows.withColumn("gap", (F.col("ts_us") - F.col("__before")) / 1e6).drop("__before")
     rows = rows.withColumn("gap", F.when(F.col("gap") > 0, F.col("gap"))).withColumns(gap_values(F.col("gap"), F.col("expected"), F.col("scale")))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("total", F.coalesce(F.sum(F.col("positive_z") - allowance).over(upto), F.lit(0.0)))
-    state = F.col("total") - F.least(F.lit(0.0), F.min("total").over(upto))
-    return rows.withColumn("cusum", state).drop("total", "expected", "scale")
+    rows = ordered.accumulated(rows, keys, "position", F.col("positive_z") - allowance, "__total", "__least")
+    return rows.withColumn("cusum", F.col("__total") - F.least(F.lit(0.0), "__least")).drop("__total", "__least", "expected", "scale")
+
 
+def cusum_reset(events: DataFrame, fitted: DataFrame, thresholds: DataFrame, *, allowance: float = ALLOWANCE, key: str = "function_code", block: int = ordered.BLOCK) -> DataFrame:
+    """As :func:`cusum`, but the state returns to 0 after an alarm and where ``segment`` changes.
 
-def cusum_reset(events: DataFrame, fitted: DataFrame, thresholds: DataFrame, *, allowance: float = ALLOWANCE, key: str = "function_code") -> DataFrame:
-    """As :func:`cusum`, but the state returns to 0 after an alarm and where ``segment`` changes; its course needs one pass in order."""
+    Resets only lower the state, so wherever the plain state is 0 this one is 0 too: the events between two such places are
+    replayed in order by themselves, those that begin in one block of positions in one task.
+    """
     fields = events.schema
-    rows = events.join(F.broadcast(fitted.select(key, "expected", "scale")), key).join(F.broadcast(thresholds.select(key, "threshold")), key)
+    keys = [key, "segment"] if "segment" in events.columns else [key]
+    rows = cusum(events, fitted, allowance=allowance, key=key).join(fitted.select(key, "expected", "scale"), key).join(thresholds.select(key, "threshold"), key)
+    rows = ordered.carried(rows, keys, "position", F.when(F.col("cusum") == 0, F.col("position")), "__zero", strict=True)
+    rows = rows.withColumn("__part", F.floor(F.coalesce("__zero", F.lit(0)) / block))
 
     def run(pdf):
         pdf = pdf.sort_values("position")
-        state, last, out = 0.0, None, []
-        for ts, expected, scale, threshold in zip(pdf["ts_us"], pdf["expected"], pdf["scale"], pdf["threshold"], strict=True):
-            gap = (ts - last) / 1e6 if last is not None else 0.0
+        state, zero, out = 0.0, None, []
+        for gap, expected, scale, threshold, at in zip(pdf["gap"], pdf["expected"], pdf["scale"], pdf["threshold"], pdf["__zero"], strict=True):
+            if at != zero and at == at:
+                state, zero = 0.0, at
             alarm = False
             if gap > 0:
                 state = max(0.0, state + max(0.0, gap - expected) / scale - allowance)
-                alarm = state >= threshold
+                alarm = state >= threshold - 1e-9  # thresholds are states too, summed in another order
             out.append((state, float(alarm), 0.0 if alarm else state))
             state = 0.0 if alarm else state
-            last = ts
         pdf["cusum"], pdf["alarm"], pdf["cusum_end"] = (list(x) for x in zip(*out, strict=True))
         return pdf[[*fields.names, "cusum", "alarm", "cusum_end"]]
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", cusum double, alarm double, cusum_end double"
-    keys = [key, "segment"] if "segment" in events.columns else [key]
-    return rows.groupBy(*keys).applyInPandas(run, kinds)
+    return rows.groupBy(*keys, "__part").applyInPandas(run, kinds)
 
 
 def higher_quantile(values: DataFrame, column: str, q: float, keys: list[str]) -> DataFrame:
-    """The value at the place ceil((n - 1) q) of each group, from 0 in ascending order."""
-    order = Window.partitionBy(*keys).orderBy(column)
-    placed = values.withColumns({"__at": F.row_number().over(order) - 1, "__n": F.count("*").over(Window.partitionBy(*keys))})
-    return placed.where(F.col("__at") == F.ceil((F.col("__n") - 1) * q)).select(*keys, F.col(column).alias("quantile"))
+    """The value at the place ceil((n - 1) q) of each group, from 0 in ascending order: found among counts of distinct values."""
+    counts = values.groupBy(*keys, column).agg(F.count("*").alias("__n"))
+    placed = ordered.cumulated(counts, keys, column, {"__upto": F.col("__n")})
+    n = values.groupBy(*keys).agg(F.count("*").alias("__all"))
+    reached = F.col("__upto") > F.ceil((F.col("__all") - 1) * q)
+    return placed.join(n, keys).where(reached).groupBy(*keys).agg(F.min(column).alias("quantile"))
 
 
-def cusum_thresholds(events: DataFrame, buckets: DataFrame, q: float = 0.99, least: float = ALLOWANCE, key: str = "function_code") -> DataFrame:
+def cusum_thresholds(events: DataFrame, buckets: DataFrame, q: float = 0.99, least: float = ALLOWANCE, key: str = "function_code", within: tuple[str, ...] = ()) -> DataFrame:
     """For each type the q-quantile (the higher neighbour) of the largest states of ``buckets``, 0 for those without an event."""
-    most = events.groupBy("bucket", key).agg(F.max("cusum").alias("most"))
-    every = buckets.select("bucket").crossJoin(F.broadcast(events.select(key).distinct()))  # a few types for each bucket
-    found = every.join(most, ["bucket", key], "left").withColumn("most", F.coalesce("most", F.lit(0.0)))
-    return higher_quantile(found, "most", q, [key]).select(key, F.greatest("quantile", F.lit(least)).alias("threshold"))
+    own = [*within, key]
+    most = events.groupBy("bucket", *own).agg(F.max("cusum").alias("most"))
+    types = events.select(*own).distinct()  # a few types
+    every = buckets.select("bucket", *within).join(types, list(within)) if within else buckets.select("bucket").crossJoin(types)
+    found = every.join(most, ["bucket", *own], "left").withColumn("most", F.coalesce("most", F.lit(0.0)))
+    return higher_quantile(found, "most", q, own).select(*own, F.greatest("quantile", F.lit(least)).alias("threshold"))
 
 
 def cadence_windows(events: DataFrame, thresholds: DataFrame, buckets: DataFrame, codes: tuple[int, ...] = (3, 16)) -> DataFrame:
@@ -248,6 +265,44 @@ def distribution(buffers: DataFrame, low: float, high: float, reference: list[fl
     return rows.withColumn("wasserstein", distance("buffer"))
 
 
+#: Names of the features of :func:`window_rows` by family. Fixed values.
+ROW_FEATURES = {
+    "F1": ["last_pressure", "abs_delta_predecessor", "step_rate"],
+    "F2": ["exponent", "mantissa_low_bits", "trailing_zero_bits", "ulp_distance_to_train_normal", "quantization_distance", "adc_lattice_distance", "mantissa_entropy_local"],
+    "F3": ["q01", "q05", "q10", "q25", "q50", "q75", "q90", "q95", "q99", "iqr_10_90", "iqr_25_75", "skewness", "kurtosis", "unique_count", "repetition_rate", "entropy", "histogram_occupancy", "max_gap", "wasserstein_to_train_normal"],
+}
+ROW_FEATURES["combined"] = [*ROW_FEATURES["F1"], *ROW_FEATURES["F2"], *ROW_FEATURES["F3"]]
+#: Candidate grids of readings, and readings in a trailing buffer. Fixed values.
+QUANTIZATION_STEPS = [0.001, 0.01, 0.1, 0.5, 1.0]
+LATTICE_STEPS = [0.0625, 0.125, 0.25]
+BUFFER = 30
+
+
+def float_rows(series: DataFrame, reference: DataFrame, buffer: int = BUFFER) -> DataFrame:
+    """(bucket, features F1 and F2, buffer) of each bucket's last reading; a bucket without a reading has no row.
+
+    ``reference`` has the normal readings; distances to the nearest of them are null where there are none.
+    """
+    rows = ordered.with_frame(step_rates(series), "position", buffer - 1, {"buffer": F.collect_list("pressure").over(ordered.over("position", -(buffer - 1), 0))})
+    last = rows.groupBy("bucket").agg(F.max_by(F.struct("pressure", "p_before", "rate", "buffer"), "position").alias("x")).select("bucket", "x.*")
+    last = joins.nearest(last, reference.select("pressure"), "pressure", slice_=1)
+    parts = frame_bytes.double_parts(F.col("pressure"))
+    low = lambda v: frame_bytes.double_parts(v)["mantissa"].bitwiseAND(255)
+    last = last.withColumns({"__parts": parts, "__low": F.transform("buffer", low)})
+    return last.select(
+        "bucket", F.col("pressure").alias("last_pressure"), F.coalesce(F.abs(F.col("pressure") - F.col("p_before")), F.lit(0.0)).alias("abs_delta_predecessor"), F.coalesce("rate", F.lit(0.0)).alias("step_rate"),
+        F.col("__parts.exponent").cast("double").alias("exponent"), F.col("__parts.mantissa").bitwiseAND(255).cast("double").alias("mantissa_low_bits"), frame_bytes.trailing_zeros(F.col("__parts.mantissa")).cast("double").alias("trailing_zero_bits"),
+        F.abs(F.col("pressure") - F.col("match")).alias("ulp_distance_to_train_normal"), frame_bytes.grid_distance(F.col("pressure"), QUANTIZATION_STEPS).alias("quantization_distance"), frame_bytes.grid_distance(F.col("pressure"), LATTICE_STEPS).alias("adc_lattice_distance"),
+        F.when(F.size("buffer") >= 2, frame_bytes.entropy(F.col("__low"))).otherwise(0.0).alias("mantissa_entropy_local"), "buffer",
+    )
+
+
+def window_rows(series: DataFrame, reference: DataFrame, low: float, high: float, sample: list[float], buffer: int = BUFFER) -> DataFrame:
+    """The full feature row of each bucket with a reading: F1, F2, and the distribution features F3 of its trailing buffer."""
+    rows = distribution(float_rows(series, reference, buffer), low, high, sample).withColumnRenamed("wasserstein", "wasserstein_to_train_normal")
+    return rows.select("bucket", *ROW_FEATURES["combined"])
+
+
 def _quantile(values: Column, p: float) -> Column:
     """Linear quantile of an ascending array."""
     at = (F.size(values) - 1) * F.lit(p)

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from . import ordered
+
 #: Effect grades: below each bound. Fixed values.
 GRADES = ((0.2, "negligible"), (0.5, "small"), (0.8, "medium"))
 
@@ -54,11 +57,23 @@ def cohens_d(rows: DataFrame, group: str, value: str = "value", keys: tuple[str,
     return got.withColumn("d", d).withColumn("grade", grade(F.col("d")))
 
 
+def counted_ranks(rows: DataFrame, value: str, keys: list[str], **counts: Column) -> DataFrame:
+    """A row for each key and distinct value: ``counts`` of its rows, and ``rank``, the mean of the ranks that they share, from 1."""
+    got = rows.groupBy(*keys, value).agg(F.count("*").alias("__n"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+    got = ordered.cumulated(got, keys, value, {"__upto": F.col("__n")})
+    return got.withColumn("rank", F.col("__upto") - (F.col("__n") - 1) / 2).drop("__upto", "__n")
+
+
 def average_ranks(rows: DataFrame, value: str, keys: list[str], out: str = "rank") -> DataFrame:
-    """``rows`` with ranks from 1, equal values sharing the mean of their ranks."""
-    by = Window.partitionBy(*keys)
-    # no join on the values: sums of doubles may differ in their last digit when they are made twice
-    return rows.withColumn(out, F.rank().over(by.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)
+    """``rows`` with ranks from 1, equal values sharing the mean of their ranks.
+
+    Ranks are found among counts of distinct values; ``rows`` should be written, so that both uses see the same values.
+    """
+    ranks = counted_ranks(rows, value, keys).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__value"), F.col("rank").alias(out))
+    same = F.col(value).eqNullSafe(F.col("__value"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(ranks, same).drop("__value", *[f"__k{i}" for i in range(len(keys))])
 
 
 def correlations(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -67,16 +82,16 @@ def correlations(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    ranked = average_ranks(average_ranks(long, "x", ["a", "b"], "rx"), "y", ["a", "b"], "ry")
+    long = written(long, "pairs")
+    ranked = average_ranks(written(average_ranks(long, "x", ["a", "b"], "rx"), "ranks"), "y", ["a", "b"], "ry")
     varied = lambda c: F.stddev_pop(c) > 0
     return ranked.groupBy("a", "b").agg(F.when(varied("x") & varied("y"), F.corr("x", "y")).alias("pearson"), F.when(varied("rx") & varied("ry"), F.corr("rx", "ry")).alias("spearman"))
 
 
 def mann_whitney(rows: DataFrame, group: str, value: str = "value", keys: tuple[str, ...] = ("feature",)) -> DataFrame:
     """U of the true group and its two-sided p by the tie-corrected normal approximation with continuity correction."""
-    ranked = average_ranks(rows, value, list(keys))
-    on = F.col(group)
-    got = ranked.groupBy(*keys).agg(F.count_if(on).alias("n"), F.count_if(~on).alias("m"), F.sum(F.when(on, F.col("rank"))).alias("ranks"))
+    ranked = counted_ranks(rows, value, list(keys), __a=F.col(group), __b=~F.col(group))
+    got = ranked.groupBy(*keys).agg(F.sum("__a").alias("n"), F.sum("__b").alias("m"), F.sum(F.col("__a") * F.col("rank")).alias("ranks"))
     ties = rows.groupBy(*keys, value).agg(F.count("*").cast("double").alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     got = got.join(ties, list(keys)).withColumn("u", F.col("ranks") - n * (n + 1) / 2)
@@ -96,9 +111,11 @@ def _two_sided(z: Column) -> Column:
 def kolmogorov_smirnov(rows: DataFrame, group: str, value: str = "value", keys: tuple[str, ...] = ("feature",)) -> DataFrame:
     """The largest distance of the two groups' distribution functions."""
     counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(group)).alias("__a"), F.count_if(~F.col(group)).alias("__b"))
-    order, every = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
-    far = F.abs(F.sum("__a").over(order) / F.sum("__a").over(every) - F.sum("__b").over(order) / F.sum("__b").over(every))
-    return counts.withColumn("__far", far).groupBy(*keys).agg(F.max("__far").alias("ks"))
+    placed = ordered.cumulated(counts, list(keys), value, {"__upto_a": F.col("__a"), "__upto_b": F.col("__b")})
+    n = counts.groupBy(*keys).agg(F.sum("__a").alias("__all_a"), F.sum("__b").alias("__all_b"))
+    placed = placed.join(n, list(keys)) if keys else placed.crossJoin(F.broadcast(n))  # one row
+    far = F.abs(F.col("__upto_a") / F.col("__all_a") - F.col("__upto_b") / F.col("__all_b"))
+    return placed.groupBy(*keys).agg(F.max(far).alias("ks"))
 
 
 def summary(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -169,9 +186,9 @@ def cooccurrence(windows: DataFrame, category: int) -> DataFrame:
 
 def roc_auc(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the receiver operating curve, from average ranks."""
-    ranked = average_ranks(scores.withColumn("__one", F.lit(1)), score, ["__one"])
     on = F.col(label) == 1
-    got = ranked.agg(F.count_if(on).alias("n"), F.count_if(~on).alias("m"), F.sum(F.when(on, F.col("rank"))).alias("ranks"))
+    ranked = counted_ranks(scores, score, [], __a=on, __b=~on)
+    got = ranked.agg(F.sum("__a").alias("n"), F.sum("__b").alias("m"), F.sum(F.col("__a") * F.col("rank")).alias("ranks"))
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     return got.select(((F.col("ranks") - n * (n + 1) / 2) / (n * m)).alias("roc_auc"), "n", "m")
 
@@ -179,7 +196,7 @@ def roc_auc(scores: DataFrame, label: str = "label", score: str = "score") -> Da
 def average_precision(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the precision-recall curve: the sum over thresholds of precision times the gain in recall."""
     counts = scores.groupBy(score).agg(F.sum(label).alias("__p"), F.count("*").alias("__n"))
-    order = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct score
     total = counts.agg(F.sum("__p").alias("__all"))
-    rows = counts.withColumns({"__tp": F.sum("__p").over(order), "__at": F.sum("__n").over(order)}).crossJoin(F.broadcast(total))
+    placed = ordered.cumulated(counts, [], score, {"__tp": F.col("__p"), "__at": F.col("__n")}, descending=True)
+    rows = placed.crossJoin(F.broadcast(total))  # one row
     return rows.agg(F.sum(F.col("__tp") / F.col("__at") * F.col("__p") / F.col("__all")).alias("average_precision"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.frame_bytes import entropy
 from ..operators import evaluate, explain, models, rules, splits, stats, windows
 from ..sources.frames import CATEGORIES, event_frames
+from ..sources.scratch import written
 from .registry import BLOCKS, FRAMES, HOUR, WINDOWS, query, r, rounded, windows_sql
 
 FEATURES = list(windows.FEATURES)
@@ -28,7 +29,8 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.contiguous(hourly(spark, sf_dir))
+    """The windows with their blocks, written once: numbering, fits and scores all read them."""
+    return written(splits.contiguous(written(hourly(spark, sf_dir), "windows")), "blocks")
 
 
 def normal(blocks: DataFrame) -> DataFrame:
@@ -83,8 +85,8 @@ def ruled(spark: SparkSession, sf_dir: str, z: list[str] | None = None) -> DataF
 
     The state of rules and scores comes from one pass over the normal windows.
     """
-    ranges = windows.pressure_range(egress(spark, sf_dir).drop("bucket"), HOUR)
-    rows = blocked(spark, sf_dir).join(ranges, "bucket", "left")
+    ranges = windows.pressure_range(event_frames(spark, sf_dir, numbered=False).where("destination = 1"), HOUR)
+    rows = written(blocked(spark, sf_dir).join(ranges, "bucket", "left"), "ranges")
     out = rules.apply_all(rows, normal(rows).agg(*rules.fit_columns(), *stats.z_columns(z or [])))
     if z:
         out = out.withColumns({f"z_{c}": (F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}") for c in z}).drop(*[f"{p}_{c}" for p in ("mu", "sd") for c in z])

@@ -11,8 +11,8 @@ from .registry import HOUR, query
 from .series_plans import labelled
 
 _X = ["packet_count", "bytes_per_sec", "mean_frame_len", "iat_mean", "iat_std", "frac_func_read", "distinct_frame_ratio", "payload_entropy_mean"]
-#: Trees of the query forests; operators default to more.
-_TREES, _ROUNDS = 30, 15
+#: Trees of the query forests, as published.
+_TREES = 300
 
 
 def data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +32,8 @@ def q_forest(spark, sf_dir):
 @query("boosted_trees")
 def q_boosted(spark, sf_dir):
     rows = data(spark, sf_dir)
-    return _tested(rows, models.boosted(rows.where("block = 'train'"), _X, "label", rounds=_ROUNDS))
-
-
-@query("probability_rule")
-def q_rule(spark, sf_dir):
-    scored = q_boosted(spark, sf_dir)
-    return scored.select("bucket", models.probability_rule(F.col("probability"), 0.7).alias("hit")).select("bucket", "hit.fired", F.array_join("hit.reasons", ";").alias("reasons"))
+    model = models.fit_boosted(rows.where("block = 'train'"), _X, "label", "bucket")
+    return models.boosted_probability(rows.where("block = 'test'").select("bucket", "label", *_X), model, _X).select("bucket", "label", "probability")
 
 
 @query("model_ensemble")
@@ -92,7 +87,7 @@ def q_scores(spark, sf_dir):
     normal = rows.where("block = 'train' and label = 0")
     z = stats.z_scores(rows, stats.z_fit(normal, _X), _X)
     names = [f"z_{c}" for c in _X]
-    forest = models.fit_forest(z.where("block = 'train' and label = 0"), names, "bucket", trees=100)
+    forest = models.fit_forest(z.where("block = 'train' and label = 0"), names, "bucket")
     return models.forest_scores(z, forest, names).select("bucket", "block", "label", "if_score")
 
 
@@ -106,7 +101,7 @@ def q_layer(spark, sf_dir):
     rows = rows.withColumn("label", cohort).select("bucket", "block", "label", *_X)
     names = [f"z_{c}" for c in _X]
     z = stats.z_scores(rows, stats.z_fit(rows.where("block = 'train' and label = 0"), _X), _X)
-    forest = models.fit_forest(z.where("block = 'train' and label = 0"), names, "bucket", trees=100)
+    forest = models.fit_forest(z.where("block = 'train' and label = 0"), names, "bucket")
     scored = models.forest_scores(z, forest, names)
     cut = scored.where("block = 'validation' and label = 0").agg(F.percentile("if_score", F.lit(0.99)).alias("threshold"))
     test = scored.where("block = 'test' and label is not null").crossJoin(F.broadcast(cut))
@@ -124,8 +119,8 @@ def q_fingerprints(spark, sf_dir):
 
 def _shapes(spark, sf_dir, method: str) -> DataFrame:
     rows = labelled(spark, sf_dir)
-    known = similarity.library(similarity.subsequences(rows, 5, keep="normal"), 100)
-    subs = similarity.subsequences(rows, 5)
+    known = similarity.library(similarity.subsequences(rows, 15, keep="normal"))
+    subs = similarity.subsequences(rows, 15)
     return similarity.nearest_shape(subs, known, method) if len(known) else subs.select("bucket", F.lit(None).cast("double").alias("distance"))
 
 
@@ -152,44 +147,3 @@ def q_floods(spark, sf_dir):
             one = made.crossJoin(F.broadcast(limit)).agg(F.lit(profile).alias("profile"), F.lit(times).alias("times"), F.count("*").alias("n"), F.count_if(F.col("packets_per_sec") > F.col("max_rate")).alias("n_fired"))
             out = one if out is None else out.unionByName(one)
     return out
-
-
-@query("leave_one_run_out")
-def q_loro(spark, sf_dir):
-    """Recall of held-out attack runs by the nearest-mean score of what remains: mean, spread, and whether it depends on the run."""
-    from .stats_plans import episodes
-
-    runs = episodes(spark, sf_dir)
-    rows = data(spark, sf_dir).join(runs, "bucket", "left").select("bucket", "label", "run", *_X)
-
-    def hold(pdf):
-        import numpy as np
-        import pandas as pd
-
-        x, y, run = pdf[_X].to_numpy(float), pdf["label"].to_numpy(), pdf["run"].to_numpy()
-        sd = np.where(x.std(0) > 0, x.std(0), 1.0)
-        out = []
-        for r in np.unique(run[~np.isnan(run)]):
-            own = run == r
-            if own.sum() < 2 or ((y == 1) & ~own).sum() < 5:
-                continue
-            a, b = x[(y == 1) & ~own].mean(0), x[y == 0].mean(0)
-            near = (((x[own] - a) / sd) ** 2).sum(1) < (((x[own] - b) / sd) ** 2).sum(1)
-            out.append((int(r), int(own.sum()), float(near.mean())))
-        return pd.DataFrame(out, columns=["run", "n", "recall"])
-
-    # windows of one labelled training span, a row for each: a bounded table
-    got = rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(hold, "run long, n long, recall double")
-    return got.agg(F.count("*").alias("n_runs"), F.avg("recall").alias("mean_recall"), F.stddev_pop("recall").alias("std_recall"), (F.stddev_pop("recall") > 0.25).alias("run_dependent"))
-
-
-@query("family_probe")
-def q_family(spark, sf_dir):
-    """Boosted trees at a validation threshold for 5 % false alarms, against labels permuted by run: recall and verdict."""
-    rows = data(spark, sf_dir)
-    model = models.boosted(rows.where("block = 'train'"), _X, "label", rounds=_ROUNDS)
-    val = models.probability(rows.where("block = 'validation'").select("bucket", "label", *_X), model, _X)
-    fit = evaluate.fit_threshold(val.where("label = 0"), "probability", 0.05)
-    test = _tested(rows, model).crossJoin(F.broadcast(fit))
-    out = evaluate.confusion(test, F.col("label") == 1, F.col("probability") > F.col("threshold"))
-    return out.withColumn("verdict", evaluate.verdict(F.col("recall"), F.col("fpr"), F.col("precision")))

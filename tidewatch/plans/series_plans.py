@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ordered, series, windows
+from ..sources.frames import event_frames
+from ..sources.scratch import written
 from .detector import blocked, egress
 from .registry import BLOCKS, HOUR, SERIES, query, r, rounded
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = egress(spark, sf_dir).where("pressure is not null").select("ts_us", "record_index", "bucket", "pressure")
-    return ordered.indexed(rows, "ts_us", "record_index", out="position").drop("record_index")
+    rows = event_frames(spark, sf_dir).where("destination = 1 and pressure is not null").select("ts_us", "record_index", windows.bucket("ts_us", HOUR).alias("bucket"), "pressure")
+    return written(ordered.indexed(rows, "ts_us", "record_index", out="position").drop("record_index"), "readings")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readings with ``normal``: their window is a normal one of the training block."""
     b = blocked(spark, sf_dir).select("bucket", (F.coalesce((F.col("block") == "train") & (F.col("is_attack") == 0), F.lit(False))).alias("normal"))
-    return readings(spark, sf_dir).join(b, "bucket", "left").withColumn("normal", F.coalesce("normal", F.lit(False)))
+    return written(readings(spark, sf_dir).join(b, "bucket", "left").withColumn("normal", F.coalesce("normal", F.lit(False))), "labelled")
 
 
 LABELLED = BLOCKS + "," + SERIES + """,
@@ -40,14 +42,21 @@ most AS (SELECT b.bucket, k.function_code, coalesce(max(cusum), 0) AS most FROM
 limits AS (SELECT function_code, greatest(0.5, max(most) FILTER (spot = ceil((n - 1) * 0.99))) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY function_code ORDER BY most) - 1 AS spot, count(*) OVER (PARTITION BY function_code) AS n FROM most) GROUP BY function_code)"""
 
 
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Egress frames of the two regular types in order."""
+    rows = event_frames(spark, sf_dir).where("destination = 1 and function_code in (3, 16)")
+    rows = rows.select("ts_us", "record_index", windows.bucket("ts_us", HOUR).alias("bucket"), "function_code")
+    return written(ordered.indexed(rows, "ts_us", "record_index", out="position"), "responses")
+
+
 def cadence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(blocks, baselines, events with their state, thresholds)."""
     b = blocked(spark, sf_dir)
     marks = b.select("bucket", "block", ((F.col("block") == "train") & (F.col("is_attack") == 0)).alias("normal"))
-    stream = ordered.indexed(egress(spark, sf_dir).where("function_code in (3, 16)").select("ts_us", "record_index", "bucket", "function_code"), "ts_us", "record_index", out="position")
+    stream = responses(spark, sf_dir)
     gaps = series.normal_gaps(stream, marks.select("bucket", "normal")).withColumn("gap", F.col("gap_us") / 1e6)
-    base = series.baselines(gaps)
-    events = series.cusum(stream.join(marks.where("block in ('train', 'validation')").select("bucket", "block"), "bucket"), base)
+    base = written(series.baselines(gaps), "baselines")
+    events = written(series.cusum(stream.join(marks.where("block in ('train', 'validation')").select("bucket", "block"), "bucket"), base), "cusum")
     limits = series.cusum_thresholds(events.where("block = 'train'"), marks.where("normal"))
     return b, base, events, limits
 
@@ -86,11 +95,20 @@ def q_cadence(spark, sf_dir):
     return rounded(out.select("bucket", *[f"func_{c}_{n}" for c in ("03", "10") for n in _TYPED], "active_type_count"))
 
 
-@query("cusum_with_reset")
+_RESET = CADENCE.replace("WITH ", "") + """,
+seq AS (SELECT s.function_code, s.block AS segment, s.position, s.ts_us, (s.ts_us - lag(s.ts_us) OVER w) / 1e6 AS gap, s.expected, s.scale, threshold, row_number() OVER w AS k FROM states s JOIN limits USING (function_code) WINDOW w AS (PARTITION BY s.function_code, s.block ORDER BY s.position)),
+zed AS (SELECT *, CASE WHEN gap > 0 THEN greatest(0, gap - expected) / scale - 0.5 END AS push FROM seq),
+run AS (SELECT function_code, segment, position, ts_us, k, 0.0::DOUBLE AS cusum, 0.0::DOUBLE AS alarm, 0.0::DOUBLE AS cusum_end FROM zed WHERE k = 1
+  UNION ALL SELECT z.function_code, z.segment, z.position, z.ts_us, z.k, CASE WHEN push IS NULL THEN cusum_end ELSE greatest(0, cusum_end + push) END,
+    (push IS NOT NULL AND greatest(0, cusum_end + push) >= threshold - 1e-9)::INT::DOUBLE, CASE WHEN push IS NULL THEN cusum_end WHEN greatest(0, cusum_end + push) >= threshold - 1e-9 THEN 0 ELSE greatest(0, cusum_end + push) END
+  FROM run r JOIN zed z ON z.function_code = r.function_code AND z.segment = r.segment AND z.k = r.k + 1)"""
+
+
+@query("cusum_with_reset", f"WITH RECURSIVE {_RESET} SELECT function_code, segment, position, ts_us, {r('cusum', 'cusum_end')}, alarm FROM run")
 def q_reset(spark, sf_dir):
     _, base, events, limits = cadence(spark, sf_dir)
-    rows = events.select("function_code", "position", "ts_us", F.col("block").alias("segment"))
-    return series.cusum_reset(rows, base, limits)
+    rows = events.select("function_code", F.col("position").cast("long").alias("position"), "ts_us", F.col("block").alias("segment"))
+    return rounded(series.cusum_reset(rows, base, limits))
 
 
 @query("pressure_ranges", f"WITH {BLOCKS} SELECT bucket, min(pressure) AS p_min, max(pressure) AS p_max, count(*) AS p_count FROM egress WHERE pressure IS NOT NULL GROUP BY bucket")
@@ -173,24 +191,46 @@ def q_lags(spark, sf_dir):
     return rounded(out.select("bucket", "block", *_LAGS, "slope", "variance")).join(out.select("bucket", "direction"), "bucket")
 
 
-@query("trailing_distribution", f"""WITH {LABELLED}, w AS (SELECT bucket, position, list(pressure) OVER (ORDER BY position ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS buffer FROM series),
+def distribution_sql(low: str, high: str) -> str:
+    """Common table expressions of the distribution features of each bucket's trailing buffer, its histogram over [low, high]."""
+    return f"""
+w AS (SELECT bucket, position, list(pressure) OVER (ORDER BY position ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS buffer FROM series),
 b AS (SELECT bucket, arg_max(buffer, position) AS buffer FROM w GROUP BY bucket),
 x AS (SELECT bucket, unnest(buffer) AS v FROM b),
 s AS (SELECT bucket, count(*) AS n, {', '.join(f"quantile_cont(v, {p / 100}) AS q{p:02d}" for p in (1, 5, 10, 25, 50, 75, 90, 95, 99))}, avg(v) AS mean, count(DISTINCT v)::DOUBLE AS unique_count, 1 - count(DISTINCT v) / count(*)::DOUBLE AS repetition_rate, kurtosis_pop(v) AS kurtosis FROM x GROUP BY bucket),
 m AS (SELECT x.bucket, avg((v - mean) ** 2) AS m2, avg((v - mean) ** 3) AS m3, avg((v - mean) ** 4) AS m4 FROM x JOIN s USING (bucket) GROUP BY x.bucket),
-h AS (SELECT bucket, least(floor(v / 500.0 * 10), 9) AS slot, count(*) AS k FROM x WHERE v BETWEEN 0 AND 500 GROUP BY ALL),
+h AS (SELECT bucket, least(floor((v - {low}) / ({high} - {low}) * 10), 9) AS slot, count(*) AS k FROM x WHERE v BETWEEN {low} AND {high} GROUP BY ALL),
 e AS (SELECT bucket, -sum(k / t::DOUBLE * log2(k / t::DOUBLE)) AS entropy, count(*) / 10.0::DOUBLE AS histogram_occupancy FROM (SELECT *, sum(k) OVER (PARTITION BY bucket) AS t FROM h) GROUP BY bucket),
 g AS (SELECT bucket, coalesce(max(hole), 0) AS max_gap FROM (SELECT bucket, v - lag(v) OVER (PARTITION BY bucket ORDER BY v) AS hole FROM (SELECT DISTINCT bucket, v FROM x)) GROUP BY bucket),
-every AS (SELECT s.*, q90 - q10 AS iqr_10_90, q75 - q25 AS iqr_25_75, CASE WHEN n >= 3 AND m2 > 0 THEN m3 / m2 ** 1.5 ELSE 0 END AS skewness, CASE WHEN n >= 4 AND m2 > 0 THEN m4 / m2 ** 2 - 3 ELSE 0 END AS kurt, abs(entropy) AS entropy, histogram_occupancy, max_gap FROM s JOIN m USING (bucket) JOIN e USING (bucket) JOIN g USING (bucket))
-SELECT bucket, {r('q01', 'q05', 'q10', 'q25', 'q50', 'q75', 'q90', 'q95', 'q99', 'iqr_10_90', 'iqr_25_75', 'skewness', 'unique_count', 'repetition_rate', 'entropy', 'histogram_occupancy', 'max_gap')}, round(kurt + 1e-7, 4) + 0e0 AS kurtosis FROM every""")
+every AS (SELECT s.*, q90 - q10 AS iqr_10_90, q75 - q25 AS iqr_25_75, CASE WHEN n >= 3 AND m2 > 0 THEN m3 / m2 ** 1.5 ELSE 0 END AS skewness, CASE WHEN n >= 4 AND m2 > 0 THEN m4 / m2 ** 2 - 3 ELSE 0 END AS kurt, abs(coalesce(entropy, 0)) AS entropy, coalesce(histogram_occupancy, 0) AS histogram_occupancy, max_gap FROM s JOIN m USING (bucket) LEFT JOIN e USING (bucket) JOIN g USING (bucket))"""
+
+
+DISTRIBUTION = ("q01", "q05", "q10", "q25", "q50", "q75", "q90", "q95", "q99", "iqr_10_90", "iqr_25_75", "skewness", "unique_count", "repetition_rate", "entropy", "histogram_occupancy", "max_gap")
+
+
+@query("trailing_distribution", f"WITH {LABELLED}, {distribution_sql('0.0', '500.0')} SELECT bucket, {r(*DISTRIBUTION)}, round(kurt + 1e-7, 4) + 0e0 AS kurtosis FROM every")
 def q_trailing(spark, sf_dir):
     return rounded(series.distribution(series.trailing(readings(spark, sf_dir)), 0.0, 500.0).drop("buffer", "wasserstein"))
 
 
-@query("wasserstein_to_normal")
+#: The normal readings of a bounded sample, by a hash of their place that any engine has, and distances of trailing buffers to it.
+SAMPLE = 500
+WASSERSTEIN = f"""
+sample AS (SELECT pressure AS v FROM marked WHERE normal ORDER BY md5(position::VARCHAR), position LIMIT {SAMPLE}),
+grid AS (SELECT bucket, v, 1 / count(*) OVER (PARTITION BY bucket)::DOUBLE AS own, 0.0::DOUBLE AS other FROM x UNION ALL SELECT bucket, v, 0, 1 / (SELECT count(*) FROM sample)::DOUBLE FROM (SELECT DISTINCT bucket FROM x), sample),
+steps AS (SELECT bucket, abs(sum(own) OVER o - sum(other) OVER o) * (lead(v) OVER o - v) AS area FROM grid WINDOW o AS (PARTITION BY bucket ORDER BY v)),
+wasser AS (SELECT bucket, sum(area) AS wasserstein FROM steps GROUP BY bucket)"""
+
+
+def normal_sample(rows: DataFrame) -> list[float]:
+    """At most :data:`SAMPLE` normal readings."""
+    return [x[0] for x in rows.where("normal").orderBy(F.md5(F.col("position").cast("string").cast("binary")), "position").select("pressure").limit(SAMPLE).collect()]
+
+
+@query("wasserstein_to_normal", f"WITH {LABELLED}, {distribution_sql('0.0', '500.0')}, {WASSERSTEIN} SELECT bucket, {r('wasserstein')} FROM wasser")
 def q_wasserstein(spark, sf_dir):
-    sample = [x[0] for x in labelled(spark, sf_dir).where("normal").orderBy(F.xxhash64("position"), "position").select("pressure").limit(500).collect()]
-    return series.distribution(series.trailing(readings(spark, sf_dir)), 0.0, 500.0, sample).select("bucket", "wasserstein")
+    rows = labelled(spark, sf_dir)
+    return rounded(series.distribution(series.trailing(rows), 0.0, 500.0, normal_sample(rows)).select("bucket", "wasserstein"))
 
 
 @query("last_per_bucket", f"WITH {LABELLED} SELECT bucket, arg_min(pressure, position) AS first, arg_max(pressure, position) AS last FROM series GROUP BY bucket")

@@ -294,14 +294,3 @@ def q_reference(spark, sf_dir):
     n = blocked(spark, sf_dir).where("block = 'train' and is_attack = 0").select("bucket")
     ref = e.join(n, "bucket", "left_semi").select("k")
     return joins.nearest(e.select("k").distinct(), ref, "k", slice_=1000).select("k", F.abs(F.col("k") - F.col("match")).alias("distance"))
-
-
-@query("mantissa_entropy")
-def q_mantissa(spark, sf_dir):
-    """Entropy of the low mantissa bits of each bucket's last 30 readings; 0 for fewer than two."""
-    from ..operators import series
-    from .series_plans import readings
-
-    low = F.transform("buffer", lambda v: fb.double_parts(v)["mantissa"].bitwiseAND(255))
-    rows = series.trailing(readings(spark, sf_dir)).withColumn("low", low)
-    return rows.select("bucket", F.when(F.size("buffer") >= 2, fb.entropy(F.col("low"))).otherwise(0.0).alias("entropy"))

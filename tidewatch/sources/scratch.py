@@ -1,0 +1,32 @@
+"""Intermediate tables in the folder that the driver and all executors share: they cut lineage and outlive lost executors."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a new temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; its files go when the driver ends."""
+    path = f"{shared_dir(spark)}/tidewatch/{kind}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written as Parquet and read again, for a table that several parts of a plan read."""
+    path = scratch(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

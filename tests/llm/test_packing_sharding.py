@@ -15,9 +15,7 @@ CAPACITY = 4096
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 def encoded(coder, texts):
@@ -73,6 +71,23 @@ def test_packing_edges(spark):
     assert [(r["length"], r["offset"]) for r in packing.pack(packing.pieces(full, queries.tokenizer_path())).collect()] == [(4096, 0)]
 
 
+def test_encoder_parts_words_of_one_hash(monkeypatch):
+    """Where runs share the first hash the second one tells them apart."""
+    real = words.hashes
+    monkeypatch.setattr(words, "hashes", lambda data, start, end, fold=words.SAME, seed=0: real(data, start, end, fold, 1) if seed else (end - start).astype(np.uint64))
+    texts = ["one two six ten", "six one", "ten", "two-one", "sixty"]
+    assert encoded(packing.Encoder(queries.tokenizer_path()), texts) == [x.ids for x in tokenizer().encode_batch(texts, add_special_tokens=False)]
+
+
+def test_crossover_beats_best_fit():
+    """On pieces just above a third and a half of a sequence, crossover finds packings that best fit does not."""
+    sizes = np.random.default_rng(1).integers(1100, 2200, 1200)
+    alone = packing._fit(sizes, np.argsort(-sizes, kind="stable"), np.empty(len(sizes), np.int64), np.zeros(0, np.int64), CAPACITY)
+    first = packing.evolve(sizes, [], 1, children=0)
+    best = packing.evolve(sizes, [], 1)
+    assert -(-sizes.sum() // CAPACITY) <= best.max() + 1 <= min(alone.max(), first.max()) - 1
+
+
 def test_crossover_keeps_every_piece_once():
     pick = np.random.default_rng(1)
     sizes = pick.integers(1, 2000, 400)

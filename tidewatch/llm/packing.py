@@ -27,8 +27,10 @@ END = 1
 BLOCK = 5_000
 ISLANDS = 3
 EPOCHS = 2
-POPULATION = 4
-CHILDREN = 4
+POPULATION = 6
+#: Crossovers of an island in an epoch, and how many in a row may bring nothing.
+CHILDREN = 60
+IDLE = 12
 #: Runs whose ids a task remembers.
 CACHE = 1_000_000
 #: Bytes: 0 white space, 1 letters and other scripts, 2 digits, 3 marks.
@@ -44,14 +46,16 @@ class Encoder:
     Texts are cut into runs of letters (with all bytes of other scripts), single digits and runs of marks, all at once over
     a chunk of bytes; a run's ids come from a hash table of runs met before, and only new runs reach the tokenizer.  Words
     whose ids aren't those of their runs, with an apostrophe or with a run of other scripts that doesn't begin and end in a
-    letter, go to the tokenizer whole.  The table is emptied when it is full.  Runs count as equal by a 64-bit hash.
+    letter, go to the tokenizer whole, and so do texts with the literal of a special token.  The table is emptied when it is
+    full.  A run counts as one met before where two independent 64-bit hashes agree; where only the first does, its word goes
+    to the tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHE):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # words that are Latin letters alone in their normal form and lower case skip the steps that make them so
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -63,7 +67,7 @@ class Encoder:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.slots = np.zeros(1 << self.bits, np.int32)
         self.used = 0
-        self.start, self.length, self.whole = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, bool)
+        self.start, self.length, self.whole, self.check = (np.zeros(1 << 12, kind) for kind in (np.int32, np.int32, bool, np.uint64))
         self.pool = np.zeros(1 << 14, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.odd: dict[bytes, np.ndarray] = {}
 
@@ -88,7 +92,7 @@ class Encoder:
             self.slots[slot[won]] = entry[won]
             h, entry, slot = h[~won], entry[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
 
-    def _learn(self, h: np.ndarray, runs: list[bytes]) -> None:
+    def _learn(self, h: np.ndarray, check: np.ndarray, runs: list[bytes]) -> None:
         if self.count + len(h) > self.limit:
             self.clear()
         texts = [x.decode() for x in runs]
@@ -99,7 +103,8 @@ class Encoder:
         ids = [next(quick if e else slow).ids for e in easy]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         size, end = int(lengths.sum()), self.count + len(h)
-        self.start, self.length, self.whole = (_room(x, end) for x in (self.start, self.length, self.whole))
+        self.start, self.length, self.whole, self.check = (_room(x, end) for x in (self.start, self.length, self.whole, self.check))
+        self.check[self.count : end] = check
         self.pool = _room(self.pool, self.used + size)
         self.start[self.count : end] = self.used + np.cumsum(lengths) - lengths
         self.length[self.count : end] = lengths
@@ -128,6 +133,18 @@ class Encoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, places where each text's ids begin and the last one's end) of the texts of a chunk, without end marks."""
+        ids, cut = self._plain(data, off)
+        raw = data.tobytes()
+        if not any(x in raw for x in self.special):
+            return ids, cut
+        own = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for i in range(len(own)):
+            text = raw[off[i] : off[i + 1]]
+            if any(x in text for x in self.special):
+                own[i] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate([np.zeros(0, np.uint32), *own]).astype(np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in own])))
+
+    def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind = _KIND[data]
         begins = np.empty(len(data), bool)
         begins[:1] = True
@@ -142,23 +159,25 @@ class Encoder:
         first = np.searchsorted(start, off)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        h = words.hashes(data, start, stop, words.LOWER) | np.uint64(1)
+        h = words.hashes(data, start, stop, words.LOWER)
+        h = np.where(h == 0, np.uint64(1), h)
+        check = words.hashes(data, start, stop, words.LOWER, 1)
         entry = self._find(h)
         new = np.flatnonzero(entry < 0)
         if len(new):
             raw = data.tobytes()
             fresh, at, inverse = np.unique(h[new], return_index=True, return_inverse=True)
             at, before = new[at], self.count
-            self._learn(fresh, [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+            self._learn(fresh, check[at], [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
             entry[new] = before + inverse
             if self.count != before + len(fresh):  # the table was emptied on the way
                 again = np.flatnonzero(self._find(h) < 0)
                 fresh, at = np.unique(h[again], return_index=True)
                 at = again[at]
-                self._learn_more(fresh, [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+                self._learn_more(fresh, check[at], [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
                 entry = self._find(h)
         begin, length, pool = self.start[entry].astype(np.int64), self.length[entry].astype(np.int64), self.pool
-        odd = self.whole[entry]
+        odd = self.whole[entry] | (self.check[entry] != check)
         if odd.any():
             raw = data.tobytes()
             lone = np.ones(len(start), bool)
@@ -178,10 +197,10 @@ class Encoder:
         index = np.repeat(begin - total[:-1], length) + np.arange(total[-1])
         return pool[index], total[first]
 
-    def _learn_more(self, h: np.ndarray, runs: list[bytes]) -> None:
+    def _learn_more(self, h: np.ndarray, check: np.ndarray, runs: list[bytes]) -> None:
         """Learns what a chunk needs beyond the limit; the next new run empties the table again."""
         limit, self.limit = self.limit, 1 << 62
-        self._learn(h, runs)
+        self._learn(h, check, runs)
         self.limit = limit
 
 
@@ -313,14 +332,18 @@ def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int, *, capacity:
     while len(pool) < population:
         noise = pick.uniform(0.9, 1.1, len(sizes)) if pool or seed % ISLANDS else 1.0
         pool.append(_fit(sizes, np.argsort(-sizes * noise, kind="stable"), np.empty(len(sizes), np.int64), none, capacity))
-    least = -(-int(sizes.sum()) // capacity)
+    least, idle = -(-int(sizes.sum()) // capacity), 0
     scored = sorted(((_fitness(x, sizes, capacity), i, x) for i, x in enumerate(pool)), key=lambda x: x[:2], reverse=True)
     for k in range(children):
-        if -scored[0][0][0] <= least:
+        if -scored[0][0][0] <= least or idle == IDLE:
             break
         a, b = pick.choice(len(scored), 2, replace=False) if len(scored) > 1 else (0, 0)
-        child = _cross(scored[min(a, b)][2], scored[max(a, b)][2], sizes, capacity, pick)
+        if pick.random() < 0.5:
+            a, b = b, a
+        child = _cross(scored[a][2], scored[b][2], sizes, capacity, pick)
+        best = scored[0][0]
         scored = sorted([*scored, (_fitness(child, sizes, capacity), len(pool) + k, child)], key=lambda x: x[:2], reverse=True)[:population]
+        idle = 0 if scored[0][0] > best else idle + 1
     return scored[0][2]
 
 

@@ -92,6 +92,22 @@ def test_round_trip_edges(spark):
     assert sorted((str(r["page_id"]), r["record_type"]) for r in warc.round_trip(odd).collect()) == [("2", "response"), ("2", "response"), ("None", "response")]
 
 
+def test_repeated_ids_of_different_payloads(spark):
+    """A revisit has its own payload's size and digest, whatever else shares the id that it refers to."""
+    pages = [(2, "u", "a" * 150), (2, "u", "b" * 300), (6, "u", "a" * 150), (7, "u", "b" * 300), (7, "u", "b" * 300)]
+    got = rows(warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    digest = {n: hashlib.sha256(c.encode() * n).hexdigest() for n, c in ((150, "a"), (300, "b"))}
+    assert got == sorted([(2, 150, digest[150], "response", None), (2, 300, digest[300], "response", None), (6, 150, digest[150], "revisit", 2), (7, 300, digest[300], "revisit", 2), (7, 300, digest[300], "revisit", 2)], key=lambda r: r[:4])
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", hashlib.sha256(b"%d" % i).hexdigest() * 20) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write(df, f"file://{tmp_path}/w", chunk=1_000, chunks=3)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) < 3 * (1_000 + 700)
+    assert sorted(r["page_id"] for r in warc.salvaged(warc.read(spark, f"file://{tmp_path}/w"))[0].collect()) == list(range(60))
+
+
 def test_round_trip_of_a_very_long_url(spark, tmp_path):
     long = "data:text/html," + "a" * 200_000
     df = spark.createDataFrame([(1, long, "x"), (2, "u", "y")], "page_id long, url string, html string")
@@ -119,5 +135,7 @@ def test_damage_of_a_written_archive_costs_the_record_that_it_hits(spark, tmp_pa
 def test_gaps_are_logged(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(RECORDS[0] + b"damage" + RECORDS[1])
     got = sorted((r["start"], r["end"], r["ok"]) for r in warc.read(spark, f"file://{tmp_path}").collect())
+    pages, log = warc.salvaged(warc.read(spark, f"file://{tmp_path}"))
     n = len(RECORDS[0])
+    assert [(r["start"], r["end"]) for r in log.collect()] == [(n, n + 6)] and sorted(r["page_id"] for r in pages.collect()) == [0, 1]
     assert got == [(0, n, True), (n, n + 6, False), (n + 6, n + 6 + len(RECORDS[1]), True)]

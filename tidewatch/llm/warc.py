@@ -23,8 +23,9 @@ from .store import scratch, small_batches, written
 END = "\r\n\r\n"
 #: Payloads shorter than this are never stored by reference.
 LEAST = 100
-#: Records in an archive file at most.
-RECORDS = 2_000
+#: Bytes of members that go to the sink at once, and how often for one file: a file has at most their product, or one record.
+CHUNK = 4 << 20
+CHUNKS = 4
 _MAGIC = b"\x1f\x8b\x08"
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _ID = "urn:tidewatch:page:"
@@ -68,25 +69,30 @@ def records(planned: DataFrame) -> DataFrame:
 _EMPTY = gzip.compress(b"", mtime=0)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every record as a gzip member without its last byte, which is zero."""
-    for batch in batches:
-        rows, size = [], 0
-        for record in batch.column(0):
-            member = gzip.compress(record.as_py() + END.encode(), 6, mtime=0)
-            rows.append((member if member[-1] == 0 else member + _EMPTY)[:-1])
-            size += len(rows[-1])
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["member"])
-                rows, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["member"])
-
-
-def write(pages: DataFrame, path: str, *, records_per_file: int = RECORDS, **columns: str) -> None:
-    """Writes the archives of ``pages`` into the folder ``path``."""
+def _members(chunk: int):
+    """Runs of about ``chunk`` bytes of members, one for each record, without their last byte, which is zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                member = gzip.compress(record.as_py() + END.encode(), 6, mtime=0)
+                held.append(member if member[-1] == 0 else member + _EMPTY)
+                size += len(held[-1])
+                if size >= chunk:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["member"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["member"])
+
+    return run
+
+
+def write(pages: DataFrame, path: str, *, chunk: int = CHUNK, chunks: int = CHUNKS, **columns: str) -> None:
+    """Writes the archives of ``pages`` into the folder ``path``; a file has at most ``chunk * chunks`` bytes, or one record."""
     small_batches(pages.sparkSession)
-    members = records(plan(pages, **columns)).select(F.col("record").cast("binary")).mapInArrow(_members, "member binary")
-    members.select(F.col("member").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).option("compression", "none").text(path)
+    members = records(plan(pages, **columns)).select(F.col("record").cast("binary")).mapInArrow(_members(chunk), "member binary")
+    members.select(F.col("member").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", chunks).option("compression", "none").text(path)
 
 
 def _parsed(data: bytes, at: int) -> tuple[dict, int] | None:
@@ -253,23 +259,24 @@ def page_id(name: str) -> F.Column:
     return F.regexp_extract(F.col(name), rf"^<{_ID}(-?[0-9]+)>$", 1).try_cast("long")
 
 
-def resolved(found: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of sound records.
+def salvaged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, log) of what :func:`read` found.
 
-    A revisit has the size and digest of the response that it refers to; where that was lost, those that it declares.
+    ``pages`` are (page_id, payload_bytes, payload_digest, record_type, refers_to) of sound records.  A revisit has the size
+    and digest of the response that it refers to by id and by declared digest; where that was lost, those that it declares.
+    ``log`` has the quarantined gaps (file, start, end).
     """
-    rows = found.where("ok").select(page_id("id").alias("page_id"), F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"), F.col("type").alias("record_type"), page_id("refers_to").alias("refers_to"), F.regexp_replace("declared_digest", "^sha256:", "").alias("declared"), "http_length")
-    rows = written(rows, "records")
-    whole = rows.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.first("bytes").alias("whole_bytes"), F.first("digest").alias("whole_digest"))
-    return (
-        rows.where("record_type = 'revisit'").join(whole, "refers_to", "left")
-        .select("page_id", F.coalesce("whole_bytes", "http_length").alias("payload_bytes"), F.coalesce("whole_digest", "declared").alias("payload_digest"), "record_type", "refers_to")
-        .unionByName(rows.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")))
-    )
+    kinds = [page_id("id").alias("page_id"), F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"), F.col("type").alias("record_type"), page_id("refers_to").alias("refers_to"), F.regexp_replace("declared_digest", "^sha256:", "").alias("declared"), "http_length"]
+    rows = written(found.select("ok", "file", "start", "end", *kinds), "records")
+    responses, again = (rows.where(F.col("ok") & (F.col("record_type") == kind)) for kind in ("response", "revisit"))
+    whole = responses.where("page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("declared"), F.col("bytes").alias("whole")).distinct()
+    pages = again.join(whole, ["refers_to", "declared"], "left").select("page_id", F.coalesce("whole", "http_length").alias("payload_bytes"), F.col("declared").alias("payload_digest"), "record_type", "refers_to")
+    pages = pages.unionByName(responses.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")))
+    return pages, rows.where(~F.col("ok")).select("file", "start", "end")
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Writes ``pages`` as archives into the shared folder and reads them back."""
     path = scratch(pages.sparkSession, "warc")
     write(pages, path, **columns)
-    return resolved(read(pages.sparkSession, path))
+    return salvaged(read(pages.sparkSession, path))[0]

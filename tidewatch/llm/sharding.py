@@ -65,6 +65,7 @@ def _level(parts: DataFrame, blocks: int, shards: int) -> tuple[DataFrame, DataF
     def run(pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values("key")  # ties go by key, whatever order the rows come in
         sums = np.zeros((len(pdf), shards), np.int64)
         for i, x in enumerate(pdf["sums"]):
             sums[i, : len(x)] = x
@@ -115,6 +116,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"))
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("weight")), "groups")
     homes = assign(groups, shards, block=block, top=top)
+    # copies of one text are a hot key of the left side, which adaptive execution splits
     runs = max(16, -(-docs.count() // (shards * run)))
     placed = written(rows.join(homes, "key").withColumn("run", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(runs)).cast("int")).drop("key"), "placed")
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,10 +39,3 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table from :func:`written` that no later plan reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,9 +1,17 @@
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+import brute
 from brute import held_out
-from tidewatch.llm import language, quality, queries
+from tidewatch.llm import language, quality, queries, words
 
 
 def test_language_on_held_out_rows(spark, medium):
@@ -20,6 +28,26 @@ def test_language_learns_nothing_from_held_out_rows(spark, small):
     assert a.langs == b.langs and (a.place == b.place).all()
 
 
+def test_language_equals_brute_force(spark, medium):
+    """Profiles, out-of-place distances and scores against plain counting, with rows of all lengths."""
+    table = spark.read.parquet(f"{medium}/documents.parquet")
+    rows = [r.asDict() for r in table.select("doc_id", "text", "lang").collect()]
+    known = [r for r in rows if not held_out(r["doc_id"]) and r["text"] is not None and r["lang"] is not None]
+    profiles = {}
+    for lang in sorted({r["lang"] for r in known}):
+        counts = Counter(g for r in known if r["lang"] == lang for g in brute.grams(r["text"]))
+        profiles[lang] = brute.ranked(counts, language.RANKS)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op10_language(spark, medium).collect()}
+    for r in rows[:400]:
+        lang, score = brute.language(r["text"], profiles, language.RANKS)
+        assert got[r["doc_id"]][0] == lang and got[r["doc_id"]][1] == pytest.approx(score)
+
+
+def test_language_learns_a_bounded_number(spark):
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i)} again", f"l{i}") for i in range(6)] + [(9, "the cat", "en")] * 3, "doc_id long, text string, lang string")
+    assert language.fit(docs, langs=3).langs == ["en", "l0", "l1"]
+
+
 def test_language_edges(spark):
     kind = "doc_id long, text string, lang string, lang_pred string"
     docs = spark.createDataFrame([(1, "the cat and the dog", "en", "?"), (2, "le chat et le chien", "fr", "?"), (3, None, "en", "?"), (4, "", None, "?"), (5, "12 34 --", "en", "?"), (None, "the dog", None, "?"), (1, "the cat", "en", "?"), (6, "x" * 200_000, None, "?")], kind)
@@ -40,6 +68,57 @@ def test_quality_on_held_out_rows(spark, medium):
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+def test_fit_equals_plain_ftrl(spark):
+    """Weights against a plain follow-the-regularised-leader over dictionaries, rows in the same order."""
+    pick = random.Random(4)
+    texts = [" ".join(pick.choice(["good", "fine", "bad", "BUY", "now!!", "12"]) for _ in range(pick.randrange(1, 30))) for _ in range(80)]
+    labels = np.array([float("BUY" not in t) for t in texts])
+    model = quality.Model(12).fit(pa.array(texts), labels, epochs=2)
+    rows = [dict(zip(i.tolist(), x.tolist(), strict=True)) for i, x in quality.vectors(pa.array(texts), 12)]
+    z, n = Counter(), Counter()
+
+    def weight(i: int) -> float:
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return (math.copysign(model.l1, z[i]) - z[i]) / ((model.beta + math.sqrt(n[i])) / model.alpha + model.l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            w = {i: weight(i) for i in rows[r]}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in rows[r].items())))
+            for i, x in rows[r].items():
+                g = (p - labels[r]) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / model.alpha * w[i]
+                n[i] += g * g
+    assert model.weights == pytest.approx([weight(i) for i in range(len(model.weights))], abs=1e-5) and (model.weights != 0).sum() > 20
+
+
+def test_vectors_count_every_gram():
+    """Counts of n-grams are those of a plain count, and a text in parts has those of the whole."""
+    texts = ["One two two, THREE!! 4x", "", "a b " * 700 + "é-ü"]
+    for text, (index, value) in zip(texts, quality.vectors(pa.array(texts), 16), strict=True):
+        own = brute.quality_grams(text)
+        assert len(index) - 1 <= len(own) and value[:-1] @ value[:-1] * sum(own.values()) >= sum(v * v for v in own.values()) - 1e-3
+        assert (value[:-1] * math.sqrt(max(1, sum(own.values())))).sum() == pytest.approx(sum(own.values()))
+    long = " ".join(random.Random(1).choices(["alpha", "beta,", "Gamma", "7", "--"], k=1_200_000))
+    parts = Counter()
+    for _, _, _, index in quality.features(pa.array([long])):
+        parts.update(index.tolist())
+    form, shape, first = quality._runs(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))
+    whole = quality._grams(form, shape, first, 0, quality.BITS)[1]
+    assert len(long) > 2 * words.CHUNK and parts == Counter(whole.tolist())
+
+
+def test_fit_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * (10 if i else 100_000)) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, fit_bytes=2_000)
+    assert model.weights.any() and (model.weights == quality.fit(docs.where("doc_id > 0"), labels.where("doc_id > 0"), fit_bytes=2_000).weights).all()
+    one = quality.fit(docs.where("doc_id > 0"), labels.withColumn("quality", F.lit(1)))
+    assert all(r["score"] > 0.5 for r in quality.score(docs, one).collect())
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "a fine text", 0.5), (2, None, 0.5), (3, "", 0.5), (4, "BUY!! NOW!!", 0.5), (4, "BUY!! NOW!!", 0.5), (None, "z" * 300_000, 0.5)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 0), (4, None), (None, 1), (9, 1)], "doc_id long, quality int")

@@ -20,9 +20,13 @@ from .store import small_batches
 RANKS = 400
 #: Labelled rows of each language that a fit reads on average, the documented bound of the sample; rows are taken by a hash of their id.
 FIT_ROWS = 4000
+#: Most languages that a fit learns, those with most rows.
+LANGS = 1024
 UNKNOWN = "und"
 #: Characters of a text that are counted at once.
 LONG = 1 << 20
+#: Stands for a blank in an n-gram's number: no character has it, so n-grams of different lengths differ.
+_BLANK = 0x110000
 _state: dict = {}
 
 
@@ -45,8 +49,9 @@ def grams(text: str) -> np.ndarray:
         return np.zeros(0, np.int64)
     if points[-1] != 0:
         points = np.append(points, 0)
-    two = (points[:-1] << 21) | points[1:]
-    three = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[points[1:-1] != 0]
+    p = np.where(points == 0, _BLANK, points)
+    two = (p[:-1] << 21) | p[1:]
+    three = ((p[:-2] << 42) | (p[1:-1] << 21) | p[2:])[points[1:-1] != 0]
     return np.concatenate((points[points != 0], two, three))
 
 
@@ -126,20 +131,20 @@ class Profiles:
         return self.langs[best], 1.0 - far[best] / second if second else 0.0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, fit_rows: int = FIT_ROWS, ranks: int = RANKS) -> Profiles:
-    """Profiles from the rows with a text and a language.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, fit_rows: int = FIT_ROWS, ranks: int = RANKS, langs: int = LANGS) -> Profiles:
+    """Profiles from the rows with a text and a language, of the ``langs`` languages with most rows at most.
 
     Of a language with more than ``fit_rows`` rows a sample of about that many is read, chosen by a hash of the id; null
     ids count as one id.  Empty input gives no profiles, and then every prediction is ``und``.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
     if not sizes:
         return Profiles({}, ranks)
     shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_rows / n))])
     place = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(7)), 11) / float(1 << 53)
-    sample = rows.where(place <= shares[F.col("lang")]).select("lang", "text")
+    sample = rows.where(place <= F.coalesce(shares[F.col("lang")], F.lit(-1.0))).select("lang", "text")
     sums = sample.mapInArrow(_count_task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     ordered: dict[str, list[int]] = {}
@@ -156,18 +161,22 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", *, lang
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("lang string, score double")
-    def guess(texts):
-        import pandas as pd
-
+    @F.arrow_udf("lang string, score double")
+    def guess(texts: pa.Array) -> pa.Array:
         words.release()
-        model = shared.value
-        return pd.DataFrame([model.predict(x) for x in texts], columns=["lang", "score"])
+        found = [shared.value.predict(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang", "score"])
 
-    out = docs.drop(lang_out, score_out).withColumn("__guess", guess(F.col(text_col)))
+    # not to be evaluated again for a filter on what it predicts
+    out = docs.drop(lang_out, score_out).withColumn("__guess", guess.asNondeterministic()(F.col(text_col)))
     return out.withColumns({lang_out: F.col("__guess.lang"), score_out: F.col("__guess.score")}).drop("__guess")
 
 
+def lettered(text: F.Column) -> F.Column:
+    """Whether a text has a letter; those without have no language."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """Whether a row is kept from learning: crc32 of its id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import number
 from . import ordered
 
 #: The published sweep: 0.10, 0.15, ... 0.90. Fixed values.
@@ -101,7 +102,7 @@ def bootstrap(events: DataFrame, replicates: int, seed: int, event: str = "event
     placed = indexed(events.select(event).distinct(), event, event, out="__at", slice_us=10_000)
     n = placed.agg(F.count("*").alias("__n"))
     draws = placed.select(F.col("__at").alias("draw")).crossJoin(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("__at", F.pmod(F.xxhash64(F.lit(seed), "replicate", "draw"), F.col("__n")) + 1)
+    draws = draws.withColumn("__at", F.pmod(number(seed, "replicate", "draw"), F.col("__n")) + 1)
     return draws.join(placed, "__at").select("replicate", "draw", event)
 
 
@@ -110,7 +111,7 @@ def permute(events: DataFrame, replicates: int, seed: int, event: str = "event",
     rows = events.select(event, label).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     by = Window.partitionBy("replicate")
     own = rows.withColumn("__at", F.row_number().over(by.orderBy(event)))
-    dealt = rows.withColumn("__at", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "replicate", event), event))).select("replicate", "__at", F.col(label).alias("dealt"))
+    dealt = rows.withColumn("__at", F.row_number().over(by.orderBy(number(seed, "replicate", event), event))).select("replicate", "__at", F.col(label).alias("dealt"))
     return own.join(dealt, ["replicate", "__at"]).select("replicate", event, F.col("dealt").alias(label))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import number
 from .boosting import BoostedTrees
 
 #: Normal rows that a forest's trees draw from: a bounded sample by hash.
@@ -18,7 +19,7 @@ RARE = 20_000
 
 def _bounded(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """At most ``most`` rows, those whose keys hash lowest."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)
+    return rows.orderBy(number(seed, key), key).limit(most)
 
 
 def average_path(n):

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import number
 from .boosting import BoostedTrees
 
 #: Labelled rows of a block that a probe reads at most, those whose keys hash lowest: the documented bound of the sample.
@@ -53,7 +54,7 @@ def events(index: np.ndarray) -> list[np.ndarray]:
 
 def _gathered(rows: DataFrame, key: str, label: str, block: str, features: list[str], pool: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(keys, labels, features) of each block's labelled rows in key order."""
-    order = Window.partitionBy(block).orderBy(F.xxhash64(F.lit(1), key), key)
+    order = Window.partitionBy(block).orderBy(number(1, key), key)
     got = rows.where(F.col(label).isNotNull()).withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= pool)
     pdf = got.select(F.col(block).alias("__block"), F.col(key).alias("__key"), F.col(label).alias("__label"), *[F.col(f).cast("double").alias(f) for f in features]).toPandas().sort_values("__key")
     parts = {b: p for b, p in pdf.groupby("__block")}

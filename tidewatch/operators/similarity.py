@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import number
 from . import ordered
 
 #: Subsequences in a library at most.
@@ -31,7 +32,7 @@ def distinct_shapes(subs: DataFrame, digits: int = 4) -> DataFrame:
 
 def library(subs: DataFrame, most: int = LIBRARY, seed: int = 42) -> np.ndarray:
     """At most ``most`` distinct shapes, those whose places hash lowest."""
-    rows = distinct_shapes(subs).orderBy(F.xxhash64(F.lit(seed), "position"), "position").limit(most).select("values").collect()
+    rows = distinct_shapes(subs).orderBy(number(seed, "position"), "position").limit(most).select("values").collect()
     return np.array([r[0] for r in rows], float)
 
 

@@ -155,7 +155,19 @@ def q_explanations(spark, sf_dir):
     return rounded(every.select("bucket", (F.col("at") + 1).alias("place"), "d.feature", "d.z", "d.direction"))
 
 
-@query("alert_sentences")
+_WORDS = "CASE feature " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in explain.LABELS.items()) + " ELSE replace(feature, '_', ' ') END"
+
+
+@query("alert_sentences", f"""WITH {RULES}, mu AS (SELECT {', '.join(f'avg({c}) AS mu_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS sd_{c}' for c in _F)} FROM normal),
+long AS (SELECT bucket, unnest([{', '.join(f"{{'spot': {i}, 'feature': '{c}', 'z': ({c} - mu_{c}) / sd_{c}}}" for i, c in enumerate(_F))}], recursive := true) FROM flagged, mu WHERE block = 'test' AND fired),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY round(abs(z), 9) DESC, spot) AS place FROM long),
+said AS (SELECT bucket, 'Flagged; the most statistically unusual features were ' || string_agg('unusually ' || CASE WHEN z >= 0 THEN 'high ' ELSE 'low ' END || {_WORDS} || ' (' || printf('%.1f', abs(z)) || ' standard deviations ' || CASE WHEN z >= 0 THEN 'above' ELSE 'below' END || ' the TRAIN-normal mean)', ' and ' ORDER BY place) || '.' AS summary FROM ranked WHERE place <= 2 GROUP BY bucket)
+SELECT bucket, array_to_string(list_concat(
+    CASE WHEN len(bad_codes) > 0 THEN ['invalid_function_code=' || array_to_string(list_transform(bad_codes, lambda c: {_HEX}), ',')] ELSE [] END,
+    CASE WHEN len(bad_addresses) > 0 THEN ['novel_address=' || array_to_string(bad_addresses, ',')] ELSE [] END,
+    CASE WHEN p_min < low THEN ['pressure_below_train_normal_min=' || printf('%.6g', p_min) || '<' || printf('%.6g', low)] ELSE [] END,
+    CASE WHEN p_max > high THEN ['pressure_above_train_normal_max=' || printf('%.6g', p_max) || '>' || printf('%.6g', high)] ELSE [] END,
+    CASE WHEN rate_fired THEN ['packets_per_sec_above_train_normal_max=' || printf('%.6g', packets_per_sec) || '>' || printf('%.6g', max_rate)] ELSE [] END), '; ') AS reasons, summary FROM flagged JOIN said USING (bucket)""")
 def q_sentences(spark, sf_dir):
     scored = ruled(spark, sf_dir, _F).where("block = 'test' and hit.fired")
     return scored.select("bucket", F.array_join("hit.reasons", "; ").alias("reasons"), explain.sentence(explain.deviations(_F)).alias("summary"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import number_sql
 from ..operators import evaluate, models, similarity, stats, windows
 from .detector import blocked, egress, frames
-from .registry import HOUR, query
-from .series_plans import labelled
+from .registry import BLOCKS, HOUR, query, rounded
+from .series_plans import LABELLED, labelled
 
 _X = ["packet_count", "bytes_per_sec", "mean_frame_len", "iat_mean", "iat_std", "frac_func_read", "distinct_frame_ratio", "payload_entropy_mean"]
 #: Trees of the query forests, as published.
@@ -129,12 +130,24 @@ def q_dtw(spark, sf_dir):
     return _shapes(spark, sf_dir, "dtw")
 
 
-@query("discords")
+_Z = "list_transform({v}, lambda q: (q - list_avg({v})) / CASE WHEN sqrt(list_avg(list_transform({v}, lambda y: (y - list_avg({v})) ** 2))) < 1e-9 THEN 1 ELSE sqrt(list_avg(list_transform({v}, lambda y: (y - list_avg({v})) ** 2))) END)"
+DISCORDS = f"""WITH {LABELLED},
+subs AS (SELECT bucket, position, list(pressure) OVER w AS v, min(normal::INT) OVER w AS all_normal FROM marked WINDOW w AS (ORDER BY position ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)),
+whole AS (SELECT bucket, position, v, {_Z.format(v='v')} AS z, all_normal FROM subs WHERE len(v) = 15),
+shapes AS (SELECT arg_min(z, position) AS z, min(position) AS position FROM whole WHERE all_normal = 1 GROUP BY list_transform(v, lambda q: round(q, 4))),
+known AS (SELECT z AS k FROM shapes ORDER BY {number_sql('42', 'position')}, position LIMIT 300),
+far AS (SELECT bucket, position, min(sqrt(list_sum(list_transform(list_zip(z, k), lambda p: (p[1] - p[2]) ** 2)))) AS distance FROM whole CROSS JOIN known GROUP BY bucket, position)
+SELECT bucket, round(max(distance) + 1e-7, 4) + 0e0 AS distance FROM far GROUP BY bucket"""
+
+
+@query("discords", DISCORDS)
 def q_discord(spark, sf_dir):
-    return _shapes(spark, sf_dir, "discord")
+    return rounded(_shapes(spark, sf_dir, "discord"))
 
 
-@query("flood_detection")
+@query("flood_detection", f"""WITH {BLOCKS}, top AS (SELECT max(packets_per_sec) AS max_rate FROM normal), made AS (SELECT packet_count, max_rate FROM blocks, top WHERE block = 'test' AND is_attack = 0),
+every AS (SELECT profile, times, round_even(packet_count * times, 0) / 3600 > max_rate AS fired FROM made, (SELECT unnest(['A', 'B']) AS profile), (SELECT unnest([1, 2, 5, 10]) AS times))
+SELECT profile, times, count(*) AS n, count(*) FILTER (fired) AS n_fired FROM every GROUP BY profile, times""")
 def q_floods(spark, sf_dir):
     """Share of flooded normal test windows above the largest normal rate, by profile and multiple."""
     b = blocked(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import number_sql
 from ..operators import explain, models, ordered, series, windows
 from ..sources.frames import CATEGORIES, discovered_types, event_frames, iso_utc, response_types
 from .detector import blocked, egress, normal
@@ -73,7 +74,7 @@ def q_monotonic(spark, sf_dir):
     return ordered.assert_monotonic(readings(spark, sf_dir), "position", "ts_us").agg(F.count("*").alias("n"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"WITH {BLOCKS} SELECT bucket FROM normal ORDER BY {number_sql('42', 'bucket')}, bucket LIMIT 50")
 def q_sample(spark, sf_dir):
     """At most 50 normal windows, the same for the same seed: a sampling operator."""
     return models._bounded(normal(blocked(spark, sf_dir)), "bucket", 50, 42).select("bucket")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frame_bytes as fb
+from ..functions.draws import number_sql
 from ..operators import evaluate, ordered, splits, stats, windows
 from ..sources.frames import CATEGORIES, event_frames, table
 from .detector import RULES, blocked, confusion_sql, egress, ruled
@@ -215,20 +216,27 @@ def q_runs(spark, sf_dir):
     return episodes(spark, sf_dir).groupBy("run").agg(F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.count("*").alias("n")).drop("run")
 
 
-@query("bootstrap_interval")
+_NUMBERED = _EVENTS + """,
+events_ AS (SELECT run, count(*) AS n, min(bucket) AS first_, row_number() OVER (ORDER BY run) AS spot, count(*) OVER () AS many FROM runs GROUP BY run)"""
+
+
+@query("bootstrap_interval", f"""WITH {_NUMBERED}, draws AS (SELECT replicate, {number_sql('42', 'replicate', 'spot')} % many + 1 AS spot FROM events_, (SELECT unnest(range(0, 200)) AS replicate)),
+v AS (SELECT replicate, avg(n) AS value FROM draws JOIN events_ USING (spot) GROUP BY replicate) SELECT {r('low', 'high', 'mean')} FROM (SELECT quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high, avg(value) AS mean FROM v)""")
 def q_bootstrap(spark, sf_dir):
     """Mean run length over resampled runs, with its interval."""
     runs = episodes(spark, sf_dir).groupBy("run").agg(F.count("*").alias("n"))
     draws = evaluate.bootstrap(runs, 200, 42, "run").join(runs, "run").groupBy("replicate").agg(F.avg("n").alias("value"))
-    return evaluate.interval(draws, "value")
+    return rounded(evaluate.interval(draws, "value"))
 
 
-@query("permutation_null")
+@query("permutation_null", f"""WITH {_NUMBERED}, every AS (SELECT replicate, spot, n, first_ % 2 AS label FROM events_, (SELECT unnest(range(0, 50)) AS replicate)),
+own AS (SELECT replicate, n, row_number() OVER (PARTITION BY replicate ORDER BY spot) AS k FROM every), dealt AS (SELECT replicate, label, row_number() OVER (PARTITION BY replicate ORDER BY {number_sql('7', 'replicate', 'spot - 1')}, spot) AS k FROM every),
+v AS (SELECT replicate, sum(label * n) / sum(n)::DOUBLE AS value FROM own JOIN dealt USING (replicate, k) GROUP BY replicate) SELECT {r('p95', 'mean')} FROM (SELECT quantile_cont(value, 0.95) AS p95, avg(value) AS mean FROM v)""")
 def q_permute(spark, sf_dir):
     """The 95th percentile of the share of labelled runs' windows under permuted labels."""
     runs = episodes(spark, sf_dir).groupBy("run").agg(F.count("*").alias("n"), (F.min("bucket") % 2).cast("int").alias("label"))
     null = evaluate.permute(runs, 50, 7, "run").join(runs.drop("label"), "run").groupBy("replicate").agg((F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("value"))
-    return null.agg(F.percentile("value", F.lit(0.95)).alias("p95"), F.avg("value").alias("mean"))
+    return rounded(null.agg(F.percentile("value", F.lit(0.95)).alias("p95"), F.avg("value").alias("mean")))
 
 
 @query("verdicts", "SELECT v, CASE WHEN a >= 0.25 AND b <= 0.003 AND c >= 0.97 THEN 'STRONG' WHEN a >= 0.1 AND b <= 0.003 AND c >= 0.97 THEN 'ACCEPTABLE' ELSE 'WEAK / HYPOTHESIS NOT SUPPORTED' END AS verdict FROM (VALUES (1, 0.25::DOUBLE, 0.003::DOUBLE, 0.97::DOUBLE), (2, 0.3, 0.0031, 0.98), (3, 0.15, 0.001, 0.98)) AS t(v, a, b, c)")
@@ -269,9 +277,14 @@ def q_entropy(spark, sf_dir):
     return rounded(b.select("l_orderkey", "l_linenumber", fb.entropy(F.col("bytes")).alias("entropy")))
 
 
-@query("frame_fields")
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(hex, ''), lambda q: ord(q)::BIGINT)), lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda d, y: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384::BIGINT) ELSE d // 2 END)), 4294967295::BIGINT)"
+
+
+@query("frame_fields", f"""{_HEXED}, p AS (SELECT *, list_transform(list_distinct(bytes), lambda v: len(list_filter(bytes, lambda x: x = v)) / 8.0::DOUBLE) AS p, ({_CRC.replace('bytes', 'bytes[1:6]')})::INTEGER AS crc FROM b)
+SELECT l_orderkey, l_linenumber, hex, bytes[1] AS address, bytes[2] AS function_code, 8 AS frame_len_bytes, 1 AS is_request, bytes[3] * 256 + bytes[4] AS start_register, bytes[5] * 256 + bytes[6] AS quantity, -1 AS byte_count, 0 AS length_anomaly, 0 AS rare_function_code,
+  (bytes[7] + bytes[8] * 256 = crc)::INTEGER AS crc_ok, {_CRC32} AS frame_id, round(abs(-list_sum(list_transform(p, lambda q: q * log2(q)))) + 1e-7, 4) + 0e0 AS message_entropy_bits_per_byte FROM p""")
 def q_fields(spark, sf_dir):
-    return fb.decoded(hexed(spark, sf_dir), "hex")
+    return rounded(fb.decoded(hexed(spark, sf_dir), "hex"))
 
 
 @query("double_parts", "WITH v AS (SELECT DISTINCT l_extendedprice AS x FROM lineitem), e AS (SELECT x, floor(log2(x))::INTEGER AS e FROM v), f AS (SELECT x, CASE WHEN x < 2.0::DOUBLE ** e THEN e - 1 WHEN x >= 2.0::DOUBLE ** (e + 1) THEN e + 1 ELSE e END AS e FROM e), m AS (SELECT x, e, ((x / 2.0::DOUBLE ** e - 1) * 4503599627370496)::BIGINT AS m FROM f) SELECT x, e + 1023 AS exponent, m & 255 AS low_bits, (CASE WHEN m = 0 THEN 52 ELSE bit_count((m & -m) - 1) END)::INTEGER AS zeros FROM m")

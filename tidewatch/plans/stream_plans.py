@@ -34,9 +34,11 @@ def q_sessions(spark, sf_dir):
     return _done(live.session_counts(live.event_stream(spark, sf_dir), "user_id", "24 hours"))
 
 
-@query("stream_cusum")
+@query("stream_cusum", """WITH g AS (SELECT event_type, epoch_us(ts) AS t, row_number() OVER w AS k, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS gap FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT event_type, k, sum(CASE WHEN gap > 0 THEN greatest(0, gap - 900) / 900.0::DOUBLE - 0.5 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY k) AS total FROM g)
+SELECT event_type, count(*) AS n, round(arg_max(total, k) - least(0, min(total)) + 1e-7, 4) + 0e0 AS state FROM s GROUP BY event_type""")
 def q_cusum(spark, sf_dir):
-    return _done(live.cusum(live.event_stream(spark, sf_dir), "event_type", 900.0, 900.0), "update")
+    return rounded(_done(live.cusum(live.event_stream(spark, sf_dir), "event_type", 900.0, 900.0), "update"))
 
 
 @query("consecutive_alerts", f"WITH {RULES}, a AS (SELECT position, row_number() OVER (ORDER BY position) AS k FROM flagged WHERE fired), g AS (SELECT min(position) AS position, count(*) AS length FROM a GROUP BY position - k) SELECT position, length, (CASE WHEN length >= 5 THEN 3 WHEN length >= 2 THEN 2 ELSE 1 END)::INTEGER AS severity FROM g")

@@ -17,9 +17,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null texts and texts without a letter.  A missing lang becomes the predicted one."""
-    out = language.predict(docs.select(*COLUMNS), language.fit(docs))
-    return out.where(F.col("lang_pred") != language.UNKNOWN).select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+    """Drops documents of no language: null texts and texts without a letter.  ``lang`` becomes the predicted one.
+
+    Where no row has a language to learn from, nothing is predicted and ``lang`` stays as it is.
+    """
+    own = docs.select(*COLUMNS).where(language.lettered(F.col("text")))
+    out = language.predict(own, language.fit(docs))
+    lang = F.when(F.col("lang_pred") != language.UNKNOWN, F.col("lang_pred")).otherwise(F.col("lang"))
+    return out.select("doc_id", "text", lang.alias("lang"), "source", "n_chars")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,42 @@ def regression(rows: DataFrame, label: Column, old: Column, new: Column) -> Data
     return got.withColumn("gain_ratio", F.try_divide(F.col("tp_gained").cast("double"), F.col("fp_gained").cast("double")))
 
 
+def regression_by(rows: DataFrame, key: str, old: Column, new: Column) -> DataFrame:
+    """For each category the rows that an old and a new flag mark, and the difference."""
+    got = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(old).alias("old_flagged"), F.count_if(new).alias("new_flagged"))
+    return got.withColumn("delta", F.col("new_flagged") - F.col("old_flagged"))
+
+
+def regression_bar(rows: DataFrame, label: Column, old: Column, new: Column, bar: float) -> DataFrame:
+    """One row: the false positive rates of an old and a new flag, what the new one adds, and whether it stays within ``bar``."""
+    got = rows.where(~label).agg(F.avg(old.cast("int")).alias("fpr_old"), F.avg(new.cast("int")).alias("fpr_new"), (F.count_if(new) - F.count_if(old)).alias("new_fp"))
+    return got.withColumn("within_bar", F.col("fpr_new") <= bar)
+
+
+def infeasible(share_percent: Column, n: Column, majority: float = 50.0) -> Column:
+    """The stopping rule: a category without data, or with the majority of it not scorable, is likely infeasible. Fixed values."""
+    return F.when(n == 0, "INFEASIBLE (no data)").when(100.0 - share_percent >= majority, "LIKELY INFEASIBLE").otherwise("not flagged by this rule")
+
+
+def size_gate(effects: DataFrame, least_d: float = 0.5, least_n: int = 30) -> DataFrame:
+    """``effects`` (d, n_true) with whether they clear the gate on window sizes. Fixed values."""
+    return effects.withColumn("clears_gate", (F.abs("d") >= least_d) & (F.col("n_true") >= least_n))
+
+
+def reproduced(found: DataFrame, saved: DataFrame, keys: list[str], value: str = "d", tolerance: float = 0.01) -> DataFrame:
+    """Saved effects against found ones: ``off`` and whether it is within the tolerance; a missing one is not."""
+    other = saved.select(*keys, F.col(value).alias("saved"))
+    off = F.abs(F.col(value) - F.col("saved"))
+    return other.join(found.select(*keys, value), keys, "left").withColumn("off", off).withColumn("within", F.coalesce(off <= tolerance, F.lit(False)))
+
+
+def rederived(saved: DataFrame, term: DataFrame, key: str, flag: str, new: str, out: str = "combined") -> DataFrame:
+    """Saved flags with a new deterministic term: ``out`` is either; an error where a saved row has no term."""
+    rows = saved.join(term.select(key, F.col(new).alias("__new")), key, "left")
+    checked = F.when(F.col("__new").isNull(), F.raise_error(F.concat(F.lit("no term for "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.col("__new"))
+    return rows.withColumn(new, checked).withColumn(out, F.col(flag) | F.col(new)).drop("__new")
+
+
 def sweep(scores: DataFrame, label: str = "label", score: str = "score", thresholds=THRESHOLDS) -> DataFrame:
     """Confusion at each threshold, scores from it on flagged: rows are counted once by the number of thresholds they reach."""
     cuts = F.array(*[F.lit(float(t)) for t in thresholds])

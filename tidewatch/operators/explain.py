@@ -26,14 +26,14 @@ LABELS = {
 
 def deviations(features: list[str], top_k: int = 3) -> Column:
     """array<struct<feature, z>> of the ``top_k`` (3 to 5) largest ``z_`` columns by size, ties (to nine digits) in the features' order."""
-    if isinstance(top_k, bool) or not isinstance(top_k, int) or not 3 <= top_k <= 5:
+    if type(top_k) is not int or top_k not in range(3, 6):
         raise ValueError("top_k must be a whole number from 3 to 5")
     every = F.array(*[F.struct((-F.round(F.abs(F.col(f"z_{f}")), 9)).alias("key"), F.lit(i).alias("at"), F.lit(f).alias("feature"), F.col(f"z_{f}").alias("z")) for i, f in enumerate(features)])
     return F.transform(F.slice(F.array_sort(every), 1, top_k), lambda x: F.struct(x["feature"].alias("feature"), x["z"].alias("z"), F.when(x["z"] >= 0, "above").otherwise("below").alias("direction")))
 
 
 def sentence(top: Column) -> Column:
-    """One sentence about the first two deviations."""
+    """One sentence about the first two deviations. Its words are fixed values."""
     names = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
     phrase = lambda d: F.concat(
         F.lit("unusually "), F.when(d["z"] >= 0, "high ").otherwise("low "), F.coalesce(F.try_element_at(names, d["feature"]), F.translate(d["feature"], "_", " ")),
@@ -43,7 +43,7 @@ def sentence(top: Column) -> Column:
 
 
 def mechanism(rule: Column, forest: Column) -> Column:
-    """What raised an alert; null where nothing did."""
+    """What raised an alert; null where nothing did. The names are fixed values."""
     return F.when(rule & forest, "Rule + IF").when(rule, "Rule").when(forest, "IF")
 
 

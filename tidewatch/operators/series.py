@@ -5,6 +5,8 @@ A series is a DataFrame with ``position`` (1, 2, ... in time order, see :func:`o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +137,17 @@ def cadence_windows(events: DataFrame, thresholds: DataFrame, buckets: DataFrame
     return out.withColumns({"cadence_event_count_total": total("event_count"), "missed_cycles_sum_total": total("missed_cycles_sum"), "cusum_alarm_count_total": total("cusum_alarm_count"), "cusum_max_any_type": F.greatest(*of("cusum_max")), "active_type_count": sum(active[1:], active[0])})
 
 
+def mapped(frames: DataFrame, mapper: Callable[[DataFrame], Column], out: str = "function_code") -> DataFrame:
+    """``frames`` with a caller's type of each, without those it gives none: what gaps, baselines and sums go by."""
+    return frames.withColumn(out, mapper(frames)).where(F.col(out).isNotNull())
+
+
+def both_normal(rates: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Those of :func:`step_rates` whose two readings both lie in ``buckets``."""
+    own = buckets.select("bucket").distinct()
+    return rates.join(own, "bucket", "left_semi").join(own.withColumnRenamed("bucket", "bucket_before"), "bucket_before", "left_semi")
+
+
 def step_rates(series: DataFrame) -> DataFrame:
     """``series`` with the reading before it, its bucket if there is one, and ``rate``: change a second; null for the first row and gaps of 0."""
     w, back = _at()

@@ -166,6 +166,46 @@ def value_counts(rows: DataFrame, column: str, most: int = 60) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most)
 
 
+def register_audit(bytes_: DataFrame, row: str, at: str = "at", value: str = "value") -> DataFrame:
+    """For each pair of neighbouring bytes from an even place, as a big-endian word: number, distinct words, least, largest, constancy."""
+    pair = F.floor(F.col(at) / 2).cast("int")
+    words = bytes_.groupBy(row, pair.alias("register")).agg(F.sum(F.when(F.col(at) % 2 == 0, F.col(value) * 256).otherwise(F.col(value))).alias("word"), F.count("*").alias("k")).where("k = 2")
+    return words.groupBy("register").agg(F.count("*").alias("n"), F.count_distinct("word").alias("distinct"), F.min("word").alias("least"), F.max("word").alias("most"), (F.count_distinct("word") == 1).alias("constant"))
+
+
+def lengths_by(rows: DataFrame, key: str, length: str = "frame_len") -> DataFrame:
+    """Rows and mean length of each direction."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(length).alias("mean_length"))
+
+
+def separation(rows: DataFrame, group: str, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Presence and range of a value in two groups: numbers, quartiles, values in common, and whether a cut parts them perfectly."""
+    on, off = F.when(F.col(group), F.col(value)), F.when(~F.col(group), F.col(value))
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    got = rows.groupBy(*keys).agg(
+        F.count_if(F.col(group)).alias("rows_true"), F.count_if(~F.col(group)).alias("rows_false"), F.count(on).alias("n_true"), F.count(off).alias("n_false"), F.min(on).alias("least_true"), q(on, 0.25).alias("q25_true"), q(on, 0.5).alias("median_true"), q(on, 0.75).alias("q75_true"), F.max(on).alias("most_true"),
+        F.min(off).alias("least_false"), q(off, 0.25).alias("q25_false"), q(off, 0.5).alias("median_false"), q(off, 0.75).alias("q75_false"), F.max(off).alias("most_false"), F.count_distinct(on).alias("distinct_true"), F.count_distinct(off).alias("distinct_false"),
+    )
+    both = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
+    common = both.groupBy(*keys).agg(F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("values_in_common"))
+    got = got.join(common, list(keys), "left") if keys else got.crossJoin(F.broadcast(common))  # one row
+    parted = (F.col("least_true") > F.col("most_false")) | (F.col("most_true") < F.col("least_false"))
+    return got.withColumn("separated", F.coalesce(parted, F.lit(False)))
+
+
+def payload_gate(found: DataFrame) -> DataFrame:
+    """Whether a value may serve a detector: present in both groups, more than one value among normal rows, and no perfect cut,
+    which speaks of an artefact; with the reasons against."""
+    reasons = F.array_compact(F.array(F.when(F.col("n_true") == 0, "absent from attacks"), F.when(F.col("n_false") == 0, "absent from normal rows"), F.when(F.col("distinct_false") <= 1, "constant among normal rows"), F.when(F.col("separated"), "separates perfectly")))
+    return found.withColumn("reasons", reasons).withColumn("passes", F.size(reasons) == 0)
+
+
+def support_gate(support: DataFrame, least_windows: int, least_attacks: int) -> DataFrame:
+    """``support`` (normal_windows, attack_windows) with the reasons against a type, none if it may be used."""
+    reasons = F.array_compact(F.array(F.when(F.col("normal_windows") < least_windows, "too few normal windows"), F.when(F.col("attack_windows") < least_attacks, "too few attack windows")))
+    return support.withColumn("reasons", reasons).withColumn("supported", F.size(reasons) == 0)
+
+
 def typed_support(frames: DataFrame, windows: DataFrame, attack: int) -> DataFrame:
     """For each code and block: normal frames, normal windows and windows with an attack; also over all codes (null code)."""
     rows = frames.select("bucket", "function_code").join(windows.select("bucket", "block", "categories"), "bucket")

@@ -42,6 +42,11 @@ def feature_windows(frames: DataFrame, width_us: int = 5_000_000, *, least: int
     return out.withColumn("is_attack", F.exists("categories", lambda c: c != 0).cast("int"))
 
 
+def until(frames: DataFrame, last: int, width_us: int) -> DataFrame:
+    """Frames up to the window ``last``, itself included: a range of times, which a scan of sorted files can prune."""
+    return frames.where(F.col("ts_us") < (last + 1) * width_us)
+
+
 def dominant(categories: str | Column) -> Column:
     """The smallest category but Normal; 0 for pure Normal."""
     return F.coalesce(F.array_min(F.filter(categories, lambda c: c != 0)), F.lit(0))

@@ -239,12 +239,6 @@ def q_permute(spark, sf_dir):
     return rounded(null.agg(F.percentile("value", F.lit(0.95)).alias("p95"), F.avg("value").alias("mean")))
 
 
-@query("verdicts", "SELECT v, CASE WHEN a >= 0.25 AND b <= 0.003 AND c >= 0.97 THEN 'STRONG' WHEN a >= 0.1 AND b <= 0.003 AND c >= 0.97 THEN 'ACCEPTABLE' ELSE 'WEAK / HYPOTHESIS NOT SUPPORTED' END AS verdict FROM (VALUES (1, 0.25::DOUBLE, 0.003::DOUBLE, 0.97::DOUBLE), (2, 0.3, 0.0031, 0.98), (3, 0.15, 0.001, 0.98)) AS t(v, a, b, c)")
-def q_verdicts(spark, sf_dir):
-    rows = spark.createDataFrame([(1, 0.25, 0.003, 0.97), (2, 0.3, 0.0031, 0.98), (3, 0.15, 0.001, 0.98)], "v int, a double, b double, c double")
-    return rows.select("v", evaluate.verdict(F.col("a"), F.col("b"), F.col("c")).alias("verdict"))
-
-
 @query("selected_threshold", f"WITH {RULES}, t AS (SELECT dominant, count(*) FILTER (fired) AS hits, count(*) AS n FROM flagged GROUP BY dominant) SELECT dominant, hits, n FROM t ORDER BY hits / n::DOUBLE DESC, n DESC, dominant LIMIT 1")
 def q_pick(spark, sf_dir):
     t = ruled(spark, sf_dir).groupBy("dominant").agg(F.count_if(F.col("hit.fired")).alias("hits"), F.count("*").alias("n"))

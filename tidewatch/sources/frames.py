@@ -101,14 +101,54 @@ def optional_double(text: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 
-def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an attribute-relation file, numbers as doubles and nominal values as strings; its header gives the schema."""
-    head = [r[0] for r in spark.read.text(path).where("value like '@%' or value like '\\%%'").limit(1000).collect()]
+_DATA = "line <> '' and line not like '\\%%' and line not like '@%'"
+
+
+def read_arff(spark: SparkSession, path: str, mode: str = "drop") -> DataFrame:
+    """Rows of an attribute-relation file, numbers as doubles and nominal values as strings; its header gives the schema.
+
+    Rows with another number of cells are left out (``drop``), are an error (``strict``), or are read as far as they go, cells
+    that are missing null, with a column ``cells`` of their number (``lenient``).
+    """
+    if mode not in ("drop", "strict", "lenient"):
+        raise ValueError("mode is drop, strict or lenient")
+    text = spark.read.text(path)
+    head = [r[0] for r in text.where("trim(value) rlike '^(?i)@(relation|attribute|data)'").collect()]  # a line for each attribute
     _, attributes, _ = arff_header(head)
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' and line not like '\\%%' and line not like '@%'")
+    lines = text.select(F.trim("value").alias("line")).where(_DATA)
     part = F.transform(F.split("line", ",", -1), lambda x: F.regexp_replace(F.trim(x), "^'|'$", ""))
-    cells = lines.withColumn("c", part).where(F.size("c") == len(attributes))
-    return cells.select(*[(F.when(F.col("c")[i] != "?", F.col("c")[i]) if nominal else optional_double(F.col("c")[i])).alias(name) for i, (name, nominal) in enumerate(attributes)])
+    cells = lines.withColumn("c", part)
+    whole = F.size("c") == len(attributes)
+    if mode == "strict":
+        cells = cells.withColumn("ok", F.assert_true(whole, F.concat(F.lit("wrong number of cells: "), F.col("line")))).where(F.col("ok").isNull())
+    elif mode == "drop":
+        cells = cells.where(whole)
+    at = lambda i: F.get("c", F.lit(i))
+    out = [(F.when(at(i) != "?", at(i)) if nominal else optional_double(at(i))).alias(name) for i, (name, nominal) in enumerate(attributes)]
+    return cells.select(*out, *([F.size("c").alias("cells")] if mode == "lenient" else []))
+
+
+def widths(spark: SparkSession, path: str, arff: bool = True) -> DataFrame:
+    """(cells, n): how many data lines of a comma-parted file have each number of cells."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).where(_DATA if arff else "line <> ''")
+    return lines.groupBy(F.size(F.split("line", ",", -1)).alias("cells")).agg(F.count("*").alias("n"))
+
+
+def frame_bytes_of(frames: DataFrame, hex_col: str = "hex") -> DataFrame:
+    """``frames`` with ``bytes``, array<int>: decoded fields leave the bytes out, audits of registers need them."""
+    return frames.withColumn("bytes", fb.byte_values(F.col(hex_col)))
+
+
+def register_bytes(frames: DataFrame, hex_col: str = "hex") -> DataFrame:
+    """(record_index, at, value) of the undecoded bytes of egress reading answers, places from 0."""
+    own = frame_bytes_of(frames, hex_col).where((F.col("destination") == 1) & fb.is_reading(F.col("function_code"), F.col("frame_len_bytes"), F.col("is_request")))
+    return own.select("record_index", F.posexplode(fb.undecoded(F.col("bytes"))).alias("at", "value"))
+
+
+def acknowledgements(frames: DataFrame) -> DataFrame:
+    """(record_index, ts_us, category, specific) of egress write acknowledgements."""
+    own = frames.where((F.col("destination") == 1) & fb.is_ack(F.col("function_code"), F.col("frame_len_bytes"), F.col("is_request")))
+    return own.select("record_index", "ts_us", F.col("categorized_attack").alias("category"), F.col("specific_attack").alias("specific"))
 
 
 def files_digest(spark: SparkSession, path: str) -> DataFrame:
@@ -123,27 +163,37 @@ def checked_files(spark: SparkSession, path: str, expected: dict[str, str]) -> D
     return files_digest(spark, path).withColumn("ok", F.assert_true(F.coalesce(F.try_element_at(pins, name) == F.col("sha256"), F.lit(False)), F.concat(F.lit("digest differs: "), F.col("path")))).drop("ok")
 
 
-SPLIT = T.StructType([T.StructField("split_id", T.StringType()), T.StructField("membership_sha256", T.StringType()), *[T.StructField(f"{b}_bucket_ids", T.ArrayType(T.LongType())) for b in ("train", "validation", "guard")]])
-
-
 def membership_digest(train: list[int], validation: list[int]) -> str:
     return hashlib.sha256(json.dumps({"train_bucket_ids": train, "validation_bucket_ids": validation}, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
 
 
-def read_split(spark: SparkSession, path: str, split_id: str) -> DataFrame:
-    """(bucket, block) of a split manifest; an error if its id, digest, order, disjointness or chronology is wrong."""
-    rows = spark.read.schema(SPLIT).json(path, multiLine=True).collect()
+_IDS = T.ArrayType(T.LongType())
+SPLIT = T.StructType([T.StructField("split_id", T.StringType()), T.StructField("membership_sha256", T.StringType()), T.StructField("train_bucket_ids", _IDS), T.StructField("validation_bucket_ids", _IDS), T.StructField("guards", T.StructType([T.StructField("between_train_validation_bucket_ids", _IDS)]))])
+
+
+def read_split(spark: SparkSession, path: str, split_id: str, pinned: str | None = None) -> DataFrame:
+    """(bucket, block) of a split manifest, fail closed: an error if its id, digest (its own, and the ``pinned`` one), blocks, strict
+    order, disjointness or chronology is wrong, or the guards aren't exactly the numbers between training and validation.
+
+    A manifest is one document of window numbers, a few bytes for each window of a study.
+    """
+    rows = spark.read.schema(SPLIT).json(path, multiLine=True).limit(2).collect()
     if len(rows) != 1 or rows[0]["split_id"] != split_id:
         raise ValueError("not the expected split")
     m = rows[0]
-    train, validation, guard = (m[f"{b}_bucket_ids"] or [] for b in ("train", "validation", "guard"))
-    if membership_digest(train, validation) != m["membership_sha256"]:
+    train, validation = m["train_bucket_ids"] or [], m["validation_bucket_ids"] or []
+    guard = (m["guards"]["between_train_validation_bucket_ids"] if m["guards"] else None) or []
+    if membership_digest(train, validation) != m["membership_sha256"] or pinned not in (None, m["membership_sha256"]):
         raise ValueError("membership digest differs")
+    if not train or not validation:
+        raise ValueError("a block is empty")
     for ids in (train, validation, guard):
         if any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
             raise ValueError("bucket ids are not in strict order")
-    if {*train} & {*validation} or {*guard} & ({*train} | {*validation}) or (train and validation and train[-1] >= validation[0]):
+    if {*train} & {*validation} or {*guard} & ({*train} | {*validation}) or train[-1] >= validation[0]:
         raise ValueError("blocks overlap")
+    if guard != list(range(train[-1] + 1, validation[0])):
+        raise ValueError("guards don't fill the gap between the blocks")
     return spark.createDataFrame([(b, name) for name, ids in (("train", train), ("validation", validation), ("guard", guard)) for b in ids], "bucket long, block string")
 
 

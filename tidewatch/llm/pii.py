@@ -1,9 +1,10 @@
 """Personal data in whole texts: fixed patterns, and bootstrapped contextual extraction; DataFrame functions alone.
 
-The fixed patterns' matches are the seeds.  The words on a seed's left, and those on its right, induce lexical patterns; a
-pattern's instances are the identifier-like words, and runs of words, of the same coarse class beside it anywhere.  Spark scores the bipartite graph of patterns and instances in turns: a pattern
-is as trustworthy as the mean of its instances, smoothed towards 0, and an instance as its patterns together.  Instances
-of patterns above a threshold that no fixed pattern has found are personal data of the pattern's kind too.
+The fixed patterns' matches are the seeds.  The words on a seed's left, and those on its right, induce lexical patterns with
+its coarse class or its form, and its form alone is a pattern too; a pattern's instances are the identifier-like words, and
+runs of words, that fit it anywhere.  Spark scores the bipartite graph of patterns and instances in turns: a pattern is as
+trustworthy as the mean of its instances, smoothed towards 0, and an instance as its patterns together.  Instances of patterns
+above a threshold that no fixed pattern has found are personal data of the pattern's kind too.
 """
 
 from __future__ import annotations
@@ -168,11 +169,39 @@ def _class(found: Column) -> Column:
     return F.when(address, "@").when((digits >= 4) & (digits > letters), "9")
 
 
+def _shape(found: Column) -> Column:
+    """The form of an identifier: a for a run of letters, d for one to three digits, every digit of a longer run as 9, marks as they are."""
+    letters = F.regexp_replace(found, r"\p{L}++", "a")
+    return F.regexp_replace(F.regexp_replace(letters, r"(?<![0-9])[0-9]{1,3}(?![0-9])", "d"), "[0-9]", "9")
+
+
 def _patterns(rows: DataFrame, *keep: str) -> DataFrame:
-    """``rows`` (instance, left, right, ...) for each of their lexical patterns: the words on one side, and the coarse class."""
-    side = lambda name: F.when(F.col(name).isNotNull(), F.concat_ws("\x01", F.lit(name), F.col(name), F.col("class")))
-    rows = rows.withColumn("class", _class(F.col("instance"))).where("class is not null")
-    return rows.select(*keep, "instance", F.explode(F.array_compact(F.array(side("left"), side("right")))).alias("pattern"))
+    """``rows`` (instance, left, right, ...) for each of their patterns: two words on one side with the coarse class, and, marked
+    ``shape``, the form with the nearest word of a side, and alone."""
+    rows = rows.withColumns({"class": _class(F.col("instance")), "form": _shape(F.col("instance"))}).where("class is not null")
+    side = lambda name, words, kind: F.when(F.col(name).isNotNull(), F.concat_ws("\x01", F.lit(name), words, F.col(kind)))
+    form = lambda name, word: F.when(F.col(name).isNotNull(), F.concat_ws("\x01", F.lit("shape"), F.lit(name), word, F.col("form")))
+    near = [form("left", F.substring_index("left", " ", -1)), form("right", F.substring_index("right", " ", 1))]
+    every = [side("left", F.col("left"), "class"), side("right", F.col("right"), "class"), *near, F.concat_ws("\x01", F.lit("shape"), F.col("form"))]
+    return rows.select(*keep, "instance", F.explode(F.array_compact(F.array(*every))).alias("pattern")).withColumn("shape", F.startswith("pattern", F.lit("shape\x01")))
+
+
+def scored(edges: DataFrame, known: DataFrame, *, turns: int = TURNS, smooth: float = SMOOTH) -> DataFrame:
+    """(pattern, rank, trust) of the bipartite graph ``edges`` (pattern, instance, shape) with scores ``known`` (instance, rank, score).
+
+    A pattern's trust is its instances' sum of scores over their number plus ``smooth``; an instance of unknown score has the mean
+    trust of its patterns of two words.  A pattern with a form is as trustworthy as its known instances make it: it neither
+    learns from guesses nor gives any, or what merely looks like an identifier would vouch for itself.
+    """
+    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"), F.bool_or("shape").alias("shape"))
+    scores, trusted = known, None
+    for _ in range(turns):
+        sums = edges.join(scores, "instance").groupBy("pattern", "rank").agg(F.sum("score").alias("sum"), F.sum(F.col("score") * F.col("sure").cast("int")).alias("seen"))
+        trusted = sums.join(degree, "pattern").select("pattern", "rank", "shape", (F.when(F.col("shape"), F.col("seen")).otherwise(F.col("sum")) / (F.col("degree") + smooth)).alias("trust"))
+        trusted = written(trusted, "trust")
+        guessed = edges.where("not shape").join(trusted.drop("shape"), "pattern").groupBy("instance", "rank").agg(F.avg("trust").alias("guess"))
+        scores = guessed.join(known, ["instance", "rank"], "full").select("instance", "rank", F.coalesce("score", "guess").alias("score"), F.coalesce("sure", F.lit(False)).alias("sure"))
+    return trusted.drop("shape")
 
 
 def discovered(base: DataFrame, marks: DataFrame, *, turns: int = TURNS, support: int = SUPPORT, trust: float = TRUST, smooth: float = SMOOTH) -> DataFrame:
@@ -201,19 +230,12 @@ def discovered(base: DataFrame, marks: DataFrame, *, turns: int = TURNS, support
     free = every.where(F.col("free") & (~is_word | (F.coalesce("run_end", F.lit(0)) <= F.col("start"))))
     free = free.select("row", (F.col("start") + head).alias("start"), core.alias("instance"), "left", "right")
     free = _patterns(free.withColumn("end", F.col("start") + F.length("instance")), "row", "start", "end")
-    seeds = written(seeds.groupBy("pattern", "instance", "rank").agg(F.lit(1.0).alias("score")), "seeds")
-    known = seeds.groupBy("instance", "rank").agg(F.max("score").alias("score"))
+    seeds = written(seeds.groupBy("pattern", "instance", "rank", "shape").agg(F.lit(1.0).alias("score")), "seeds")
+    known = seeds.groupBy("instance", "rank").agg(F.max("score").alias("score")).withColumn("sure", F.lit(True))
     induced = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("seeds"))
     free = free.join(induced.select("pattern"), "pattern", "left_semi")
-    edges = written(free.select("pattern", "instance").unionByName(seeds.select("pattern", "instance")).distinct(), "edges")
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"))
-    scores = known
-    trusted = None
-    for _ in range(turns):
-        trusted = edges.join(scores, "instance").groupBy("pattern", "rank").agg(F.sum("score").alias("sum")).join(degree, "pattern").select("pattern", "rank", (F.col("sum") / (F.col("degree") + smooth)).alias("trust"))
-        trusted = written(trusted, "trust")
-        guessed = edges.join(trusted, "pattern").groupBy("instance", "rank").agg(F.avg("trust").alias("guess"))
-        scores = guessed.join(known, ["instance", "rank"], "full").select("instance", "rank", F.coalesce("score", "guess").alias("score"))
+    edges = written(free.select("pattern", "instance", "shape").unionByName(seeds.select("pattern", "instance", "shape")).distinct(), "edges")
+    trusted = scored(edges, known, turns=turns, smooth=smooth)
     best = trusted.join(induced, "pattern").where((F.col("trust") >= trust) & (F.col("seeds") >= support)).groupBy("pattern").agg(F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank"))
     found = free.join(best.join(trusted, ["pattern", "rank"]), "pattern")
     return found.groupBy("row", "start", "end").agg(F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank")).select("row", "rank", "start", "end")

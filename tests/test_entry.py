@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import __spark_entry__ as entry
+import pytest
 
 ROOT = Path(entry.__file__).resolve().parent
 
@@ -26,7 +27,17 @@ def test_nothing_else_imports_the_corpus_operators():
             assert not re.search(r"\bllm\b", path.read_text()), path
 
 
-def test_the_rest_works_without_the_corpus_operators(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 100 and 'pipeline' not in q and not any(n.startswith('op1_') for n in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "repo")})
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_the_rest_works_without_the_corpus_operators(tmp_path, gone):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 100 and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q and not any(n.startswith('op1_') for n in q)"
+    env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "repo")}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path / "repo", check=True, env=env, stdout=subprocess.DEVNULL)
+
+
+def test_a_broken_corpus_module_is_not_swallowed(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    (tmp_path / "repo/tidewatch/llm/words.py").write_text("import no_such_module")
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "repo", env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True)
+    assert run.returncode and "no_such_module" in run.stderr

@@ -202,11 +202,11 @@ def test_attribute_files(spark, tmp_path):
 
 
 def test_manifest(spark, tmp_path):
-    good = {"split_id": "s1", "train_bucket_ids": [1, 2], "validation_bucket_ids": [5, 6], "guard_bucket_ids": [3, 4], "membership_sha256": frames.membership_digest([1, 2], [5, 6])}
+    good = {"split_id": "s1", "train_bucket_ids": [1, 2], "validation_bucket_ids": [5, 6], "guards": {"between_train_validation_bucket_ids": [3, 4]}, "membership_sha256": frames.membership_digest([1, 2], [5, 6])}
     path = tmp_path / "split.json"
     path.write_text(json.dumps(good))
     assert frames.read_split(spark, f"file://{path}", "s1").count() == 6
-    for bad in ({"split_id": "other"}, {"train_bucket_ids": [1, 9]}, {"guard_bucket_ids": [2]}):
+    for bad in ({"split_id": "other"}, {"train_bucket_ids": [1, 9]}, {"guards": {"between_train_validation_bucket_ids": [2]}}):
         path.write_text(json.dumps(good | bad))
         with pytest.raises(ValueError):
             frames.read_split(spark, f"file://{path}", "s1")

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import number
+from ..functions.draws import number, share
+from ..sources.scratch import written
+from . import ordered
 from .boosting import BoostedTrees
 
 #: Normal rows that a forest's trees draw from: a bounded sample by hash.
 POOL = 20_000
-#: Rows of a rare class that oversampling holds at once: a bounded sample by hash.
-RARE = 20_000
 
 
 def _bounded(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
@@ -117,6 +118,20 @@ def balanced_weights(rows: DataFrame, label: str, out: str = "weight") -> DataFr
     return rows.crossJoin(F.broadcast(n)).withColumn(out, w).drop("__n", "__p")
 
 
+def forest_grid(rows: DataFrame, checked: DataFrame, features: list[str], label: str, *, depths=(None, 10, 20), leaves=(1, 2, 5), trees: int = 300, seed: int = 42) -> DataFrame:
+    """(depth, leaf, tp, fp, fn, tn, ...) of forests fitted on ``rows`` for every depth (None: the deepest there is) and least leaf, on ``checked``."""
+    from .evaluate import confusion
+
+    out = None
+    for depth in depths:
+        for leaf in leaves:
+            model = random_forest(rows, features, label, trees=trees, depth=depth or 30, leaf=leaf, seed=seed)
+            one = confusion(probability(checked, model, features), F.col(label) == 1, F.col("probability") >= 0.5)
+            one = one.withColumns({"depth": F.lit(depth).cast("int"), "leaf": F.lit(leaf)})
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def random_forest(rows: DataFrame, features: list[str], label: str, *, trees: int = 300, depth: int = 30, leaf: int = 1, balanced: bool = True, seed: int = 42):
     """A fitted random forest classifier."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -219,64 +234,99 @@ def per_type_maximum(scores: dict[str, Column]) -> Column:
     return F.greatest(*parts) if len(parts) > 1 else parts[0]
 
 
-def _draw(*parts) -> Column:
-    """A number from 0 to 1 by hash."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(1 << 53)
-
-
-def _neighbours(rows: DataFrame, key: str, features: list[str], pool_keys: np.ndarray, pool: np.ndarray, k: int) -> DataFrame:
-    """``rows`` with ``near``: places in the pool of the k nearest others by squared distance, nearest first, ties by place."""
-    shared = rows.sparkSession.sparkContext.broadcast((pool_keys, pool))
+def neighbours(rows: DataFrame, others: DataFrame, key: str, features: list[str], k: int, *, extra: tuple[str, ...] = (), block: int = 4_000) -> DataFrame:
+    """(key, near) for every one of ``rows``: its k nearest of ``others`` but itself, by squared distance, ties by key.
 
-    @F.pandas_udf("array<int>")
-    def find(keys, x):
+    ``near`` is array<struct<far, key, x, ...>>, nearest first, with the ``extra`` columns.  Both sides are cut into blocks of
+    about ``block`` rows; every two blocks meet in a task that keeps k for each row, so no task or driver holds more, whatever
+    the classes' sizes, and the result is exact.
+    """
+    a, b = max(1, -(-rows.count() // block)), max(1, -(-others.count() // (4 * block)))
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = rows.select(F.col(key).alias("key"), x.alias("x"), part(a).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
+    right = others.select(F.col(key).alias("key"), x.alias("x"), *extra, part(b).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("a"))
+    kind = rows.schema[key].dataType.simpleString()
+    more = "".join(f", {c} {others.schema[c].dataType.simpleString()}" for c in extra)
+
+    def run(own, other):
         import pandas as pd
 
-        names, own = shared.value
-        points = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, own.shape[1]))
         out = []
-        for at in range(0, len(points), 256):
-            far = ((points[at : at + 256, None, :] - own[None]) ** 2).sum(2)
-            far[keys.to_numpy()[at : at + 256, None] == names[None]] = np.inf
-            order = np.argsort(far, axis=1, kind="stable")[:, :k]
-            out += [o[np.isfinite(f[o])].tolist() for o, f in zip(order, far, strict=True)]
-        return pd.Series(out)
+        if len(own) and len(other):
+            points = np.stack(other["x"].to_numpy()).astype(float)
+            names = other["key"].to_numpy()
+            order = np.argsort(names, kind="stable")
+            points, names = points[order], names[order]
+            for at in range(0, len(own), 256):
+                mine, ids = np.stack(own["x"].to_numpy()[at : at + 256]).astype(float), own["key"].to_numpy()[at : at + 256]
+                far = ((mine[:, None, :] - points[None]) ** 2).sum(2)
+                far[ids[:, None] == names[None]] = np.inf
+                best = np.argsort(far, axis=1, kind="stable")[:, :k]
+                for i, places in enumerate(best):
+                    for j in places[np.isfinite(far[i, places])].tolist():
+                        o = order[j]
+                        out.append((ids[i], float(far[i, j]), names[j], points[j].tolist(), *[other[c].iloc[o] for c in extra]))
+        return pd.DataFrame(out, columns=["key", "far", "other", "x", *extra])
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, f"key {kind}, far double, other {kind}, x array<double>{more}")
+    near = F.struct("far", F.col("other").alias("key"), "x", *extra)
+    return found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(near)), 1, k).alias("near"))
+
+
+def smote_seeds(data: DataFrame, features: list[str], label: str, key: str, k: int, m: int) -> DataFrame:
+    """(key, weight): every row of class 1, alike."""
+    return data.where(F.col(label) == 1).select(F.col(key).alias("key"), F.lit(1.0).alias("weight"))
 
-    return rows.withColumn("near", find(F.col(key), F.array(*[F.col(f).cast("double") for f in features])))
 
+def borderline_seeds(data: DataFrame, features: list[str], label: str, key: str, k: int, m: int) -> DataFrame:
+    """(key, weight): rows of class 1 of whose m nearest rows half or more, but not all, are of the other class."""
+    near = neighbours(data.where(F.col(label) == 1), data, key, features, m, extra=(label,))
+    share = _other_share(label)
+    return near.select("key", ((share >= 0.5) & (share < 1)).cast("double").alias("weight"))
 
-def oversample(rows: DataFrame, features: list[str], label: str, key: str, *, method: str = "smote", k: int = 5, m: int = 10, seed: int = 42, most: int = RARE) -> DataFrame:
+
+def adasyn_seeds(data: DataFrame, features: list[str], label: str, key: str, k: int, m: int) -> DataFrame:
+    """(key, weight): rows of class 1 by the share of the other class among their k nearest rows."""
+    near = neighbours(data.where(F.col(label) == 1), data, key, features, k, extra=(label,))
+    return near.select("key", _other_share(label).alias("weight"))
+
+
+def _other_share(label: str) -> Column:
+    return F.size(F.filter("near", lambda x: x[label] != 1)) / F.size("near")
+
+
+#: Ways to weigh seeds, by name; a caller may pass one of its own.
+SAMPLERS = {"smote": smote_seeds, "borderline": borderline_seeds, "adasyn": adasyn_seeds}
+
+
+def oversample(rows: DataFrame, features: list[str], label: str, key: str, *, method: str | Callable[..., DataFrame] = "smote", k: int = 5, m: int = 10, seed: int = 42, block: int = 4_000) -> DataFrame:
     """``rows`` (key, label, features) and synthetic rows of class 1 until both classes are even; synthetic keys are null.
 
-    A synthetic row lies at a random place between a seed of class 1 and one of its k nearest of the class.  ``smote`` seeds are
-    all rows of the class, ``borderline`` those of whose m nearest rows half or more but not all are of the other class, and
-    ``adasyn`` draws seeds in proportion to that share of their k nearest.  Draws are hashes of the seed and the row's number.
-    Neighbours are sought among at most ``most`` rows of the class, and as many of the other: the documented bound of the sample.
+    A synthetic row lies at a random place between a seed of class 1 and one of its k nearest of the class.  ``method`` weighs
+    the seeds, one of :data:`SAMPLERS` or a function of (data, features, label, key, k, m) that gives (key, weight).  Seeds get
+    their share of the rows by running sums of weights, so just as many are made as are missing; draws are hashes of the
+    seed, the seed's key and the row's number.  All rows of both classes are searched.  Where nothing is missing, a class has
+    fewer than two rows or all weights are 0, nothing is added.
     """
-    spark = rows.sparkSession
-    data = rows.select(key, label, *features)
-    sizes = {r[0]: r[1] for r in data.groupBy(label).count().collect()}
+    weigh = SAMPLERS[method] if isinstance(method, str) else method
+    data = written(rows.select(key, label, *features), "rows")
+    sizes = {r[0]: r[1] for r in data.groupBy(label).count().limit(3).collect()}  # two classes
     need = sizes.get(0, 0) - sizes.get(1, 0)
-    rare = _bounded(data.where(F.col(label) == 1), key, most, seed).toPandas()
-    if need <= 0 or len(rare) < 2:
+    if need <= 0 or sizes.get(1, 0) < 2:
+        return data
+    rare = data.where(F.col(label) == 1)
+    near = neighbours(rare, rare, key, features, k, block=block)
+    seeds = weigh(data, features, label, key, k, m).where("weight > 0").join(near, "key").join(rare.select(F.col(key).alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("own")), "key")
+    seeds = written(ordered.indexed(seeds, "key", "key", out="__at", slice_us=10_000) if dict(seeds.dtypes)["key"] in ("int", "bigint") else seeds.withColumn("__at", F.row_number().over(Window.orderBy("key"))), "seeds")
+    total = seeds.agg(F.sum("weight")).first()[0]
+    if not total:
         return data
-    x, names = rare[features].to_numpy(float), rare[key].to_numpy()
-    weights = np.ones(len(rare))
-    if method in ("borderline", "adasyn"):
-        other = _bounded(data.where(F.col(label) == 0), key, most, seed).toPandas()
-        every, is_other = np.concatenate((x, other[features].to_numpy(float))), np.arange(len(rare) + len(other)) >= len(rare)
-        both = np.concatenate((names, other[key].to_numpy()))
-        seeds = spark.createDataFrame(rare[[key, *features]])
-        near = {r[0]: r[1] for r in _neighbours(seeds, key, features, both, every, m if method == "borderline" else k).select(key, "near").collect()}
-        share = np.array([is_other[near[n]].mean() if near[n] else 0.0 for n in names.tolist()])
-        weights = ((share >= 0.5) & (share < 1)).astype(float) if method == "borderline" else share
-        if not weights.sum():
-            return data
-    near = {r[0]: r[1] for r in _neighbours(spark.createDataFrame(rare[[key, *features]]), key, features, names, x, k).select(key, "near").collect()}
-    table = spark.createDataFrame([(float(a), float(b), v, [x[j].tolist() for j in near[n]]) for n, v, a, b in zip(names.tolist(), x.tolist(), *(lambda c: (np.concatenate(([0.0], c[:-1])), c))(np.cumsum(weights) / weights.sum()), strict=True)], "low double, high double, own array<double>, near array<array<double>>")
-    draws = spark.range(need).withColumn("u", _draw(F.lit(seed), F.lit(0), "id"))
-    got = draws.join(F.broadcast(table), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    partner = F.get("near", F.floor(_draw(F.lit(seed), F.lit(1), "id") * F.size("near")).cast("int"))
-    mixed = F.zip_with("own", partner, lambda a, b: a + (b - a) * _draw(F.lit(seed), F.lit(2), F.col("id")))
-    made = got.withColumn("__v", mixed).select(F.lit(None).cast(data.schema[key].dataType).alias(key), F.lit(1).cast(data.schema[label].dataType).alias(label), *[F.get("__v", F.lit(i)).cast(data.schema[f].dataType).alias(f) for i, f in enumerate(features)])
+    placed = ordered.running_sum(seeds, "__at", F.col("weight"), "__upto")
+    count = lambda c: F.floor(c / total * need + 0.5)
+    placed = placed.withColumn("__n", (count(F.col("__upto")) - count(F.col("__upto") - F.col("weight"))).cast("int")).where("__n > 0")
+    made = placed.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    partner = F.get("near", F.floor(share(seed, 1, "key", "__i") * F.size("near")).cast("int"))["x"]
+    mixed = F.zip_with("own", partner, lambda a, b: a + (b - a) * share(seed, 2, F.col("key"), F.col("__i")))
+    made = made.withColumn("__v", mixed).select(F.lit(None).cast(data.schema[key].dataType).alias(key), F.lit(1).cast(data.schema[label].dataType).alias(label), *[F.get("__v", F.lit(i)).cast(data.schema[f].dataType).alias(f) for i, f in enumerate(features)])
     return data.unionByName(made)

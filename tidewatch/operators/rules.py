@@ -33,7 +33,7 @@ def finite(column: str | Column) -> Column:
 
 def _needed(value: Column, what: str) -> Column:
     """An aggregate; an error if there was nothing to take it of."""
-    return F.when(value.isNull(), F.raise_error(F.lit(f"no finite {what} to fit"))).otherwise(value)
+    return F.when(value.isNull(), F.raise_error(F.lit(f"no finite value to fit: {what}"))).otherwise(value)
 
 
 def fit_bounds(normal_values: DataFrame, column: str) -> DataFrame:

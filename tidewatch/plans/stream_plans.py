@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import live
@@ -11,12 +9,8 @@ from .detector import RULES, ruled
 from .registry import query, r, rounded
 
 
-def _name() -> str:
-    return f"live_{uuid.uuid4().hex}"
-
-
-def _done(stream, mode: str = "complete"):
-    return live.drained(stream, _name(), mode)
+def _done(stream, mode: str = "complete", keys: tuple[str, ...] = ()):
+    return live.drained(stream, "live", mode, keys=keys)
 
 
 @query("stream_tumbling", f"WITH w AS (SELECT (epoch_us(ts) // 3600000000) * 3600000000 AS start_us, count(*) AS n, sum(value) AS total, max(value) AS most FROM events GROUP BY ALL) SELECT start_us, n, {r('total', 'most')} FROM w")
@@ -38,7 +32,7 @@ def q_sessions(spark, sf_dir):
 s AS (SELECT event_type, k, sum(CASE WHEN gap > 0 THEN greatest(0, gap - 900) / 900.0::DOUBLE - 0.5 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY k) AS total FROM g)
 SELECT event_type, count(*) AS n, round(arg_max(total, k) - least(0, min(total)) + 1e-7, 4) + 0e0 AS state FROM s GROUP BY event_type""")
 def q_cusum(spark, sf_dir):
-    return rounded(_done(live.cusum(live.event_stream(spark, sf_dir), "event_type", 900.0, 900.0), "update"))
+    return rounded(_done(live.cusum(live.event_stream(spark, sf_dir), "event_type", 900.0, 900.0), "update", ("event_type",)))
 
 
 @query("consecutive_alerts", f"WITH {RULES}, a AS (SELECT position, row_number() OVER (ORDER BY position) AS k FROM flagged WHERE fired), g AS (SELECT min(position) AS position, count(*) AS length FROM a GROUP BY position - k) SELECT position, length, (CASE WHEN length >= 5 THEN 3 WHEN length >= 2 THEN 2 ELSE 1 END)::INTEGER AS severity FROM g")

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import windows
 from ..operators.ordered import indexed
 from ..sources.frames import instant
+from ..sources.scratch import scratch
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -66,12 +68,52 @@ def cusum(events: DataFrame, key: str, expected_s: float, scale_s: float, allowa
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, state double", "last long, total double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there, into a table in memory of that name."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drained(stream: DataFrame, kind: str, mode: str = "append", checkpoint: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over all that is there, into files in the shared folder, its checkpoint beside them or where told.
+
+    Every batch is a table of its own, written anew if the batch is run again.  The result is what the last batch says of each
+    of ``keys`` (``update``), the last batch whole (``complete``), or all batches (``append``).
+    """
+    spark = stream.sparkSession
+    path = scratch(spark, kind)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batches")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):  # nothing came
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", f"{path}/batches").parquet(f"{path}/batches")
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("__last"))
+        return rows.join(F.broadcast(last), F.col("batch") == F.col("__last")).drop("batch", "__last")  # one row
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("__x")).select(*keys, "__x.*")
+
+
+def replayed(events: DataFrame, ts: str, slice_s: int, speed: float, kind: str = "replay", **source) -> DataFrame:
+    """A stream that replays a table's time slices in order, one file a batch.
+
+    Files are named by slice; with a processing-time trigger of :func:`pace` seconds the stream runs ``speed`` times as fast as
+    the events did.
+    """
+    spark = events.sparkSession
+    path = scratch(spark, kind)
+    sliced = events.withColumn("slice", F.floor(F.unix_micros(ts) / (slice_s * 1_000_000)))
+    for value in [r[0] for r in sliced.select("slice").distinct().orderBy("slice").collect()]:  # a row for each slice that is replayed
+        sliced.where(F.col("slice") == value).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def pace(slice_s: int, speed: float) -> float:
+    """Seconds between batches for a replay at ``speed``."""
+    if speed <= 0:
+        raise ValueError("speed must be positive")
+    return slice_s / speed
 
 
 def consecutive(alerts: DataFrame, index: str = "position", fired: str = "fired") -> DataFrame:
@@ -82,4 +124,4 @@ def consecutive(alerts: DataFrame, index: str = "position", fired: str = "fired"
     return runs.withColumn("severity", F.when(F.col("length") >= 5, 3).when(F.col("length") >= 2, 2).otherwise(1)).drop("run")
 
 
-__all__ = ["EVENTS", "consecutive", "cusum", "drained", "event_stream", "session_counts", "sliding", "tumbling"]
+__all__ = ["EVENTS", "consecutive", "cusum", "drained", "event_stream", "pace", "replayed", "session_counts", "sliding", "tumbling"]

@@ -216,10 +216,15 @@ def robust_z(series: DataFrame, k: int, epsilon: float = 1e-6) -> DataFrame:
 def lags(windows: DataFrame, feature: str, index: str = "position", key: str = "block") -> DataFrame:
     """``windows`` with the feature's five values before, their least-squares slope, its sign, and their population variance.
 
-    Rows of a block with fewer than five before them are left out.
+    Rows of a block with fewer than five before them are left out.  A block's rows are consecutive in index order (whole numbers);
+    frames look five rows back over tasks of many rows each, whatever the number of blocks.
     """
-    order = Window.partitionBy(key).orderBy(index)
-    rows = windows.withColumns({f"lag_{i}": F.lag(feature, i).over(order) for i in range(1, 6)} | {"variance": F.var_pop(feature).over(order.rowsBetween(-5, -1))})
+    renamed = {c: f"__own_{c}" for c in ("block", "halo") if c in windows.columns}  # names of the frames' own columns
+    placed = ordered.indexed(windows, index, index, out="__at", slice_us=10_000).withColumn("__key", F.col(key)).withColumnsRenamed(renamed)
+    w = ordered.over("__at")
+    before = lambda i: F.when(F.lag("__key", i).over(w).eqNullSafe(F.col("__key")), F.lag(feature, i).over(w))
+    columns = {f"lag_{i}": before(i) for i in range(1, 6)} | {"variance": F.var_pop(feature).over(ordered.over("__at", -5, -1))}
+    rows = ordered.with_frame(placed, "__at", 5, columns).drop("__at", "__key").withColumnsRenamed({v: k for k, v in renamed.items()})
     slope = (-2 * F.col("lag_5") - F.col("lag_4") + F.col("lag_2") + 2 * F.col("lag_1")) / 10
     return rows.where("lag_5 is not null").withColumn("slope", slope).withColumn("direction", F.signum("slope"))
 

@@ -22,10 +22,11 @@ def bucket(ts: str | Column, width_us: int) -> Column:
     return ((ts - F.pmod(ts, F.lit(width_us))) / width_us).cast("long")
 
 
-def feature_windows(frames: DataFrame, width_us: int = 5_000_000, *, least: int = 2, valid=(3, 16)) -> DataFrame:
+def feature_windows(frames: DataFrame, width_us: int = 5_000_000, *, least: int = 2, valid=(3, 16), more: tuple[Column, ...] = ()) -> DataFrame:
     """One row for each window of at least ``least`` frames: 16 features, and the sets of categories, codes and addresses.
 
-    Gaps are within the window; the deviation of a single gap is 0.  All moments are of the whole population.
+    Gaps are within the window; the deviation of a single gap is 0.  All moments are of the whole population.  ``more`` are
+    further aggregates of the same pass, such as :func:`readings`.
     """
     order = Window.partitionBy("bucket").orderBy("ts_us", "record_index")
     rows = frames.withColumn("bucket", bucket("ts_us", width_us)).withColumns({"gap": F.col("ts_us") - F.lag("ts_us").over(order), "again": (F.col("payload") == F.lag("payload").over(order)).cast("int")})
@@ -37,7 +38,7 @@ def feature_windows(frames: DataFrame, width_us: int = 5_000_000, *, least: int
         share(F.col("function_code").isin(*valid)).alias("frac_func_valid"), share(F.col("function_code") == 3).alias("frac_func_read"), share(F.col("function_code") == 16).alias("frac_func_write"), share(~F.col("function_code").isin(*valid)).alias("rare_func_rate"),
         (F.count_distinct("payload") / n).alias("distinct_frame_ratio"), F.when(n > 1, F.coalesce(F.sum("again"), F.lit(0)) / (n - 1)).otherwise(1.0).alias("repeat_frame_rate"),
         F.avg("entropy").alias("payload_entropy_mean"), F.coalesce(F.stddev_pop("entropy"), F.lit(0.0)).alias("payload_entropy_std"),
-        F.sort_array(F.collect_set("category")).alias("categories"), F.sort_array(F.collect_set("function_code")).alias("func_codes"), F.sort_array(F.collect_set("address")).alias("addresses"),
+        F.sort_array(F.collect_set("category")).alias("categories"), F.sort_array(F.collect_set("function_code")).alias("func_codes"), F.sort_array(F.collect_set("address")).alias("addresses"), *more,
     ).where(F.col("packet_count") >= least)
     return out.withColumn("is_attack", F.exists("categories", lambda c: c != 0).cast("int"))
 
@@ -69,6 +70,11 @@ def exactly(categories: str, category: int) -> Column:
     return (F.size(categories) == 1) & (F.col(categories)[0] == category)
 
 
+def readings() -> tuple[Column, ...]:
+    """The aggregates of :func:`pressure_range`, to be taken with others in one pass; null where a window has no reading."""
+    return F.min("pressure").alias("p_min"), F.max("pressure").alias("p_max")
+
+
 def pressure_range(frames: DataFrame, width_us: int) -> DataFrame:
     """(bucket, p_min, p_max, p_count) of windows with a reading."""
     return frames.where(F.col("pressure").isNotNull()).groupBy(bucket("ts_us", width_us).alias("bucket")).agg(F.min("pressure").alias("p_min"), F.max("pressure").alias("p_max"), F.count("*").alias("p_count"))

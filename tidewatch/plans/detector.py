@@ -24,13 +24,13 @@ def egress(spark: SparkSession, sf_dir: str, *, numbered: bool = False) -> DataF
     return frames(spark, sf_dir, numbered=numbered).where("destination = 1")
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.feature_windows(egress(spark, sf_dir).drop("bucket"), HOUR)
+def hourly(spark: SparkSession, sf_dir: str, more: tuple = ()) -> DataFrame:
+    return windows.feature_windows(egress(spark, sf_dir).drop("bucket"), HOUR, more=more)
 
 
-def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows with their blocks, written once: numbering, fits and scores all read them."""
-    return written(splits.contiguous(written(hourly(spark, sf_dir), "windows")), "blocks")
+def blocked(spark: SparkSession, sf_dir: str, more: tuple = ()) -> DataFrame:
+    """The windows, written once for all that reads them, with their blocks; ``more`` are aggregates of the same pass."""
+    return splits.contiguous(written(hourly(spark, sf_dir, more), "windows"))
 
 
 def normal(blocks: DataFrame) -> DataFrame:
@@ -85,8 +85,7 @@ def ruled(spark: SparkSession, sf_dir: str, z: list[str] | None = None) -> DataF
 
     The state of rules and scores comes from one pass over the normal windows.
     """
-    ranges = windows.pressure_range(event_frames(spark, sf_dir, numbered=False).where("destination = 1"), HOUR)
-    rows = written(blocked(spark, sf_dir).join(ranges, "bucket", "left"), "ranges")
+    rows = written(blocked(spark, sf_dir, windows.readings()), "blocks")
     out = rules.apply_all(rows, normal(rows).agg(*rules.fit_columns(), *stats.z_columns(z or [])))
     if z:
         out = out.withColumns({f"z_{c}": (F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}") for c in z}).drop(*[f"{p}_{c}" for p in ("mu", "sd") for c in z])

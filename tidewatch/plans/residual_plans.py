@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, models, probes, rules, series, splits, windows
-from ..sources.frames import event_frames
 from ..sources.scratch import scratch, written
 from .detector import RULES, blocked, ruled
-from .registry import HOUR, query, r, rounded
+from .registry import query, r, rounded
 from .series_plans import CADENCE, LABELLED, WASSERSTEIN, distribution_sql, labelled, normal_sample, responses
 
 F1, F2, F3 = (series.ROW_FEATURES[f] for f in ("F1", "F2", "F3"))
@@ -76,8 +75,7 @@ def q_proxy(spark, sf_dir):
 
 def proxied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows with their readings' range and whether the pressure bounds alone would fire; null without a reading."""
-    ranges = windows.pressure_range(event_frames(spark, sf_dir, numbered=False).where("destination = 1"), HOUR)
-    rows = written(blocked(spark, sf_dir).join(ranges, "bucket", "left"), "ranges")
+    rows = blocked(spark, sf_dir, windows.readings())
     fitted = rules.fit_bounds(rows.where("block = 'train' and is_attack = 0").select(F.explode(F.array("p_min", "p_max")).alias("p")), "p")
     return rules.outside(rows, fitted)
 

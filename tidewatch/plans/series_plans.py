@@ -13,14 +13,18 @@ from .registry import BLOCKS, HOUR, SERIES, query, r, rounded
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(_readings(spark, sf_dir), "readings")
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_frames(spark, sf_dir).where("destination = 1 and pressure is not null").select("ts_us", "record_index", windows.bucket("ts_us", HOUR).alias("bucket"), "pressure")
-    return written(ordered.indexed(rows, "ts_us", "record_index", out="position").drop("record_index"), "readings")
+    return ordered.indexed(rows, "ts_us", "record_index", out="position").drop("record_index")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readings with ``normal``: their window is a normal one of the training block."""
     b = blocked(spark, sf_dir).select("bucket", (F.coalesce((F.col("block") == "train") & (F.col("is_attack") == 0), F.lit(False))).alias("normal"))
-    return written(readings(spark, sf_dir).join(b, "bucket", "left").withColumn("normal", F.coalesce("normal", F.lit(False))), "labelled")
+    return written(_readings(spark, sf_dir).join(b, "bucket", "left").withColumn("normal", F.coalesce("normal", F.lit(False))), "labelled")
 
 
 LABELLED = BLOCKS + "," + SERIES + """,
@@ -55,7 +59,7 @@ def cadence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     marks = b.select("bucket", "block", ((F.col("block") == "train") & (F.col("is_attack") == 0)).alias("normal"))
     stream = responses(spark, sf_dir)
     gaps = series.normal_gaps(stream, marks.select("bucket", "normal")).withColumn("gap", F.col("gap_us") / 1e6)
-    base = written(series.baselines(gaps), "baselines")
+    base = series.baselines(written(gaps, "gaps"))
     events = written(series.cusum(stream.join(marks.where("block in ('train', 'validation')").select("bucket", "block"), "bucket"), base), "cusum")
     limits = series.cusum_thresholds(events.where("block = 'train'"), marks.where("normal"))
     return b, base, events, limits

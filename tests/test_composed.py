@@ -119,3 +119,12 @@ def test_payload_gate(spark):
     got = {r["k"]: (r["values_in_common"], r["separated"], r["reasons"], r["passes"]) for r in found.collect()}
     assert got["x"] == (0, True, ["separates perfectly"], False) and got["z"] == (1, False, [], True)
     assert got["y"] == (0, False, ["absent from attacks", "constant among normal rows"], False)
+
+
+def test_gaps_end_where_told(spark):
+    """Frames of other buckets end all stretches; with ``ends`` only those of the told source do."""
+    rows = [(i + 1, b, (i + 1) * 1_000_000, 3, s) for i, (b, s) in enumerate([(0, 3), (0, 3), (1, 1), (0, 3), (1, 3), (0, 3), (0, 1)])]
+    frames = spark.createDataFrame(rows, "position long, bucket long, ts_us long, function_code int, source int")
+    buckets = spark.createDataFrame([(0, True), (1, False)], "bucket long, normal boolean")
+    gaps = lambda **how: sorted(r["gap_us"] for r in series.normal_gaps(frames, buckets, **how).collect())
+    assert gaps() == [1_000_000, 1_000_000] and gaps(ends=F.col("source") == 3) == [1_000_000, 1_000_000, 2_000_000]

@@ -50,6 +50,13 @@ def test_several_classes(spark, medium, blocks):
         assert r["category"] == CATEGORIES[min((c for c in blocks[k]["categories"] if c), default=0)] and r["predicted"] in CATEGORIES.values()
 
 
+def test_boosted_classes(spark, medium, blocks):
+    got = {r["bucket"]: r for r in rows(spark, medium, "boosted_classes")}
+    assert set(got) == {k for k, b in blocks.items() if b["block"] == "test"}
+    seen = {min((c for c in b["categories"] if c), default=0) for b in blocks.values() if b["block"] == "train"}
+    assert all(r["category"] == min((c for c in blocks[k]["categories"] if c), default=0) and r["predicted"] in seen for k, r in got.items())
+
+
 @pytest.mark.parametrize("name", ["smote", "smote_borderline", "adasyn"])
 def test_oversampled_classes_are_even(spark, medium, blocks, name):
     got = {(r["label"], r["synthetic"]): r["n"] for r in rows(spark, medium, name)}

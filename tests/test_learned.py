@@ -157,7 +157,7 @@ def test_detector_parts_agree(spark, small):
         assert r["mechanism"] in (None, "Rule + IF", "Rule", "IF") and ((r["mechanism"] == "Rule + IF") == (rule and r["forest"]))
 
 
-PROBABILITIES = ["random_forest", "boosted_trees", "model_ensemble", "smote_forest", "per_type_models"]
+PROBABILITIES = ["random_forest", "boosted_trees", "model_ensemble", "smote_forest", "per_type_models", "payload_augmented"]
 
 
 @pytest.mark.parametrize("name", PROBABILITIES)

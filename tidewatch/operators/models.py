@@ -190,6 +190,22 @@ def boosted_probability(rows: DataFrame, model: BoostedTrees, features: list[str
     return rows.withColumn(out, F.when(known, rate(F.array(*[F.col(f).cast("double") for f in features]))))
 
 
+def fit_classes(rows: DataFrame, features: list[str], label: str, key: str, classes: list, **settings) -> dict:
+    """Boosted trees of each class against the others, on the bounded sample of :func:`fit_boosted`."""
+    marked = rows.withColumns({f"__is_{i}": (F.col(label) == c).cast("int") for i, c in enumerate(classes)})
+    return {c: fit_boosted(marked, features, f"__is_{i}", key, **settings) for i, c in enumerate(classes)}
+
+
+def predicted_class(rows: DataFrame, fitted: dict, features: list[str], out: str = "predicted") -> DataFrame:
+    """``rows`` with the class of the largest probability, the first of those as large; null without features."""
+    names = [f"__p_{i}" for i in range(len(fitted))]
+    for name, model in zip(names, fitted.values(), strict=True):
+        rows = boosted_probability(rows, model, features, name)
+    best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    choice = F.coalesce(*[F.when(F.col(n) == best, F.lit(c)) for n, c in zip(names, fitted, strict=True)])
+    return rows.withColumn(out, choice).drop(*names)
+
+
 class ProbabilityRule:
     """A rule on a fitted model's probability: fires above the threshold, never on rows without features."""
 

@@ -21,14 +21,16 @@ def _at(back: int = 1) -> tuple:
     return ordered.over("position"), back
 
 
-def normal_gaps(frames: DataFrame, buckets: DataFrame) -> DataFrame:
+def normal_gaps(frames: DataFrame, buckets: DataFrame, ends: Column | None = None) -> DataFrame:
     """Positive gaps between frames of a type, over stretches of frames in normal buckets: (function_code, bucket, gap_us).
 
     ``frames`` has position, bucket, ts_us and function_code, ``buckets`` (bucket, normal) and perhaps ``segment``; a frame in
-    another bucket, or a new segment, ends all stretches.
+    another bucket, or a new segment, ends all stretches.  With ``ends`` only frames where it holds do (such as those of one
+    source); other frames of such buckets are just left out.
     """
-    rows = frames.join(buckets, "bucket", "left").withColumn("broken", (~F.coalesce("normal", F.lit(False))).cast("int"))
-    rows = ordered.running_sum(rows, "position", F.col("broken"), "epoch").where("broken = 0")
+    rows = frames.join(buckets, "bucket", "left").withColumn("outside", ~F.coalesce("normal", F.lit(False)))
+    broken = F.col("outside") if ends is None else F.col("outside") & F.coalesce(ends, F.lit(False))
+    rows = ordered.running_sum(rows, "position", broken.cast("int"), "epoch").where("not outside")
     stretch = ["epoch", "segment"] if "segment" in buckets.columns else ["epoch"]
     rows = ordered.carried(rows, ["function_code"], "position", F.struct("ts_us", *stretch), "before", strict=True)
     same = F.lit(True)
@@ -121,7 +123,7 @@ def cusum_thresholds(events: DataFrame, buckets: DataFrame, q: float = 0.99, lea
 
 def cadence_windows(events: DataFrame, thresholds: DataFrame, buckets: DataFrame, codes: tuple[int, ...] = (3, 16)) -> DataFrame:
     """14 features of each type and 5 totals for each of ``buckets``; zeros where a type is absent."""
-    rows = events.join(F.broadcast(thresholds), "function_code").withColumn("alarm", (F.col("gap").isNotNull() & (F.col("cusum") >= F.col("threshold"))).cast("double"))
+    rows = events.join(thresholds, "function_code").withColumn("alarm", (F.col("gap").isNotNull() & (F.col("cusum") >= F.col("threshold"))).cast("double"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     last = F.max_by("cusum", "position")
     got = rows.groupBy("bucket").pivot("function_code", list(codes)).agg(

@@ -85,13 +85,13 @@ def pressure_features(frames: DataFrame, buckets: DataFrame, baseline: DataFrame
     last deviation from the mean, and last change; a window without a reading has the baseline and no deviation."""
     rows = frames.where(F.col("pressure").isNotNull()).withColumn("bucket", bucket("ts_us", width_us))
     order = Window.partitionBy("bucket", "function_code").orderBy("ts_us", "record_index")
-    rows = rows.withColumn("change", F.col("pressure") - F.lag("pressure").over(order)).join(F.broadcast(baseline), "function_code")
+    rows = rows.withColumn("change", F.col("pressure") - F.lag("pressure").over(order)).join(baseline, "function_code")
     at = F.struct("ts_us", "record_index")
     got = rows.groupBy("bucket", "function_code").agg(
         F.max_by("pressure", at).alias("last"), F.avg("pressure").alias("mean_"), F.min("pressure").alias("least"), F.max("pressure").alias("most"),
         F.max(F.abs(F.col("pressure") - F.col("mean"))).alias("deviation_max"), F.max_by("change", at).alias("change_last"),
     )
-    every = buckets.select("bucket").crossJoin(F.broadcast(baseline))  # a few codes for each window
+    every = buckets.select("bucket").crossJoin(baseline)  # a few codes for each window
     out = every.join(got, ["bucket", "function_code"], "left")
     value = lambda c: F.coalesce(F.col(c), F.col("mean"))
     return out.select("bucket", "function_code", value("last").alias("last"), value("mean_").alias("average"), value("least").alias("least"), value("most").alias("most"), F.coalesce("deviation_max", F.lit(0.0)).alias("deviation_max"), F.abs(value("last") - F.col("mean")).alias("deviation_last"), F.coalesce("change_last", F.lit(0.0)).alias("change_last"), F.col("last").isNotNull().cast("int").alias("available"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import number_sql
 from ..operators import evaluate, models, similarity, stats, windows
+from ..sources.scratch import written
 from .detector import blocked, egress, frames
 from .registry import BLOCKS, HOUR, query, rounded
 from .series_plans import LABELLED, labelled
@@ -43,6 +44,28 @@ def q_ensemble(spark, sf_dir):
     return a.join(b, "bucket").select("bucket", "label", ((F.col("probability") + F.col("other")) / 2).alias("probability"))
 
 
+@query("payload_augmented")
+def q_augmented(spark, sf_dir):
+    """The forest on windows' features and those of their readings."""
+    b = blocked(spark, sf_dir)
+    base = labelled(spark, sf_dir).where("normal").agg(F.avg("pressure").alias("mean")).select(F.lit(3).alias("function_code"), "mean")
+    own = egress(spark, sf_dir).where("pressure is not null").withColumn("function_code", F.lit(3)).drop("bucket")
+    more = windows.pressure_features(own, b, base, HOUR).drop("function_code")
+    names = [*_X, *[c for c in more.columns if c != "bucket"]]
+    rows = written(b.withColumn("label", F.col("is_attack")).join(more, "bucket").select("bucket", "block", "label", *names), "augmented")
+    model = models.random_forest(rows.where("block = 'train'"), names, "label", trees=_TREES, depth=10)
+    return models.probability(rows.where("block = 'test'").select("bucket", "label", *names), model, names).select("bucket", "label", "probability")
+
+
+@query("boosted_classes")
+def q_classes(spark, sf_dir):
+    """The dominant category of test windows by boosted trees of each category against the others."""
+    rows = blocked(spark, sf_dir).withColumn("category", windows.dominant("categories")).select("bucket", "block", "category", *_X)
+    seen = [r[0] for r in rows.where("block = 'train'").select("category").distinct().orderBy("category").collect()]  # eight categories
+    fitted = models.fit_classes(rows.where("block = 'train'"), _X, "category", "bucket", seen)
+    return models.predicted_class(rows.where("block = 'test'"), fitted, _X).select("bucket", "category", "predicted")
+
+
 def _oversampled(spark, sf_dir, method: str) -> DataFrame:
     rows = data(spark, sf_dir).where("block = 'train'")
     out = models.oversample(rows, _X, "label", "bucket", method=method)

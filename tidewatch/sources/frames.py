@@ -210,9 +210,9 @@ SHAPE = ["function_code", "is_request", "frame_len_bytes", "byte_count", "length
 
 def response_types(frames: DataFrame, type_map: DataFrame) -> DataFrame:
     """``frames`` with ``type``: that of its shape in ``type_map`` (the shape's columns and type), null for others and for frames that
-    aren't egress from the slave (source 3).  The map has a row for each shape seen in training and is broadcast."""
+    aren't egress from the slave (source 3).  The map has a row for each shape seen in training."""
     known = type_map.select(*SHAPE, F.col("type").alias("__type"))
-    rows = frames.join(F.broadcast(known), SHAPE, "left")
+    rows = frames.join(known, SHAPE, "left")
     return rows.withColumn("type", F.when((F.col("destination") == 1) & (F.col("source") == 3), F.col("__type"))).drop("__type")
 
 

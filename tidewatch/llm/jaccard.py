@@ -331,16 +331,20 @@ def _large(nodes: DataFrame, percent: int, tile: int) -> DataFrame:
     """Links that join what large neighbourhoods join, of their nodes (home, node, n, shared, many)."""
     nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(9)), F.ceil(F.col("many") / tile)).cast("int"))
     state = written(nodes.select("home", "node", F.col("node").alias("root"), F.lit(False).alias("done"), "many"), "state")
-    links, take = None, tile
+    links, take, turns = None, tile, 0
     while True:
         classes = state.groupBy("home", "root").agg(F.count("*").alias("size"))
         largest = classes.groupBy("home").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
-        open_ = state.join(largest, "home").where("root <> top and not done")
-        # the first turn of a neighbourhood takes any of its nodes, those of lowest hash
-        turn = open_.withColumn("at", F.row_number().over(Window.partitionBy("home").orderBy(F.xxhash64("node", F.lit(4)), "node"))).where(F.col("at") <= take)
-        turn = written(turn.select("home", "node", "many"), "turn")
-        if turn.isEmpty():
+        open_ = written(state.join(largest, "home").where("root <> top and not done").select("home", "node", "many"), "open")
+        if open_.isEmpty():
             break
+        # each open node takes its turn by a hash, about ``take`` of a neighbourhood's and all where no more are left
+        share = F.shiftrightunsigned(F.xxhash64("node", F.lit(4 + turns)), 11) / float(1 << 53)
+        count = open_.groupBy("home").agg(F.count("*").alias("left"))
+        turn = written(open_.join(count, "home").where(share * F.col("left") < take).select("home", "node", "many"), "turn")
+        turns += 1
+        if turn.isEmpty():
+            continue
         pivots = nodes.join(turn.select("node"), "node", "left_semi").select(*[F.col(c).alias(c) for c in ("home", "node", "n", "shared", "many")]).withColumn("salt", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("many") / tile) - 1).cast("int"))))
         found = nodes.groupBy("home", "salt").cogroup(pivots.groupBy("home", "salt")).applyInArrow(_pivot_task(percent), "a long, b long")
         links = written(found if links is None else found.unionByName(links), "links")

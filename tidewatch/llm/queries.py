@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard, language, oracles, packing, pii, quality, sharding, substring, warc
+from . import context_tree, decontaminate, divergence, fingerprint, jaccard, language, oracles, packing, pii, quality, sharding, substring, vector_codes, warc
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(parts: int) -> Column:
+    """Whether crc32 of the id as text leaves 2 when divided by ``parts``."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 2, F.lit(False))
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "end", "item_start", "item_end", "equal", "item_tokens", (F.col("equal") / (F.col("end") - F.col("start"))).alias("similarity"))
@@ -72,6 +77,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = context_tree.score(_table(spark, sf_dir, "documents"), ~_held_out(7)).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring": op2_substring,
@@ -83,7 +102,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
+    "op11_context_tree": op11_context_tree,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_divergence": op13_divergence,
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
-SQL: dict[str, str] = {"op2_substring": oracles.SUBSTRING, "op3_warc": oracles.WARC, "op5_jaccard": oracles.JACCARD}
+SQL: dict[str, str] = {"op2_substring": oracles.SUBSTRING, "op3_warc": oracles.WARC, "op5_jaccard": oracles.JACCARD, "op12_vector_codes": oracles.VECTOR_CODES, "op13_divergence": oracles.DIVERGENCE}

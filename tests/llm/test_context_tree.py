@@ -95,6 +95,7 @@ def test_probabilities_of_all_next_bytes_sum_to_one(spark):
 def test_small_chunks_and_buckets_change_nothing(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(context_tree, "ROW", 1)
     one = {r["id"]: r for r in context_tree.score(df, F.lit(True), each=10).collect()}
     two = {r["id"]: r for r in context_tree.score(df.repartition(3), F.lit(True)).collect()}
     for i in one:

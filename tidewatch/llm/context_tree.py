@@ -7,14 +7,15 @@ product of its children's.  The share of a node's own estimate in its weighted p
 prediction, the rest goes down to the child of the context.  A context that training never met leaves the rest to the
 deepest node that it did.
 
-Every distinct run of ``depth + 1`` bytes is met once in the model, whatever the corpus: buckets of texts send their distinct
-runs with counts, nodes of long contexts are built side by side from runs that share their last bytes, nodes of short ones
-level by level in Spark, and the log probabilities of a bucket's runs come back to its texts.
+Buckets of texts send their distinct runs of ``depth + 1`` bytes, packed, with counts, to blocks of runs that share the last
+bytes of context.  Nodes of long contexts are built in blocks, nodes of short ones level by level in Spark, and the log
+probabilities of a bucket's runs come back to its texts.  Words are counted by the same exchange.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -22,28 +23,29 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .blocks import runs
+from .blocks import packed, runs, unpacked
 from .store import small_batches, written
 
 #: Bytes of context.
 DEPTH = 5
-#: Bytes of text in a bucket, and the least number of buckets.
-EACH, BUCKETS = 24_000_000, 24
+#: Bytes of text in a bucket, at least where there are so many, and the least number of buckets; blocks are as many.
+EACH, BUCKETS = 16_000_000, 24
+#: Bytes of text for each row of a bucket and a block: buckets grow with the root of the input, so that rows keep their size.
+ROW = 1_000
 #: Bytes that are cut into runs at once.
 CHUNK = 1 << 21
-#: Distinct runs that a task builds nodes from, about.
-NODES = 1_000_000
+#: Runs that a task holds before it counts them.
+HELD = 1 << 24
 #: Bytes of context that runs share at most less than ``depth``: with the next one, 2**24 runs share the others at most.
 OWN = 2
 _HALF = math.log(0.5)
 #: The end of a text, in bytes and among words.
 END = b"\n"
-_SENT = "bucket int, gram long, word binary, n long"
+_SENT = "block int, bucket int, grams binary, n binary, words binary, m binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -84,43 +86,80 @@ def _chunks(sequences: Iterator[bytes], depth: int) -> Iterator[tuple[np.ndarray
         yield cut()
 
 
-def _texts(table: pa.Table) -> Iterator[list[bytes]]:
-    for text in table["text"]:
-        yield tokens(text.as_py())
+def _distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct runs, their numbers in texts to learn from) of numbers whose lowest bit says whether to learn."""
+    keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    found = keys >> 1
+    start = runs(found)
+    return found[start], np.add.reduceat(keys & 1, start) if len(start) else start
+
+
+def _merged(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct runs and the sums of their numbers."""
+    order = np.argsort(grams)
+    grams = grams[order]
+    start = runs(grams)
+    return grams[start], np.add.reduceat(n[order], start) if len(start) else start
+
+
+def _narrow(n: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes as the largest needs."""
+    kind = np.min_scalar_type(int(n.max(initial=0)))
+    return bytes([kind.itemsize]) + n.astype(kind).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def _count_task(depth: int):
-    """The distinct runs and words of a bucket, with their numbers in texts to learn from."""
+def _dealt(grams: np.ndarray, stem: int, many: int) -> list[np.ndarray]:
+    """Places of ascending runs by the block of their last ``stem`` bytes of context."""
+    ending = (grams >> 8) & ((1 << 8 * stem) - 1)
+    block = (words.mix(ending.view(np.uint64)) % np.uint64(many)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    return np.split(order, np.searchsorted(block[order], np.arange(1, many)))
+
+
+def _vocabulary(found: set, many: int) -> list[list[bytes]]:
+    """The words of each block."""
+    out: list[list[bytes]] = [[] for _ in range(many)]
+    for word in found:
+        out[zlib.crc32(word) % many].append(word)
+    return out
+
+
+def _count_task(depth: int, stem: int, many: int):
+    """For each block a row of the distinct runs and words of a bucket, with their numbers in texts to learn from."""
 
     def run(table: pa.Table) -> pa.Table:
         words.release()
-        bucket, train = table["bucket"][0].as_py(), np.array(table["train"].to_pylist(), bool)
         n: Counter = Counter()
         others: set = set()
+        train = np.array(table["train"].to_pylist(), bool)
 
         def sequences() -> Iterator[bytes]:
-            for learn, found in zip(train.tolist(), _texts(table), strict=True):
+            for learn, text in zip(train.tolist(), table["text"], strict=True):
+                found = tokens(text.as_py())
                 n.update(found) if learn else others.update(found)
                 yield sequence(found, depth)
 
-        grams, counts, size = [], [], 0
-        for found, owner, many in _chunks(sequences(), depth):
-            place, distinct = pd.factorize(found)
-            counts.append(np.bincount(place, np.repeat(train[owner], many), len(distinct)).astype(np.int64))
-            grams.append(distinct)
-            size += len(distinct)
-            if size > 4 * CHUNK:
-                merged = _merged(grams, counts)
-                grams, counts, size = [merged[0]], [merged[1]], 0
-        gram, count = _merged(grams, counts)
-        others.difference_update(n)
-        word = [*n, *others]
-        total = len(gram) + len(word)
+        parts, size = [], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for found, owner, length in _chunks(sequences(), depth):
+            parts.append((found << 1) | np.repeat(train[owner], length))
+            size += len(found)
+            if size >= HELD:
+                held.append(_distinct(parts))
+                parts, size = [], 0
+        held.append(_distinct(parts))
+        del parts
+        grams, count = _merged(np.concatenate([g for g, _ in held]), np.concatenate([c for _, c in held])) if len(held) > 1 else held[0]
+        cut = _dealt(grams, stem, many)
+        vocabulary = _vocabulary(others.union(n), many)
         out = pa.table({
-            "bucket": pa.array(np.full(total, bucket, np.int32)),
-            "gram": pa.chunked_array([pa.array(gram), pa.nulls(len(word), pa.int64())]),
-            "word": pa.chunked_array([pa.nulls(len(gram), pa.binary()), pa.array(word, pa.binary())]),
-            "n": pa.array(np.concatenate((count, np.fromiter((n.get(w, 0) for w in word), np.int64, len(word))))),
+            "block": pa.array(np.arange(many, dtype=np.int32)), "bucket": pa.array(np.full(many, table["bucket"][0].as_py(), np.int32)),
+            "grams": pa.array([packed(grams[x].view(np.uint64)) for x in cut], pa.binary()), "n": pa.array([_narrow(count[x]) for x in cut], pa.binary()),
+            "words": pa.array([b" ".join(own) for own in vocabulary], pa.binary()), "m": pa.array([_narrow(np.fromiter(map(n.__getitem__, own), np.int64, len(own))) for own in vocabulary], pa.binary()),
         })
         words.trim()
         return out
@@ -128,14 +167,36 @@ def _count_task(depth: int):
     return run
 
 
-def _merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not grams:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found, n = np.concatenate(grams), np.concatenate(counts)
-    order = np.argsort(found)
-    found = found[order]
-    start = runs(found)
-    return found[start], np.add.reduceat(n[order], start)
+def _split(data: bytes) -> list[bytes]:
+    """The words of a row; the end, a word of its own, is white space for others."""
+    return data.split(b" ") if data else []
+
+
+def _word_task(table: pa.Table) -> pa.Table:
+    """(bucket, keys, data, total, kinds): a bucket's words in a block, the corpus' numbers of them, and on one row the block's sums."""
+    words.release()
+    every: Counter = Counter()
+    for own, m in zip(table["words"], table["m"], strict=True):
+        for word, number in zip(_split(own.as_py()), _wide(m.as_py()).tolist(), strict=True):
+            every[word] += number
+    data = [_narrow(np.fromiter(map(every.__getitem__, found), np.int64, len(found))) for found in (_split(own.as_py()) for own in table["words"])]
+    first = np.arange(len(table)) == 0
+    out = pa.table({"bucket": table["bucket"], "keys": table["words"], "data": pa.array(data, pa.binary()), "total": np.where(first, sum(every.values()), 0), "kinds": np.where(first, sum(v > 0 for v in every.values()), 0)})
+    del every
+    words.trim()
+    return out
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return unpacked(data).view(np.int64)
+
+
+def _gathered(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The runs of each row, all distinct ones, and their numbers."""
+    rows = [_unpacked(x.as_py()) for x in table["grams"]]
+    n = [_wide(x.as_py()) for x in table["n"]]
+    grams, count = _merged(np.concatenate(rows), np.concatenate(n)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return rows, grams, count
 
 
 def log_gamma(z, log):
@@ -169,7 +230,7 @@ def tree(grams: np.ndarray, n: np.ndarray, depth: int, stem: int) -> dict[tuple[
     code, count = grams, n
     for d in range(depth, stem - 1, -1):
         if d < depth:
-            code, count = _merged([code & ((1 << 8 * (d + 1)) - 1)], [count])
+            code, count = _merged(code & ((1 << 8 * (d + 1)) - 1), count)
         for k in range(8):
             key = code >> (8 - k)
             start = runs(key)
@@ -192,12 +253,14 @@ def node_id(key: np.ndarray, k: int) -> np.ndarray:
 
 
 def _stem_task(depth: int, stem: int):
-    """(node, a, b, weighted) of the nodes of ``stem`` bytes."""
+    """(block, node, a, b, weighted) of the nodes of ``stem`` bytes."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams, n = _merged([table["gram"].to_numpy()], [table["n"].to_numpy()])
+        words.release()
+        _, grams, n = _gathered(table)
         built = [(k, level) for (d, k), level in tree(grams, n, depth, stem).items() if d == stem]
-        out = pa.table({"node": np.concatenate([node_id(x.key, k) for k, x in built]), "a": np.concatenate([x.a for _, x in built]), "b": np.concatenate([x.b for _, x in built]), "weighted": np.concatenate([x.weighted for _, x in built])})
+        block = np.full(sum(len(x.key) for _, x in built), table["block"][0].as_py(), np.int32)
+        out = pa.table({"block": block, "node": np.concatenate([node_id(x.key, k) for k, x in built]), "a": np.concatenate([x.a for _, x in built]), "b": np.concatenate([x.b for _, x in built]), "weighted": np.concatenate([x.weighted for _, x in built])})
         words.trim()
         return out
 
@@ -213,10 +276,11 @@ def _went(level: Level, total, rest, last, leaf: bool):
 
 
 def _predict_task(depth: int, stem: int):
-    """(gram, value): log10 of the probability of a run's last byte after the others."""
+    """(bucket, keys, data): a bucket's runs in a block, and for each log10 of the probability of the last byte after the others."""
 
     def run(table: pa.Table, above: pa.Table) -> pa.Table:
-        grams, n = _merged([table["gram"].to_numpy()], [table["n"].to_numpy()])
+        words.release()
+        rows, grams, n = _gathered(table)
         built = tree(grams, n, depth, stem)
         node = above["node"].to_numpy()
         order = np.argsort(node)
@@ -236,8 +300,11 @@ def _predict_task(depth: int, stem: int):
                 total, rest, last = _went(level, total, rest, last, d == depth)
             p = last[np.searchsorted(keys, grams >> (8 - k))]
             value += np.log10(np.where((grams >> (7 - k)) & 1 == 1, p, 1 - p))
+        data = [value[np.searchsorted(grams, own)].tobytes() for own in rows]
+        out = pa.table({"bucket": table["bucket"], "keys": table["grams"], "data": pa.array(data, pa.binary())})
+        del built, rows
         words.trim()
-        return pa.table({"gram": grams, "value": value})
+        return out
 
     return run
 
@@ -254,7 +321,7 @@ def _parents(children: DataFrame, d: int) -> DataFrame:
 
 
 def _states(bottom: DataFrame, stem: int) -> DataFrame:
-    """(node, total, rest, last): what reaches each node of ``stem`` bytes from those above; ``bottom`` has these nodes."""
+    """(block, node, total, rest, last): what reaches each node of ``stem`` bytes from those above; ``bottom`` has these nodes."""
     levels = {stem: bottom}
     for d in range(stem - 1, -1, -1):
         levels[d] = written(_parents(levels[d + 1], d), f"level{d}")
@@ -262,39 +329,42 @@ def _states(bottom: DataFrame, stem: int) -> DataFrame:
     for d in range(stem):
         met, guess, share = F.col("a") + F.col("b") > 0, (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0), F.exp(_HALF + F.col("own") - F.col("weighted"))
         on = levels[d].join(state, "node").select(F.col("node").alias("up"), (F.col("total") + F.col("rest") * share * guess).alias("total"), (F.col("rest") * (1 - share)).alias("rest"), F.when(met, F.col("total") + F.col("rest") * guess).otherwise(F.col("last")).alias("last"))
-        below = levels[d + 1].select("node", F.col("node").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("up"))
-        state = below.join(on, "up").select("node", "total", "rest", "last")
+        below = levels[d + 1].select(*["block"] * (d + 1 == stem), "node", F.col("node").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("up"))
+        state = below.join(on, "up").drop("up")
     return state
 
 
-def _score_task(depth: int, total: int, kinds: int):
-    """Scores of a bucket's texts from what the model says of its runs and words."""
+def _score_task(depth: int):
+    """Scores of a bucket's texts from what blocks say of its runs and words; the words' score lacks the corpus' size."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         words.release()
-        isword = told["word"].is_valid()
-        own = told.filter(isword)
-        known = dict(zip(own["word"].to_pylist(), own["value"].to_pylist(), strict=True))
-        own = told.filter(pc.invert(isword))
-        gram, value = own["gram"].to_numpy(), own["value"].to_numpy()
-        order = np.argsort(gram)
-        gram, value = gram[order], value[order]
+        grams, values, known = [], [], {}
+        for keys, data, isword in zip(told["keys"], told["data"], told["words"].to_pylist(), strict=True):
+            if isword:
+                known.update(zip(_split(keys.as_py()), _wide(data.as_py()).tolist(), strict=True))
+            else:
+                grams.append(_unpacked(keys.as_py()))
+                values.append(np.frombuffer(data.as_py()))
+        place, value = pd.Index(np.concatenate(grams)), np.concatenate(values)
+        del grams, values
         rows = len(table)
         n_tokens, n_known, n_bytes, base, score = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
 
         def sequences() -> Iterator[bytes]:
-            for i, found in enumerate(_texts(table)):
-                c = np.fromiter(map(known.__getitem__, found), float, len(found))
-                n_tokens[i], n_known[i], base[i] = len(c), (c > 0).sum(), np.log10((c + 1) / (total + kinds + 1)).sum()
-                whole = sequence(found, depth)
+            for i, text in enumerate(table["text"]):
+                own = tokens(text.as_py())
+                c = np.fromiter(map(known.__getitem__, own), float, len(own))
+                n_tokens[i], n_known[i], base[i] = len(c), (c > 0).sum(), np.log10(c + 1).sum()
+                whole = sequence(own, depth)
                 n_bytes[i] = len(whole) - depth
                 yield whole
 
-        for found, owner, many in _chunks(sequences(), depth):
-            place, distinct = pd.factorize(found)
-            each = value[np.searchsorted(gram, distinct)][place]
-            np.add.at(score, owner, np.add.reduceat(each, np.cumsum(many) - many))
-        out = pa.table({"id": table["id"], "n_tokens": n_tokens, "n_known": n_known, "n_bytes": n_bytes, "base_score": base, "score": score})
+        for chunk, owner, length in _chunks(sequences(), depth):
+            each = value[place.get_indexer(chunk)]
+            np.add.at(score, owner, np.add.reduceat(each, np.cumsum(length) - length))
+        out = pa.table({"id": table["id"], "n_tokens": n_tokens, "n_known": n_known, "n_bytes": n_bytes, "counted": base, "score": score})
+        del place, value, known
         words.trim()
         return out
 
@@ -315,25 +385,20 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     small_batches(docs.sparkSession)
     stem = max(1, depth - OWN)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    buckets = max(BUCKETS, -(-size // each))
+    many = max(BUCKETS, int(size / max(each, (ROW * size) ** 0.5)) + 1)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.pmod(F.xxhash64(F.col(id_col), text, F.lit(11)), F.lit(buckets)).cast("int").alias("bucket"))
-    sent = written(rows.groupBy("bucket").applyInArrow(_count_task(depth), _SENT), "sent")
-    word = sent.where("word is not null").groupBy("word").agg(F.sum("n").alias("value"))
-    total, kinds = word.agg(F.coalesce(F.sum("value"), F.lit(0)), F.count_if(F.col("value") > 0)).first()
-
-    grams = sent.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    parts = max(1, -(-sent.where("gram is not null").count() // (4 * NODES)))
-    ending = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * stem) - 1))
-    grams = written(grams.withColumn("part", F.pmod(F.xxhash64(ending, F.lit(12)), F.lit(parts)).cast("int")), "grams")
-    bottom = written(grams.groupBy("part").applyInArrow(_stem_task(depth, stem), "node long, a long, b long, weighted double"), "stem")
-    states = _states(bottom, stem).withColumn("part", F.pmod(F.xxhash64(F.shiftright("node", 8), F.lit(12)), F.lit(parts)).cast("int"))
-    values = grams.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(_predict_task(depth, stem), "gram long, value double")
-
-    told = sent.where("gram is not null").select("bucket", "gram").join(values, "gram").select("bucket", "gram", F.lit(None).cast("binary").alias("word"), "value")
-    told = told.unionByName(sent.where("word is not null").select("bucket", "word").join(word, "word").select("bucket", F.lit(None).cast("long").alias("gram"), "word", F.col("value").cast("double")))
-    texts = rows.select("bucket", "id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.pmod(F.xxhash64(F.col(id_col), text, F.lit(11)), F.lit(many)).cast("int").alias("bucket"))
+    sent = written(rows.groupBy("bucket").applyInArrow(_count_task(depth, stem, many), _SENT), "sent")
+    counted = written(sent.select("block", "bucket", "words", "m").groupBy("block").applyInArrow(_word_task, "bucket int, keys binary, data binary, total long, kinds long"), "words")
+    total, kinds = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+
+    grams = sent.select("block", "bucket", "grams", "n").groupBy("block")
+    bottom = written(grams.applyInArrow(_stem_task(depth, stem), "block int, node long, a long, b long, weighted double"), "stem")
+    values = grams.cogroup(_states(bottom, stem).groupBy("block")).applyInArrow(_predict_task(depth, stem), "bucket int, keys binary, data binary")
+
+    told = values.withColumn("words", F.lit(False)).unionByName(counted.select("bucket", "keys", "data", F.lit(True).alias("words")))
     kind = rows.schema["id"].dataType.simpleString()
-    out = texts.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_score_task(depth, total, kinds), f"id {kind}, n_tokens long, n_known long, n_bytes long, base_score double, score double")
+    out = rows.select("bucket", "id", "text").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_score_task(depth), f"id {kind}, n_tokens long, n_known long, n_bytes long, counted double, score double")
+    base = F.col("counted") - F.col("n_tokens") * math.log10(total + kinds + 1)
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
-    return out.select("id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "n_bytes", "base_score", "score", bits.alias("bits_per_byte"))
+    return out.select("id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "n_bytes", base.alias("base_score"), "score", bits.alias("bits_per_byte"))

@@ -19,7 +19,7 @@ def spark(tmp_path_factory):
     home = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[8]").appName("tidewatch-tests")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.default.parallelism", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.default.parallelism", "8").config("spark.ui.enabled", "false").config("spark.python.unix.domain.socket.enabled", "true").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(home / "warehouse")).config("spark.checkpoint.dir", f"file://{home}/shared")
         .getOrCreate()
     )

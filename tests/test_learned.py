@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidewatch.operators import models, probes, similarity
+from tidewatch.operators import boosting, evaluate, models, probes, similarity
 from tidewatch.operators.boosting import BoostedTrees
 from tidewatch.plans import registry
 import tidewatch.plans.all  # noqa: F401
@@ -34,17 +34,86 @@ def test_boosted_trees_learn_and_round_trip():
 
 
 def test_one_tree_equals_a_plain_split():
-    """One round of depth 1 on all rows and features is the best cut by gain, its leaves the damped means."""
+    """One round of depth 1 on all rows and features is the best cut by gain, missing values on the better side, its leaves the damped means."""
     pick = np.random.default_rng(3)
-    x, y = pick.integers(0, 9, (60, 2)).astype(float), pick.integers(0, 2, 60)
+    x, y = pick.integers(0, 9, (90, 2)).astype(float), pick.integers(0, 2, 90)
+    x[:25, 0] = np.nan
+    y[:20] = 1
     model = BoostedTrees(rounds=1, depth=1, step=1.0, rows=1.1, columns=1.0).fit(x, y)
-    g, h = 0.5 - y, np.full(60, 0.25)
-    best = max(((g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1), f, c) for f in range(2) for c in range(1, 9) for m in [x[:, f] < c] if h[m].sum() >= 1 and h[~m].sum() >= 1), key=lambda t: t[0])
-    left = x[:, best[1]] < best[2]
+    g, h = 0.5 - y, np.full(90, 0.25)
+    sides = [(m, f, c) for f in range(2) for c in range(1, 9) for m in (np.where(np.isnan(x[:, f]), True, x[:, f] < c), np.where(np.isnan(x[:, f]), False, x[:, f] < c))]
+    sides.append((np.isnan(x[:, 0]), 0, None))
+    best = max((g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1), i) for i, (m, _, _) in enumerate(sides) if h[m].sum() >= 1 and h[~m].sum() >= 1)
+    left = sides[best[1]][0]
     want = np.where(left, *(-g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)))
     assert model.probability(x) == pytest.approx(1 / (1 + np.exp(-want)))
 
 
+FIVE = list("abcde")
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    """(DataFrame, features, labels, hashed keys) of the same rows, some values missing."""
+    from tidewatch.functions.draws import number
+
+    pick = np.random.default_rng(0)
+    x = np.round(pick.normal(size=(1500, 5)), 2)
+    x[::17, 3] = np.nan
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (x[:, 2] > 1)).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), *[None if np.isnan(v) else float(v) for v in x[i]]) for i in range(len(x))], "k int, label int, a double, b double, c double, d double, e double")
+    keys = np.array([r[0] for r in spark.range(len(x)).coalesce(1).select(number(0, F.col("id").cast("int"))).collect()])
+    return df.repartition(3), x, y, keys
+
+
+def same_trees(a, b) -> bool:
+    return all(np.array_equal(u, v) for u, v in zip(a.edges, b.edges)) and (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.missing == b.missing).all() and np.allclose(a.leaf, b.leaf, atol=1e-12)
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 200])
+def test_training_in_spark_equals_training_in_memory(frame, monkeypatch, rows):
+    df, x, y, keys = frame
+    monkeypatch.setattr(boosting, "ROWS", rows)
+    model = boosting.train(df, FIVE, "k", [BoostedTrees(rounds=8)], "label")[0]
+    assert same_trees(model, BoostedTrees(rounds=8).fit(x, y, keys)) and ((model.probability(x) > 0.5) == y).mean() > 0.8
+
+
+def test_joint_classes_equal_training_in_memory(frame):
+    df, x, _, keys = frame
+    classes = (x[:, 0] > 0.3).astype(int) + (x[:, 1] > 0)
+    place = (F.col("a") > 0.3).cast("int") + (F.col("b") > 0).cast("int")
+    model = boosting.train(df, FIVE, "k", [BoostedTrees(rounds=7, classes=3)], place)[0]
+    assert same_trees(model, BoostedTrees(rounds=7, classes=3).fit(x, classes, keys)) and (model.probabilities(x).argmax(0) == classes).mean() > 0.97
+    got = models.predicted_class(df, model, ["p", "q", "r"], FIVE).select("k", "predicted").collect()
+    assert all(r["predicted"] == "pqr"[c] for r, c in zip(sorted(got), model.probabilities(x).argmax(0)))
+    assert model.probabilities(x).sum(0) == pytest.approx(np.ones(len(x)))
+
+
+def test_models_side_by_side_equal_models_alone(frame, monkeypatch):
+    """Permuted labels, rows left out, rows seen alone, features shut: each member as if it were trained by itself."""
+    df, x, y, keys = frame
+    monkeypatch.setattr(boosting, "GROUP", 3)
+    n, tag = 12, np.arange(len(x)) % 4
+    allowed = [None if i % 3 else [0, 1, 2] for i in range(n)]
+    both = boosting.train(df, FIVE, "k", [BoostedTrees(rounds=7, allowed=a) for a in allowed], "label", labels=F.array(F.col("label"), 1 - F.col("label")), label_of=[i % 2 for i in range(n)], tag=F.col("k") % 4, without=[i % 4 for i in range(n)])
+    whole = BoostedTrees(rounds=1).fit(x, y, keys).edges
+    for i in range(n):
+        on = tag != i % 4
+        alone = BoostedTrees(rounds=7, allowed=allowed[i])
+        monkeypatch.setattr(alone, "begin", lambda edges, m=alone: BoostedTrees.begin(m, whole))
+        alone.fit(x[on], (y if i % 2 == 0 else 1 - y)[on], keys[on])
+        assert same_trees(both[i], alone), i
+    seen = boosting.train(df, FIVE, "k", [BoostedTrees(rounds=5) for _ in range(4)], "label", tag=F.col("k") % 4, only=[0, 1, 2, 3])
+    assert all(same_trees(seen[i], BoostedTrees(rounds=5).fit(x[tag == i], y[tag == i], keys[tag == i])) for i in range(4))
+
+
+def test_training_without_rows_is_an_error(frame):
+    with pytest.raises(ValueError):
+        boosting.train(frame[0].where("label > 5"), FIVE, "k", [BoostedTrees(rounds=2)], "label")
+    with pytest.raises(ValueError):
+        boosting.train(frame[0], FIVE, "k", [BoostedTrees(rounds=2), BoostedTrees(rounds=3)], "label")
+
+
 def test_probability_rule_saved_and_loaded(spark, tmp_path):
     rows = spark.createDataFrame(table(), "k int, label int, x double, y double")
     model = models.fit_boosted(rows, X, "label", "k", rounds=30)
@@ -71,6 +140,20 @@ def test_neighbours_are_exact(spark, block):
         assert got[r[0]] == [k for _, k in far[:4]]
 
 
+def test_neighbours_need_few_distances(spark):
+    """Clusters and a dense spot: the same neighbours as a plain search, with under a tenth of its distances."""
+    pick = np.random.default_rng(8)
+    points = np.concatenate((pick.normal(size=(1500, 2)) + 8 * pick.integers(0, 4, (1500, 2)), np.round(pick.normal(size=(500, 2)) / 50, 2)))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "k int, x double, y double")
+    got = {r["key"]: r for r in models.neighbours(df, df, "k", X, 5, block=300).collect()}
+    for i in range(0, 2000, 7):
+        far = ((points - points[i]) ** 2).sum(1)
+        far[i] = np.inf
+        assert [n["key"] for n in got[i]["near"]] == np.lexsort((np.arange(2000), far))[:5].tolist()
+    assert len(got) == 2000 and sum(r["seen"] for r in got.values()) < 0.1 * 2000 * 2000
+    assert models.neighbours(df, df.limit(0), "k", X, 5).collect() == [] and len(models.neighbours(df.limit(3), df.limit(3), "k", X, 5).first()["near"]) == 2
+
+
 @pytest.mark.parametrize("method", ["smote", "borderline", "adasyn", lambda data, *_: data.where("label = 1 and x > 1").select(F.col("k").alias("key"), F.lit(2.0).alias("weight"))])
 def test_oversampling_evens_classes(spark, method):
     rows = table()
@@ -103,10 +186,46 @@ def test_probe_tells_signal_from_noise(spark):
     assert summary["n_runs"] == 40 and summary["mean_recall"] == pytest.approx(np.mean([r["recall"] for r in runs.collect()]))
 
 
-def test_probe_parts():
-    assert [r.tolist() for r in probes.events(np.array([3, 4, 6, 7, 8, 20]))] == [[0, 1], [2, 3, 4], [5]] and probes.events(np.zeros(0, int)) == []
-    assert probes.threshold(np.array([0.1, 0.9, 0.5, 0.4]), 0.5) == (0.5, 0.25) and probes.threshold(np.array([0.1, 0.9]), 0.1)[1] == 0.0
-    assert probes.recall(np.array([0.9, 0.2, 0.8]), np.array([1, 1, 0]), 0.5) == 0.5 and probes.recall(np.zeros(2), np.zeros(2), 0.5) == 0.0
+def test_probe_parts(spark):
+    rows = spark.createDataFrame([(k,) for k in (20, 3, 4, 8, 6, 7)], "k long")
+    found = {}
+    for r in probes.events(rows, "k").collect():
+        found.setdefault(r["event"], set()).add(r["k"])
+    assert sorted(map(sorted, found.values())) == [[3, 4], [6, 7, 8], [20]]
+    scored = spark.createDataFrame([("a", 0, s) for s in (0.1, 0.9, 0.5, 0.4)] + [("a", 1, s) for s in (0.6, 0.2)] + [("b", 0, 0.1), ("b", 0, 0.9)], "m string, label int, score double")
+    cuts = evaluate.fit_threshold(scored.where("label = 0"), "score", 0.5, ("m",))
+    assert {tuple(r) for r in cuts.collect()} == {("a", 0.5, 0.25), ("b", 0.9, 0.0)}
+    assert {tuple(r) for r in probes.recalls(scored, cuts, "label", ("m",)).collect()} == {("a", 0.5, 0.25), ("b", 0.0, 0.0)}
+
+
+def test_runs_are_those_of_all_rows(spark):
+    """Seven runs of ten among 600 windows, whatever else there is; short ones and guards don't join or count."""
+    rows = [(i, 1 if 0 <= i % 80 - 40 < 10 and i < 560 else 0, "train" if i < 400 else "validation") for i in range(600)] + [(700, 1, "validation"), (702, 1, "test"), (703, 1, "test"), (704, 1, "test")]
+    df = spark.createDataFrame(rows, "bucket long, label int, block string").repartition(5)
+    got = sorted(tuple(r) for r in probes.attack_runs(df).select("first", "last", "n").collect())
+    assert got == [(80 * i + 40, 80 * i + 49, 10) for i in range(7)]
+    assert probes.attack_runs(df, least_positive=62).count() == 0
+
+
+def test_trees_draw_from_all_rows(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(20_000)], "k int, x double")
+    got = models.drawn_rows(df, "k", 20_000, 50, 256, 1).groupBy("tree").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    assert len(got) == 50 and all(256 <= r["n"] < 500 and r["low"] < 1500 and r["high"] > 18_500 for r in got)
+    forest = models.fit_forest(df, ["x"], "k", trees=20)
+    assert forest.size == 256 and len(forest.roots) == 20 and forest.fingerprint() == models.fit_forest(df.repartition(7), ["x"], "k", trees=20).fingerprint()
+    assert forest.score(np.array([[-9000.0], [10_000.0]]))[0] > forest.score(np.array([[-9000.0], [10_000.0]]))[1]
+    few = models.fit_forest(df.limit(30), ["x"], "k", trees=5)
+    assert few.size == 30
+    with pytest.raises(ValueError):
+        models.fit_forest(df.limit(0), ["x"], "k")
+
+
+def test_permuted_labels_are_the_same_labels(spark):
+    df = spark.createDataFrame([(i * 3, i % 2) for i in range(40)], "event long, label int")
+    got = {}
+    for r in evaluate.permute(df, 6, 1).collect():
+        got.setdefault(r["replicate"], {})[r["event"]] = r["label"]
+    assert len(got) == 6 and all(set(v) == {i * 3 for i in range(40)} and sum(v.values()) == 20 for v in got.values()) and len({tuple(sorted(v.items())) for v in got.values()}) == 6
 
 
 def test_forest_grid(spark):

@@ -99,17 +99,18 @@ def sweep(scores: DataFrame, label: str = "label", score: str = "score", thresho
     return _rates(rows)
 
 
-def fit_threshold(normal: DataFrame, score: str, max_fpr: float) -> DataFrame:
-    """(threshold, achieved_fpr): the floor(max_fpr n)-th largest normal score, to be exceeded; just above the largest if that is none.
+def fit_threshold(normal: DataFrame, score: str, max_fpr: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(threshold, achieved_fpr) of each key: the floor(max_fpr n)-th largest normal score, to be exceeded; just above the largest if that is none.
 
     Distinct scores are counted first; the ordered pass has one row for each.
     """
-    counts = normal.groupBy(score).agg(F.count("*").alias("__n"))
-    n = normal.agg(F.count("*").alias("__all"), F.max(score).alias("__most"))
-    rows = ordered.cumulated(counts, [], score, {"__upto": F.col("__n")}, descending=True).crossJoin(F.broadcast(n)).withColumn("__k", F.floor(F.lit(max_fpr) * F.col("__all")))
-    got = rows.agg(F.max("__k").alias("k"), F.max("__most").alias("most"), F.max("__all").alias("n"), F.max(F.when(F.col("__upto") >= F.col("__k"), F.col(score))).alias("kth"), F.max_by(F.col("__upto") - F.col("__n"), F.when(F.col("__upto") >= F.col("__k"), F.col(score))).alias("above"))
+    counts = normal.groupBy(*keys, score).agg(F.count("*").alias("__n"))
+    n = normal.groupBy(*keys).agg(F.count("*").alias("__all"), F.max(score).alias("__most"))
+    upto = ordered.cumulated(counts, list(keys), score, {"__upto": F.col("__n")}, descending=True)
+    rows = (upto.join(n, list(keys)) if keys else upto.crossJoin(F.broadcast(n))).withColumn("__k", F.floor(F.lit(max_fpr) * F.col("__all")))
+    got = rows.groupBy(*keys).agg(F.max("__k").alias("k"), F.max("__most").alias("most"), F.max("__all").alias("n"), F.max(F.when(F.col("__upto") >= F.col("__k"), F.col(score))).alias("kth"), F.max_by(F.col("__upto") - F.col("__n"), F.when(F.col("__upto") >= F.col("__k"), F.col(score))).alias("above"))
     none = F.col("k") <= 0
-    return got.select(F.when(none, F.col("most") + 1e-9).otherwise(F.col("kth")).alias("threshold"), F.when(none, 0.0).otherwise(F.col("above") / F.col("n")).alias("achieved_fpr"))
+    return got.select(*keys, F.when(none, F.col("most") + 1e-9).otherwise(F.col("kth")).alias("threshold"), F.when(none, 0.0).otherwise(F.col("above") / F.col("n")).alias("achieved_fpr"))
 
 
 def best_cuts(rows: DataFrame, label: str, max_fpr: float, keys: tuple[str, ...] = ("feature",), value: str = "value") -> DataFrame:
@@ -143,12 +144,21 @@ def bootstrap(events: DataFrame, replicates: int, seed: int, event: str = "event
 
 
 def permute(events: DataFrame, replicates: int, seed: int, event: str = "event", label: str = "label") -> DataFrame:
-    """Labels of whole events dealt anew among them: (replicate, event, label), a permutation in each replicate."""
-    rows = events.select(event, label).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    by = Window.partitionBy("replicate")
-    own = rows.withColumn("__at", F.row_number().over(by.orderBy(event)))
-    dealt = rows.withColumn("__at", F.row_number().over(by.orderBy(number(seed, "replicate", event), event))).select("replicate", "__at", F.col(label).alias("dealt"))
-    return own.join(dealt, ["replicate", "__at"]).select("replicate", event, F.col("dealt").alias(label))
+    """Labels of whole events dealt anew among them: (replicate, event, label), a permutation in each replicate.
+
+    The events of a replicate are ordered by a hash, cut into ranges of the hash, so a range is a task and not a replicate:
+    the label at a place of the events' own order goes to the event at that place of the hashes' order.
+    """
+    own = ordered.numbered(events.select(event, label), event, out="__at")
+    n = max(1, own.count())
+    slices = max(1, -(-n // ordered.BLOCK))
+    rows = own.select(event, "__at", label).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__draw", number(seed, "replicate", event))
+    rows = rows.withColumn("__slice", F.floor(F.col("__draw") / float(1 << 60) * slices))
+    before = Window.partitionBy("replicate").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    offsets = rows.groupBy("replicate", "__slice").agg(F.count("*").alias("__n")).select("replicate", "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("replicate", "__slice").orderBy("__draw", event))
+    dealt = rows.withColumn("__place", place).join(offsets, ["replicate", "__slice"]).select("replicate", (F.col("__place") + F.col("__before")).alias("__at"), F.col(label).alias("dealt"))
+    return rows.select("replicate", "__at", event).join(dealt, ["replicate", "__at"]).select("replicate", event, F.col("dealt").alias(label))
 
 
 def interval(values: DataFrame, value: str, low: float = 0.025, high: float = 0.975, keys: tuple[str, ...] = ()) -> DataFrame:

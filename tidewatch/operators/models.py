@@ -6,21 +6,16 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import number, share
 from ..sources.scratch import written
-from . import ordered
+from . import boosting, ordered
 from .boosting import BoostedTrees
 
-#: Normal rows that a forest's trees draw from: a bounded sample by hash.
-POOL = 20_000
-
-
-def _bounded(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
-    """At most ``most`` rows, those whose keys hash lowest."""
-    return rows.orderBy(number(seed, key), key).limit(most)
+#: Rows to which others are compared first in a search for neighbours, at most.
+PIVOTS = 1024
 
 
 def average_path(n):
@@ -41,31 +36,19 @@ class IsolationForest:
         self.trees, self.sample, self.seed = trees, sample, seed
 
     def fit(self, x: np.ndarray) -> IsolationForest:
-        pick = np.random.default_rng(self.seed)
-        self.size = min(self.sample, len(x))
-        if not self.size:
+        """Trees of draws from rows in memory."""
+        if not len(x):
             raise ValueError("no rows to fit a forest on")
-        deep = int(np.ceil(np.log2(max(self.size, 2))))
-        feature, cut, left, path, roots = [], [], [], [], []
-        for _ in range(self.trees):
-            roots.append(len(feature))
-            todo = [(x[pick.choice(len(x), self.size, replace=False)], 0, len(feature))]
-            feature.append(-1), cut.append(0.0), left.append(-1), path.append(0.0)
-            while todo:
-                rows, depth, node = todo.pop()
-                low, high = (rows.min(0), rows.max(0)) if len(rows) > 1 else (np.zeros(1), np.zeros(1))
-                varied = np.flatnonzero(high > low)
-                if depth >= deep or not len(varied):
-                    path[node] = depth + float(average_path(len(rows)))
-                    continue
-                f = int(pick.choice(varied))
-                at = float(pick.uniform(low[f], high[f]))
-                feature[node], cut[node], left[node] = f, at, len(feature)
-                below = rows[:, f] < at
-                for part in (rows[below], rows[~below]):
-                    todo.append((part, depth + 1, len(feature)))
-                    feature.append(-1), cut.append(0.0), left.append(-1), path.append(0.0)
-        self.feature, self.cut, self.left, self.path, self.roots = np.array(feature), np.array(cut), np.array(left), np.array(path), np.array(roots)
+        pick = np.random.default_rng(self.seed)
+        size = min(self.sample, len(x))
+        return self.joined([isolated(x[pick.choice(len(x), size, replace=False)], self.seed, t) for t in range(self.trees)], size)
+
+    def joined(self, trees: list[tuple], size: int) -> IsolationForest:
+        """A forest of the trees of :func:`isolated`, of ``size`` rows each."""
+        starts = np.cumsum([0, *[len(t[0]) for t in trees]])[:-1]
+        self.size, self.roots = size, starts
+        self.feature, self.cut, self.path = (np.concatenate([np.asarray(t[i]) for t in trees]) for i in (0, 1, 3))
+        self.left = np.concatenate([np.where(np.asarray(t[2]) >= 0, np.asarray(t[2]) + at, -1) for t, at in zip(trees, starts, strict=True)])
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -87,10 +70,68 @@ class IsolationForest:
         return hashlib.sha256(f"{self.trees},{self.sample},{self.seed}".encode() + raw).hexdigest()
 
 
-def fit_forest(normal: DataFrame, features: list[str], key: str, *, trees: int = 300, sample: int = 256, seed: int = 42, pool: int = POOL) -> IsolationForest:
-    """A forest of normal rows; its trees draw from at most ``pool`` of them, the documented bound of the sample."""
-    rows = _bounded(normal, key, pool, seed).select(*features).toPandas()
-    return IsolationForest(trees, sample, seed).fit(rows.to_numpy(float))
+def isolated(rows: np.ndarray, seed: int, tree: int) -> tuple[list, list, list, list]:
+    """(feature, cut, left child, path) of the nodes of a random tree of ``rows``; feature -1 is a leaf, right is left + 1."""
+    pick = np.random.default_rng((seed, tree))
+    deep = int(np.ceil(np.log2(max(len(rows), 2))))
+    feature, cut, left, path = [-1], [0.0], [-1], [0.0]
+    todo = [(rows, 0, 0)]
+    while todo:
+        own, depth, node = todo.pop()
+        low, high = (own.min(0), own.max(0)) if len(own) > 1 else (np.zeros(1), np.zeros(1))
+        varied = np.flatnonzero(high > low)
+        if depth >= deep or not len(varied):
+            path[node] = depth + float(average_path(len(own)))
+            continue
+        f = int(pick.choice(varied))
+        at = float(pick.uniform(low[f], high[f]))
+        feature[node], cut[node], left[node] = f, at, len(feature)
+        below = own[:, f] < at
+        for part in (own[below], own[~below]):
+            todo.append((part, depth + 1, len(feature)))
+            feature.append(-1), cut.append(0.0), left.append(-1), path.append(0.0)
+    return feature, cut, left, path
+
+
+def drawn_rows(rows: DataFrame, key: str, n: int, trees: int, sample: int, seed: int, spare: float = 6.0) -> DataFrame:
+    """``rows`` that each tree may draw (columns ``tree`` and ``draw``): about ``sample`` and some spare of all, by hash.
+
+    A row's hash falls into the slot of one tree or of none, and as many hashes are taken as it takes slots for all trees: on
+    many rows that is one, so the rows that are told apart grow with the draws, not with rows times trees.
+    """
+    share_ = min(1.0, (sample + spare * sample**0.5 + 16) / max(1, n))
+    slots = int(1 / share_)
+    turns = -(-trees // slots)
+    turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))
+    out = rows.withColumn("__turn", turn).withColumn("draw", share(seed, "__turn", key))
+    slot = F.floor(F.col("draw") / share_).cast("int")
+    return out.withColumn("tree", F.col("__turn") * slots + slot).where((slot < slots) & (F.col("tree") < trees)).drop("__turn")
+
+
+def fit_forest(normal: DataFrame, features: list[str], key: str, *, trees: int = 300, sample: int = 256, seed: int = 42) -> IsolationForest:
+    """A forest of normal rows: every tree draws ``sample`` of all of them by hash of seed and key, and is built in a task.
+
+    The driver gets the trees, of at most 2 * ``sample`` nodes each.
+    """
+    rows = normal.select(F.col(key).alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    n = rows.count()
+    if not n:
+        raise ValueError("no rows to fit a forest on")
+    size, spare, built = min(sample, n), 6.0, {}
+
+    def build(pdf):
+        import pandas as pd
+
+        x = np.stack(pdf["x"].to_numpy()).astype(float)
+        order = np.lexsort((*x.T[::-1], pdf["draw"].to_numpy()))[:size]
+        nodes = isolated(x[order], seed, int(pdf["tree"].iloc[0])) if len(order) == size else ([], [], [], [])
+        return pd.DataFrame([[pdf["tree"].iloc[0], *nodes]], columns=["tree", "feature", "cut", "left", "path"])
+
+    while len(built) < trees:  # a tree whose spare did not do, one in some 10**8, makes for another turn with more
+        found = drawn_rows(rows, "key", n, trees, sample, seed, spare).groupBy("tree").applyInPandas(lambda pdf: build(pdf), "tree int, feature array<int>, cut array<double>, left array<int>, path array<double>")
+        built |= {r["tree"]: tuple(r)[1:] for r in found.collect() if r["feature"] and r["tree"] not in built}
+        spare *= 4
+    return IsolationForest(trees, sample, seed).joined([built[t] for t in range(trees)], size)
 
 
 def forest_scores(rows: DataFrame, forest: IsolationForest, features: list[str], out: str = "if_score") -> DataFrame:
@@ -170,40 +211,27 @@ def model_fingerprint(model) -> str:
     return hashlib.sha256((params + model.toDebugString.split("\n", 1)[1]).encode()).hexdigest()
 
 
-def fit_boosted(rows: DataFrame, features: list[str], label: str, key: str, *, pool: int = POOL, seed: int = 0, **settings) -> BoostedTrees:
-    """Boosted trees on at most ``pool`` labelled rows, those whose keys hash lowest: the documented bound of the sample."""
-    got = _bounded(rows.where(F.col(label).isNotNull()), key, pool, seed).select(label, *[F.col(f).cast("double") for f in features]).toPandas()
-    return BoostedTrees(seed=seed, **settings).fit(got[features].to_numpy(float), got[label].to_numpy(float))
+def fit_boosted(rows: DataFrame, features: list[str], label: str, key: str, **settings) -> BoostedTrees:
+    """Boosted trees trained in Spark on all labelled rows."""
+    return boosting.train(rows, features, key, [BoostedTrees(**settings)], label)[0]
 
 
 def boosted_probability(rows: DataFrame, model: BoostedTrees, features: list[str], out: str = "probability") -> DataFrame:
     """``rows`` with the model's probability of class 1; null where all features are null (nothing is known of the row)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def rate(x):
-        import pandas as pd
-
-        return pd.Series(shared.value.probability(np.array([[np.nan if v is None else v for v in r] for r in x], float)) if len(x) else [], dtype=float)
-
-    known = F.coalesce(*[F.col(f).cast("double") for f in features]).isNotNull()
-    return rows.withColumn(out, F.when(known, rate(F.array(*[F.col(f).cast("double") for f in features]))))
+    return boosting.scores(rows, [model], features, out).withColumn(out, F.get(out, F.lit(0)))
 
 
-def fit_classes(rows: DataFrame, features: list[str], label: str, key: str, classes: list, **settings) -> dict:
-    """Boosted trees of each class against the others, on the bounded sample of :func:`fit_boosted`."""
-    marked = rows.withColumns({f"__is_{i}": (F.col(label) == c).cast("int") for i, c in enumerate(classes)})
-    return {c: fit_boosted(marked, features, f"__is_{i}", key, **settings) for i, c in enumerate(classes)}
+def fit_classes(rows: DataFrame, features: list[str], label: str, key: str, classes: list, **settings) -> BoostedTrees:
+    """Boosted trees of all ``classes`` under a joint softmax, trained in Spark on all rows of these classes."""
+    place = F.coalesce(*[F.when(F.col(label) == c, F.lit(i)) for i, c in enumerate(classes)])
+    return boosting.train(rows, features, key, [BoostedTrees(classes=max(2, len(classes)), **settings)], place)[0]
 
 
-def predicted_class(rows: DataFrame, fitted: dict, features: list[str], out: str = "predicted") -> DataFrame:
+def predicted_class(rows: DataFrame, model: BoostedTrees, classes: list, features: list[str], out: str = "predicted") -> DataFrame:
     """``rows`` with the class of the largest probability, the first of those as large; null without features."""
-    names = [f"__p_{i}" for i in range(len(fitted))]
-    for name, model in zip(names, fitted.values(), strict=True):
-        rows = boosted_probability(rows, model, features, name)
-    best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-    choice = F.coalesce(*[F.when(F.col(n) == best, F.lit(c)) for n, c in zip(names, fitted, strict=True)])
-    return rows.withColumn(out, choice).drop(*names)
+    p = boosting.class_probabilities(rows, model, features, "__p")
+    place = F.array_position("__p", F.array_max("__p")).cast("int")
+    return p.withColumn(out, F.get(F.array(*[F.lit(c) for c in classes]), place - 1)).drop("__p")
 
 
 class ProbabilityRule:
@@ -250,44 +278,113 @@ def per_type_maximum(scores: dict[str, Column]) -> Column:
     return F.greatest(*parts) if len(parts) > 1 else parts[0]
 
 
-def neighbours(rows: DataFrame, others: DataFrame, key: str, features: list[str], k: int, *, extra: tuple[str, ...] = (), block: int = 4_000) -> DataFrame:
-    """(key, near) for every one of ``rows``: its k nearest of ``others`` but itself, by squared distance, ties by key.
+def _far(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots."""
+    return np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(2))
 
-    ``near`` is array<struct<far, key, x, ...>>, nearest first, with the ``extra`` columns.  Both sides are cut into blocks of
-    about ``block`` rows; every two blocks meet in a task that keeps k for each row, so no task or driver holds more, whatever
-    the classes' sizes, and the result is exact.
+
+def _meet(k: int, extra: tuple[str, ...]):
+    """(key, far, other, x, ..., seen): the k nearest of a part of a cell to each of some rows, within the row's reach.
+
+    Rows of a cell are ordered by their distance to its pivot: those whose distance differs by more than the reach from the
+    row's own are farther away than the reach, and no distance to them is computed.
+    """
+
+    def run(own, other):
+        import pandas as pd
+
+        columns = ["key", "far", "other", "x", *extra, "seen"]
+        if not len(own) or not len(other):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+        other = other.sort_values(["far", "key"], kind="stable").reset_index(drop=True)
+        points, far, names = np.stack(other["x"].to_numpy()).astype(float), other["far"].to_numpy(), other["key"].to_numpy()
+        rank = np.empty(len(names), np.int64)
+        rank[np.argsort(names, kind="stable")] = np.arange(len(names))
+        ids, squared, places, seen = [], [], [], []
+        for key, x, at, reach in zip(own["key"].to_numpy(), own["x"], own["far"].to_numpy(), own["reach"].to_numpy(), strict=True):
+            slack = reach + 1e-9 * (1 + abs(at) + (reach if np.isfinite(reach) else 0))
+            a, b = np.searchsorted(far, at - slack, "left"), np.searchsorted(far, at + slack, "right")
+            d = ((points[a:b] - np.asarray(x, float)) ** 2).sum(1)
+            near = np.lexsort((rank[a:b], d))
+            near = near[names[a:b][near] != key][:k]
+            ids.append(np.full(len(near), key))
+            squared.append(d[near])
+            places.append(near + a)
+            seen.append(np.where(np.arange(len(near)) == 0, b - a, 0))
+        at = np.concatenate(places)
+        taken = other.iloc[at]
+        return pd.DataFrame({"key": np.concatenate(ids), "far": np.concatenate(squared), "other": taken["key"].to_numpy(), "x": taken["x"].to_numpy(), **{c: taken[c].to_numpy() for c in extra}, "seen": np.concatenate(seen)}, columns=columns)
+
+    return run
+
+
+def neighbours(rows: DataFrame, others: DataFrame, key: str, features: list[str], k: int, *, extra: tuple[str, ...] = (), block: int = 4_000, pivots: int = PIVOTS) -> DataFrame:
+    """(key, near, seen) for every one of ``rows``: its k nearest of ``others`` but itself, by squared distance, ties by key.
+
+    ``near`` is array<struct<far, key, x, ...>>, nearest first, with the ``extra`` columns; ``seen`` counts the distances that
+    were computed to find them, those to pivots aside.  The result is exact: ``others`` lie in cells around pivots, about the
+    root of their number and ``pivots`` at most, drawn by hash; a row first meets the cell of its nearest pivot, and then,
+    with the k-th distance found there as its reach, only cells that its reach touches (the triangle inequality).  Cells and
+    the rows that meet them are cut into parts of about ``block``, so no task holds more, whatever the density.
     """
-    a, b = max(1, -(-rows.count() // block)), max(1, -(-others.count() // (4 * block)))
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    left = rows.select(F.col(key).alias("key"), x.alias("x"), part(a).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
-    right = others.select(F.col(key).alias("key"), x.alias("x"), *extra, part(b).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("a"))
     kind = rows.schema[key].dataType.simpleString()
+    near = F.struct("far", F.col("other").alias("key"), "x", *extra)
     more = "".join(f", {c} {others.schema[c].dataType.simpleString()}" for c in extra)
+    schema = f"key {kind}, far double, other {kind}, x array<double>{more}, seen long"
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    right = written(others.select(F.col(key).alias("key"), x.alias("x"), *extra), "others")
+    n = right.count()
+    most = max(1, min(pivots, int(np.ceil(n**0.5))))
+    known = np.array([r["x"] for r in right.orderBy(number(17, "key"), "key").limit(most).collect()], float).reshape(-1, len(features))
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema).groupBy("key").agg(F.collect_list(near).alias("near"), F.sum("seen").alias("seen"))
+    known = np.unique(known, axis=0)
+    shared = rows.sparkSession.sparkContext.broadcast(known)  # at most ``pivots`` rows
+
+    @F.pandas_udf("cell int, far double")
+    def placed(points):
+        import pandas as pd
 
-    def run(own, other):
+        far = [_far(np.stack(points.to_numpy()[i : i + 1024]).astype(float), shared.value) for i in range(0, len(points), 1024)]
+        far = np.concatenate(far) if far else np.zeros((0, 1))
+        cell = far.argmin(1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "far": far[np.arange(len(far)), cell]})
+
+    right = written(right.withColumn("p", placed("x")).select("key", "x", *extra, "p.cell", "p.far"), "cells")
+    cells = {r["cell"]: r for r in right.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}  # as many as pivots
+    low, high = (np.array([cells[c][name] if c in cells else bad for c in range(len(known))]) for name, bad in (("low", np.inf), ("high", -np.inf)))
+    parts = {c: -(-r["n"] // block) for c, r in cells.items()}
+    of = lambda table, cell: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), cell), F.lit(1))
+    right = right.withColumn("part", F.pmod(F.xxhash64("key"), of(parts, F.col("cell"))).cast("int"))
+    left = written(rows.select(F.col(key).alias("key"), x.alias("x")).withColumn("p", placed("x")).select("key", "x", "p.cell", "p.far"), "rows")
+
+    def met(asked: DataFrame) -> DataFrame:
+        """What rows (key, x, cell, far, reach) find in the cell they ask."""
+        many = {r["cell"]: -(-r["count"] // block) for r in asked.groupBy("cell").count().collect()}  # as many as pivots
+        if not many:
+            return rows.sparkSession.createDataFrame([], schema)
+        a = asked.withColumn("turn", F.pmod(F.xxhash64("key", F.lit(3)), of(many, F.col("cell"))).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), of(parts, F.col("cell")) - 1)))
+        b = right.withColumn("turn", F.explode(F.sequence(F.lit(0), of(many, F.col("cell")) - 1)))
+        run = _meet(k, extra)
+        return a.groupBy("cell", "part", "turn").cogroup(b.groupBy("cell", "part", "turn")).applyInPandas(lambda own, other: run(own, other), schema)
+
+    @F.pandas_udf("array<struct<cell:int,far:double>>")
+    def touched(points, home, reach):
         import pandas as pd
 
         out = []
-        if len(own) and len(other):
-            points = np.stack(other["x"].to_numpy()).astype(float)
-            names = other["key"].to_numpy()
-            order = np.argsort(names, kind="stable")
-            points, names = points[order], names[order]
-            for at in range(0, len(own), 256):
-                mine, ids = np.stack(own["x"].to_numpy()[at : at + 256]).astype(float), own["key"].to_numpy()[at : at + 256]
-                far = ((mine[:, None, :] - points[None]) ** 2).sum(2)
-                far[ids[:, None] == names[None]] = np.inf
-                best = np.argsort(far, axis=1, kind="stable")[:, :k]
-                for i, places in enumerate(best):
-                    for j in places[np.isfinite(far[i, places])].tolist():
-                        o = order[j]
-                        out.append((ids[i], float(far[i, j]), names[j], points[j].tolist(), *[other[c].iloc[o] for c in extra]))
-        return pd.DataFrame(out, columns=["key", "far", "other", "x", *extra])
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, f"key {kind}, far double, other {kind}, x array<double>{more}")
-    near = F.struct("far", F.col("other").alias("key"), "x", *extra)
-    return found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(near)), 1, k).alias("near"))
+        for p, h, r in zip(points, home, reach, strict=True):
+            far = _far(np.asarray(p, float)[None], shared.value)[0]
+            slack = r + 1e-9 * (1 + far)
+            out.append([{"cell": int(c), "far": float(far[c])} for c in np.flatnonzero((far - high <= slack) & (low - far <= slack)) if c != h])
+        return pd.Series(out)
+
+    first = written(met(left.withColumn("reach", F.lit(float("inf")))), "near")
+    reach = first.groupBy("key").agg(F.sort_array(F.collect_list("far")).alias("f")).select("key", F.when(F.size("f") >= k, F.sqrt(F.get("f", F.lit(k - 1)))).alias("reach"))
+    asked = left.join(reach, "key", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    asked = asked.withColumn("c", F.explode(touched("x", "cell", "reach"))).select("key", "x", "c.cell", "c.far", "reach")
+    found = first.unionByName(met(written(asked, "asked")))
+    return found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(near)), 1, k).alias("near"), F.sum("seen").alias("seen"))
 
 
 def smote_seeds(data: DataFrame, features: list[str], label: str, key: str, k: int, m: int) -> DataFrame:
@@ -334,7 +431,7 @@ def oversample(rows: DataFrame, features: list[str], label: str, key: str, *, me
     rare = data.where(F.col(label) == 1)
     near = neighbours(rare, rare, key, features, k, block=block)
     seeds = weigh(data, features, label, key, k, m).where("weight > 0").join(near, "key").join(rare.select(F.col(key).alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("own")), "key")
-    seeds = written(ordered.indexed(seeds, "key", "key", out="__at", slice_us=10_000) if dict(seeds.dtypes)["key"] in ("int", "bigint") else seeds.withColumn("__at", F.row_number().over(Window.orderBy("key"))), "seeds")
+    seeds = written(ordered.numbered(seeds, "key", out="__at"), "seeds")
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return data

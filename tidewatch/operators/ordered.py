@@ -25,6 +25,23 @@ def indexed(df: DataFrame, ts: str, tie: str, *, out: str = "record_index", slic
     return sliced.withColumn(out, place).join(offsets, "__slice").withColumn(out, F.col(out) + F.col("__before")).drop("__slice", "__before")
 
 
+def numbered(df: DataFrame, *order: str, out: str = "place", slices: int | None = None) -> DataFrame:
+    """``df`` with ``out``: 1, 2, ... in the order of any columns, ties in no order.
+
+    Slices are ranges that Spark samples from the rows, as many as the session's shuffle partitions; the sorted slices are
+    written, so that numbers and offsets are of the same slices.
+    """
+    from ..sources.scratch import written
+
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a row's id is its slice and its place there
+    rows = written(df.repartitionByRange(slices, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    rows = rows.withColumn("__slice", F.shiftright("__id", 33))
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
+    offsets = rows.groupBy("__slice").agg(F.count("*").alias("__n")).select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return rows.join(offsets, "__slice").withColumn(out, F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.col("__before")).drop("__id", "__slice", "__before")
+
+
 def framed(df: DataFrame, index: str, back: int, *, block: int = BLOCK) -> DataFrame:
     """``df`` dealt to blocks (column ``block``) of consecutive ``index``, each with its ``back`` predecessors, marked ``halo``.
 

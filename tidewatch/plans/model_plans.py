@@ -59,11 +59,11 @@ def q_augmented(spark, sf_dir):
 
 @query("boosted_classes")
 def q_classes(spark, sf_dir):
-    """The dominant category of test windows by boosted trees of each category against the others."""
+    """The dominant category of test windows by boosted trees of all categories under a joint softmax."""
     rows = blocked(spark, sf_dir).withColumn("category", windows.dominant("categories")).select("bucket", "block", "category", *_X)
     seen = [r[0] for r in rows.where("block = 'train'").select("category").distinct().orderBy("category").collect()]  # eight categories
     fitted = models.fit_classes(rows.where("block = 'train'"), _X, "category", "bucket", seen)
-    return models.predicted_class(rows.where("block = 'test'"), fitted, _X).select("bucket", "category", "predicted")
+    return models.predicted_class(rows.where("block = 'test'"), fitted, seen, _X).select("bucket", "category", "predicted")
 
 
 def _oversampled(spark, sf_dir, method: str) -> DataFrame:
@@ -136,8 +136,8 @@ def q_layer(spark, sf_dir):
 def q_fingerprints(spark, sf_dir):
     rows = data(spark, sf_dir)
     normal = rows.where("block = 'train' and label = 0")
-    a = models.fit_forest(normal, _X, "bucket", trees=20).fingerprint()
-    b = models.model_fingerprint(models.random_forest(rows.where("block = 'train'"), _X, "label", trees=5, depth=5))
+    a = models.fit_forest(normal, _X, "bucket", trees=_TREES).fingerprint()
+    b = models.model_fingerprint(models.random_forest(rows.where("block = 'train'"), _X, "label", trees=_TREES, depth=10))
     return spark.createDataFrame([("isolation_forest", a), ("random_forest", b)], "model string, fingerprint string")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, models, probes, rules, series, splits, windows
+from ..operators import boosting, evaluate, models, probes, rules, series, splits, windows
 from ..sources.scratch import scratch, written
 from .detector import RULES, blocked, ruled
 from .registry import query, r, rounded
@@ -110,6 +110,14 @@ def q_verdict(spark, sf_dir):
     return probes.family_verdict(q_family(spark, sf_dir), family_of)
 
 
+@query("residual_runs", f"""WITH {RULES}, o AS (SELECT bucket, block, categories, CASE WHEN p_min IS NOT NULL THEN p_min < low OR p_max > high END AS outside FROM ruled),
+hits AS (SELECT bucket, bucket - row_number() OVER (ORDER BY bucket) AS g, count(*) OVER () AS total FROM o WHERE block IN ('train', 'validation') AND outside = FALSE AND list_contains(categories, {CATEGORY}) AND len(list_filter(categories, lambda c: c NOT IN (0, {CATEGORY}))) = 0)
+SELECT min(bucket) AS first, max(bucket) AS last, count(*) AS n FROM hits GROUP BY g, total HAVING count(*) >= {probes.LEAST_RUN} AND total - count(*) >= {probes.LEAST_POSITIVE}""")
+def q_residual_runs(spark, sf_dir):
+    """The runs of residual attacks that are held out, each with its number of windows."""
+    return probes.attack_runs(cohort(spark, sf_dir)).select("first", "last", "n")
+
+
 @query("leave_one_run_out")
 def q_loro(spark, sf_dir):
     """Recall of every held-out run of residual attacks by a model refitted without it."""
@@ -189,19 +197,24 @@ def q_fold_cadence(spark, sf_dir):
 def q_fold_models(spark, sf_dir):
     """Each fold's confusion of a model refitted on its cadence features, without (X) and with (Y) the lags of windows before."""
     held, _, states, limits = fold_cadence(spark, sf_dir)
-    out = None
-    for fold in [x["fold"] for x in held.select("fold").distinct().orderBy("fold").collect()]:  # a few folds
+    parts = None
+    seen = [x["fold"] for x in held.select("fold").distinct().orderBy("fold").collect()]  # a few folds
+    for fold in seen:
         own = held.where(F.col("fold") == fold)
         events = states.where(F.col("fold") == fold).drop("fold", "segment", "role", "is_attack")
-        rows = series.cadence_windows(events, limits.where(F.col("fold") == fold).drop("fold"), own.select("bucket", "segment", "role", "is_attack"))
-        rows = written(series.lags(rows, "cadence_event_count_total", index="bucket", key="segment").withColumn("label", F.col("is_attack")), "fold")
-        x = [c for c in rows.columns if c.startswith("func_")] + ["cadence_event_count_total", "missed_cycles_sum_total", "cusum_alarm_count_total", "cusum_max_any_type", "active_type_count"]
-        for name, features in (("X", x), ("Y", [*x, *[f"lag_{i}" for i in range(1, 6)], "slope", "direction", "variance"])):
-            model = models.fit_boosted(rows.where("role = 'train'"), features, "label", "bucket")
-            scored = models.boosted_probability(rows.where("role = 'validation'"), model, features)
-            one = evaluate.confusion(scored, F.col("label") == 1, F.col("probability") >= 0.5).withColumns({"fold": F.lit(fold), "features": F.lit(name)})
-            out = one if out is None else out.unionByName(one)
-    return out
+        one = series.cadence_windows(events, limits.where(F.col("fold") == fold).drop("fold"), own.select("bucket", "segment", "role", "is_attack"))
+        one = series.lags(one, "cadence_event_count_total", index="bucket", key="segment").withColumn("fold", F.lit(fold))
+        parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
+    rows = written(parts.withColumn("label", F.col("is_attack")), "folds")
+    x = [c for c in rows.columns if c.startswith("func_")] + ["cadence_event_count_total", "missed_cycles_sum_total", "cusum_alarm_count_total", "cusum_max_any_type", "active_type_count"]
+    y = [*x, *[f"lag_{i}" for i in range(1, 6)], "slope", "direction", "variance"]
+    # a fold's two models see the rows and bins of the fold alone; all folds train side by side
+    made = [(fold, name, boosting.BoostedTrees(allowed=list(range(len(use))))) for fold in seen for name, use in (("X", x), ("Y", y))]
+    boosting.train(rows.where("role = 'train'"), y, "bucket", [m for _, _, m in made], "label", tag=F.col("fold"), only=[fold for fold, _, _ in made])
+    names = F.array(*[F.struct(F.lit(fold).alias("fold"), F.lit(name).alias("features")) for fold, name, _ in made])
+    scored = boosting.scores(rows.where("role = 'validation'"), [m for _, _, m in made], y, "p", known=False)
+    each = scored.select("label", F.col("fold").alias("own"), F.posexplode("p").alias("at", "probability")).withColumn("of", F.get(names, F.col("at"))).where("of.fold = own").select("label", "probability", "of.fold", "of.features")
+    return evaluate.confusion(each, F.col("label") == 1, F.col("probability") >= 0.5, ("fold", "features"))
 
 
 @query("fold_model_summary")

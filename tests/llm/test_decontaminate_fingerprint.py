@@ -129,3 +129,16 @@ def test_merged_and_containment(spark):
         df = fingerprint.sketch(df, F.col(c), f"s{c}")
     r = df.select(fingerprint.containment(F.col("sa"), F.col("sc")).alias("inside"), fingerprint.containment(F.col("sc"), F.col("sa")).alias("half"), fingerprint.similarity(fingerprint.merged(F.array("sa", "sb")), F.col("sc")).alias("same")).first()
     assert r["inside"] == 1.0 and 0.3 < r["half"] < 0.7 and r["same"] > 0.95
+
+
+def test_stock_phrases_make_no_pairs(spark, monkeypatch):
+    """Random words around one phrase of eight in every text and item: no overlap, and candidates that don't grow with the product."""
+    import random
+
+    pick, found = random.Random(3), {}
+    phrase = "which of the following is not true about"
+    made = lambda n, length: [(i, " ".join([*(f"w{pick.getrandbits(60):x}" for _ in range(length)), phrase, *(f"w{pick.getrandbits(60):x}" for _ in range(length))])) for i in range(n)]
+    keep = decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, kind: found.setdefault(kind, keep(df, kind)))
+    docs, items = spark.createDataFrame(made(150, 30), "doc_id long, text string"), spark.createDataFrame(made(150, 6), "item_id long, text string")
+    assert decontaminate.find(docs, items).count() == 0 and found["pairs"].count() < 50

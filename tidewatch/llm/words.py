@@ -145,17 +145,27 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarra
     return out
 
 
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The step to the powers 0 to n - 1 in 64 bits, or its inverse."""
+    step = np.uint64(pow(int(_STEP), -1, 1 << 64)) if inverse else _STEP
+    steps = np.full(n, step)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` consecutive entries."""
+    """Rabin-Karp hashes of all runs of ``k`` consecutive entries, polynomials in 64-bit arithmetic, spread by a bijection.
+
+    The polynomial of the entries so far is taken at the step's inverse, so every window is a difference of two of its values
+    times a power: a step from a window to the next one costs the same whatever ``k`` is.  The entries are spread words, not
+    bytes, and the step is odd, so two windows that differ in one entry never agree and others by chance.
+    """
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = hashes[:n].copy()
-    for j in range(1, k):
-        total ^= total >> np.uint64(32)
-        total *= _STEP
-        total += hashes[j : j + n]
-    return mix(total)
+    upto = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _powers(len(hashes), inverse=True), out=upto[1:])
+    return mix((upto[k:] - upto[:-k]) * _powers(n + k - 1)[k - 1 :])
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

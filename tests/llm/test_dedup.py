@@ -139,3 +139,44 @@ def test_queries_on_the_table(spark, small):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.op2_substring(spark, small).collect()}
     assert got == brute.repeats(docs)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op5_jaccard(spark, small).collect()} == brute.classes(docs)
+
+
+def test_rolling_hashes_are_polynomials():
+    """Every window's hash is its own polynomial's, wherever it stands; windows that differ in one entry differ."""
+    import numpy as np
+    from tidewatch.llm import words
+
+    entries = np.random.default_rng(2).integers(0, 1 << 63, 500, dtype=np.uint64)
+    entries[200:213] = entries[40:53]
+    got = words.rolling(entries, 13)
+    for i in (0, 1, 40, 200, 487):
+        total = 0
+        for v in entries[i : i + 13].tolist():
+            total = (total * int(words._STEP) + v) % (1 << 64)
+        assert got[i] == words.mix(np.array([total], np.uint64))[0]
+    assert got[40] == got[200] and len(np.unique(got)) == len(got) - 1
+    assert len(words.rolling(entries[:12], 13)) == 0
+
+
+def test_meetings_beyond_many_groups():
+    """A meeting in the last of more groups than 40 bits of sizes leave room for."""
+    import numpy as np
+    import pyarrow as pa
+    from tidewatch.llm import jaccard
+
+    n = (1 << 23) + 5
+    hashes = np.concatenate((np.arange(n), [n - 1]))
+    size = np.full(n + 1, 20)
+    table = pa.table({"hash": hashes, "low": size, "high": size, "node": np.arange(n + 1) + 7})
+    got = jaccard._meet_task(80)(table).to_pydict()
+    assert sorted(got["a"] + got["b"]) == [n + 6, n + 7]
+    group, high = np.array([0, 0, 0, 1, 1, 2]), np.array([5, 3, 9, 2, 1, 1 << 50])
+    assert jaccard._reach(group, high).tolist() == [5, 5, 9, 2, 2, 1 << 50]
+
+
+def test_overlaps_of_large_sets_are_exact():
+    import numpy as np
+    from tidewatch.llm import jaccard
+
+    sets = [np.arange(0, 120_000, dtype=np.uint64), np.arange(1, 120_001, dtype=np.uint64), np.arange(60_000, 60_010, dtype=np.uint64)]
+    assert jaccard._overlaps(sets, sets).tolist() == [[120_000, 119_999, 10], [119_999, 120_000, 10], [10, 10, 10]]

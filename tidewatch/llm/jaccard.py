@@ -27,12 +27,14 @@ from .store import small_batches, written
 SHINGLE = 5
 #: A link needs at least this many hundredths.
 PERCENT = 80
-#: Nodes in a tile of a neighbourhood; a task compares those of two tiles at most.
+#: Nodes in a tile of a neighbourhood, heavy ones counted as several; a task compares those of two tiles at most.
 TILE = 192
 #: Tiles of a neighbourhood that are all compared with each other; a larger one is compared with some of its nodes at a time.
 TILES = 12
 #: Nodes of small neighbourhoods that one task compares, and whose rarest n-grams one task groups, on average.
 NODES = 2_000
+#: Bytes of a set's shared n-grams that count as a node: sets of many more count as several where tasks are filled.
+WEIGHT = 32 << 10
 #: Bytes of sets that are grouped at once.
 SETS = 12 << 20
 #: Edges that one task contracts, on average.
@@ -206,6 +208,13 @@ def _prefix_task(percent: int, many: int):
     return run
 
 
+def _reach(group: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The largest ``high`` of a group so far, groups ascending: their number times that of distinct values is under 2**62."""
+    values, rank = np.unique(high, return_inverse=True)
+    base = group * len(values)
+    return values[np.maximum.accumulate(base + rank) - base]
+
+
 def _meet_task(percent: int):
     def run(table: pa.Table) -> pa.Table:
         hashes, low, high, node = (table[c].to_numpy() for c in ("hash", "low", "high", "node"))
@@ -217,7 +226,7 @@ def _meet_task(percent: int):
             hashes, low, high, node = (x[order] for x in (hashes, low, high, node))
             start = blocks.runs(hashes)
             group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(hashes))))
-            reach = np.maximum.accumulate(high + group * (1 << 40)) - group * (1 << 40)
+            reach = _reach(group, high)
             tie = (group[1:] == group[:-1]) & (100 * reach[:-1] >= percent * low[1:])
             a, b = np.concatenate((a, node[:-1][tie])), np.concatenate((b, node[1:][tie]))
         if len(a):
@@ -267,7 +276,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1
     _, column = np.unique(found, return_inverse=True)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    total = np.zeros((len(left), len(right)), np.float32)
+    total = np.zeros((len(left), len(right)))
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         a, b = np.searchsorted(column, (at, at + columns))
         part = np.zeros((len(sets), columns), np.float32)
@@ -383,10 +392,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     others = own.withColumn("data", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
     suspects = texts.groupBy("bucket").cogroup(others.groupBy("bucket")).applyInArrow(_suspect_task(k, plan, percent), "node long, n long, shared binary")
     suspects = written(suspects, "suspects")
-    many = max(64, -(-suspects.count() // NODES))
+    weight = F.ceil((F.octet_length("shared") + 1) / WEIGHT)
+    many = max(64, -(-(suspects.agg(F.sum(weight)).first()[0] or 0) // NODES))
     met = suspects.mapInArrow(_prefix_task(percent, many), "block int, hash long, low long, high long, node long").groupBy("block").applyInArrow(_meet_task(percent), "a long, b long")
     homes = connected(met)
-    homes = homes.join(homes.groupBy("root").agg(F.count("*").alias("many")), "root").select("node", F.col("root").alias("home"), "many")
+    heavy = homes.join(suspects.select("node", weight.alias("weight")), "node").groupBy("root").agg(F.sum("weight").alias("many"))
+    homes = homes.join(heavy, "root").select("node", F.col("root").alias("home"), "many")
     near = written(suspects.join(homes, "node"), "near")
     few = F.col("many") <= tile * tiles
     links = _tiled(near.where(few), percent, tile, many)

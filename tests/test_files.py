@@ -81,6 +81,40 @@ def test_replay_gives_the_table_in_order(spark):
         live.pace(1, 0)
 
 
+def test_streamed_alerts_equal_the_batch_and_late_ones_are_left_out(spark):
+    import random
+
+    pick = random.Random(1)
+    rows = [(k, i, pick.random() < 0.6) for k in "ab" for i in range(120)]
+    table = spark.createDataFrame(rows, "key string, position long, fired boolean").withColumn("ts", F.timestamp_seconds(F.col("position") * 3600))
+    stream = live.replayed(table, "ts", 86_400, 1.0, "alerts")
+    got = live.drained(live.deduplicated(stream, "key"), "dedup", "update", keys=("key", "position"))
+    want = set()
+    for k in "ab":
+        want |= {(k, r["position"], r["length"], r["severity"]) for r in live.consecutive(table.where(F.col("key") == k)).collect()}
+    assert {(r["key"], r["position"], r["length"], r["severity"]) for r in got.collect()} == want
+    again = table.where("position < 24").withColumn("ts", F.timestamp_seconds(F.col("position") * 3600 + 20 * 86_400))
+    both = live.drained(live.deduplicated(live.replayed(table.unionByName(again), "ts", 86_400, 1.0, "alerts"), "key"), "dedup", "update", keys=("key", "position"))
+    assert {(r["key"], r["position"], r["length"], r["severity"]) for r in both.collect()} == want
+
+
+def test_state_of_silent_keys_expires(spark):
+    """A key that is silent for longer than the expiry starts anew; without expiry its sum goes on."""
+    rows = [("a", 0), ("a", 10), ("b", 5000), ("b", 9000), ("b", 20_000), ("a", 20_010), ("a", 20_020)]
+    table = spark.createDataFrame(rows, "key string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    run = lambda **how: {r["key"]: (r["n"], r["state"]) for r in live.drained(live.cusum(live.replayed(table, "ts", 4000, 1.0, "silent"), "key", 5.0, 5.0, **how), "silent", "update", keys=("key",)).collect()}
+    assert run()["a"] == (4, pytest.approx(0.5 + (20_000 - 5) / 5 - 0.5 + 0.5))
+    assert run(late="0 seconds", expire_s=3000)["a"] == (2, pytest.approx(0.5))
+
+
+def test_reports_say_no_to_long_tables(spark):
+    from tidewatch.sources import sinks
+
+    assert sinks.markdown(spark.range(3), "t").count("\n") == 7
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(4), "t", most=3)
+
+
 def test_dashboard(spark, small):
     from tidewatch.plans.audit_plans import dashboard
 

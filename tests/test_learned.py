@@ -251,6 +251,16 @@ def test_warped_distance_equals_a_plain_table():
         assert similarity.warped(q, known).tolist() == pytest.approx([plain_warp(q, k) for k in known])
 
 
+def test_cascade_finds_the_same_with_few_warps():
+    pick = np.random.default_rng(5)
+    known, x = np.cumsum(pick.normal(size=(80, 10)), 1), np.cumsum(pick.normal(size=(300, 10)), 1)
+    full = np.stack([similarity.warped(q, known) for q in x])
+    assert (similarity.lower_bounds(x, known) <= full + 1e-9).all()
+    got, warps = similarity.nearest_warped(x, known, rows=64)
+    assert got == pytest.approx(full.min(1)) and warps < 0.25 * full.size
+    assert similarity.nearest_warped(np.zeros((2, 1)), np.ones((1, 1)))[0].tolist() == [1.0, 1.0]
+
+
 def test_two_sided_p(spark, small):
     got = {r["feature"]: r["p"] for r in registry.QUERIES["mann_whitney_p"](spark, small).collect()}
     z = {r["feature"]: r["z"] for r in registry.QUERIES["mann_whitney"](spark, small).collect()}

@@ -51,4 +51,4 @@ def importances(named: list[tuple[str, float]], spark, causality: DataFrame | No
     """The ``top_k`` features of a model by importance, joined with a table (feature, note) of what is known of them: a report."""
     rows = spark.createDataFrame([(n, float(v)) for n, v in named], "feature string, importance double")
     top = rows.orderBy(F.desc("importance"), "feature").limit(top_k)
-    return top if causality is None else top.join(F.broadcast(causality), "feature", "left")
+    return top if causality is None else top.join(causality, "feature", "left")

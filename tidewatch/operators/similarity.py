@@ -56,6 +56,59 @@ def warped(query: np.ndarray, library_: np.ndarray) -> np.ndarray:
     return last[:, m]
 
 
+def lower_bounds(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """What the warped distance of every row of ``x`` to every library row is at least.
+
+    The ends of two shapes always meet, and every value meets one within the other shape's range.
+    """
+    ends = np.abs(x[:, None, 0] - known[None, :, 0]) + (np.abs(x[:, None, -1] - known[None, :, -1]) if min(x.shape[1], known.shape[1]) > 1 else 0)
+    beyond = lambda a, low, high: np.maximum(a - high[..., None], 0) + np.maximum(low[..., None] - a, 0)
+    mine = beyond(x[:, None, :], known.min(1)[None], known.max(1)[None]).sum(2)
+    theirs = beyond(known[None], x.min(1)[:, None], x.max(1)[:, None]).sum(2)
+    return np.maximum(ends, np.maximum(mine, theirs))
+
+
+def _warped_pairs(a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, int]:
+    """(warped distances of rows to rows, infinite where they reach ``limit``; pairs that were warped to the end)."""
+    out, on = np.full(len(a), np.inf), np.arange(len(a))
+    last = np.full((len(a), b.shape[1] + 1), np.inf)
+    last[:, 0] = 0.0
+    for i in range(a.shape[1]):
+        now = np.full_like(last, np.inf)
+        cost = np.abs(b[on] - a[on, i, None])
+        for j in range(1, b.shape[1] + 1):
+            now[:, j] = cost[:, j - 1] + np.minimum(np.minimum(last[:, j], now[:, j - 1]), last[:, j - 1])
+        keep = now.min(1) < limit[on]  # a path passes every row, so a row's least only grows
+        on, last = on[keep], now[keep]
+        if not len(on):
+            return out, 0
+    out[on] = last[:, -1]
+    return out, len(on)
+
+
+def nearest_warped(x: np.ndarray, known: np.ndarray, rows: int = 256) -> tuple[np.ndarray, int]:
+    """(each row's warped distance to its nearest library row, pairs that were warped to the end).
+
+    All rows meet their candidates in turns, those with the least bound first; a row is done when the next bound is no less
+    than what it has found, and a pair is left as soon as it cannot be nearer.
+    """
+    out, full = np.full(len(x), np.inf), 0
+    for at in range(0, len(x), rows):
+        own = x[at : at + rows]
+        bound = lower_bounds(own, known)
+        order = np.argsort(bound, 1, kind="stable")
+        best, on = np.full(len(own), np.inf), np.arange(len(own))
+        for turn in range(len(known)):
+            on = on[bound[on, order[on, turn]] < best[on]]
+            if not len(on):
+                break
+            far, ended = _warped_pairs(own[on], known[order[on, turn]], best[on])
+            best[on] = np.minimum(best[on], far)
+            full += ended
+        out[at : at + rows] = best
+    return out, full
+
+
 def nearest_shape(subs: DataFrame, library_: np.ndarray, method: str = "dtw") -> DataFrame:
     """(bucket, distance): the largest distance of a bucket's subsequences to their nearest library row; ``dtw`` warps raw values,
     ``discord`` is Euclidean on normalised ones."""
@@ -68,7 +121,7 @@ def nearest_shape(subs: DataFrame, library_: np.ndarray, method: str = "dtw") ->
         known = shared.value
         x = np.stack(values.to_numpy()).astype(float) if len(values) else np.zeros((0, 1))
         if method == "dtw":
-            return pd.Series([float(warped(q, known).min()) for q in x])
+            return pd.Series(nearest_warped(x, known)[0] if len(x) else [], dtype=float)
         ref = normalised(known)
         return pd.Series([float(np.sqrt(((ref - q) ** 2).sum(1)).min()) for q in normalised(x)] if len(x) else [], dtype=float)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import live
 from .detector import RULES, ruled
-from .registry import query, r, rounded
+from .registry import HOUR, query, r, rounded
 
 
 def _done(stream, mode: str = "complete", keys: tuple[str, ...] = ()):
@@ -35,9 +35,18 @@ def q_cusum(spark, sf_dir):
     return rounded(_done(live.cusum(live.event_stream(spark, sf_dir), "event_type", 900.0, 900.0), "update", ("event_type",)))
 
 
-@query("consecutive_alerts", f"WITH {RULES}, a AS (SELECT position, row_number() OVER (ORDER BY position) AS k FROM flagged WHERE fired), g AS (SELECT min(position) AS position, count(*) AS length FROM a GROUP BY position - k) SELECT position, length, (CASE WHEN length >= 5 THEN 3 WHEN length >= 2 THEN 2 ELSE 1 END)::INTEGER AS severity FROM g")
+_ALERTS = f"WITH {RULES}, a AS (SELECT position, row_number() OVER (ORDER BY position) AS k FROM flagged WHERE fired), g AS (SELECT min(position) AS position, count(*) AS length FROM a GROUP BY position - k) SELECT position, length, (CASE WHEN length >= 5 THEN 3 WHEN length >= 2 THEN 2 ELSE 1 END)::INTEGER AS severity FROM g"
+
+
+@query("consecutive_alerts", _ALERTS)
 def q_consecutive(spark, sf_dir):
     rows = ruled(spark, sf_dir).select(F.col("position"), F.col("hit.fired").alias("fired"))
     return live.consecutive(rows)
 
 
+@query("stream_alerts", _ALERTS)
+def q_stream_alerts(spark, sf_dir):
+    """The rules' alerts replayed ten days at a time, without those that follow one directly."""
+    rows = ruled(spark, sf_dir).select(F.lit("rules").alias("key"), F.timestamp_micros(F.col("bucket") * HOUR).alias("ts"), "position", F.col("hit.fired").alias("fired"))
+    stream = live.replayed(rows, "ts", 864_000, 1.0, "alerts")
+    return _done(live.deduplicated(stream, "key"), "update", ("key", "position")).select("position", "length", "severity")

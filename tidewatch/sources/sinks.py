@@ -111,8 +111,10 @@ def load_model(spark: SparkSession, path: str, kind, fingerprint) -> tuple[objec
 
 
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:
-    """A small table as text, of at most ``most`` rows."""
-    rows = df.limit(most).collect()
+    """A small table as text; an error if it has more than ``most`` rows, for which files are the place."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     lines += ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
     return "\n".join(lines) + "\n"

@@ -115,6 +115,16 @@ def test_reports_say_no_to_long_tables(spark):
         sinks.markdown(spark.range(4), "t", most=3)
 
 
+def test_digests_of_streams_equal_those_of_values(spark, tmp_path):
+    import hashlib
+
+    for i in range(1, 4):
+        (tmp_path / f"f{i}.bin").write_bytes(bytes([i]) * (1000 * i))
+    for whole in (0, 1500, 1 << 28):
+        got = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in frames.files_digest(spark, f"file://{tmp_path}", whole).collect()}
+        assert got == {f"f{i}.bin": (1000 * i, hashlib.sha256(bytes([i]) * (1000 * i)).hexdigest()) for i in range(1, 4)}
+
+
 def test_dashboard(spark, small):
     from tidewatch.plans.audit_plans import dashboard
 

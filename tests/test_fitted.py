@@ -111,3 +111,10 @@ def test_folds_are_scored_alike(spark, medium):
     for r in rows(spark, medium, "fold_model_summary"):
         own = [x["recall"] for x in got if x["features"] == r["features"]]
         assert r["recall_mean"] == pytest.approx(np.mean(own)) and r["recall_std"] == pytest.approx(np.std(own))
+
+
+def test_grid_counts_the_validation_block(spark, medium, blocks):
+    got = rows(spark, medium, "forest_grid")
+    n = Counter(b["is_attack"] for b in blocks.values() if b["block"] == "validation")
+    assert {(r["depth"], r["leaf"]) for r in got} == {(d, leaf) for d in (None, 10, 20) for leaf in (1, 2, 5)}
+    assert all(r["tp"] + r["fn"] == n[1] and r["fp"] + r["tn"] == n[0] for r in got)

@@ -23,7 +23,7 @@ def test_query_equals_its_sql(spark, medium, con, name):
 #: Fitted models and their draws, which SQL has no words for; tests/test_learned.py and tests/test_fitted.py check them.
 FITTED = {
     "detector", "random_forest", "boosted_trees", "model_ensemble", "smote", "smote_borderline", "adasyn", "smote_forest", "per_type_models", "forest_scores", "bidirectional_forest", "model_fingerprints", "warped_neighbours",
-    "feature_importances", "multiclass_forest", "mann_whitney_p", "family_probe", "family_verdict", "leave_one_run_out", "run_dependence", "probability_rule", "payload_augmented", "boosted_classes", "fold_models", "fold_model_summary",
+    "feature_importances", "multiclass_forest", "mann_whitney_p", "family_probe", "family_verdict", "leave_one_run_out", "run_dependence", "probability_rule", "payload_augmented", "boosted_classes", "fold_models", "fold_model_summary", "forest_grid",
 }
 
 

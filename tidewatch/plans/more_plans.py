@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.draws import number_sql
+from ..functions.draws import number, number_sql
 from ..operators import explain, models, ordered, series, windows
 from ..sources.frames import CATEGORIES, discovered_types, event_frames, iso_utc, response_types
 from .detector import blocked, egress, normal
 from .model_plans import _TREES, _X, data
-from .registry import BLOCKS, FRAMES, query, r, rounded
+from .registry import BLOCKS, FRAMES, HOUR, query, r, rounded
 from .series_plans import CADENCE, cadence, readings
 
 
@@ -77,7 +77,26 @@ def q_monotonic(spark, sf_dir):
 @query("seeded_sample", f"WITH {BLOCKS} SELECT bucket FROM normal ORDER BY {number_sql('42', 'bucket')}, bucket LIMIT 50")
 def q_sample(spark, sf_dir):
     """At most 50 normal windows, the same for the same seed: a sampling operator."""
-    return models._bounded(normal(blocked(spark, sf_dir)), "bucket", 50, 42).select("bucket")
+    return normal(blocked(spark, sf_dir)).orderBy(number(42, "bucket"), "bucket").limit(50).select("bucket")
+
+
+_UNTIL = ("packets_per_sec", "mean_frame_len", "payload_entropy_mean")
+
+
+@query("windows_until", f"WITH {BLOCKS} SELECT bucket, {r(*_UNTIL)} FROM blocks WHERE bucket <= (SELECT max(bucket) FROM blocks WHERE block = 'train')")
+def q_until(spark, sf_dir):
+    """The windows up to the last one of the training block, from the frames up to its end alone."""
+    last = blocked(spark, sf_dir).where("block = 'train'").agg(F.max("bucket")).first()[0]
+    rows = egress(spark, sf_dir).drop("bucket")
+    own = windows.until(rows, last, HOUR) if last is not None else rows.limit(0)
+    return rounded(windows.feature_windows(own, HOUR).select("bucket", *_UNTIL))
+
+
+@query("forest_grid")
+def q_grid(spark, sf_dir):
+    """Confusion on the validation block of forests of every depth and least leaf."""
+    rows = data(spark, sf_dir)
+    return models.forest_grid(rows.where("block = 'train'"), rows.where("block = 'validation'"), _X, "label", trees=_TREES)
 
 
 @query("feature_importances")

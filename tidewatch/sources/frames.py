@@ -151,9 +151,27 @@ def acknowledgements(frames: DataFrame) -> DataFrame:
     return own.select("record_index", "ts_us", F.col("categorized_attack").alias("category"), F.col("specific_attack").alias("specific"))
 
 
-def files_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that a task digests as one value; larger files are read as streams.
+WHOLE = 1 << 28
+
+
+def files_digest(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """(path, bytes, sha256) of every file that is not empty (Spark does not list empty ones).
+
+    Tasks digest files of up to ``whole`` bytes; a larger one goes through a digest of its stream, a buffer at a time, whatever
+    its size: a digest has no parts that could be made side by side.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    jvm, conf, large = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for r in files.where(F.col("length") > whole).select("path", "length").collect():  # names alone
+        place = jvm.org.apache.hadoop.fs.Path(r["path"])
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            large.append((r["path"], r["length"], jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return small.unionByName(spark.createDataFrame(large, "path string, bytes long, sha256 string")) if large else small
 
 
 def checked_files(spark: SparkSession, path: str, expected: dict[str, str]) -> DataFrame:

@@ -113,7 +113,7 @@ def fit_forest(normal: DataFrame, features: list[str], key: str, *, trees: int =
 
     The driver gets the trees, of at most 2 * ``sample`` nodes each.
     """
-    rows = normal.select(F.col(key).alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    rows = written(normal.select(F.col(key).alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")), "normal")
     n = rows.count()
     if not n:
         raise ValueError("no rows to fit a forest on")

@@ -25,7 +25,7 @@ def test_language_learns_nothing_from_held_out_rows(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     a = language.fit(docs.where(~language.held_out()))
     b = language.fit(docs.withColumn("lang", F.when(language.held_out(), "xx").otherwise(F.col("lang"))).where(~language.held_out()))
-    assert a.langs == b.langs and (a.place == b.place).all()
+    assert a.langs == b.langs and (a.grams == b.grams).all() and (a.place == b.place).all()
 
 
 def test_language_equals_brute_force(spark, medium):
@@ -43,9 +43,21 @@ def test_language_equals_brute_force(spark, medium):
         assert got[r["doc_id"]][0] == lang and got[r["doc_id"]][1] == pytest.approx(score)
 
 
-def test_language_learns_a_bounded_number(spark):
-    docs = spark.createDataFrame([(i, f"word{chr(97 + i)} again", f"l{i}") for i in range(6)] + [(9, "the cat", "en")] * 3, "doc_id long, text string, lang string")
-    assert language.fit(docs, langs=3).langs == ["en", "l0", "l1"]
+def test_language_learns_all_languages(spark):
+    """More languages than any table of a fixed size, each of one text of its own letters, and some that share letters."""
+    own = lambda i: f"{chr(0x4E00 + i)}{chr(0x4E00 + i + 1)} {chr(0x4E00 + i)}"
+    docs = spark.createDataFrame([(i, own(2 * i), f"l{i}") for i in range(1500)] + [(9, "the cat", "en")] * 3, "doc_id long, text string, lang string")
+    profiles = language.fit(docs, fit_rows=2)
+    assert len(profiles.langs) >= 1500
+    got = language.predict(docs.where("lang <> 'en'"), profiles)
+    assert got.where("lang_pred <> lang").count() == 0
+    plain = {lang: [] for lang in profiles.langs}
+    for lang, at in zip(profiles.lang, range(len(profiles.lang)), strict=True):
+        plain[profiles.langs[lang]].append((int(profiles.place[at]), int(profiles.grams[np.searchsorted(profiles.first, at, "right") - 1])))
+    top = language.ranked(*language.tallied(own(6) + " cat")[::-1], profiles.ranks)
+    for lang, far in zip(profiles.langs, profiles.distances(top), strict=True):
+        place = {g: p for p, g in plain[lang]}
+        assert far == sum(abs(place[g] - i) if g in place else profiles.ranks for i, g in enumerate(top.tolist()))
 
 
 def test_language_edges(spark):

@@ -80,6 +80,28 @@ def test_hidden_identifiers_are_recovered(spark, medium):
     found = {(r["row"], r["rank"], r["start"], r["end"]) for r in pii.discovered(base.where(~hidden), marks).collect()}
     want = {(r["row"], r["rank"], r["start"], r["end"]) for r in base.where(hidden).collect()}
     assert len(want) >= 3 and found and found <= want
+    # contexts alone, without a form's own pattern
+    alone = pii.discovered(base.where(~hidden), marks, bare=False).collect()
+    assert all(r["contextual"] for r in alone)
+    alone = {(r["row"], r["rank"], r["start"], r["end"]) for r in alone}
+    assert alone <= want and len(alone) * 4 >= len(want)
+
+
+def test_word_classes_are_contexts(spark):
+    """No word beside an identifier comes twice, but the classes of the words do; numbers of the same marks elsewhere are left."""
+    words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    pick = random.Random(3)
+    pick.shuffle(words)
+    mail = lambda i: f"{words[i]}{i}@{words[-1 - i]}.org"
+    seen = [f"Ask {words[i]} {mail(i)} {words[50 + i]} there" for i in range(20)]
+    new = "They heard quux ann@b\u00fccher.de plugh instead"
+    docs = spark.createDataFrame(list(enumerate([*seen, new, "Section quux 1234.5 plugh", "see ann@home, plugh"])), "doc_id long, text string")
+    base, marks = pii.placed(pii.scanned(docs))
+    got = [(r["rank"], r["start"], r["end"], r["contextual"]) for r in pii.discovered(base, marks, bare=False).collect()]
+    at = new.index("ann@")
+    assert got == [(0, at, at + len("ann@b\u00fccher.de"), True)]
+    rows = {r["doc_id"]: r for r in pii.annotate(docs.withColumn("n_form", F.lit("clash"))).collect()}
+    assert [rows[20][c] for c in ("n_contextual", "n_form")] == [1, 0] and [rows[0][c] for c in ("n_contextual", "n_form")] == [0, 0]
 
 
 def test_redaction(spark):

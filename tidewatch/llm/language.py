@@ -20,8 +20,6 @@ from .store import small_batches
 RANKS = 400
 #: Labelled rows of each language that a fit reads on average, the documented bound of the sample; rows are taken by a hash of their id.
 FIT_ROWS = 4000
-#: Most languages that a fit learns, those with most rows.
-LANGS = 1024
 UNKNOWN = "und"
 #: Characters of a text that are counted at once.
 LONG = 1 << 20
@@ -106,15 +104,31 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Profiles:
-    """Rank tables of all languages; a few thousand numbers for each, whatever the corpus."""
+    """Rank tables of all languages: for each n-gram, the languages that rank it and its places there.
+
+    They take 16 bytes for each n-gram of a profile at most, so some 6 KB for each language, whatever the corpus.
+    """
 
     def __init__(self, ordered: dict[str, list[int]], ranks: int = RANKS):
         self.langs = sorted(ordered)
         self.ranks = ranks
-        self.grams = np.unique(np.concatenate([np.asarray(ordered[x], np.int64) for x in self.langs])) if self.langs else np.zeros(0, np.int64)
-        self.place = np.full((len(self.langs), len(self.grams) + 1), -1, np.int32)
-        for i, lang in enumerate(self.langs):
-            self.place[i, np.searchsorted(self.grams, ordered[lang])] = np.arange(len(ordered[lang]))
+        every = np.concatenate([np.zeros(0, np.int64), *[np.asarray(ordered[x], np.int64) for x in self.langs]])
+        sizes = [len(ordered[x]) for x in self.langs]
+        order = np.argsort(every, kind="stable")
+        self.lang = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.place = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]])[order]
+        self.grams, self.first = np.unique(every[order], return_index=True)
+        self.last = np.append(self.first[1:], len(every))
+
+    def distances(self, top: np.ndarray) -> np.ndarray:
+        """Out-of-place distance of ranked n-grams to every language; an n-gram that a profile lacks is its full length off."""
+        far = np.full(len(self.langs), self.ranks * len(top), np.int64)
+        at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
+        mine = np.flatnonzero(self.grams[at] == top)
+        first, size = self.first[at[mine]], (self.last - self.first)[at[mine]]
+        rows = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())  # the n-grams' own rows, one after the other
+        near = self.ranks - np.abs(self.place[rows] - np.repeat(mine, size))
+        return far - np.bincount(self.lang[rows], near, len(far)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Nearest language, and its distance's margin over the second (over the largest possible where it is alone)."""
@@ -122,29 +136,30 @@ class Profiles:
         if not len(values) or not self.langs:
             return UNKNOWN, 0.0
         top = ranked(counts, values, self.ranks)
-        at = np.searchsorted(self.grams, top)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != top)] = len(self.grams)
-        place = self.place[:, at]
-        far = np.where(place < 0, self.ranks, np.abs(place - np.arange(len(top), dtype=np.int32))).sum(1)
+        far = self.distances(top)
         best = int(far.argmin())
         second = int(np.delete(far, best).min()) if len(far) > 1 else self.ranks * len(top)
         return self.langs[best], 1.0 - far[best] / second if second else 0.0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, fit_rows: int = FIT_ROWS, ranks: int = RANKS, langs: int = LANGS) -> Profiles:
-    """Profiles from the rows with a text and a language, of the ``langs`` languages with most rows at most.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, fit_rows: int = FIT_ROWS, ranks: int = RANKS) -> Profiles:
+    """Profiles of all languages, from the rows with a text and a language.
 
     Of a language with more than ``fit_rows`` rows a sample of about that many is read, chosen by a hash of the id; null
-    ids count as one id.  Empty input gives no profiles, and then every prediction is ``und``.
+    ids count as one id.  The driver gets a row for each language and ``ranks`` for its profile.  Empty input gives no profiles, and then every prediction is ``und``.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Profiles({}, ranks)
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_rows / n))])
     place = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(7)), 11) / float(1 << 53)
-    sample = rows.where(place <= F.coalesce(shares[F.col("lang")], F.lit(-1.0))).select("lang", "text")
+    large = {lang: fit_rows / n for lang, n in sizes.items() if n > fit_rows}
+    kept = F.lit(1.0)
+    if large:
+        shares = docs.sparkSession.createDataFrame(list(large.items()), "lang string, share double")  # a row for each such language
+        rows, kept = rows.join(F.broadcast(shares), "lang", "left"), F.coalesce("share", F.lit(1.0))
+    sample = rows.where(place <= kept).select("lang", "text")
     sums = sample.mapInArrow(_count_task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     ordered: dict[str, list[int]] = {}

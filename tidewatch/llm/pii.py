@@ -1,7 +1,8 @@
 """Personal data in whole texts: fixed patterns, and bootstrapped contextual extraction; DataFrame functions alone.
 
 The fixed patterns' matches are the seeds.  The words on a seed's left, and those on its right, induce lexical patterns with
-its coarse class or its form, and its form alone is a pattern too; a pattern's instances are the identifier-like words, and
+its coarse class, its marks or its form; so do the classes of the words beside it, which recur where the words do not.  Its form
+alone is a pattern too, counted apart.  A pattern's instances are the identifier-like words, and
 runs of words, that fit it anywhere.  Spark scores the bipartite graph of patterns and instances in turns: a pattern is as
 trustworthy as the mean of its instances, smoothed towards 0, and an instance as its patterns together.  Instances of patterns
 above a threshold that no fixed pattern has found are personal data of the pattern's kind too.
@@ -175,15 +176,43 @@ def _shape(found: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(letters, r"(?<![0-9])[0-9]{1,3}(?![0-9])", "d"), "[0-9]", "9")
 
 
+def _marks(found: Column) -> Column:
+    """An identifier's marks, in order."""
+    return F.regexp_replace(found, r"[\p{L}0-9]++", "")
+
+
+def _word_class(word: Column) -> Column:
+    """The class of the word beside an identifier: what it is made of and ends with; null is the edge of a text."""
+    made = lambda pattern: word.rlike(pattern)
+    return F.when(word.isNull(), "edge").when(made(r"^\p{L}++$"), "word").when(made("[0-9@]"), "number").when(made(r"\p{L}:$"), "label").when(made(r"\p{L}[,;]$"), "pause").when(made(r"\p{L}[.!?]$"), "stop").otherwise("marks")
+
+
 def _patterns(rows: DataFrame, *keep: str) -> DataFrame:
-    """``rows`` (instance, left, right, ...) for each of their patterns: two words on one side with the coarse class, and, marked
-    ``shape``, the form with the nearest word of a side, and alone."""
-    rows = rows.withColumns({"class": _class(F.col("instance")), "form": _shape(F.col("instance"))}).where("class is not null")
-    side = lambda name, words, kind: F.when(F.col(name).isNotNull(), F.concat_ws("\x01", F.lit(name), words, F.col(kind)))
-    form = lambda name, word: F.when(F.col(name).isNotNull(), F.concat_ws("\x01", F.lit("shape"), F.lit(name), word, F.col("form")))
-    near = [form("left", F.substring_index("left", " ", -1)), form("right", F.substring_index("right", " ", 1))]
-    every = [side("left", F.col("left"), "class"), side("right", F.col("right"), "class"), *near, F.concat_ws("\x01", F.lit("shape"), F.col("form"))]
-    return rows.select(*keep, "instance", F.explode(F.array_compact(F.array(*every))).alias("pattern")).withColumn("shape", F.startswith("pattern", F.lit("shape\x01")))
+    """``rows`` (instance, left, right, ...) for each of their patterns.
+
+    ``left`` and ``right``: two words on that side with the coarse class.  The others are marked ``shape``: the nearest word of a
+    side with the form or with the marks, the classes of both nearest words with the marks, and ``bare``, the form alone.
+    """
+    found = F.col("instance")
+    rows = rows.withColumns({"class": _class(found), "form": _shape(found), "marks": _marks(found)}).where("class is not null")
+    near = {"left": F.substring_index("left", " ", -1), "right": F.substring_index("right", " ", 1)}
+    side = lambda name: F.when(F.col(name).isNotNull(), F.concat_ws("\x01", F.lit(name), F.col(name), F.col("class")))
+    word = lambda name, what: F.when(F.col(name).isNotNull(), F.concat_ws("\x01", F.lit(what), F.lit(name), near[name], F.col(what), F.col("class")))
+    classes = F.concat_ws("\x01", F.lit("classes"), *map(_word_class, near.values()), F.col("marks"), F.col("class"))
+    every = [*[side(n) for n in near], *[word(n, what) for n in near for what in ("form", "marks")], classes, F.concat_ws("\x01", F.lit("bare"), F.col("form"))]
+    rows = rows.select(*keep, "instance", F.explode(F.array_compact(F.array(*every))).alias("pattern"))
+    return rows.withColumn("shape", ~F.col("pattern").rlike("^(left|right)\x01"))
+
+
+#: Parts that the rows of one pattern are dealt to where they meet what is known of it.
+SALTS = 8
+
+
+def _met(rows: DataFrame, patterns: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the few rows of each of ``patterns``; a pattern with most rows is several tasks."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in ("instance", "row", "start") if c in rows.columns]), F.lit(SALTS)).cast("int"))
+    copies = patterns.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["pattern", "__salt"], how).drop("__salt")
 
 
 def scored(edges: DataFrame, known: DataFrame, *, turns: int = TURNS, smooth: float = SMOOTH) -> DataFrame:
@@ -199,13 +228,17 @@ def scored(edges: DataFrame, known: DataFrame, *, turns: int = TURNS, smooth: fl
         sums = edges.join(scores, "instance").groupBy("pattern", "rank").agg(F.sum("score").alias("sum"), F.sum(F.col("score") * F.col("sure").cast("int")).alias("seen"))
         trusted = sums.join(degree, "pattern").select("pattern", "rank", "shape", (F.when(F.col("shape"), F.col("seen")).otherwise(F.col("sum")) / (F.col("degree") + smooth)).alias("trust"))
         trusted = written(trusted, "trust")
-        guessed = edges.where("not shape").join(trusted.drop("shape"), "pattern").groupBy("instance", "rank").agg(F.avg("trust").alias("guess"))
+        guessed = _met(edges.where("not shape"), trusted.drop("shape")).groupBy("instance", "rank").agg(F.avg("trust").alias("guess"))
         scores = guessed.join(known, ["instance", "rank"], "full").select("instance", "rank", F.coalesce("score", "guess").alias("score"), F.coalesce("sure", F.lit(False)).alias("sure"))
     return trusted.drop("shape")
 
 
-def discovered(base: DataFrame, marks: DataFrame, *, turns: int = TURNS, support: int = SUPPORT, trust: float = TRUST, smooth: float = SMOOTH) -> DataFrame:
-    """(row, rank, start, end) of the identifiers that trusted patterns extract and no base span touches."""
+def discovered(base: DataFrame, marks: DataFrame, *, turns: int = TURNS, support: int = SUPPORT, trust: float = TRUST, smooth: float = SMOOTH, bare: bool = True) -> DataFrame:
+    """(row, rank, start, end, contextual) of the identifiers that trusted patterns extract and no base span touches.
+
+    ``contextual`` are those that a pattern with a context extracts, for whatever kind; the others have a trusted form and no
+    more.  Without ``bare`` forms alone extract nothing.
+    """
     none = F.lit(None).cast("string")
     every = base.select("row", "start", "end", "rank", "found", none.alias("left"), none.alias("right")).unionByName(marks.select("row", "start", "end", "rank", "found", "left", "right"))
     order = Window.partitionBy("row").orderBy("start", F.desc("rank"), "end")
@@ -230,33 +263,37 @@ def discovered(base: DataFrame, marks: DataFrame, *, turns: int = TURNS, support
     free = every.where(F.col("free") & (~is_word | (F.coalesce("run_end", F.lit(0)) <= F.col("start"))))
     free = free.select("row", (F.col("start") + head).alias("start"), core.alias("instance"), "left", "right")
     free = _patterns(free.withColumn("end", F.col("start") + F.length("instance")), "row", "start", "end")
+    if not bare:
+        seeds = seeds.where(~F.startswith("pattern", F.lit("bare\x01")))
     seeds = written(seeds.groupBy("pattern", "instance", "rank", "shape").agg(F.lit(1.0).alias("score")), "seeds")
     known = seeds.groupBy("instance", "rank").agg(F.max("score").alias("score")).withColumn("sure", F.lit(True))
     induced = seeds.groupBy("pattern").agg(F.countDistinct("instance").alias("seeds"))
-    free = free.join(induced.select("pattern"), "pattern", "left_semi")
+    free = _met(free, induced.select("pattern"), "left_semi")
     edges = written(free.select("pattern", "instance", "shape").unionByName(seeds.select("pattern", "instance", "shape")).distinct(), "edges")
     trusted = scored(edges, known, turns=turns, smooth=smooth)
     best = trusted.join(induced, "pattern").where((F.col("trust") >= trust) & (F.col("seeds") >= support)).groupBy("pattern").agg(F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank"))
-    found = free.join(best.join(trusted, ["pattern", "rank"]), "pattern")
-    return found.groupBy("row", "start", "end").agg(F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank")).select("row", "rank", "start", "end")
+    found = _met(free.drop("shape"), best.join(trusted, ["pattern", "rank"]))
+    context = F.bool_or(~F.startswith("pattern", F.lit("bare\x01")))
+    return found.groupBy("row", "start", "end").agg(F.max_by("rank", F.struct("trust", -F.col("rank"))).alias("rank"), context.alias("contextual")).select("row", "rank", "start", "end", "contextual")
 
 
 def annotate(docs: DataFrame, text_col: str = "text", *, keep_text: bool = True, **options) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: array<struct<rank, start, end>>, kinds in the order of :data:`KINDS`, then starts.
+    """``docs`` with ``base`` and ``spans``: array<struct<rank, start, end>>, kinds in the order of :data:`KINDS`, then starts; and
+    ``n_contextual`` and ``n_form``, the numbers of discovered spans that contexts extract and that forms alone do.
 
     Places are code points, ends exclusive.  ``base`` are the fixed patterns' sound matches; ``spans`` are these and the
-    discovered ones.  Null texts are empty; every row stays, repeated ones too; an input column named base or spans is
-    replaced.  Without ``keep_text`` the text is left out of the result.
+    discovered ones.  Null texts are empty; every row stays, repeated ones too; input columns of these names
+    are replaced.  Without ``keep_text`` the text is left out of the result.
     """
-    scan = scanned(docs.drop("base", "spans"), text_col, keep_text)
+    scan = scanned(docs.drop("base", "spans", "n_contextual", "n_form"), text_col, keep_text)
     base, marks = placed(scan)
     more = discovered(base, marks, **options)
-    every = base.select("row", "rank", "start", "end", F.lit(True).alias("fixed")).unionByName(more.select("row", "rank", "start", "end", F.lit(False).alias("fixed")))
+    every = base.select("row", "rank", "start", "end", F.lit(True).alias("fixed"), F.lit(None).cast("boolean").alias("contextual")).unionByName(more.withColumn("fixed", F.lit(False)))
     span = F.struct("rank", "start", "end")
-    arrays = every.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.when(F.col("fixed"), span))).alias("base"), F.sort_array(F.collect_list(span)).alias("spans"))
+    arrays = every.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.when(F.col("fixed"), span))).alias("base"), F.sort_array(F.collect_list(span)).alias("spans"), F.count_if("contextual").alias("n_contextual"), F.count_if(~F.col("contextual")).alias("n_form"))
     none = F.array().cast("array<struct<rank:int,start:bigint,end:bigint>>")
     out = scan.drop("__hits").join(arrays, "__row", "left").drop("__row")
-    return out.withColumns({c: F.coalesce(F.col(c).cast("array<struct<rank:int,start:bigint,end:bigint>>"), none) for c in ("base", "spans")})
+    return out.withColumns({c: F.coalesce(F.col(c).cast("array<struct<rank:int,start:bigint,end:bigint>>"), none) for c in ("base", "spans")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_contextual", "n_form")})
 
 
 def of_kind(spans: Column, kind: str) -> Column:

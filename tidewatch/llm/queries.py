@@ -42,7 +42,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     counts = [F.size(pii.of_kind(F.col("base"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
-    return out.select("doc_id", *counts, F.sha2(pii.written_spans(F.col("base")), 256).alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(pii.written_spans(F.col("base")), 256).alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"), "n_contextual", "n_form")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

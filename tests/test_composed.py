@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tidewatch.operators import evaluate, ordered, rules, series, stats
+from tidewatch.sources import scratch
 
 
 def sequence(spark, seed: int, n: int = 300):
@@ -35,12 +36,51 @@ def test_carried_and_accumulated(spark, block):
 def test_cumulated(spark, descending):
     rows, df = sequence(spark, 2)
     counts = df.groupBy("k", "w").agg(F.count("*").alias("n"))
-    got = {(r["k"], r["w"]): r["upto"] for r in ordered.cumulated(counts, ["k"], "w", {"upto": F.col("n")}, descending=descending, slices=5).collect()}
+    got = {(r["k"], r["w"]): r["upto"] for r in ordered.cumulated(counts, ["k"], "w", {"upto": F.col("n")}, descending=descending, block=7).collect()}
     for (k, w), upto in got.items():
         assert upto == sum(1 for _, a, _, b in rows if a == k and (b >= w if descending else b <= w))
     assert ordered.cumulated(counts.where("false"), ["k"], "w", {"upto": F.col("n")}).count() == 0
 
 
+def test_ordered_passes_are_cut_by_rows(spark, monkeypatch):
+    """A key with nearly all values, and a time with nearly all rows, are many tasks of about as many rows."""
+    sizes = []
+
+    def watched(df, kind):
+        rows = scratch.written(df, kind)
+        sizes.append(sorted(r["count"] for r in rows.groupBy(F.shiftright("__id", 33)).count().collect()))
+        return rows
+
+    monkeypatch.setattr(ordered, "written", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join ranges as small as these
+    rows = spark.range(20_000).select(F.when(F.col("id") < 19_000, 5).otherwise(F.col("id")).alias("ts"), F.expr("(id * 7919) % 20000").alias("tie"))
+    got = ordered.indexed(rows.withColumn("ts", F.col("ts").cast("long")), "ts", "tie").orderBy("record_index").collect()
+    assert [r["record_index"] for r in got] == list(range(1, 20_001))
+    assert [(r["ts"], r["tie"]) for r in got] == sorted((r["ts"], r["tie"]) for r in got)
+    counts = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("k"), F.col("id").alias("w"), F.lit(1).alias("n"))
+    got = ordered.cumulated(counts, ["k"], "w", {"upto": F.col("n")}, block=1000)
+    assert got.where(F.col("upto") != F.when(F.col("k") == "b", F.floor(F.col("w") / 50) + 1).otherwise(F.col("w") - F.floor(F.col("w") / 50))).count() == 0
+    assert len(sizes) == 2 and all(len(x) == 8 and x[-1] < 20_000 / 8 * 2 for x in sizes)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shared_folder_is_named_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
+    Session.conf.set("spark.checkpoint.dir", "hdfs://shared/x/")
+    assert scratch.shared_dir(Session()) == "hdfs://shared/x"
+
+
 def test_higher_quantile_and_ranks(spark):
     rows, df = sequence(spark, 3)
     got = {r["k"]: r["quantile"] for r in series.higher_quantile(df, "w", 0.9, ["k"]).collect()}

@@ -177,11 +177,11 @@ def test_higher_quantile(spark):
 
 def test_global_order_in_slices(spark):
     rows = spark.createDataFrame([(int(t), i) for i, t in enumerate(np.random.default_rng(1).integers(0, 1000, 300))], "ts long, tie long")
-    got = [r["record_index"] for r in ordered.indexed(rows, "ts", "tie", slice_us=37).orderBy("ts", "tie").collect()]
+    got = [r["record_index"] for r in ordered.indexed(rows, "ts", "tie").orderBy("ts", "tie").collect()]
     assert got == list(range(1, 301))
-    summed = ordered.running_sum(ordered.indexed(rows, "ts", "tie", slice_us=37), "record_index", F.col("tie"), "s", block=11).orderBy("record_index").collect()
+    summed = ordered.running_sum(ordered.indexed(rows, "ts", "tie"), "record_index", F.col("tie"), "s", block=11).orderBy("record_index").collect()
     assert [r["s"] for r in summed] == np.cumsum([r["tie"] for r in summed]).tolist()
-    lagged = ordered.with_frame(ordered.indexed(rows, "ts", "tie", slice_us=37), "record_index", 3, {"b": F.lag("tie", 3).over(ordered.over("record_index"))}, block=7).orderBy("record_index").collect()
+    lagged = ordered.with_frame(ordered.indexed(rows, "ts", "tie"), "record_index", 3, {"b": F.lag("tie", 3).over(ordered.over("record_index"))}, block=7).orderBy("record_index").collect()
     assert [r["b"] for r in lagged] == [None] * 3 + [r["tie"] for r in lagged[:-3]]
 
 

@@ -136,7 +136,7 @@ def bootstrap(events: DataFrame, replicates: int, seed: int, event: str = "event
     """
     from .ordered import indexed
 
-    placed = indexed(events.select(event).distinct(), event, event, out="__at", slice_us=10_000)
+    placed = indexed(events.select(event).distinct(), event, event, out="__at")
     n = placed.agg(F.count("*").alias("__n"))
     draws = placed.select(F.col("__at").alias("draw")).crossJoin(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = draws.withColumn("__at", F.pmod(number(seed, "replicate", "draw"), F.col("__n")) + 1)

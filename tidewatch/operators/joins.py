@@ -63,9 +63,9 @@ def range_counts(points: DataFrame, samples: DataFrame, ranges: dict[str, tuple[
     return points.join(got, point_key, "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ranges})
 
 
-def neighbour_gaps(points: DataFrame, ts: str = "ts_us", slice_us: int = ordered.SLICE_US) -> DataFrame:
+def neighbour_gaps(points: DataFrame, ts: str = "ts_us") -> DataFrame:
     """``points`` with seconds to the nearest other time and to the next later one; null where there is none.  Equal times share both."""
-    times = ordered.indexed(points.select(ts).distinct(), ts, ts, out="position", slice_us=slice_us)
+    times = ordered.indexed(points.select(ts).distinct(), ts, ts, out="position")
     w = ordered.over("position")
     # the frame looks one row ahead: order backwards is a frame back, so gaps before are found first and shifted
     gaps = ordered.with_frame(times, "position", 1, {"before": (F.col(ts) - F.lag(ts).over(w)) / 1e6})

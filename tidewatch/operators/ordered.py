@@ -1,8 +1,8 @@
 """Global order without a global sort in one task.
 
-Rows get a dense index from their time slice's offset and their place in it; row frames of bounded length work on blocks of
-consecutive indices, each with a halo of the rows just before it; running totals, least totals and last values compose over
-blocks, within keys too.
+Rows are cut into ranges that Spark samples, and get a dense index from their range's offset and their place in it; row frames
+of bounded length work on blocks of consecutive indices, each with a halo of the rows just before it; running totals, least
+totals and last values compose over blocks, within keys too.
 """
 
 from __future__ import annotations
@@ -10,36 +10,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Microseconds in a time slice: rows of one slice are ordered by one task.
-SLICE_US = 86_400_000_000
+from ..sources.scratch import written
+
 #: Consecutive rows framed by one task.
 BLOCK = 100_000
+#: Bits of a row's place in its range; those above are the range's number.
+_PLACE = 33
 
 
-def indexed(df: DataFrame, ts: str, tie: str, *, out: str = "record_index", slice_us: int = SLICE_US) -> DataFrame:
-    """``df`` with ``out``: 1, 2, ... in the order of (ts, tie)."""
-    sliced = df.withColumn("__slice", F.floor(F.col(ts) / slice_us))
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
-    offsets = sliced.groupBy("__slice").agg(F.count("*").alias("__n")).select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__slice").orderBy(ts, tie))
-    return sliced.withColumn(out, place).join(offsets, "__slice").withColumn(out, F.col(out) + F.col("__before")).drop("__slice", "__before")
+def indexed(df: DataFrame, ts: str, tie: str, *, out: str = "record_index") -> DataFrame:
+    """``df`` with ``out``: 1, 2, ... in the order of (ts, tie); rows without a ``ts`` have no place and are left out."""
+    return numbered(df.where(F.col(ts).isNotNull()), *dict.fromkeys((ts, tie)), out=out)
 
 
-def numbered(df: DataFrame, *order: str, out: str = "place", slices: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, *order: str | Column, out: str = "place", slices: int | None = None) -> DataFrame:
     """``df`` with ``out``: 1, 2, ... in the order of any columns, ties in no order.
 
-    Slices are ranges that Spark samples from the rows, as many as the session's shuffle partitions; the sorted slices are
-    written, so that numbers and offsets are of the same slices.
+    Ranges are cut where Spark's sample of the rows says, as many as the session's shuffle partitions (``slices`` overrides), so
+    a day, or one time if ties differ, that holds most rows is many ranges.  The sorted ranges are written: numbers and offsets
+    are of the same ranges, whatever is lost and computed again.
     """
-    from ..sources.scratch import written
-
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a row's id is its slice and its place there
-    rows = written(df.repartitionByRange(slices, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "sorted")
-    rows = rows.withColumn("__slice", F.shiftright("__id", 33))
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
+    ranges = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    # a row's id is its range and its place there
+    rows = written(ranges.sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    rows = rows.withColumn("__slice", F.shiftright("__id", _PLACE))
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = rows.groupBy("__slice").agg(F.count("*").alias("__n")).select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return rows.join(offsets, "__slice").withColumn(out, F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.col("__before")).drop("__id", "__slice", "__before")
+    return rows.join(offsets, "__slice").withColumn(out, F.col("__id").bitwiseAND(F.lit((1 << _PLACE) - 1)) + 1 + F.col("__before")).drop("__id", "__slice", "__before")
 
 
 def framed(df: DataFrame, index: str, back: int, *, block: int = BLOCK) -> DataFrame:
@@ -109,30 +106,21 @@ def accumulated(df: DataFrame, keys: list[str], index: str, value: Column, total
     return rows.drop("__acc_block", "__acc_value", "__acc_sum", "__acc_least", "__acc_before", "__acc_lowest")
 
 
-#: Slices that a key's values are cut into for an ordered pass.
-SLICES = 64
-
-
-def cumulated(counts: DataFrame, keys: list[str], value: str, sums: dict[str, Column], *, descending: bool = False, slices: int = SLICES) -> DataFrame:
+def cumulated(counts: DataFrame, keys: list[str], value: str, sums: dict[str, Column], *, descending: bool = False, block: int = BLOCK) -> DataFrame:
     """``counts`` (a row for each key and distinct ``value``) with sums over a key's values up to the current one, itself included.
 
-    Values are cut at their approximate quantiles, each slice is summed in order by itself, and slices add the totals of those
-    before: no task holds all values of a key.  Null and NaN values come as Spark orders them.
+    Rows are numbered by key and value and summed in blocks of so many, to which the key's totals of the blocks before are
+    added: a task has at most ``block`` rows, however many values a key has.  Null and NaN values come as Spark orders them.
     """
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000).alias("__cuts"))
-    rows = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))  # one row
-    before_all = F.col(value).isNull()
-    place = F.when(before_all, -1).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(value))))
-    rows = rows.withColumn("__slice", -place if descending else place).drop("__cuts")
-    rows = rows.withColumns({f"__v_{n}": c for n, c in sums.items()})
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-    inside = Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    rows = numbered(counts.withColumns({f"__v_{n}": c for n, c in sums.items()}), *keys, order, out="__place").withColumn("__slice", F.floor((F.col("__place") - 1) / block))
+    inside = Window.partitionBy(*keys, "__slice").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     rows = rows.withColumns({n: F.sum(f"__v_{n}").over(inside) for n in sums})
     ends = rows.groupBy(*keys, "__slice").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     ends = ends.select(*keys, "__slice", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums])
     rows = rows.join(ends, [*keys, "__slice"]).withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in sums})
-    return rows.drop("__slice", *[f"__{x}_{n}" for x in ("v", "b") for n in sums])
+    return rows.drop("__place", "__slice", *[f"__{x}_{n}" for x in ("v", "b") for n in sums])
 
 
 def assert_monotonic(df: DataFrame, index: str, ts: str, *, block: int = BLOCK) -> DataFrame:

@@ -222,7 +222,7 @@ def lags(windows: DataFrame, feature: str, index: str = "position", key: str = "
     frames look five rows back over tasks of many rows each, whatever the number of blocks.
     """
     renamed = {c: f"__own_{c}" for c in ("block", "halo") if c in windows.columns}  # names of the frames' own columns
-    placed = ordered.indexed(windows, index, index, out="__at", slice_us=10_000).withColumn("__key", F.col(key)).withColumnsRenamed(renamed)
+    placed = ordered.indexed(windows, index, index, out="__at").withColumn("__key", F.col(key)).withColumnsRenamed(renamed)
     w = ordered.over("__at")
     before = lambda i: F.when(F.lag("__key", i).over(w).eqNullSafe(F.col("__key")), F.lag(feature, i).over(w))
     columns = {f"lag_{i}": before(i) for i in range(1, 6)} | {"variance": F.var_pop(feature).over(ordered.over("__at", -5, -1))}

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from .ordered import indexed
 
-#: Window numbers in one slice of the ordering.
-SLICE = 10_000
-
 
 def positions(windows: DataFrame, key: str = "bucket") -> DataFrame:
     """``windows`` with ``position`` from 0 in key order, and ``n``, their number."""
     n = windows.agg(F.count("*").alias("n"))
-    return indexed(windows, key, key, out="position", slice_us=SLICE).withColumn("position", F.col("position") - 1).crossJoin(F.broadcast(n))
+    return indexed(windows, key, key, out="position").withColumn("position", F.col("position") - 1).crossJoin(F.broadcast(n))
 
 
 def contiguous(windows: DataFrame, key: str = "bucket", train: float = 0.6, validation: float = 0.2, guard: int = 1) -> DataFrame:
@@ -30,7 +27,7 @@ def by_manifest(windows: DataFrame, split: DataFrame, key: str = "bucket", guard
     """``windows`` with the blocks of a manifest (bucket, block); test are the windows after its last, less the first ``guard``."""
     last = split.where("block in ('train', 'validation')").agg(F.max("bucket").alias("__last"))
     rows = windows.join(split.withColumnRenamed("bucket", key), key, "left").crossJoin(F.broadcast(last))
-    after = indexed(rows.where(F.col(key) > F.col("__last")), key, key, out="__at", slice_us=SLICE).select(key, "__at")
+    after = indexed(rows.where(F.col(key) > F.col("__last")), key, key, out="__at").select(key, "__at")
     rows = rows.join(after, key, "left").withColumn("block", F.coalesce(F.when(F.col("__at") > guard, "test"), "block", F.lit("guard")))
     return rows.drop("__last", "__at")
 

@@ -108,7 +108,7 @@ def q_composition(spark, sf_dir):
     rows = written(ordered.indexed(acks(spark, sf_dir), "ts_us", "point_id", out="position"), "acks")
     cut = windows.sessions(rows, CLUSTER * _US)
     found = written(cut.groupBy("session").agg(F.count("*").alias("n_acks"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("ts_us"), F.collect_set("category").alias("cats")), "bursts")
-    later = ordered.indexed(found, "start_us", "session", out="position", slice_us=30 * ordered.SLICE_US)
+    later = ordered.indexed(found, "start_us", "session", out="position")
     until = later.select((F.col("position") - 1).alias("position"), F.col("start_us").alias("until"))
     points = written(later.join(until, "position", "left"), "spans")
     end = written(readings(spark, sf_dir).select("ts_us"), "times")

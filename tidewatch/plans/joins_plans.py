@@ -83,7 +83,7 @@ def q_bursts(spark, sf_dir):
 
 @query("burst_coverage", f"WITH {_BURSTS}, spans AS (SELECT *, lead(start_us) OVER (ORDER BY start_us) AS until FROM bursts) SELECT b.session::BIGINT AS session, count(s.ts_us) AS clean_samples FROM spans b LEFT JOIN series s ON s.ts_us > b.end_us AND s.ts_us < b.until WHERE b.until IS NOT NULL GROUP BY b.session")
 def q_burst_coverage(spark, sf_dir):
-    rows = ordered.indexed(bursts(spark, sf_dir), "start_us", "session", out="position", slice_us=30 * ordered.SLICE_US)
+    rows = ordered.indexed(bursts(spark, sf_dir), "start_us", "session", out="position")
     later = rows.select((F.col("position") - 1).alias("position"), F.col("start_us").alias("until"))
     points = rows.join(later, "position").withColumnRenamed("end_us", "ts_us")
     got = joins.range_counts(points, readings(spark, sf_dir).select("ts_us"), {"clean_samples": (F.col("ts_us") + 1, F.col("until") - 1)}, HOUR, point_key="session")

@@ -208,7 +208,7 @@ runs AS (SELECT bucket, bucket - position AS run FROM attacks)"""
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, bucket) of attack windows in runs of consecutive buckets."""
     hits = blocked(spark, sf_dir).where("is_attack = 1").select("bucket", F.col("bucket").alias("value"))
-    return windows.runs(ordered.indexed(hits, "value", "value", out="position", slice_us=10_000), "position").select("run", "bucket")
+    return windows.runs(ordered.indexed(hits, "value", "value", out="position"), "position").select("run", "bucket")
 
 
 @query("attack_runs", f"WITH {_EVENTS} SELECT min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS n FROM runs GROUP BY run")

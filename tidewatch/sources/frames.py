@@ -70,7 +70,7 @@ def read_frames_txt(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.where(F.col("hex").rlike("^([0-9A-Fa-f]{2})*$")).dropna(subset=["categorized_attack", "specific_attack", "source", "destination", "timestamp"])
     rows = rows.withColumn("ts_us", F.rint(F.col("timestamp") * 1e6).cast("long"))
     # file order is the order of seq; a file's lines are few against a task's reach or the file is split in order
-    rows = indexed(rows.withColumn("zero", F.lit(0)), "seq", "zero", slice_us=1 << 33)
+    rows = indexed(rows.withColumn("zero", F.lit(0)), "seq", "zero")
     prev = rows.select((F.col("record_index") + 1).alias("record_index"), F.col("timestamp").alias("prev_ts"))
     rows = rows.join(prev, "record_index", "left").withColumn("interarrival_seconds", F.coalesce(F.greatest(F.lit(0.0), F.col("timestamp") - F.col("prev_ts")), F.lit(0.0)))
     return fb.decoded(rows.drop("seq", "zero", "prev_ts"), "hex")

@@ -170,7 +170,7 @@ def pace(slice_s: int, speed: float) -> float:
 def consecutive(alerts: DataFrame, index: str = "position", fired: str = "fired") -> DataFrame:
     """Alerts without those that follow one directly, with the length of the run and a severity of 1 to 3 by it."""
     hits = alerts.where(fired).withColumn("value", F.col(index))
-    placed = indexed(hits, "value", "value", out="__at", slice_us=10_000)
+    placed = indexed(hits, "value", "value", out="__at")
     runs = windows.runs(placed, "__at", 1, "value").groupBy("run").agg(F.min("value").alias(index), F.count("*").alias("length"))
     return runs.withColumn("severity", F.when(F.col("length") >= 5, 3).when(F.col("length") >= 2, 2).otherwise(1)).drop("run")
 

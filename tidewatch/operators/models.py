@@ -108,13 +108,15 @@ def drawn_rows(rows: DataFrame, key: str, n: int, trees: int, sample: int, seed:
     return out.withColumn("tree", F.col("__turn") * slots + slot).where((slot < slots) & (F.col("tree") < trees)).drop("__turn")
 
 
-def fit_forest(normal: DataFrame, features: list[str], key: str, *, trees: int = 300, sample: int = 256, seed: int = 42) -> IsolationForest:
+def fit_forest(normal: DataFrame, features: list[str], key: str, *, trees: int = 300, sample: int = 256, seed: int = 42, needed: bool = True) -> IsolationForest | None:
     """A forest of normal rows: every tree draws ``sample`` of all of them by hash of seed and key, and is built in a task.
 
-    The driver gets the trees, of at most 2 * ``sample`` nodes each.
+    The driver gets the trees, of at most 2 * ``sample`` nodes each.  Without a row it is an error, or no forest unless ``needed``.
     """
     rows = written(normal.select(F.col(key).alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")), "normal")
     n = rows.count()
+    if not n and not needed:
+        return None
     if not n:
         raise ValueError("no rows to fit a forest on")
     size, spare, built = min(sample, n), 6.0, {}
@@ -134,7 +136,10 @@ def fit_forest(normal: DataFrame, features: list[str], key: str, *, trees: int =
     return IsolationForest(trees, sample, seed).joined([built[t] for t in range(trees)], size)
 
 
-def forest_scores(rows: DataFrame, forest: IsolationForest, features: list[str], out: str = "if_score") -> DataFrame:
+def forest_scores(rows: DataFrame, forest: IsolationForest | None, features: list[str], out: str = "if_score") -> DataFrame:
+    """``rows`` with the forest's score; null without a forest."""
+    if forest is None:
+        return rows.withColumn(out, F.lit(None).cast("double"))
     shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")

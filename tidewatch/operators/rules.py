@@ -31,14 +31,16 @@ def finite(column: str | Column) -> Column:
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def _needed(value: Column, what: str) -> Column:
-    """An aggregate; an error if there was nothing to take it of."""
+def _needed(value: Column, what: str, needed: bool = True) -> Column:
+    """An aggregate; an error if there was nothing to take it of, or null where that is not ``needed``."""
+    if not needed:
+        return value
     return F.when(value.isNull(), F.raise_error(F.lit(f"no finite value to fit: {what}"))).otherwise(value)
 
 
-def fit_bounds(normal_values: DataFrame, column: str) -> DataFrame:
-    """Least and largest finite value; an error if there is none."""
-    return normal_values.agg(_needed(F.min(finite(column)), column).alias("low"), F.max(finite(column)).alias("high"))
+def fit_bounds(normal_values: DataFrame, column: str, *, needed: bool = True) -> DataFrame:
+    """Least and largest finite value; where there is none an error, or null unless ``needed``."""
+    return normal_values.agg(_needed(F.min(finite(column)), column, needed).alias("low"), F.max(finite(column)).alias("high"))
 
 
 def fit_rate(normal: DataFrame, column: str = "packets_per_sec") -> DataFrame:
@@ -50,16 +52,17 @@ def fit_all(normal: DataFrame, rate_column: str = "packets_per_sec") -> DataFram
     return normal.agg(*fit_columns(rate_column))
 
 
-def fit_columns(rate_column: str = "packets_per_sec") -> list[Column]:
+def fit_columns(rate_column: str = "packets_per_sec", *, needed: bool = True) -> list[Column]:
     """The aggregates of :func:`fit_all`, to be taken with others in one pass.
 
     Only finite rates and readings count; without a normal window, or without any finite value of one kind, the fit is an
-    error: a rule that knows nothing would never fire.
+    error: a rule that knows nothing would never fire.  Unless they are ``needed``, what is not known is null, and the rules say so:
+    nothing is invalid, novel or outside, and whether the rate fires is null.
     """
-    union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
+    union = lambda c: F.when(F.count(c) > 0, F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))))
     return [
-        union("func_codes").alias("valid_codes"), union("addresses").alias("valid_addresses"), _needed(F.max(finite(rate_column)), rate_column).alias("max_rate"),
-        _needed(F.min(finite("p_min")), "p_min").alias("low"), _needed(F.max(finite("p_max")), "p_max").alias("high"),
+        union("func_codes").alias("valid_codes"), union("addresses").alias("valid_addresses"), _needed(F.max(finite(rate_column)), rate_column, needed).alias("max_rate"),
+        _needed(F.min(finite("p_min")), "p_min", needed).alias("low"), _needed(F.max(finite("p_max")), "p_max", needed).alias("high"),
     ]
 
 
@@ -76,7 +79,8 @@ def _bounds_hit() -> Column:
 
 
 def _rate_hit(column: str) -> Column:
-    return _hit(F.when(F.col(column) > F.col("max_rate"), F.concat(F.lit(f"{column}_above_train_normal_max="), significant(F.col(column)), F.lit(">"), significant(F.col("max_rate")))))
+    hit = _hit(F.when(F.col(column) > F.col("max_rate"), F.concat(F.lit(f"{column}_above_train_normal_max="), significant(F.col(column)), F.lit(">"), significant(F.col("max_rate")))))
+    return F.struct(F.when(F.col("max_rate").isNotNull(), hit["fired"]).alias("fired"), hit["reasons"].alias("reasons"))
 
 
 def protocol(windows: DataFrame, fitted: DataFrame, out: str = "protocol") -> DataFrame:
@@ -110,10 +114,10 @@ def outside(windows: DataFrame, fitted: DataFrame, out: str = "outside") -> Data
 
 
 def any_of(*hits: str) -> Column:
-    """The union of hits: fired if one is, with the reasons of all in order."""
+    """The union of hits: fired if one is, null if none is and one cannot tell, with the reasons of all in order."""
     fired = F.lit(False)
     for h in hits:
-        fired = fired | F.coalesce(F.col(h)["fired"], F.lit(False))
+        fired = fired | F.when(F.col(h).isNotNull(), F.col(h)["fired"]).otherwise(F.lit(False))
     return F.struct(fired.alias("fired"), F.concat(*[F.coalesce(F.col(h)["reasons"], F.array().cast("array<string>")) for h in hits]).alias("reasons"))
 
 

@@ -23,6 +23,7 @@ def attacked(tmp_path_factory, small) -> str:
 EQUAL = (
     "alert_sentences",
     "category_flag_rates",
+    "consecutive_alerts",
     # more
 )
 

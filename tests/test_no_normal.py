@@ -24,6 +24,7 @@ EQUAL = (
     "alert_sentences",
     "category_flag_rates",
     "consecutive_alerts",
+    "cohorts",
     # more
 )
 

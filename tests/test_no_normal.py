@@ -25,6 +25,7 @@ EQUAL = (
     "category_flag_rates",
     "consecutive_alerts",
     "cohorts",
+    "confusion",
     # more
 )
 

@@ -38,6 +38,7 @@ def test_equals_its_sql_without_a_normal_window(spark, attacked, name):
 #: Fitted queries, with what a row says where nothing could be fitted.
 FITTED = {
     "bidirectional_forest": {"tn": 0, "fp": 0, "fn": 0, "tp": 0},
+    "detector": {"if_score": None, "forest": None, "flagged": None},
     # fitted
 }
 

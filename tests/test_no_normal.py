@@ -26,6 +26,7 @@ EQUAL = (
     "consecutive_alerts",
     "cohorts",
     "confusion",
+    "explanations",
     # more
 )
 

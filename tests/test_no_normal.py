@@ -40,6 +40,7 @@ def test_equals_its_sql_without_a_normal_window(spark, attacked, name):
 FITTED = {
     "bidirectional_forest": {"tn": 0, "fp": 0, "fn": 0, "tp": 0},
     "detector": {"if_score": None, "forest": None, "flagged": None},
+    "family_probe": {"recall": None, "threshold": None, "clears_null": False},
     # fitted
 }
 

@@ -42,6 +42,7 @@ FITTED = {
     "bidirectional_forest": {"tn": 0, "fp": 0, "fn": 0, "tp": 0},
     "detector": {"if_score": None, "forest": None, "flagged": None},
     "family_probe": {"recall": None, "threshold": None, "clears_null": False},
+    "family_verdict": {"dominant_family": None, "verdict": "NO-GO-CEILING"},
     # fitted
 }
 

@@ -43,6 +43,7 @@ FITTED = {
     "detector": {"if_score": None, "forest": None, "flagged": None},
     "family_probe": {"recall": None, "threshold": None, "clears_null": False},
     "family_verdict": {"dominant_family": None, "verdict": "NO-GO-CEILING"},
+    "forest_scores": {"if_score": None},
     # fitted
 }
 

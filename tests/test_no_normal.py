@@ -28,6 +28,7 @@ EQUAL = (
     "confusion",
     "explanations",
     "identity_check",
+    "kolmogorov_smirnov",
     # more
 )
 

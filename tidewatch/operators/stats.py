@@ -95,8 +95,8 @@ def mann_whitney(rows: DataFrame, group: str, value: str = "value", keys: tuple[
     ties = rows.groupBy(*keys, value).agg(F.count("*").cast("double").alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
     got = got.join(ties, list(keys)).withColumn("u", F.col("ranks") - n * (n + 1) / 2)
-    spread = F.sqrt(n * m / 12 * ((n + m + 1) - F.col("ties") / ((n + m) * (n + m - 1))))
-    z = F.greatest(F.lit(0.0), F.abs(F.col("u") - n * m / 2) - 0.5) / spread
+    spread = F.sqrt(n * m / 12 * ((n + m + 1) - F.coalesce(F.try_divide(F.col("ties"), (n + m) * (n + m - 1)), F.lit(0.0))))
+    z = F.try_divide(F.greatest(F.lit(0.0), F.abs(F.col("u") - n * m / 2) - 0.5), spread)
     return got.select(*keys, "n", "m", "u", F.when(spread > 0, z).alias("z"), F.when(spread > 0, _two_sided(z)).otherwise(1.0).alias("p"))
 
 
@@ -109,12 +109,12 @@ def _two_sided(z: Column) -> Column:
 
 
 def kolmogorov_smirnov(rows: DataFrame, group: str, value: str = "value", keys: tuple[str, ...] = ("feature",)) -> DataFrame:
-    """The largest distance of the two groups' distribution functions."""
+    """The largest distance of the two groups' distribution functions; null where a group is empty."""
     counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(group)).alias("__a"), F.count_if(~F.col(group)).alias("__b"))
     placed = ordered.cumulated(counts, list(keys), value, {"__upto_a": F.col("__a"), "__upto_b": F.col("__b")})
     n = counts.groupBy(*keys).agg(F.sum("__a").alias("__all_a"), F.sum("__b").alias("__all_b"))
     placed = placed.join(n, list(keys)) if keys else placed.crossJoin(F.broadcast(n))  # one row
-    far = F.abs(F.col("__upto_a") / F.col("__all_a") - F.col("__upto_b") / F.col("__all_b"))
+    far = F.abs(F.try_divide(F.col("__upto_a"), F.col("__all_a")) - F.try_divide(F.col("__upto_b"), F.col("__all_b")))
     return placed.groupBy(*keys).agg(F.max(far).alias("ks"))
 
 

@@ -45,6 +45,7 @@ FITTED = {
     "family_probe": {"recall": None, "threshold": None, "clears_null": False},
     "family_verdict": {"dominant_family": None, "verdict": "NO-GO-CEILING"},
     "forest_scores": {"if_score": None},
+    "leave_one_run_out": {},
     # fitted
 }
 

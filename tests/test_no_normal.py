@@ -46,6 +46,7 @@ FITTED = {
     "family_verdict": {"dominant_family": None, "verdict": "NO-GO-CEILING"},
     "forest_scores": {"if_score": None},
     "leave_one_run_out": {},
+    "model_fingerprints": {},
     # fitted
 }
 

@@ -47,6 +47,7 @@ FITTED = {
     "forest_scores": {"if_score": None},
     "leave_one_run_out": {},
     "model_fingerprints": {},
+    "mann_whitney_p": {"p": 1.0},
     # fitted
 }
 

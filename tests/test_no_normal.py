@@ -29,6 +29,7 @@ EQUAL = (
     "explanations",
     "identity_check",
     "kolmogorov_smirnov",
+    "pressure_proxy",
     # more
 )
 

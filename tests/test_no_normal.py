@@ -49,6 +49,7 @@ FITTED = {
     "leave_one_run_out": {},
     "model_fingerprints": {},
     "mann_whitney_p": {"p": 1.0},
+    "probability_rule": {"fired": None, "reasons": ""},
     # fitted
 }
 

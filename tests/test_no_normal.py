@@ -30,6 +30,7 @@ EQUAL = (
     "identity_check",
     "kolmogorov_smirnov",
     "pressure_proxy",
+    "regression_bar",
     # more
 )
 

@@ -31,6 +31,7 @@ EQUAL = (
     "kolmogorov_smirnov",
     "pressure_proxy",
     "regression_bar",
+    "rederived_flags",
     # more
 )
 

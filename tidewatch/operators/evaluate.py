@@ -81,10 +81,10 @@ def reproduced(found: DataFrame, saved: DataFrame, keys: list[str], value: str =
 
 
 def rederived(saved: DataFrame, term: DataFrame, key: str, flag: str, new: str, out: str = "combined") -> DataFrame:
-    """Saved flags with a new deterministic term: ``out`` is either; an error where a saved row has no term."""
-    rows = saved.join(term.select(key, F.col(new).alias("__new")), key, "left")
-    checked = F.when(F.col("__new").isNull(), F.raise_error(F.concat(F.lit("no term for "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.col("__new"))
-    return rows.withColumn(new, checked).withColumn(out, F.col(flag) | F.col(new)).drop("__new")
+    """Saved flags with a new deterministic term, null where that cannot tell: ``out`` is either; an error where a saved row has no term."""
+    rows = saved.join(term.select(key, F.col(new).alias("__new"), F.lit(True).alias("__found")), key, "left")
+    checked = F.when(F.col("__found").isNull(), F.raise_error(F.concat(F.lit("no term for "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.col("__new"))
+    return rows.withColumn(new, checked).withColumn(out, F.col(flag) | F.col(new)).drop("__new", "__found")
 
 
 def sweep(scores: DataFrame, label: str = "label", score: str = "score", thresholds=THRESHOLDS) -> DataFrame:

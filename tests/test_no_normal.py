@@ -32,6 +32,7 @@ EQUAL = (
     "pressure_proxy",
     "regression_bar",
     "rederived_flags",
+    "regression_by_category",
     # more
 )
 

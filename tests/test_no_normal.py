@@ -33,6 +33,7 @@ EQUAL = (
     "regression_bar",
     "rederived_flags",
     "regression_by_category",
+    "residual_cohorts",
     # more
 )
 

@@ -34,6 +34,7 @@ EQUAL = (
     "rederived_flags",
     "regression_by_category",
     "residual_cohorts",
+    "regression_delta",
     # more
 )
 

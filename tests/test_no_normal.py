@@ -35,6 +35,7 @@ EQUAL = (
     "regression_by_category",
     "residual_cohorts",
     "regression_delta",
+    "cadence_tightening",
     # more
 )
 

@@ -52,7 +52,7 @@ def q_tightening(spark, sf_dir):
     marks = blocked(spark, sf_dir).select("bucket", ((F.col("block") == "train") & (F.col("is_attack") == 0)).alias("normal"))
     stream = ordered.indexed(egress(spark, sf_dir).where("function_code in (3, 16)").select("ts_us", "record_index", "bucket", F.lit(0).alias("function_code")), "ts_us", "record_index", out="position")
     gaps = series.normal_gaps(stream, marks).withColumn("gap", F.col("gap_us") / 1e6)
-    pooled = series.baselines(gaps).select(F.col("cv").alias("pooled_cv"))
+    pooled = series.baselines(gaps).agg(F.max("cv").alias("pooled_cv"))  # one row, with or without a gap
     typed = base.agg((F.sum(F.col("cv") * F.col("n")) / F.sum("n")).alias("weighted_cv"))
     return rounded(pooled.crossJoin(typed).withColumn("ratio", F.col("weighted_cv") / F.col("pooled_cv")))
 

@@ -36,6 +36,7 @@ EQUAL = (
     "residual_cohorts",
     "regression_delta",
     "cadence_tightening",
+    "code_divergence",
     # more
 )
 

@@ -132,15 +132,16 @@ def means(rows: DataFrame, value: Column, out: str = "mean") -> DataFrame:
 
 
 def code_divergence(frames: DataFrame, normal: DataFrame) -> DataFrame:
-    """For each bucket the L1 distance and the Jensen-Shannon divergence (bits) of its function codes from those of normal buckets."""
+    """For each bucket the L1 distance and the Jensen-Shannon divergence (bits) of its function codes from those of normal buckets;
+    without a normal bucket their shares are all 0."""
     counts = frames.groupBy("bucket", "function_code").agg(F.count("*").alias("n"))
     shares = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("bucket")))
     known = counts.join(normal.select("bucket"), "bucket", "left_semi").groupBy("function_code").agg(F.sum("n").alias("m"))
     total = known.agg(F.sum("m").alias("t"))
     q = known.crossJoin(F.broadcast(total)).select("function_code", (F.col("m") / F.col("t")).alias("q"))  # a row for each code
     # codes that a bucket lacks add q to the distance and q / 2 bits to the divergence: their sum is 1 less the shared codes' q
-    both = shares.join(F.broadcast(q), "function_code", "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
+    both = shares.join(F.broadcast(q), "function_code", "left").withColumn("q", F.coalesce("q", F.lit(0.0))).crossJoin(F.broadcast(total))
     mid = (F.col("p") + F.col("q")) / 2
     part = F.col("p") * F.log2(F.col("p") / mid) + F.when(F.col("q") > 0, F.col("q") * F.log2(F.col("q") / mid)).otherwise(0.0)
-    rest = 1 - F.sum("q")
+    rest = F.when(F.max("t").isNotNull(), 1 - F.sum("q")).otherwise(0.0)
     return both.groupBy("bucket").agg((F.sum(F.abs(F.col("p") - F.col("q"))) + rest).alias("l1"), ((F.sum(part) + rest) / 2).alias("js"))

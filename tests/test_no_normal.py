@@ -37,6 +37,7 @@ EQUAL = (
     "regression_delta",
     "cadence_tightening",
     "code_divergence",
+    "discords",
     # more
 )
 

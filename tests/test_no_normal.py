@@ -38,6 +38,7 @@ EQUAL = (
     "cadence_tightening",
     "code_divergence",
     "discords",
+    "flood_detection",
     # more
 )
 

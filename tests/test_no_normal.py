@@ -39,6 +39,7 @@ EQUAL = (
     "code_divergence",
     "discords",
     "flood_detection",
+    "mapped_baselines",
     # more
 )
 

@@ -40,6 +40,7 @@ EQUAL = (
     "discords",
     "flood_detection",
     "mapped_baselines",
+    "nearest_normal",
     # more
 )
 

@@ -41,6 +41,7 @@ EQUAL = (
     "flood_detection",
     "mapped_baselines",
     "nearest_normal",
+    "nearest_reference",
     # more
 )
 

@@ -42,7 +42,7 @@ EQUAL = (
     "mapped_baselines",
     "nearest_normal",
     "nearest_reference",
-    # more
+    "wasserstein_to_normal",
 )
 
 
@@ -63,7 +63,6 @@ FITTED = {
     "mann_whitney_p": {"p": 1.0},
     "probability_rule": {"fired": None, "reasons": ""},
     "payload_augmented": {"label": 1},
-    # fitted
 }
 
 

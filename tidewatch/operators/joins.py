@@ -51,16 +51,22 @@ def nearest(rows: DataFrame, candidates: DataFrame, key: str, slice_: int = 10_0
 def range_counts(points: DataFrame, samples: DataFrame, ranges: dict[str, tuple[Column, Column]], slice_us: int, *, ts: str = "ts_us", point_key: str = "point_id") -> DataFrame:
     """``points`` with, for each name, the number of samples at times from the first to the second bound, both included.
 
-    Bounds are whole microseconds, so an open end is a bound one less or more.  Each point meets the samples of the time slices
-    that its ranges touch, and counts them before anything else.
+    Bounds are whole microseconds, so an open end is a bound one less or more.  A range holds the samples up to its end less those
+    before it, so bounds and samples are laid in one order and samples are summed over its blocks: work and memory grow with
+    points and samples, however many samples a range holds, and ``slice_us`` is of no account.
     """
-    lows, highs = zip(*ranges.values(), strict=True)
-    least, most = (F.least(*lows) if len(lows) > 1 else lows[0]), (F.greatest(*highs) if len(highs) > 1 else highs[0])
-    cut = points.withColumn("__slice", F.explode(F.sequence(F.floor(least / slice_us), F.floor(most / slice_us))))
-    near = samples.select(F.floor(F.col(ts) / slice_us).alias("__slice"), F.col(ts).alias("__ts"))
-    within = F.col("__ts").between(least, most)
-    got = cut.join(near, "__slice").where(within).groupBy(point_key).agg(*[F.count_if(F.col("__ts").between(a, b)).alias(n) for n, (a, b) in ranges.items()])
-    return points.join(got, point_key, "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ranges})
+    ends = [(a - 1, b) for a, b in ranges.values()]
+    values = F.array_distinct(F.array_compact(F.array(*[x.cast("long") for pair in ends for x in pair])))
+    bounds = points.select(point_key, F.posexplode(values).alias("__at", "__ts"))
+    # a sample comes before the bounds of its time; samples of one time are one row
+    counted = samples.where(F.col(ts).isNotNull()).groupBy(F.col(ts).cast("long").alias("__ts")).agg(F.count("*").alias("__n")).withColumn("__bound", F.lit(0))
+    rows = counted.unionByName(bounds.withColumns({"__n": F.lit(0).cast("long"), "__bound": F.lit(1)}), allowMissingColumns=True)
+    rows = ordered.running_sum(ordered.numbered(rows, "__ts", "__bound", point_key, out="__place"), "__place", F.col("__n"), "__upto")
+    got = rows.where("__bound = 1").groupBy(point_key).agg(*[F.max(F.when(F.col("__at") == i, F.col("__upto"))).alias(f"__upto_{i}") for i in range(2 * len(ends))])
+    upto = F.array(*[F.col(f"__upto_{i}") for i in range(2 * len(ends))])
+    at = lambda x: F.get(upto, (F.array_position(values, x.cast("long")) - 1).cast("int"))
+    counts = {n: F.greatest(F.coalesce(at(b) - at(a), F.lit(0)), F.lit(0)) for n, (a, b) in zip(ranges, ends, strict=True)}
+    return points.join(got, point_key, "left").withColumns(counts).drop(*got.columns[1:])
 
 
 def neighbour_gaps(points: DataFrame, ts: str = "ts_us") -> DataFrame:

@@ -54,6 +54,7 @@ def dense(tmp_path_factory, small) -> str:
 
 @pytest.mark.parametrize("name", [
     "range_counts",
+    "ack_horizons",
     # more
 ])
 def test_dense_times_make_no_pairs(spark, dense, name):

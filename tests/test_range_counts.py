@@ -55,7 +55,7 @@ def dense(tmp_path_factory, small) -> str:
 @pytest.mark.parametrize("name", [
     "range_counts",
     "ack_horizons",
-    # more
+    "ack_coverage",
 ])
 def test_dense_times_make_no_pairs(spark, dense, name):
     df = registry.QUERIES[name](spark, dense)

@@ -116,14 +116,15 @@ def fit_threshold(normal: DataFrame, score: str, max_fpr: float, keys: tuple[str
 def best_cuts(rows: DataFrame, label: str, max_fpr: float, keys: tuple[str, ...] = ("feature",), value: str = "value") -> DataFrame:
     """The best single cut of each feature, on either side: largest recall with a false positive rate of at most ``max_fpr``.
 
-    Every value is a candidate; cumulative counts over distinct values give all cuts in one pass.
+    Every value is a candidate; cumulative counts over distinct values give all cuts in one pass.  Without a negative no cut has a
+    rate, so a feature has no row; without a positive the recall is null.
     """
     counts = rows.groupBy(*keys, value).agg(F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) != 1).alias("__q"))
     n = counts.groupBy(*keys).agg(F.sum("__p").alias("__all_p"), F.sum("__q").alias("__all_q"))
     out = None
     for side, down in (("above", True), ("below", False)):
         upto = ordered.cumulated(counts, list(keys), value, {"__tp": F.col("__p"), "__fp": F.col("__q")}, descending=down).join(n, list(keys))
-        cut = upto.select(*keys, F.lit(side).alias("side"), F.col(value).alias("cut"), (F.col("__tp") / F.col("__all_p")).alias("recall"), (F.col("__fp") / F.col("__all_q")).alias("fpr"))
+        cut = upto.select(*keys, F.lit(side).alias("side"), F.col(value).alias("cut"), F.try_divide("__tp", "__all_p").alias("recall"), F.try_divide("__fp", "__all_q").alias("fpr"))
         out = cut if out is None else out.unionByName(cut)
     best = F.struct(F.col("recall"), -F.col("fpr"), F.col("side") == "above", F.when(F.col("side") == "above", F.col("cut")).otherwise(-F.col("cut")))
     return out.where(F.col("fpr") <= max_fpr).groupBy(*keys).agg(F.max_by("side", best).alias("side"), F.max_by("cut", best).alias("cut"), F.max_by("recall", best).alias("recall"), F.max_by("fpr", best).alias("fpr"))

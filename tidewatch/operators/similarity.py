@@ -142,11 +142,12 @@ def flood(frames: DataFrame, times: float, profile: str, width_us: int) -> DataF
     rows = frames.withColumns({"__at": F.row_number().over(order) - 1, "__n": F.count("*").over(Window.partitionBy("bucket"))})
     if times == 1:
         return rows.drop("__at", "__n")
-    target = F.rint(F.col("__n") * times).cast("int")
-    mine = F.sequence(F.lit(0), target - 1)
-    rows = rows.withColumn("__i", F.explode(F.filter(mine, lambda i: i % F.col("__n") == F.col("__at"))))
+    target = F.rint(F.col("__n") * times).cast("long")
+    at, n = F.col("__at").cast("long"), F.col("__n")
+    # a row has only its own places, every n-th from its own on
+    rows = rows.withColumn("__i", F.explode(F.when(at < target, F.sequence(at, target - 1, n))))
     ts = (F.col("bucket") * width_us + F.floor(F.col("__i") * F.lit(float(width_us)) / target)).cast("long")
-    out = rows.withColumns({"ts_us": ts, "record_index": F.col("__i").cast("long")})
+    out = rows.withColumns({"ts_us": ts, "record_index": F.col("__i")})
     if profile == "A":
         out = out.withColumn("payload", F.concat_ws("#", "payload", F.col("__i").cast("string")))
     return out.drop("__at", "__n", "__i")

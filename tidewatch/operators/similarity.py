@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import number
+from ..sources.scratch import written
 from . import ordered
 
-#: Subsequences in a library at most.
+#: Subsequences in a library of warped neighbours at most.
 LIBRARY = 300
+#: Subsequences in a block of the search through all shapes.
+SHAPES = 1024
 
 
 def subsequences(series: DataFrame, length: int = 15, gap_us: int | None = None, keep: str | None = None) -> DataFrame:
@@ -109,25 +113,75 @@ def nearest_warped(x: np.ndarray, known: np.ndarray, rows: int = 256) -> tuple[n
     return out, full
 
 
-def nearest_shape(subs: DataFrame, library_: np.ndarray, method: str = "dtw") -> DataFrame:
-    """(bucket, distance): the largest distance of a bucket's subsequences to their nearest library row; ``dtw`` warps raw values,
-    ``discord`` is Euclidean on normalised ones."""
+def nearest_shape(subs: DataFrame, library_: np.ndarray) -> DataFrame:
+    """(bucket, distance): the largest warped distance of a bucket's subsequences to their nearest library row."""
     shared = subs.sparkSession.sparkContext.broadcast(library_)
 
     @F.pandas_udf("double")
     def far(values):
         import pandas as pd
 
-        known = shared.value
         x = np.stack(values.to_numpy()).astype(float) if len(values) else np.zeros((0, 1))
-        if method == "dtw":
-            return pd.Series(nearest_warped(x, known)[0] if len(x) else [], dtype=float)
-        ref = normalised(known)
-        return pd.Series([float(np.sqrt(((ref - q) ** 2).sum(1)).min()) for q in normalised(x)] if len(x) else [], dtype=float)
+        return pd.Series(nearest_warped(x, shared.value)[0] if len(x) else [], dtype=float)
 
     return subs.withColumn("distance", far("values")).groupBy("bucket").agg(F.max("distance").alias("distance"))
 
 
+def _packed(subs: DataFrame, rows: int) -> DataFrame:
+    """(buckets, shapes): up to ``rows`` normalised subsequences in a row, as bytes of their numbers."""
+
+    def pack(batches):
+        for batch in batches:
+            for part in (batch.slice(at, rows) for at in range(0, batch.num_rows, rows)):
+                x = normalised(part.column("values").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1))
+                buckets = part.column("bucket").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"buckets": [buckets.tobytes()], "shapes": [x.tobytes()]})
+
+    return subs.select("bucket", "values").mapInArrow(pack, "buckets binary, shapes binary")
+
+
+def nearest_normalised(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distance of every row of ``a`` to its nearest row of ``b``: the product finds the row, the difference the distance."""
+    at = ((b * b).sum(1) - 2 * (a @ b.T)).argmin(1)
+    return ((a - b[at]) ** 2).sum(1)
+
+
+def discords(subs: DataFrame, known: DataFrame, rows: int = SHAPES) -> DataFrame:
+    """(bucket, distance): the largest Euclidean distance of a bucket's normalised subsequences to the nearest of all ``known`` ones.
+
+    Every subsequence meets every known shape, so the work grows with their product.  Blocks of ``rows`` meet blocks of as many:
+    a task holds two blocks and the table of their products, whatever the sizes of the sides.
+    """
+    spark = subs.sparkSession
+    own = written(_packed(subs, rows).withColumn("block", F.monotonically_increasing_id()), "queries")
+    shapes = written(_packed(known, rows).select(F.col("shapes").alias("known")), "library")
+
+    def meet(batches):
+        def out():
+            n = len(best)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n)), pa.array(buckets), pa.array(best)], ["block", "at", "bucket", "far"])
+
+        block = best = buckets = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if one["block"] != block:
+                    if best is not None:
+                        yield out()
+                    block, buckets = one["block"], np.frombuffer(one["buckets"], np.int64)
+                    x, best = np.frombuffer(one["shapes"]).reshape(len(buckets), -1), np.full(len(buckets), np.inf)
+                k = np.frombuffer(one["known"]).reshape(-1, x.shape[1])
+                best = np.minimum(best, nearest_normalised(x, k))
+        if best is not None:
+            yield out()
+
+    # a block of subsequences is work for a task: more parts than cores, so that none waits long for the last
+    pairs = own.repartition(4 * spark.sparkContext.defaultParallelism).crossJoin(shapes)
+    found = pairs.mapInArrow(meet, "block long, at long, bucket long, far double")
+    least = found.groupBy("block", "at").agg(F.first("bucket").alias("bucket"), F.min("far").alias("far"))
+    return least.groupBy("bucket").agg(F.sqrt(F.max("far")).alias("distance"))
+
+
 def flood(frames: DataFrame, times: float, profile: str, width_us: int) -> DataFrame:
     """Frames of each bucket at ``times`` the rate, evenly spaced over it.
 

@@ -8,8 +8,8 @@ import pytest
 from oracle import differences, duck
 
 import tidewatch.plans.all  # noqa: F401
-from tidewatch.operators import similarity
-from tidewatch.plans import registry, series_plans
+from tidewatch.operators import series, similarity
+from tidewatch.plans import registry, residual_plans, series_plans
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +35,39 @@ def test_discords_are_those_of_all_shapes(spark, calm):
     df = registry.QUERIES["discords"](spark, calm)
     assert {r["bucket"]: r["distance"] for r in df.collect()} == pytest.approx(wanted, abs=1e-4)
     assert differences(df, duck(calm), registry.SQL["discords"]) == ""
+
+
+def moved(own: list[float], other: list[float]) -> float:
+    """The Wasserstein distance by distribution functions over all values."""
+    own, other = np.sort(own), np.sort(other)
+    grid = np.sort(np.concatenate((own, other)))
+    shares = [np.searchsorted(x, grid[:-1], "right") / max(1, len(x)) for x in (own, other)]
+    return float((np.abs(shares[0] - shares[1]) * np.diff(grid)).sum())
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 2000])
+def test_wasserstein_is_that_to_all(spark, n):
+    pick = np.random.default_rng(n)
+    buffers = {b: pick.choice([-3.0, 0.0, 1.5, 2.0, *pick.normal(2, 4, 9)], size).tolist() for b, size in enumerate([1, 2, 3, 7, 29, 30, 30, 30])}
+    known = [*pick.normal(1, 3, n // 2).tolist(), *pick.choice([0.0, 1.5, 2.0, -9.0], n - n // 2).tolist()]
+    got = series.wasserstein(spark.createDataFrame(list(buffers.items()), "bucket long, buffer array<double>"), spark.createDataFrame([(v,) for v in known], "pressure double")).collect()
+    assert {r["bucket"]: r["wasserstein"] for r in got} == pytest.approx({b: moved(x, known) for b, x in buffers.items()}, abs=1e-9)
+
+
+@pytest.fixture(scope="module")
+def rows(spark, calm):
+    return series_plans.labelled(spark, calm).cache()
+
+
+@pytest.fixture(scope="module")
+def distances(rows) -> dict[int, float]:
+    """Each window's distance to all normal readings, of which there are more than 500."""
+    known = [r[0] for r in rows.where("normal").select("pressure").collect()]
+    assert len(known) > 500
+    return {r["bucket"]: moved(r["buffer"], known) for r in series.trailing(rows).collect()}
+
+
+def test_probed_rows_know_all_normal_readings(spark, calm, distances):
+    """What family_probe learns from."""
+    got = {r["bucket"]: r["wasserstein_to_train_normal"] for r in residual_plans.full_rows(spark, calm).collect()}
+    assert got == pytest.approx(distances, abs=1e-9)

@@ -71,3 +71,15 @@ def test_probed_rows_know_all_normal_readings(spark, calm, distances):
     """What family_probe learns from."""
     got = {r["bucket"]: r["wasserstein_to_train_normal"] for r in residual_plans.full_rows(spark, calm).collect()}
     assert got == pytest.approx(distances, abs=1e-9)
+
+
+def test_verdict_knows_all_normal_readings(spark, calm, distances, monkeypatch):
+    seen = []
+
+    def probe(rows, families):
+        seen.append({r["bucket"]: r["wasserstein_to_train_normal"] for r in rows.collect()})
+        return spark.createDataFrame([("combined", False, "last_pressure")], "family string, clears_null boolean, top_feature string")
+
+    monkeypatch.setattr(residual_plans.probes, "family_probe", probe)
+    assert registry.QUERIES["family_verdict"](spark, calm).first()["verdict"] == "NO-GO-CEILING"
+    assert seen[0] and seen[0] == pytest.approx({b: distances[b] for b in seen[0]}, abs=1e-9)

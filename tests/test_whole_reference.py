@@ -83,3 +83,9 @@ def test_verdict_knows_all_normal_readings(spark, calm, distances, monkeypatch):
     monkeypatch.setattr(residual_plans.probes, "family_probe", probe)
     assert registry.QUERIES["family_verdict"](spark, calm).first()["verdict"] == "NO-GO-CEILING"
     assert seen[0] and seen[0] == pytest.approx({b: distances[b] for b in seen[0]}, abs=1e-9)
+
+
+def test_wasserstein_to_normal_is_that_to_all(spark, calm, distances):
+    df = registry.QUERIES["wasserstein_to_normal"](spark, calm)
+    assert {r["bucket"]: r["wasserstein"] for r in df.collect()} == pytest.approx(distances, abs=1e-4)
+    assert differences(df, duck(calm), registry.SQL["wasserstein_to_normal"]) == ""

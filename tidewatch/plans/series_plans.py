@@ -217,13 +217,15 @@ def q_trailing(spark, sf_dir):
     return rounded(series.distribution(series.trailing(readings(spark, sf_dir)), 0.0, 500.0).drop("buffer", "wasserstein"))
 
 
-#: The normal readings of a bounded sample, by a hash of their place that any engine has, and distances of trailing buffers to it.
-SAMPLE = 500
-WASSERSTEIN = f"""
-sample AS (SELECT pressure AS v FROM marked WHERE normal ORDER BY md5(position::VARCHAR), position LIMIT {SAMPLE}),
+#: Distances of trailing buffers to the normal readings.
+WASSERSTEIN = """
+sample AS (SELECT pressure AS v FROM marked WHERE normal),
 grid AS (SELECT bucket, v, 1 / count(*) OVER (PARTITION BY bucket)::DOUBLE AS own, 0.0::DOUBLE AS other FROM x UNION ALL SELECT bucket, v, 0, 1 / (SELECT count(*) FROM sample)::DOUBLE FROM (SELECT DISTINCT bucket FROM x), sample),
 steps AS (SELECT bucket, abs(sum(own) OVER o - sum(other) OVER o) * (lead(v) OVER o - v) AS area FROM grid WINDOW o AS (PARTITION BY bucket ORDER BY v)),
 wasser AS (SELECT bucket, sum(area) AS wasserstein FROM steps GROUP BY bucket)"""
+#: Readings of the sample that window_rows compares with, and the same distances to it: those lowest by a hash of their place that any engine has.
+SAMPLE = 500
+SAMPLED_WASSERSTEIN = WASSERSTEIN.replace("WHERE normal)", f"WHERE normal ORDER BY md5(position::VARCHAR), position LIMIT {SAMPLE})")
 
 
 def normal_sample(rows: DataFrame) -> list[float]:
@@ -234,7 +236,7 @@ def normal_sample(rows: DataFrame) -> list[float]:
 @query("wasserstein_to_normal", f"WITH {LABELLED}, {distribution_sql('0.0', '500.0')}, {WASSERSTEIN} SELECT bucket, {r('wasserstein')} FROM wasser")
 def q_wasserstein(spark, sf_dir):
     rows = labelled(spark, sf_dir)
-    return rounded(series.distribution(series.trailing(rows), 0.0, 500.0, normal_sample(rows)).select("bucket", "wasserstein"))
+    return rounded(series.wasserstein(series.trailing(rows), rows.where("normal")))
 
 
 @query("last_per_bucket", f"WITH {LABELLED} SELECT bucket, arg_min(pressure, position) AS first, arg_max(pressure, position) AS last FROM series GROUP BY bucket")
